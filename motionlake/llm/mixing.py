@@ -21,7 +21,7 @@ from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 50_000
-ROWS_PER_CELL = 250_000
+ROWS_PER_CELL = 4_000
 MAX_BLOCKS = 200_000
 MIN_BLOCK_WORDS = 1024
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import decontamination, language_id, line_dedup, mixing, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op4_mixing": mixing.query,
+    "op5_language_id": language_id.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_token_files": token_files.query,
+    "op9_decontamination": decontamination.query,
 }
 
 ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_decontamination": decontamination.ORACLE_SQL,
 }
