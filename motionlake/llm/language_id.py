@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -160,16 +161,18 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_total: int =
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to ``doc_id, text``; no other column of ``docs`` is read."""
+    """``docs`` with ``lang_pred`` and ``score`` added (columns of these names are replaced). Only ``text`` is read for
+    the prediction; all columns pass through."""
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            lettered = np.asarray(batch.column(2).to_pylist(), bool) & bool(m.languages)
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0)]
+            lettered = np.asarray(batch.column(1).to_pylist(), bool) & bool(m.languages)
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             rows = np.flatnonzero(lettered)
             if len(rows):
@@ -178,11 +181,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 scores[rows] = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
                 for i, b in zip(rows.tolist(), best.tolist()):
                     names[i] = m.languages[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(names), pa.array(scores)], names=["doc_id", "row_hash", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[2:], "lang_pred", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("doc_id", "text", lettered.alias("lettered"), F.xxhash64("text").alias("row_hash"))
-    return rows.mapInArrow(run, "doc_id long, row_hash long, lang_pred string, score double")
+    rows = docs.select(F.col("text").alias("_text"), lettered.alias("_lettered"), *[f.name for f in kept])
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out():
@@ -193,4 +196,4 @@ def held_out():
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the predicted language of every document."""
     docs = common.read(spark, sf_dir, "documents")
-    return predict(docs, train(docs.filter(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), train(docs.filter(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -76,7 +76,7 @@ def splitting_tree(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
 
 
 def allocate(docs: DataFrame, n_shards: int = 24, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: its columns ``doc_id, source`` plus ``size, source_size, target`` and
+    """One row per document: its columns ``doc_id, source`` plus ``text_hash, size, source_size, target`` and
     ``takes``, an array of ``(pass, shard, words)``, one element for each time the mix takes it."""
     spark = docs.sparkSession
     keyed = docs.select(
@@ -107,7 +107,7 @@ def allocate(docs: DataFrame, n_shards: int = 24, weights=(3, 1, 2), share: floa
     order = Window.partitionBy("sid", "cell").orderBy("perm", F.col("doc_id").asc_nulls_last(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("upto", F.sum("size").over(order)).join(cells, ["sid", "cell"])
     d = d.withColumn("start", F.col("cell_start") + F.col("upto") - F.col("size")).withColumn("block", F.floor(F.col("start") / block_words))
-    d = common.materialize(d.drop("cells", "upto", "cell_start", "cell", "perm", "text_hash"), "mix-blocks")
+    d = common.materialize(d.drop("cells", "upto", "cell_start", "cell", "perm"), "mix-blocks")
 
     # one row per block, at most MAX_BLOCKS and one per source
     blocks = d.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.min("start").alias("block_start"), F.first("passes").alias("n_passes"), F.first("extra").alias("extra_words"))
@@ -133,7 +133,7 @@ def allocate(docs: DataFrame, n_shards: int = 24, weights=(3, 1, 2), share: floa
     d = d.join(blocks.select("sid", "block", "block_start", takes.alias("insts")), ["sid", "block"])
     words = lambda x: F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), x["drawn"] - (F.col("start") - F.col("block_start"))))
     each = F.transform("insts", lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), words(x).alias("words")))
-    return d.select("doc_id", "source", "size", "source_size", "target", F.filter(each, lambda x: x["words"] > 0).alias("takes"))
+    return d.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.filter(each, lambda x: x["words"] > 0).alias("takes"))
 
 
 def mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_dedup, mixing, sharding, token_files
+from . import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, neighbours, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op3_html_extraction": html_extraction.query,
     "op4_mixing": mixing.query,
     "op5_language_id": language_id.query,
     "op6_line_dedup": line_dedup.query,
     "op7_token_files": token_files.query,
+    "op8_neighbours": neighbours.query,
     "op9_decontamination": decontamination.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
 ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
