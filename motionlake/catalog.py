@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
-PLAN_MODULES: tuple[str, ...] = ()
+PLAN_MODULES = ("series",)
+FLAGSHIP = "cj3_session_summary"
+
+
+def _collected(name: str) -> dict:
+    out: dict = {}
+    for module in PLAN_MODULES:
+        found = getattr(import_module(f"{__package__}.plans.{module}"), name)
+        clash = out.keys() & found.keys()
+        if clash:
+            raise ValueError(f"registered twice: {sorted(clash)}")
+        out |= found
+    return out
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return _collected("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _collected("ORACLE_SQL")
 
 
 def flagship(spark, sf_dir: str):
-    return next(iter(queries().values()))(spark, sf_dir)
+    return queries()[FLAGSHIP](spark, sf_dir)
