@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-PLAN_MODULES = ("series", "joins")
+PLAN_MODULES = ("series", "joins", "sessions")
 FLAGSHIP = "cj3_session_summary"
 
 
