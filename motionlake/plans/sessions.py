@@ -14,8 +14,8 @@ def strokes(spark, d):
 
 
 def ag1_by_type(spark, d):
-    df = r6(sessions.by_type(strokes(spark, d)), "mean_shoulder", "sd_shoulder", "mean_tempo", "sd_tempo", "split_step_rate")
-    return df.withColumn("mean_recovery", F.round("mean_recovery", 9))
+    names = ("mean_shoulder", "sd_shoulder", "mean_tempo", "sd_tempo", "mean_recovery", "split_step_rate")
+    return sessions.by_type(strokes(spark, d)).withColumns({n: F.round(n, 9) for n in names})
 
 
 def ag3_session_stats(spark, d):
@@ -39,7 +39,7 @@ def wn33_trend(spark, d):
 
 
 def d_tre_trend_block(spark, d):
-    return r6(sessions.trend_block(strokes(spark, d)), "consistency")
+    return r6(sessions.trend_block(strokes(spark, d)), "consistency").withColumn("fatigue_onset", F.col("fatigue_onset").cast("double"))
 
 
 def d_pat_pattern_block(spark, d):
@@ -47,14 +47,14 @@ def d_pat_pattern_block(spark, d):
 
 
 def d_sum_summary_block(spark, d):
-    return sessions.summary_block(strokes(spark, d))
+    return sessions.summary_block(strokes(spark, d)).withColumn("fatigue_onset", F.col("fatigue_onset").cast("double"))
 
 
 def cj3_session_summary(spark, d):
     """The flagship: trend, pattern and summary of every session side by side."""
     s = strokes(spark, d)
     out = sessions.summary_block(s).join(sessions.pattern_block(s), "session_id").join(sessions.by_type(s).groupBy("session_id").agg(F.sum("n").alias("clean_strokes"), F.avg("mean_tempo").alias("tempo")), "session_id")
-    return r6(out, "tempo")
+    return r6(out, "tempo").withColumn("fatigue_onset", F.col("fatigue_onset").cast("double"))
 
 
 def flt5_keep_and_number(spark, d):
@@ -132,7 +132,7 @@ onset as (select session_id, stroke_index from (select *, row_number() over (par
 tre0 as (select session_id, a.trend as shoulder_deg_trend, b.trend as tempo_trend, c.trend as recovery_ms_trend, consistency, o.stroke_index as onset,
   coalesce((a.trend = 'declining')::INT, 0) + coalesce((b.trend = 'declining')::INT, 0) + coalesce((c.trend = 'declining')::INT, 0) >= 2 as fatigue
   from t_shoulder_deg a full join t_tempo b using (session_id) full join t_recovery_ms c using (session_id) left join cons using (session_id) left join onset o using (session_id)),
-tre as (select session_id, shoulder_deg_trend, tempo_trend, recovery_ms_trend, consistency, fatigue, case when fatigue then onset end as fatigue_onset from tre0)"""
+tre as (select session_id, shoulder_deg_trend, tempo_trend, recovery_ms_trend, consistency, fatigue, case when fatigue then onset end::DOUBLE as fatigue_onset from tre0)"""
 _PAT = f"""tc as (select session_id, stroke_type, count(*) as c from strokes group by session_id, stroke_type),
 dom as (select session_id, stroke_type as dominant from (select *, row_number() over (partition by session_id order by c desc, {_POS.format('stroke_type')}) as k from tc) where k = 1),
 runs as (select *, sum((stroke_type in ('FH', 'BH'))::INT) over (partition by session_id order by stroke_index rows between 2 preceding and current row) as run from strokes),
@@ -147,7 +147,7 @@ e as (select l.*, p.detected, case when p.detected then abs(p.ts - l.frame * 100
 err as (select *, coalesce(error_ms <= 1000::DOUBLE / fps + 1, false) as ok, case when detected is null then 'no prediction' when not detected then 'not detected' when not coalesce(error_ms <= 1000::DOUBLE / fps + 1, false) then 'off' end as reason from e)"""
 _S = duck("strokes")
 ORACLE_SQL = {
-    "ag1_by_type": f"{_S}, {_BY_TYPE} select session_id, stroke_type, n, round(mean_shoulder, 6) as mean_shoulder, round(sd_shoulder, 6) as sd_shoulder, round(mean_tempo, 6) as mean_tempo, round(sd_tempo, 6) as sd_tempo, round(mean_recovery, 9) as mean_recovery, round(split_step_rate, 6) as split_step_rate from bt",
+    "ag1_by_type": f"{_S}, {_BY_TYPE} select session_id, stroke_type, n, round(mean_shoulder, 9) as mean_shoulder, round(sd_shoulder, 9) as sd_shoulder, round(mean_tempo, 9) as mean_tempo, round(sd_tempo, 9) as sd_tempo, round(mean_recovery, 9) as mean_recovery, round(split_step_rate, 9) as split_step_rate from bt",
     "ag3_session_stats": f"""{_S}, c as (select session_id, stroke_type, count(*) as n, count(*) filter (where is_clean) as clean from strokes group by all)
 select session_id, sum(n)::BIGINT as windows, sum(clean)::BIGINT as usable, '{{' || string_agg('"' || stroke_type || '":' || n, ',' order by {_POS.format('stroke_type')}) || '}}' as distribution from c group by session_id""",
     "ag4_share_of_max": f"{_S} select session_id, stroke_index, round(case when max(abs(shoulder_deg)) over (partition by session_id) > 0 then abs(shoulder_deg) / max(abs(shoulder_deg)) over (partition by session_id) * 100 end, 6) as share from strokes",
