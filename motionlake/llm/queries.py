@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, neighbours, sharding, token_files
+from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, line_dedup, mixing, neighbours, sharding, token_files
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_license_scan": license_scan.query,
     "op3_html_extraction": html_extraction.query,
     "op4_mixing": mixing.query,
     "op5_language_id": language_id.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": license_scan.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
