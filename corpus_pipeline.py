@@ -32,9 +32,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     smallest = named.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("component_id").alias("keep_id")).agg(F.min("text_hash").alias("keep_hash"))
     unnamed = named.filter(F.col("component_id").isNull()).select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
     keep = smallest.unionByName(unnamed)
-    rows = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
-    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "h"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS)
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64("text") == F.col("keep_hash")), "left_semi")
+    repeated = named.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
+    # whole rows that repeat; most corpora have none, and then the texts need not be dealt again
+    return rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h") if repeated else rows
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a row for each time a document is taken; the document a quota ends in is cut after its last taken word."""
     taken = mixing.allocate(docs).groupBy("doc_id", "text_hash", "source").agg(F.flatten(F.collect_list("takes")).alias("takes"), F.first("size").alias("size"))
     taken = taken.select(F.col("doc_id").alias("t_id"), "text_hash", F.col("source").alias("t_source"), "size", F.explode("takes").alias("t"))
-    rows = docs.select(*COLUMNS).withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0))).dropDuplicates(["doc_id", "h", "source"])
+    rows = docs.select(*COLUMNS).withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    key = ["doc_id", "h", "source"]
+    if rows.groupBy(*key).count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(key)  # a row that repeats is taken as often as its copies together
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("text_hash")) & F.col("source").eqNullSafe(F.col("t_source"))
     rows = rows.join(taken, same)
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -76,5 +81,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.discard(before)
     return docs

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,32 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets the driver find out which shuffles nothing refers to, so that their files go before the next step needs disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing reads them any more; shared storage holds no more than is in use."""
+    for t in tables:
+        path = _PATHS.pop(id(t), None)
+        if path:
+            delete_path(t.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ascii_lower(col):

@@ -209,10 +209,13 @@ def _documents(row: dict, wanted: _Windows, terms: pa.Array, slop: int) -> pa.Re
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Builds the index of ``docs`` in the shared folder and matches ``benchmark`` against it."""
-    path = common.scratch_path(docs.sparkSession, "postings")
+    """Builds the index of ``docs`` in the shared folder, matches ``benchmark`` against it and deletes it."""
+    spark = docs.sparkSession
+    path = common.scratch_path(spark, "postings")
     build_index(docs, path)
-    return matches(docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path), benchmark, window, slop)
+    found = common.materialize(matches(spark.read.schema(INDEX_SCHEMA).parquet(path), benchmark, window, slop), "matches")
+    common.delete_path(spark, path)
+    return found
 
 
 def n_hit():

@@ -6,9 +6,13 @@ universe into m segments. Similar sets under it differ in at most H shingles, so
 and ``n2`` compared up to one deletion, n1 + 2 * n2 > H, some segment of theirs must agree: the sets sign the subset in
 each segment, and for the second kind also every subset that lacks one shingle (the one-deletion neighbourhood).
 ``n2`` and m are chosen per band by cost: signature rows against collisions expected among the band's documents.
-Empty segments agree between unrelated sets; a set whose other segments still outnumber H does not use them.
+Signatures that more than ``BUCKET`` sets share (empty segments, passages that many documents hold) tell little: which
+they are is counted over all sets, so two sets with the same signature agree on it. m has segments to spare, and a set
+whose other segments still outnumber H does without these; a set that is short of segments uses as many of them as it is
+short of, the least shared first, and is compared with every set that has the same.
 
-Sets that share a signature are candidates; every link is verified on the whole sets. Equal sets are one node from the
+Sets that share a signature are candidates. A parity sketch (each shingle flips one bit) differs in at most as many bits
+as the sets in shingles, so it rules pairs out for certain; every link is verified on the whole sets. Equal sets are one node from the
 start. Where one signature is shared by many, all are first compared with one of them (the pivot), components are merged,
 and only pairs whose components still differ are compared further, so a large group of copies costs a comparison or a
 few per member, and no link between components is lost.
@@ -24,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from . import common
 
 KEPT_WORDS = 400_000
 ROUNDS = 3
+BUCKET = 24
+SKETCH_BITS = 1024
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -43,12 +50,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    """word -> 63 bits of its hash; emptied when it holds KEPT_WORDS words, so a worker's memory is bounded."""
 
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
         return h
 
 
@@ -60,7 +67,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     words = text.lower().split()  # of bytes: only A-Z, and ASCII white space
     if not words:
         return np.empty(0, np.uint64)
-    w = np.array([_hashes[x] for x in words], np.uint64)
+    w = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
     size = min(n, len(w))
     h = np.full(len(w) - size + 1, np.uint64(size))
     for i in range(size):
@@ -100,48 +107,59 @@ class Bands:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.asarray(self.low), sizes, side="right") - 1
 
-    def allocate(self, documents: dict[int, int], related: float = 0.02) -> None:
-        """Cheapest scheme per band. ``related``: assumed part of a band's documents that share passages with a document;
-        a segment of theirs collides about as often as it would be empty."""
+    def allocate(self, documents: dict[int, int], spare: float = 0.1, related: float = 0.01, shared: float = 0.03) -> None:
+        """Cheapest scheme per band: signature rows plus expected candidates. Expects the part ``spare`` of a set's shingles
+        to be of little use, and a set to have the part ``shared`` of the others in common with the part ``related`` of the
+        band's sets; these collide in a segment that holds common shingles only. The assumptions only move the cost: any
+        scheme here finds every similar pair."""
         for b, need in enumerate(self.bound):
-            size = (self.low[b] + self.high[b]) / 2
+            size = (self.low[b] + self.high[b]) / 2 * (1 - spare)
             others = related * (documents.get(b, 0) + documents.get(b + 1, 0))
             best = None
             for n2 in sorted({round((need + 1) / 2 * k / 16) for k in range(17)}):
-                m = max(1, need + 1 - n2)
-                m += 0 if need == 0 else self._spare(m, size)
-                cost = m + n2 * size / m + others * m * math.exp(-size / m)
+                m = self._segments(need, n2, size)
+                per = size / m
+                cost = m + n2 * per + others * m * math.exp(-per * (1 - shared)) * (1 - math.exp(-per * shared))
                 if best is None or cost < best[0]:
                     best = (cost, m, n2)
-            self.m[b], self.n2[b] = best[1], best[2]
+            _, self.m[b], self.n2[b] = best
 
     @staticmethod
-    def _spare(m: int, size: float) -> int:
-        """Segments beyond the bound, so that hardly a set needs its empty ones."""
-        empty = m * math.exp(-size / m)
-        return math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0
+    def _segments(need: int, n2: int, size: float) -> int:
+        """Fewest segments that outnumber the bound for nearly every set of this size without its empty ones."""
+        least = max(1, need + 1 - n2)
+        if need == 0:
+            return 1
+        for m in range(least, 2 * need + 4):
+            empty = math.exp(-size / m)
+            if (m + n2) * (1 - empty) - 2 * math.sqrt((m + 3 * n2) * empty) >= need + 1:
+                return m
+        return least
+
+
+#: ``at`` of a signature: scheme, segment, and whether it lacks a shingle.
+SCHEME, SEGMENT = 1 << 20, 1 << 19
 
 
 def signatures(sets: list[np.ndarray], ids: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set id, kind) of all signatures. kind 1: an empty segment of a set that does not need it; 2: of one that does."""
+    """(key, set id, at) of all signatures of the sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own = bands.of(sizes)
     h = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), sizes)
-    keys, names, kinds = [], [], []
-    bound = np.asarray(bands.bound)
+    keys, names, places = [], [], []
     for down in (0, 1):
         band = own - down
         use = band >= 0
-        m = np.where(use, bands.m[np.maximum(band, 0)], 0)
+        scheme = np.maximum(band, 0)
+        m = np.where(use, bands.m[scheme], 0)
         first = np.cumsum(m) - m
         keep = use[doc]
         hh, dd = h[keep], doc[keep]
         salt = (band.astype(np.uint64) + np.uint64(1)) * C1
         with np.errstate(over="ignore"):
             dealt = _mix(hh ^ salt[dd])
-            seg = (dealt % m[dd].astype(np.uint64)).astype(np.int64)
-            slot = first[dd] + seg
+            slot = first[dd] + (dealt % m[dd].astype(np.uint64)).astype(np.int64)
             total = int(m.sum())
             sums = np.zeros(total, np.uint64)
             part = _mix(hh + C3)
@@ -150,39 +168,46 @@ def signatures(sets: list[np.ndarray], ids: np.ndarray, bands: Bands) -> tuple[n
             slot_doc = np.repeat(np.arange(len(sets)), m)
             slot_seg = np.arange(total) - first[slot_doc]
             place = _mix(salt[slot_doc] + slot_seg.astype(np.uint64) * C2)
-            key = _mix(sums + count.astype(np.uint64) * C1 + place)
-            double = slot_seg < bands.n2[np.maximum(band, 0)][slot_doc]
-            # what each segment guarantees: nothing when empty, equality for one shingle, else its allocation
-            worth = np.where(count == 0, 0, np.where(double & (count > 1), 2, 1))
-            sure = np.bincount(slot_doc, worth, minlength=len(sets))
-            needs = sure < bound[np.maximum(band, 0)] + 1
-            kind = np.where(count == 0, np.where(needs[slot_doc], 2, 1), 0)
-            near = double[slot]
-            less = count[slot][near] - 1
-            keys += [key, _mix(sums[slot][near] - part[near] + less.astype(np.uint64) * C1 + place[slot][near])]
+            at = scheme[slot_doc] * SCHEME + slot_seg * 2
+            near = (slot_seg < bands.n2[scheme][slot_doc])[slot]
+            lacking = sums[slot][near] - part[near] + (count[slot][near] - 1).astype(np.uint64) * C1 + place[slot][near]
+            keys += [_mix(sums + count.astype(np.uint64) * C1 + place), _mix(lacking)]
             names += [ids[slot_doc], ids[dd[near]]]
-            kinds += [kind, np.where(less == 0, np.where(needs[dd[near]], 2, 1), 0)]
-    return np.concatenate(keys).view(np.int64), np.concatenate(names), np.concatenate(kinds).astype(np.int8)
+            places += [at, at[slot][near] + 1]
+    return np.concatenate(keys).view(np.int64), np.concatenate(names), np.concatenate(places).astype(np.int32)
 
 
 def _texts(column) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    parity = (np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64).tolist()
+
+
+def _may_link(percent: int):
+    """Sizes and sketches allow a link: bits that differ count shingles that differ, which a link bounds by the sizes."""
+    sizes = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+    differ = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return sizes & ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size")))
+
+
 def set_ids(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, text_hash, sid, size``: ``sid`` names the shingle set (null: none), equal for equal sets."""
+    """``doc_id, text_hash, sid, size, sketch``: ``sid`` names the shingle set (null: none), equal for equal sets."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, sketches = [], [], []
             for t in _texts(batch.column(1)):
                 s = shingles(t, n)
                 sizes.append(len(s))
                 names.append(int(_set_id(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "sid", "size"])
+                sketches.append(_sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "sid", "size", "sketch"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, sid long, size long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, sid long, size long, sketch array<long>")
 
 
 def _set_id(s: np.ndarray) -> np.int64:
@@ -191,7 +216,10 @@ def _set_id(s: np.ndarray) -> np.int64:
 
 
 def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(bands)
+
     def run(batches):
+        bands = shared.value
         done: set = set()  # each task signs a set once; copies of it add nothing
         for batch in batches:
             sets, ids = [], []
@@ -206,11 +234,11 @@ def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
             if len(done) > 1_000_000:
                 done.clear()
             if sets:
-                k, i, kind = signatures(sets, np.asarray(ids, np.int64), bands)
+                k, i, at = signatures(sets, np.asarray(ids, np.int64), bands)
                 for lo in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 100_000]), pa.array(i[lo : lo + 100_000]), pa.array(kind[lo : lo + 100_000])], names=["key", "sid", "kind"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 100_000]), pa.array(i[lo : lo + 100_000]), pa.array(at[lo : lo + 100_000])], names=["key", "sid", "at"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, kind byte")
+    return docs.select("text").mapInArrow(run, "key long, sid long, at int")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -244,6 +272,7 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), F.col("low")))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.low").alias("v"))
         after = common.materialize(small.filter("u <> v").distinct(), "stars")
+        common.discard(edges)
         # done when every node has one edge and no root has any
         state = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
         roots = after.select(F.col("v").alias("u")).distinct()
@@ -252,7 +281,25 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
+    out = common.materialize(edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct()), "components")
+    common.discard(edges)
+    return out
+
+
+def _useful(shared: DataFrame, bands: Bands) -> DataFrame:
+    """``key, sid, kind``: 0 in buckets of at most ``BUCKET`` sets; in larger ones 2 for the sets that need the signature and 1
+    for the others there. Two sets of kind 1 need not meet; larger buckets that nobody needs are left out."""
+    lookup = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("scheme") + 1)
+    big = shared.filter(F.col("n") > BUCKET).withColumn("scheme", F.floor(F.col("at") / SCHEME).cast("int")).withColumn("seg", F.floor(F.col("at") % SCHEME / 2).cast("int")).withColumn("exact", F.col("at") % 2 == 0)
+    segs = big.groupBy("sid", "scheme", "seg").agg(F.bool_or("exact").alias("exact"), F.max("n").alias("most"))
+    worth = F.when(F.col("exact"), F.when(F.col("seg") < lookup(bands.n2), 2).otherwise(1)).otherwise(1)
+    own = Window.partitionBy("sid", "scheme")
+    order = own.orderBy("most", "seg").rowsBetween(Window.unboundedPreceding, 0)
+    segs = segs.withColumn("worth", worth).withColumn("short", lookup(bands.bound) + 1 - (lookup(bands.m + bands.n2) - F.sum("worth").over(own)))
+    needed = segs.filter("short > 0").withColumn("before", F.sum("worth").over(order) - F.col("worth")).filter("before < short").select("sid", "scheme", "seg", F.lit(2).alias("need"))
+    big = big.join(needed, ["sid", "scheme", "seg"], "left").withColumn("kind", F.coalesce("need", F.lit(1)))
+    big = big.withColumn("top", F.max("kind").over(Window.partitionBy("key"))).filter("top = 2").select("key", "sid", "kind")
+    return shared.filter(F.col("n") <= BUCKET).select("key", "sid", F.lit(0).alias("kind")).unionByName(big)
 
 
 def _candidates(buckets: DataFrame, comp: DataFrame | None, nth: int) -> DataFrame:
@@ -267,37 +314,49 @@ def _candidates(buckets: DataFrame, comp: DataFrame | None, nth: int) -> DataFra
 def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, text_hash, sid, size`` of every row; ``sid, comp`` of the sets that link with another set)."""
     named = common.materialize(set_ids(docs, n), "sets")
-    largest = named.agg(F.max("size")).first()[0] or 0
-    bands = Bands(percent, largest)
+    largest = named.agg(F.max("size")).first()[0]
+    bands = Bands(percent, largest or 0)
     edges = F.array(*[F.lit(x) for x in bands.low])
     band = F.size(F.filter(edges, lambda x: x <= F.col("size"))) - 1
     bands.allocate({r.band: r["count"] for r in named.filter("size > 0").groupBy(band.alias("band")).count().collect()})
 
-    key = Window.partitionBy("key")
-    signed = _sign(docs, n, bands)
-    signed = signed.withColumn("other", F.min("sid").over(key) < F.max("sid").over(key)).withColumn("top", F.max("kind").over(key))
-    buckets = signed.filter(F.col("other") & (F.col("top") != 1)).groupBy("key", "sid").agg(F.max("kind").alias("kind"))
-    sizes = named.filter("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    # hashed by key once: the sets of a key are made distinct and counted where they are
+    signed = _sign(docs, n, bands).repartition(common.shuffle_partitions(docs.sparkSession), "key").groupBy("key", "sid").agg(F.min("at").alias("at"))
+    signed = signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    shared = common.materialize(signed, "shared-signatures")
+    del signed
+    common.forget_shuffles(docs.sparkSession)
+    buckets = _useful(shared, bands)
+    sizes = named.filter("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("sketch").alias("sketch"))
     buckets = common.materialize(buckets.join(sizes.select("sid", "size"), "sid"), "buckets")
+    common.discard(shared)
 
     # one text for each set that shares a signature
     needed = sizes.join(buckets.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
     texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash")))
     texts = common.materialize(texts.groupBy("sid").agg(F.first("text").alias("text")), "set-texts")
 
-    near = 100 * F.least(F.col("size"), F.col("other_size")) >= percent * F.greatest(F.col("size"), F.col("other_size"))
-    links, tested, comp = None, None, None
+    near = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+    drawn = common.materialize(sizes.join(buckets.select("sid").distinct(), "sid", "left_semi").select("sid", "size", "sketch"), "sketches")
+
+    def ruled(pairs):
+        p = pairs.join(drawn.withColumnRenamed("sid", "b"), "b").join(drawn.select(F.col("sid").alias("a"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch")), "a")
+        return p.filter(_may_link(percent)).select("a", "b")
+
+    links, tested, comp, done = None, None, None, []
     for nth in range(ROUNDS):
         rows = _candidates(buckets, comp, nth).withColumn("other_size", F.col("p.size"))
         pairs = rows.filter((F.col("comp") != F.col("p.comp")) & near & ~((F.col("kind") == 1) & (F.col("p.kind") == 1)))
         pairs = pairs.select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.materialize(pairs, "pairs")
+        pairs = common.materialize(ruled(pairs), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         own = common.materialize(verify(pairs, texts, n, percent), "links")
+        done += [pairs, own]
         links = own if links is None else links.unionByName(own)
-        comp = common.materialize(components(links), "components")
+        common.discard(*([comp] if comp is not None else []))
+        comp = components(links)
     # what is left: pairs of a bucket that lie in different components still
     rows = buckets.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
@@ -306,14 +365,18 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     pairs = rows.join(other, "key").filter((F.col("sid") > F.col("a")) & (F.col("comp") != F.col("other_comp")) & near & ~((F.col("kind") == 1) & (F.col("other_kind") == 1)))
     pairs = pairs.select("a", F.col("sid").alias("b")).distinct()
     both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = common.materialize(pairs.join(both, ["a", "b"], "left_anti"), "pairs")
+    pairs = common.materialize(ruled(pairs.join(both, ["a", "b"], "left_anti")), "pairs")
     last = common.materialize(verify(pairs, texts, n, percent), "links")
-    return named, common.materialize(components(links.unionByName(last)), "components")
+    before, comp = comp, components(links.unionByName(last))
+    common.discard(before, buckets, texts, drawn, pairs, last, *done)
+    common.forget_shuffles(docs.sparkSession)
+    return named, comp
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_shingles, component_id`` (smallest ``doc_id`` reachable by links)."""
     named, comp = link(docs, n, percent)
+    named = named.drop("sketch")
     rows = named.join(comp, "sid", "left").withColumn("label", F.coalesce("comp", "sid"))
     smallest = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
     rows = rows.join(smallest, "label", "left")

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER = 3
-SAMPLE_BYTES = 1_000_000
-SAMPLE_TOTAL = 24_000_000
+SAMPLE_BYTES = 600_000
+SAMPLE_TOTAL = 16_000_000
 MAX_DOC_BYTES = 64_000
 MAX_SYMBOLS = 160
 MIN_CONTEXT = 8

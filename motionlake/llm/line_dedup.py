@@ -96,6 +96,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES, min_key: int = MIN_KEY, runs:
         for part in (F.broadcast(verdict.filter(F.col("n") > most)), verdict.filter(F.col("n") <= most)):
             hit = own.join(part.drop("n"), ["h1", "h2"]).filter(F.col("seen") | ~F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text_hash", "pos")
             drops = hit if drops is None else drops.unionByName(hit)
+    drops = common.materialize(drops, "line-drops")
+    common.discard(lines)
     gone = drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
     out = out.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))

@@ -108,6 +108,7 @@ def allocate(docs: DataFrame, n_shards: int = 24, weights=(3, 1, 2), share: floa
     d = d.withColumn("upto", F.sum("size").over(order)).join(cells, ["sid", "cell"])
     d = d.withColumn("start", F.col("cell_start") + F.col("upto") - F.col("size")).withColumn("block", F.floor(F.col("start") / block_words))
     d = common.materialize(d.drop("cells", "upto", "cell_start", "cell", "perm"), "mix-blocks")
+    common.discard(keyed)
 
     # one row per block, at most MAX_BLOCKS and one per source
     blocks = d.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.min("start").alias("block_start"), F.first("passes").alias("n_passes"), F.first("extra").alias("extra_words"))
