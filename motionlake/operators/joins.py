@@ -101,7 +101,7 @@ def fragment_pairs(fragments: DataFrame, keys: Names, fps: float, longest_s: flo
     a = fragments.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("track_id", "last", "cx1", "cy1", "height")])
     b = fragments.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("track_id", "first", "cx0", "cy0", "height")])
     gap = (F.col("b_first") - F.col("a_last")) / fps
-    tall = F.greatest("a_height", "b_height")
+    tall = F.greatest("a_height", "b_height", F.lit(1e-9))
     dist = F.sqrt((F.col("a_cx1") - F.col("b_cx0")) ** 2 + (F.col("a_cy1") - F.col("b_cy0")) ** 2)
     rows = a.join(b, keys).filter((F.col("a_track_id") != F.col("b_track_id")) & (gap > 0) & (gap < longest_s))
     rows = rows.filter((F.least("a_height", "b_height") / tall >= least_ratio) & (dist < reach * tall))

@@ -61,7 +61,7 @@ def rotation_proxy(frames: DataFrame) -> DataFrame:
     ratio = F.abs(at(11, "x") - at(12, "x")) / F.greatest(F.abs(at(23, "x") - at(24, "x")), F.lit(1e-6))
     r = frames.withColumn("_r", ratio)
     p90 = r.groupBy(*CLIP).agg(F.percentile("_r", 0.9).alias("_p"))
-    return r.join(p90, CLIP).withColumn("rot", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_r") / F.col("_p")))).drop("_r", "_p")
+    return r.join(p90, CLIP).withColumn("rot", F.when(F.col("_p") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_r") / F.col("_p"))))).drop("_r", "_p")
 
 
 def ready_frames(frames: DataFrame) -> DataFrame:
