@@ -6,7 +6,9 @@ shared folder, so they are written and read by Spark's committers on any store,
 range's segments carry their start within the range; the starts of the ranges are one row per range.
 
 Words between ASCII white space encode independently of each other with the default vocabulary (its pre-tokenizer never
-crosses white space), so a worker keeps a bounded table of the words it has met.
+crosses white space), so a worker keeps a bounded table of the words it has met. A new word of Latin-1 letters, with or
+without ASCII punctuation after it, goes to the library's BPE model directly (its normalizer only lower-cases such words
+and its pre-tokenizer keeps the letters together); every other new word takes the library's whole path.
 
 Defined results: a null or empty text has only the end id; a null ``doc_id`` sorts first; rows that share a ``doc_id``
 follow each other in the order of their texts' hashes; an empty table gives an empty result.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,22 @@ from . import common, pfor
 
 END_ID = 1
 SEGMENT_IDS = 1 << 20
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
+#: Ends of words that the pre-tokenizer makes one token of; the apostrophe, which starts contractions, is not among them.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SEGMENT_SCHEMA = "range int, seq int, start long, n_ids long, doc_ids array<long>, image binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters to what byte-level BPE reads for their UTF-8 bytes: printable bytes stand for themselves, the
+    others for the characters from U+0100 on in ascending order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+    return {c: "".join(chr(shifted.get(b, b)) for b in chr(c).encode()) for c in range(128, 256)}
+
+
 class _Words(dict):
     """word -> its ids as little-endian bytes; emptied when it holds KEPT_WORDS words, so a worker's memory is bounded."""
 
@@ -41,11 +54,45 @@ class _Words(dict):
 
         super().__init__()
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.cores: dict[str, bytes] = {}
+        self.plain = self._plain()
+
+    def _plain(self) -> bool:
+        """Whether the vocabulary treats words as the direct way does; else every word takes the whole path."""
+        probe = ["hello", "Straße,", "ÉTÉ...", "niño;", "x", "aÿa)", "Überhaupt!"]
+        return all(self._direct(w) == self._whole(w) for w in probe)
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _direct(self, word: str) -> bytes | None:
+        core = word.rstrip(TAIL)
+        if not core or max(core) > "\xff":
+            return None
+        low = core.lower()
+        out = self.cores.get(low)
+        if out is None:
+            if not low.isalpha():
+                return None
+            if len(self.cores) >= KEPT_WORDS:
+                self.cores.clear()
+            out = self.cores[low] = array("I", [t.id for t in self.model.tokenize(low.translate(self.letters))]).tobytes()
+        return out if len(core) == len(word) else out + self._tail(word[len(core) :])
+
+    def _tail(self, tail: str) -> bytes:
+        out = self.cores.get(tail)
+        if out is None:
+            out = self.cores[tail] = self._whole(tail)
+        return out
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = self[word] = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = self._direct(word) if self.plain else None
+        if out is None:
+            out = self._whole(word)
+        self[word] = out
         return out
 
 
