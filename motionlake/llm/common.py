@@ -39,7 +39,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
     return out

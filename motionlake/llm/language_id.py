@@ -123,8 +123,9 @@ def compile_model(samples: dict[str, list[bytes]], min_context: int = MIN_CONTEX
             count = np.zeros((len(own), n))
             codes, counts = grams[k][order]
             where = np.searchsorted(own, codes // n)
-            ok = (where < len(own)) & (own[np.minimum(where, len(own) - 1)] == codes // n)
-            count[where[ok], codes[ok] % n] = counts[ok]
+            if len(own):
+                ok = (where < len(own)) & (own[np.minimum(where, len(own) - 1)] == codes // n)
+                count[where[ok], codes[ok] % n] = counts[ok]
             n_seen, total = (count > 0).sum(axis=1, keepdims=True), count.sum(axis=1, keepdims=True)
             rest = ((base * weight) * (count == 0)).sum(axis=1, keepdims=True)
             every = rest <= 1e-12  # all symbols seen: nothing to escape to
