@@ -72,8 +72,8 @@ def focal_from_vanishing_points(x1: Column, y1: Column, x2: Column, y2: Column,
 
 def fit_line(df: DataFrame, keys: Names, x: str, y: str) -> DataFrame:
     """Total least squares per key: ``mx, my`` (mean), ``angle``, ``low, high`` (extent along the line), ``n``."""
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.covar_pop(x, y).alias("_c"))
-    sums = sums.withColumn("angle", 0.5 * F.atan2(2 * F.col("_c"), F.col("_vx") - F.col("_vy"))).drop("_vx", "_vy", "_c")
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.covar_pop(x, y).alias("_cov"))
+    sums = sums.withColumn("angle", 0.5 * F.atan2(2 * F.col("_cov"), F.col("_vx") - F.col("_vy"))).drop("_vx", "_vy", "_cov")
     along = (F.col(x) - F.col("mx")) * F.cos("angle") + (F.col(y) - F.col("my")) * F.sin("angle")
     return df.join(sums, keys).groupBy(*keys, "n", "mx", "my", "angle").agg(F.min(along).alias("low"), F.max(along).alias("high"))
 
@@ -142,3 +142,41 @@ def ground_homography(points: DataFrame, keys: Names) -> DataFrame:
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields if f.name in keys), *(f"{n} double" for n in names)])
     solved = sums.mapInPandas(solve, schema)
     return solved.select(*keys, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+
+
+def corners(segs: DataFrame, keys: Names, width: float, height: float, flat_deg: float = 12.0, gap: float = 20.0) -> DataFrame:
+    """The four court corners per key from line segments: near-horizontal ones chained by height give base and service line,
+    the others chained by position the left and right side line; their crossings count only if all lie inside the picture
+    with a 30 % margin. ``segs``: keys, seg_id, x1, y1, x2, y2."""
+    from . import series
+
+    angle = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
+    lean = F.least(F.abs(angle - 180 * F.round(angle / 180)), F.lit(90.0))
+    s = segs.withColumn("_flat", lean < flat_deg).withColumn("_my", (F.col("y1") + F.col("y2")) / 2).withColumn("_mx", (F.col("x1") + F.col("x2")) / 2)
+    s = s.withColumn("_pos", F.when(F.col("_flat"), F.col("_my")).otherwise(F.col("_mx")))
+    c = series.chain_clusters(s, [*keys, "_flat"], "_pos", ["seg_id"], gap, "_c")
+    pts = c.select(*keys, "_flat", "_c", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select(*keys, "_flat", "_c", "p.*")
+    lines = fit_line(pts, [*keys, "_flat", "_c"], "x", "y")
+    rank = lambda o: F.row_number().over(Window.partitionBy(*keys, "_flat").orderBy(*o))
+    lines = lines.withColumn("_low", rank([F.desc("my"), "_c"])).withColumn("_left", rank(["mx", "_c"])).withColumn("_right", rank([F.desc("mx"), "_c"]))
+    name = F.when(F.col("_flat") & (F.col("_low") == 1), "base").when(F.col("_flat") & (F.col("_low") == 2), "service").when(~F.col("_flat") & (F.col("_left") == 1), "left").when(~F.col("_flat") & (F.col("_right") == 1), "right")
+    lines = lines.withColumn("name", name).filter("name is not null").select(*keys, "name", "mx", "my", F.cos("angle").alias("dx"), F.sin("angle").alias("dy"))
+    across = lines.filter("name in ('base', 'service')").withColumnsRenamed({n: f"{n}_h" for n in ("name", "mx", "my", "dx", "dy")})
+    j = lines.filter("name in ('left', 'right')").join(across, keys)
+    det = F.col("dx") * F.col("dy_h") - F.col("dy") * F.col("dx_h")
+    j = j.withColumn("_det", det).filter(F.abs("_det") > 1e-9)
+    t = ((F.col("mx_h") - F.col("mx")) * F.col("dy_h") - (F.col("my_h") - F.col("my")) * F.col("dx_h")) / F.col("_det")
+    j = j.select(*keys, F.concat_ws("_", "name_h", "name").alias("corner"), (F.col("mx") + t * F.col("dx")).alias("x"), (F.col("my") + t * F.col("dy")).alias("y"))
+    inside = F.col("x").between(-0.3 * width, 1.3 * width) & F.col("y").between(-0.3 * height, 1.3 * height)
+    whole = Window.partitionBy(*keys)
+    return j.withColumn("_ok", F.min(inside).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_ok and _n = 4").drop("_ok", "_n")
+
+
+def project_lines(poses: DataFrame, lines: DataFrame, cx: float, cy: float) -> DataFrame:
+    """Both ends of every court line in the picture of every pose; NULLs where an end is behind the camera.
+    ``lines``: line, x1, y1, z1, x2, y2, z2 (a fixed handful, broadcast)."""
+    j = poses.crossJoin(F.broadcast(lines))
+    cam = [F.col(c) for c in ("height_m", "distance_m", "tilt_deg", "pan_deg", "focal_px")]
+    ends = [project(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), *cam, cx, cy) for i in (1, 2)]
+    seen = ends[0][0].isNotNull() & ends[1][0].isNotNull()
+    return j.select("cand_id", "line", *[F.when(seen, e[k]).alias(f"{n}{i}") for i, e in enumerate(ends, 1) for k, n in ((0, "u"), (1, "v"))])
