@@ -202,3 +202,26 @@ def test_band_join_has_no_nested_loop(spark, small_dir):
     plan = jn4_band_semi(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert joins is not None
+
+
+def test_evaluation_job(spark, tmp_path):
+    from motionlake import cli
+
+    (tmp_path / "p" / "clips").mkdir(parents=True)
+    (tmp_path / "p" / "clips" / "a.json").write_text('{"strokes": [{"stroke_metadata": {"stroke_type": "FH"}, "keyframes": [{"name": "impact", "frame_index": 42, "timestamp_ms": 1400.0, "detected": true}]}]}')
+    (tmp_path / "l.csv").write_text(",".join(files.STROKE_LABEL_COLUMNS) + "\nclips/a.mp4,FH,R,30,1,,,42,,,,,,,x,\n")
+    cli.run(spark, ["evaluate", "--labels", str(tmp_path / "l.csv"), "--predictions", str(tmp_path / "p"), "--out", str(tmp_path / "o")])
+    r = spark.read.parquet(str(tmp_path / "o" / "accuracy")).filter("keyframe = 'impact'").first()
+    assert (r.n, r.accuracy) == (1, 1.0)
+
+
+def test_occlusion_fill_bounds(spark):
+    from motionlake.operators import occlusion
+
+    vis = lambda f: 0.1 if 20 <= f < 30 else 0.9
+    rows_ = [(1, f, lm, 0.5 + 0.01 * f if lm == 13 else 0.6 + 0.01 * f, 0.5, vis(f) if lm == 15 else 0.9) for f in range(60) for lm in (13, 15)]
+    p = spark.createDataFrame([(c, f, lm, x + (0.3 if lm == 15 and 20 <= f < 30 else 0.0), y, v) for c, f, lm, x, y, v in rows_], "clip_id int, frame int, lm_id int, x double, y double, vis double")
+    got = {r.frame: r for r in occlusion.fill(p).collect()}
+    assert all(abs(got[f].x - (0.6 + 0.01 * f)) < 1e-6 and got[f].filled for f in range(20, 30)) and not got[5].filled
+    start = occlusion.fill(p.withColumn("vis", F.when((F.col("lm_id") == 15) & (F.col("frame") < 5), 0.1).otherwise(F.col("vis")))).filter("frame < 5 and filled").count()
+    assert start == 0
