@@ -23,6 +23,6 @@ def train(candidates: DataFrame, trees: int = 100, depth: int = 5, seed: int = 4
 
 def gate(candidates: DataFrame, model: PipelineModel) -> DataFrame:
     """Drops unlikely candidates and raises sure ones to HIGH."""
-    scored = model.transform(candidates.fillna(0.0, FEATURES)).withColumn("p_hit", vector_to_array("probability")[1])
+    scored = model.transform(candidates.fillna(0.0, FEATURES)).withColumn("p_hit", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
     kept = scored.filter(F.col("p_hit") >= DROP_BELOW).drop("features", "rawPrediction", "probability", "prediction")
     return kept.withColumn("confidence", F.when(F.col("p_hit") > HIGH_ABOVE, "HIGH").otherwise(F.col("confidence")))

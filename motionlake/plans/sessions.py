@@ -167,7 +167,7 @@ from strokes s left join top using (session_id) left join tre using (session_id)
     "ag6_failures": f"{_ERR} select stroke_type, keyframe, reason, count(*) as n from err where not ok group by all",
     "ag7_agreement": f"""{duck('lab')}, r as (select *, clip_id % 4000 as task, row_number() over (partition by clip_id % 4000 order by clip_id) as k from lab),
 p as (select a.impact_frame as ia, b.impact_frame as ib, a.backswing_frame as ba, b.backswing_frame as bb from r a join r b on a.task = b.task and a.k = 1 and b.k = 2)
-select 'impact_frame' as column, count(*) as pairs, round(avg((abs(ia - ib) <= 20)::INT::DOUBLE), 6) as agreement from p union all select 'backswing_frame', count(*), round(avg((abs(ba - bb) <= 20)::INT::DOUBLE), 6) from p""",
+select 'impact_frame' as column, count(*) as pairs, round(avg((abs(ia - ib) <= 20)::INT::DOUBLE), 6) as agreement from p having count(*) > 0 union all select 'backswing_frame', count(*), round(avg((abs(ba - bb) <= 20)::INT::DOUBLE), 6) from p having count(*) > 0""",
     "ag8_deviation_bins": f"{_ERR}, bins as (select * from (values (0::DOUBLE, 15::DOUBLE), (15, 30), (30, 999)) b(low, high)), x as (select e.ok, p.deviation_deg as dev from err e join prd p using (clip_id) where keyframe = 'impact') select low, high, count(x.ok) as n, round(avg(x.ok::INT::DOUBLE), 6) as accuracy from bins left join x on dev >= low and dev < high group by low, high",
     "ag9_spotting": f"""{duck('sig')}, s as (select * from sig where x is not null), t as (select clip_id, frame as a from s where frame % 9 = 0), f as (select clip_id, frame as q from s where x > 60),
 h as (select t.clip_id, t.a, f.q from t join f on t.clip_id = f.clip_id and f.q between t.a and t.a + 3),

@@ -10,7 +10,9 @@ from ..operators import court, fold, hits, joins, series, tracks
 from ..sources.adapters import duck, view
 from .series import _BOUNCE, _POINTS, _TURN, CLIP, _fold_sql, _points, _recursive, r6
 
-H = [F.lit(x) for x in (0.05, 0.004, -5.0, 0.001, 0.06, -4.0, 0.00002, 0.0004, 1.0)]
+def ground_map() -> list:
+    """A fixed image-to-ground map for the adapter tables."""
+    return [F.lit(x) for x in (0.05, 0.004, -5.0, 0.001, 0.06, -4.0, 0.00002, 0.0004, 1.0)]
 
 
 def boxes(spark, d):
@@ -39,17 +41,17 @@ def d_hit_detect_hits(spark, d):
 def d_bnc_add_bounces(spark, d):
     ball = _points(spark, d)
     h = ball.filter("frame % 10 = 0").select("clip_id", "frame")
-    return r6(hits.add_bounces(h, hits.bounces(ball, 1), H, 30.0).withColumns({c: F.col(c).cast("double") for c in ("bounce_frame", "in_court")}), "court_x", "court_z", "delay_ms")
+    return r6(hits.add_bounces(h, hits.bounces(ball, 1), ground_map(), 30.0).withColumns({c: F.col(c).cast("double") for c in ("bounce_frame", "in_court")}), "court_x", "court_z", "delay_ms")
 
 
 def flt10_in_court(spark, d):
-    x, z = court.apply_homography(H, F.col("x"), F.col("y"))
+    x, z = court.apply_homography(ground_map(), F.col("x"), F.col("y"))
     return boxes(spark, d).groupBy("clip_id", court.in_court(x, z).alias("inside")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sc3_homography_round_trip(spark, d):
-    x, z = court.apply_homography(H, F.col("x"), F.col("y"))
-    u, v = court.apply_homography(court.invert_homography(H), F.col("gx"), F.col("gz"))
+    x, z = court.apply_homography(ground_map(), F.col("x"), F.col("y"))
+    u, v = court.apply_homography(court.invert_homography(ground_map()), F.col("gx"), F.col("gz"))
     b = boxes(spark, d).withColumn("gx", x).withColumn("gz", z)
     return r6(b.select("box_key", "gx", "gz", u.alias("u"), v.alias("v")), "gx", "gz", "u", "v")
 
@@ -166,7 +168,7 @@ def clu10_best_poses(spark, d):
 
 def clu8_ground_homography(spark, d):
     s = view(spark, d, "segs").withColumn("camera_id", F.col("frame"))
-    x, z = court.apply_homography(H, F.col("x1"), F.col("y1"))
+    x, z = court.apply_homography(ground_map(), F.col("x1"), F.col("y1"))
     h = court.ground_homography(s.select("camera_id", F.col("x1").alias("u"), F.col("y1").alias("v"), x.alias("x"), z.alias("z")), ["camera_id"])
     # the recovered map is held against the one that made the points
     px, pz = court.apply_homography([F.col(f"h{i}{j}") for i in range(3) for j in range(3)], F.col("x1"), F.col("y1"))
@@ -259,7 +261,7 @@ f as (select frame, cluster, count(*) as n, avg(x) as mx, avg(y1) as my, 0.5::DO
 select frame, cluster::BIGINT as cluster, n, round(mx, 6) as mx, round(my, 6) as my, round(angle, 6) as angle, round(min((x - mx) * cos(angle) + (y1 - my) * sin(angle)), 6) as low, round(max((x - mx) * cos(angle) + (y1 - my) * sin(angle)), 6) as high from s join f using (frame, cluster) group by frame, cluster, n, mx, my, angle""",
     "ag19_reprojection": f"{_REPRO} select cand_id, round(rmse, 6) as rmse, round(depth_spread, 6) as depth_spread, round(1 / (1 + rmse), 6) as score from sc",
     "clu10_best_poses": f'{_REPRO} select cand_id % 20 as "group", rank::INTEGER as rank, cand_id, round(rmse, 6) as rmse from (select *, row_number() over (partition by cand_id % 20 order by rmse, cand_id) as rank from sc) where rank <= 3',
-    "clu8_ground_homography": f"{duck('segs')} select frame as camera_id, count(*) as points, true as recovered from segs group by frame",
+    "clu8_ground_homography": f"{duck('segs')} select frame as camera_id, count(*) as points, case when count(*) >= 4 then true end as recovered from segs group by frame",
     "ag26_median_calibration": f"{duck('poses')}, c as (select *, cand_id % 50 as camera_id from poses), m as (select camera_id, median(focal_px) as focal from c group by camera_id) select camera_id, round(focal, 6) as focal_px, cand_id as kept from (select c.*, focal, row_number() over (partition by camera_id order by abs(focal_px - focal), cand_id) as k from c join m using (camera_id)) where k = 1",
     "clu11_height_cm": f"{_B}, q as (select box_key, h * 10 * (w / 4::DOUBLE) / 900 * 100 as v from c) select box_key, round(case when v between 100 and 220 then v end, 6) as height_cm from q",
 }
