@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 
 KEPT_WORDS = 400_000
-ROUNDS = 3
+ROUNDS = 2
 BUCKET = 24
-SKETCH_BITS = 1024
+#: Bits of the parity sketch of sets of up to LARGE shingles, and of larger ones.
+SKETCH_BITS, LARGE, LARGE_BITS = 1024, 700, 8192
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -182,15 +183,18 @@ def _texts(column) -> list[bytes]:
 
 
 def _sketch(s: np.ndarray) -> list[int]:
-    parity = (np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    bits = SKETCH_BITS if len(s) <= LARGE else LARGE_BITS
+    parity = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64).tolist()
 
 
 def _may_link(percent: int):
-    """Sizes and sketches allow a link: bits that differ count shingles that differ, which a link bounds by the sizes."""
+    """Sizes and sketches allow a link: bits that differ count shingles that differ, which a link bounds by the sizes.
+    Sketches of different lengths tell nothing."""
     sizes = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
     differ = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return sizes & ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size")))
+    alike = (F.size("sketch") != F.size("other_sketch")) | ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size")))
+    return sizes & alike
 
 
 def set_ids(docs: DataFrame, n: int) -> DataFrame:
