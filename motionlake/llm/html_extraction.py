@@ -3,7 +3,7 @@
 For every host a few pages (one for each of ``pages_per_host`` hash buckets of ``page_id``, a bound on the size of the
 training set, not on what is extracted) are aligned by simple tree matching. Nodes whose text is the same on all aligned
 pages are template; the smallest subtree that holds most of the varying text is the content slot. A page's main text is
-then read from its own tree: the article element where it has one, else the host's content slot, else the whole body;
+then read from its own tree: all its article and main elements in page order, else the host's content slot, else the whole body;
 without template nodes and without what element names, roles or class names mark as navigation, header, footer, sidebar,
 notice, advert, form or comments. Each page is read whole, in its own task; wrappers reach the pages by host.
 
@@ -109,30 +109,27 @@ def _volume(node: dom.Node) -> int:
     return sum(len(c) if isinstance(c, str) else _volume(c) for c in node.children)
 
 
-def _region(root: dom.Node, path: str) -> tuple[dom.Node, bool]:
-    articles, mains, todo = [], [], [(root, False)]
+def _region(root: dom.Node, path: str) -> tuple[list[dom.Node], bool]:
+    """The parts of the page that hold its article, in page order."""
+    parts, todo = [], list(reversed(root.children))
     while todo:
-        node, inside = todo.pop()
-        for c in node.children:
-            if isinstance(c, str) or outside(c.tag, c.marks, inside):
-                continue
-            if c.tag == "article" or c.marks.get("itemprop") == "articleBody":
-                articles.append(c)
-            elif c.tag == "main" or c.marks.get("role") == "main":
-                mains.append(c)
-                todo.append((c, True))
-            else:
-                todo.append((c, inside))
-    for found in (articles, mains):
-        if found:
-            return max(found, key=_volume), True
+        c = todo.pop()
+        if isinstance(c, str) or outside(c.tag, c.marks, False):
+            continue
+        if c.tag in ("article", "main") or c.marks.get("role") == "main" or c.marks.get("itemprop") == "articleBody":
+            parts.append(c)
+        else:
+            todo.extend(reversed(c.children))
+    # a main element may hold title and lead beside the articles in it
+    if any(_volume(x) for x in parts):
+        return parts, True
     slot = _find(root, path)
-    return (slot, False) if slot is not None and _volume(slot) else (root, False)
+    return ([slot], False) if slot is not None and _volume(slot) else ([root], False)
 
 
 def extract(page: str | None, path: str = "", template: frozenset = frozenset()) -> str:
     """The main text: blocks in page order, joined by an empty line."""
-    region, inside = _region(dom.parse(page), path)
+    regions, inside = _region(dom.parse(page), path)
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -143,7 +140,7 @@ def extract(page: str | None, path: str = "", template: frozenset = frozenset())
             blocks.append(text)
 
     # an explicit stack, for trees of any depth; None stands for the end of a block
-    todo: list = list(reversed(region.children))
+    todo: list = [x for r in reversed(regions) for x in (None, *reversed(r.children))]
     while todo:
         c = todo.pop()
         if c is None:
