@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +48,6 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 _PATHS: dict[int, str] = {}
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Lets the driver find out which shuffles nothing refers to, so that their files go before the next step needs disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``materialize`` wrote, once nothing reads them any more; shared storage holds no more than is in use."""
     for t in tables:
@@ -76,7 +70,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts stay small however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Sets the rows of an Arrow batch for the jobs started inside, and puts the session's own setting back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def byte_texts(column) -> list[bytes]:
+    """The UTF-8 bytes of an Arrow string column; null: empty."""
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
+
+
+#: Rows of a few numbers each that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows, else as it is (a shuffle join)."""
+    return F.broadcast(df) if df.count() <= rows else df

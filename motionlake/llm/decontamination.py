@@ -67,8 +67,6 @@ _INDEX_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.
 
 def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the index of ``docs`` (``doc_id, text``) to ``path``."""
-    common.small_batches(docs.sparkSession)
-
     def segments(batches):
         names, hashes, texts, held = [], [], [], 0
         for batch in batches:
@@ -83,7 +81,8 @@ def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
         if names:
             yield pa.RecordBatch.from_pydict(_segment(names, hashes, texts), schema=_INDEX_ARROW)
 
-    docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(segments, INDEX_SCHEMA).write.parquet(path)
+    with common.arrow_batches(docs.sparkSession, 500):
+        docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(segments, INDEX_SCHEMA).write.parquet(path)
 
 
 class _Windows:
@@ -150,7 +149,6 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     ``items`` (ids with a match) and ``no_item`` (a match of an item without id). ``slop`` counts the words a term may be
     off its place. ``index`` is the table that ``build_index`` wrote."""
     spark = index.sparkSession
-    common.small_batches(spark, 4)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // slice_bytes))
     out = None
@@ -213,7 +211,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
     spark = docs.sparkSession
     path = common.scratch_path(spark, "postings")
     build_index(docs, path)
-    found = common.materialize(matches(spark.read.schema(INDEX_SCHEMA).parquet(path), benchmark, window, slop), "matches")
+    with common.arrow_batches(spark, 4):
+        found = common.materialize(matches(spark.read.schema(INDEX_SCHEMA).parquet(path), benchmark, window, slop), "matches")
     common.delete_path(spark, path)
     return found
 

@@ -1,25 +1,25 @@
 """Exact n-gram Jaccard join by universe partition and the pigeonhole principle.
 
-A document is the set of its distinct word shingles (64-bit hashes). Sizes fall into bands that a similar pair can
-straddle by one, so a set is signed under the scheme of its own band and of the band below. A scheme deals the hash
-universe into m segments. Similar sets under it differ in at most H shingles, so with ``n1`` segments compared exactly
-and ``n2`` compared up to one deletion, n1 + 2 * n2 > H, some segment of theirs must agree: the sets sign the subset in
-each segment, and for the second kind also every subset that lacks one shingle (the one-deletion neighbourhood).
-``n2`` and m are chosen per band by cost: signature rows against collisions expected among the band's documents.
-Signatures that more than ``BUCKET`` sets share (empty segments, passages that many documents hold) tell little: which
-they are is counted over all sets, so two sets with the same signature agree on it. m has segments to spare, and a set
-whose other segments still outnumber H does without these; a set that is short of segments uses as many of them as it is
-short of, the least shared first, and is compared with every set that has the same.
-
-Sets that share a signature are candidates. A parity sketch (each shingle flips one bit) differs in at most as many bits
-as the sets in shingles, so it rules pairs out for certain; every link is verified on the whole sets. Equal sets are one node from the
-start. Where one signature is shared by many, all are first compared with one of them (the pivot), components are merged,
-and only pairs whose components still differ are compared further, so a large group of copies costs a comparison or a
-few per member, and no link between components is lost.
+A document is the set of its distinct word shingles (64-bit hashes). Two sets of sizes s and t link only if they differ in
+at most ``bound(s, t)`` shingles. Sizes fall into bands; a band's scheme deals the hash universe into m segments. Walking
+its segments in order, a set signs the subset in each until what it has signed is worth more than its bound: a segment
+compared exactly is worth one difference, and one compared up to one deletion (the subset and every subset that lacks one
+shingle) is worth two. Of two similar sets the one with the shorter walk disagrees in fewer differences than it has signed,
+so some signature of theirs is equal. Empty segments are worth nothing and are not signed, so signatures carry shingles
+only. A set signs under its own band and, if its smallest partner lies there, under the band below. m and the kind of
+segment are chosen by cost for each band, with so many segments that a set short of them is not to be expected; should one
+turn up, its band is signed again with more.
+
+Sets with a common signature meet in a bucket and are compared with one of them, the pivot: the set that meets most
+others. Every comparison is exact, on the whole shingle sets. Components are merged, and what is left are pairs of which one, x,
+does not link with the pivot p. With E(x) the shingles in which x and p differ, |E(x)| + |E(y)| then exceeds what x and y
+may differ in, so x and y link only if E(x) and E(y) have shingles in common, at least half of the excess; in a fixed order of
+shingles it is enough to look at a prefix of each, no longer than the bound of x. These prefixes are the next, much smaller buckets. A large group of near
+copies thus costs a few comparisons a member, whether its members link or not, and no link between components is lost.
 
 Defined results: a null, empty or blank text has no shingle, links with nothing and is its own component; fewer words
 than ``n`` are one shingle; a null ``doc_id`` is an ordinary row, which has no smallest id to give; repeated rows are
-equal sets; an empty table gives an empty result.
+equal sets; an empty table gives an empty result; other columns of ``docs`` are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +35,14 @@ from pyspark.sql import functions as F
 from . import common
 
 KEPT_WORDS = 400_000
-ROUNDS = 2
-BUCKET = 24
-#: Bits of the parity sketch of sets of up to LARGE shingles, and of larger ones.
-SKETCH_BITS, LARGE, LARGE_BITS = 1024, 700, 8192
+#: Upper end of a size band over its lower end.
+BAND_WIDTH = 1.5
+#: Groups of at most this many sets are compared directly, without residual prefixes.
+DIRECT = 12
+#: Buckets whose open pairs are at most so many times their rows are compared directly as well.
+DIRECT_FACTOR = 8
+#: Rows of one pivot that share a copy of its shingles in a join.
+PIVOT_ROWS = 256
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -78,190 +82,212 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * |a and b| >= percent * |a or b| for sorted distinct arrays."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or 100 * len(a) < percent * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def set_name(s: np.ndarray) -> bytes:
+    """128 bits that name a shingle set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def _short_name(name: bytes) -> int:
+    """What Spark's ``xxhash64`` gives for ``name``."""
+    return int(np.uint64(xxhash.xxh64_intdigest(name, seed=42)).view(np.int64))
+
+
+def bound(s, t, percent: int):
+    """Shingles in which sets of sizes ``s`` and ``t`` may differ and still link."""
+    return (s + t) * (100 - percent) // (100 + percent)
 
 
 class Bands:
-    """Size bands and, for each, the scheme: m segments, the first ``n2`` with one-deletion neighbourhoods."""
+    """Size bands and, for each, its scheme: m segments, compared exactly or (``deep``) up to one deletion."""
 
-    def __init__(self, percent: int, largest: int):
-        self.percent, self.low, self.high, self.bound = percent, [], [], []
+    def __init__(self, percent: int, largest: int, sets: dict[int, int] | None = None):
+        self.percent = percent
+        low, high = [], []
         lo = 1
         while lo <= max(1, largest):
-            hi = lo * 100 // percent
-            self.low.append(lo)
-            self.high.append(hi)
-            both = hi + hi * 100 // percent
-            self.bound.append(both * (100 - percent) // (100 + percent))
-            lo = hi + 1
-        self.m = np.ones(len(self.low), np.int64)
-        self.n2 = np.zeros(len(self.low), np.int64)
+            low.append(lo)
+            high.append(max(lo, int(lo * BAND_WIDTH)))
+            lo = high[-1] + 1
+        self.low, self.high = np.array(low), np.array(high)
+        plans = [self._plan(b, (sets or {}).get(b, 0) + (sets or {}).get(b + 1, 0)) for b in range(len(low))]
+        self.m, self.deep = np.array([p[0] for p in plans], np.int64), np.array([p[1] for p in plans], bool)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.asarray(self.low), sizes, side="right") - 1
-
-    def allocate(self, documents: dict[int, int], spare: float = 0.1, related: float = 0.01, shared: float = 0.03) -> None:
-        """Cheapest scheme per band: signature rows plus expected candidates. Expects the part ``spare`` of a set's shingles
-        to be of little use, and a set to have the part ``shared`` of the others in common with the part ``related`` of the
-        band's sets; these collide in a segment that holds common shingles only. The assumptions only move the cost: any
-        scheme here finds every similar pair."""
-        for b, need in enumerate(self.bound):
-            size = (self.low[b] + self.high[b]) / 2 * (1 - spare)
-            others = related * (documents.get(b, 0) + documents.get(b + 1, 0))
-            best = None
-            for n2 in sorted({round((need + 1) / 2 * k / 16) for k in range(17)}):
-                m = self._segments(need, n2, size)
-                per = size / m
-                cost = m + n2 * per + others * m * math.exp(-per * (1 - shared)) * (1 - math.exp(-per * shared))
-                if best is None or cost < best[0]:
-                    best = (cost, m, n2)
-            _, self.m[b], self.n2[b] = best
-
-    @staticmethod
-    def _segments(need: int, n2: int, size: float) -> int:
-        """Fewest segments that outnumber the bound for nearly every set of this size without its empty ones."""
-        least = max(1, need + 1 - n2)
-        if need == 0:
-            return 1
-        for m in range(least, 2 * need + 4):
-            empty = math.exp(-size / m)
-            if (m + n2) * (1 - empty) - 2 * math.sqrt((m + 3 * n2) * empty) >= need + 1:
-                return m
-        return least
-
-
-#: ``at`` of a signature: scheme, segment, and whether it lacks a shingle.
-SCHEME, SEGMENT = 1 << 20, 1 << 19
-
-
-def signatures(sets: list[np.ndarray], ids: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set id, at) of all signatures of the sets."""
+        return np.searchsorted(self.low, sizes, side="right") - 1
+
+    def need(self, sizes: np.ndarray, band: np.ndarray, below: bool) -> np.ndarray:
+        """What a set has to sign: one more than it may differ in from any partner in the scheme."""
+        largest = self.high[band] if below else sizes * 100 // self.percent
+        return bound(sizes, largest, self.percent) + 1
+
+    def finer(self, band: int) -> None:
+        """More segments for a band in which a set was short of them."""
+        self.m[band], self.deep[band] = max(16, self.m[band] * 4), False
+
+    def _plan(self, b: int, others: int, related: float = 0.01) -> tuple[int, bool]:
+        """The cheaper of exact and one-deletion segments: rows that a set signs and sets it is expected to meet, if the part
+        ``related`` of the others have half of its shingles. The assumption moves the cost only: either finds every link."""
+        lo, hi = int(self.low[b]), int(self.high[b])
+        most = hi * 100 // self.percent
+        cases = [(s, int(bound(s, s * 100 // self.percent, self.percent)) + 1) for s in (lo, (lo + hi) // 2, hi)]
+        cases.append((most, int(bound(most, hi, self.percent)) + 1))
+        need = max(n for _, n in cases)
+        if need <= 1:
+            return 1, False
+        m = need
+        while any(_log_short(s, n, m) > -30 for s, n in cases):
+            m += 1 + m // 50
+        size = (lo + hi) / 2
+
+        def cost(segments: int, deep: bool) -> float:
+            per = size / segments
+            return (1 + size if deep else need) + others * related * segments * 0.5 ** max(0.0, per - deep)
+
+        # one segment up to one deletion is worth two for any set of two shingles; several could be short
+        return (1, True) if need <= 2 and cost(1, True) < cost(m, False) else (m, False)
+
+
+def _log_short(size: int, need: int, m: int) -> float:
+    """Log of a bound on the chance that fewer than ``need`` of m segments hold one of ``size`` shingles."""
+    k = need - 1
+    if k == 0:
+        return -math.inf
+    if m <= k:
+        return 0.0
+    return math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + size * math.log(k / m)
+
+
+def signatures(sets: list[np.ndarray], names: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """(key, name) of all signatures of the sets, and the bands in which a set was short of segments."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    own = bands.of(sizes)
     h = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), sizes)
-    keys, names, places = [], [], []
-    for down in (0, 1):
-        band = own - down
-        use = band >= 0
-        scheme = np.maximum(band, 0)
-        m = np.where(use, bands.m[scheme], 0)
-        first = np.cumsum(m) - m
+    own = bands.of(sizes)
+    below = bands.of(-(-sizes * bands.percent // 100))
+    keys, who, short = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], set()
+    for down, band in ((False, own), (True, below)):
+        need = bands.need(sizes, band, down)
+        use = (need > 1) & ((below < own) if down else True)  # without a difference to allow, only equal sets link
+        if not use.any():
+            continue
         keep = use[doc]
         hh, dd = h[keep], doc[keep]
-        salt = (band.astype(np.uint64) + np.uint64(1)) * C1
+        m = np.where(use, bands.m[band], 0)
+        first = np.cumsum(m) - m
         with np.errstate(over="ignore"):
-            dealt = _mix(hh ^ salt[dd])
-            slot = first[dd] + (dealt % m[dd].astype(np.uint64)).astype(np.int64)
+            salt = (band.astype(np.uint64) + np.uint64(1)) * C1
+            slot = first[dd] + ((_mix(hh ^ salt[dd]) >> np.uint64(11)).astype(np.int64) % m[dd])
             total = int(m.sum())
-            sums = np.zeros(total, np.uint64)
             part = _mix(hh + C3)
+            sums = np.zeros(total, np.uint64)
             np.add.at(sums, slot, part)
             count = np.bincount(slot, minlength=total)
-            slot_doc = np.repeat(np.arange(len(sets)), m)
-            slot_seg = np.arange(total) - first[slot_doc]
-            place = _mix(salt[slot_doc] + slot_seg.astype(np.uint64) * C2)
-            at = scheme[slot_doc] * SCHEME + slot_seg * 2
-            near = (slot_seg < bands.n2[scheme][slot_doc])[slot]
-            lacking = sums[slot][near] - part[near] + (count[slot][near] - 1).astype(np.uint64) * C1 + place[slot][near]
-            keys += [_mix(sums + count.astype(np.uint64) * C1 + place), _mix(lacking)]
-            names += [ids[slot_doc], ids[dd[near]]]
-            places += [at, at[slot][near] + 1]
-    return np.concatenate(keys).view(np.int64), np.concatenate(names), np.concatenate(places).astype(np.int32)
-
-
-def _texts(column) -> list[bytes]:
-    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
-
-
-def _sketch(s: np.ndarray) -> list[int]:
-    bits = SKETCH_BITS if len(s) <= LARGE else LARGE_BITS
-    parity = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64).tolist()
-
-
-def _may_link(percent: int):
-    """Sizes and sketches allow a link: bits that differ count shingles that differ, which a link bounds by the sizes.
-    Sketches of different lengths tell nothing."""
-    sizes = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
-    differ = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    alike = (F.size("sketch") != F.size("other_sketch")) | ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size")))
-    return sizes & alike
-
-
-def set_ids(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, text_hash, sid, size, sketch``: ``sid`` names the shingle set (null: none), equal for equal sets."""
-    common.small_batches(docs.sparkSession)
+            at = np.repeat(np.arange(len(sets)), m)
+            segment = np.arange(total) - first[at]
+            deep = bands.deep[band][at]
+            worth = np.minimum(count, 1 + deep)
+            before = np.cumsum(worth) - worth
+            walked = before - before[np.minimum(first, total - 1)][at]
+            signed = (worth > 0) & (walked < need[at])
+            worths = np.bincount(at, worth, minlength=len(sets))
+            short |= set(band[use & (worths < need)].tolist())
+            place = _mix(salt[at] + segment.astype(np.uint64) * C2)
+            keys.append(_mix(sums + count.astype(np.uint64) * C1 + place)[signed])
+            who.append(names[at[signed]])
+            lack = (signed & deep & (count >= 2))[slot]
+            keys.append(_mix(sums[slot][lack] - part[lack] + (count[slot][lack] - 1).astype(np.uint64) * C1 + place[slot][lack]))
+            who.append(names[dd[lack]])
+    return np.concatenate(keys).view(np.int64), np.concatenate(who), short
+
+
+def set_names(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, text_hash, name, size``: ``name`` (null: no shingle) is equal for equal sets."""
 
     def run(batches):
         for batch in batches:
-            sizes, names, sketches = [], [], []
-            for t in _texts(batch.column(1)):
+            sizes, names = [], []
+            for t in common.byte_texts(batch.column(1)):
                 s = shingles(t, n)
                 sizes.append(len(s))
-                names.append(int(_set_id(s)) if len(s) else None)
-                sketches.append(_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "sid", "size", "sketch"])
+                names.append(set_name(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "name", "size"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, sid long, size long, sketch array<long>")
-
-
-def _set_id(s: np.ndarray) -> np.int64:
-    with np.errstate(over="ignore"):
-        return _mix(np.atleast_1d(_mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) * C1)).view(np.int64)[0]
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, name binary, size long")
 
 
 def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """``key, short_name`` of all signatures. A null key marks a set that was short of segments, its band in ``short_name``."""
     shared = docs.sparkSession.sparkContext.broadcast(bands)
 
     def run(batches):
         bands = shared.value
-        done: set = set()  # each task signs a set once; copies of it add nothing
         for batch in batches:
-            sets, ids = [], []
-            for t in _texts(batch.column(0)):
-                s = shingles(t, n)
-                if len(s):
-                    i = int(_set_id(s))
-                    if i not in done:
-                        done.add(i)
-                        sets.append(s)
-                        ids.append(i)
-            if len(done) > 1_000_000:
-                done.clear()
-            if sets:
-                k, i, at = signatures(sets, np.asarray(ids, np.int64), bands)
-                for lo in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 100_000]), pa.array(i[lo : lo + 100_000]), pa.array(at[lo : lo + 100_000])], names=["key", "sid", "at"])
+            for lo in range(0, batch.num_rows, 256):
+                sets = [s for t in common.byte_texts(batch.column(0)[lo : lo + 256]) if len(s := shingles(t, n))]
+                if not sets:
+                    continue
+                k, names, short = signatures(sets, np.array([_short_name(set_name(s)) for s in sets], np.int64), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(names)], names=["key", "short_name"])
+                if short:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(sorted(short), pa.int64())], names=["key", "short_name"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, at int")
+    return docs.select("text").mapInArrow(run, "key long, short_name long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``: set ids) whose sets are similar. ``texts``: one ``sid, text`` per set."""
+def _tokens(texts: DataFrame, n: int) -> DataFrame:
+    """``sid, size, tokens``: the shingles of each ``sid, text`` as sorted 64-bit numbers."""
 
     def run(batches):
-        last, held = None, None
         for batch in batches:
-            a, b, ta, tb = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, held = a[i], shingles(ta[i].as_buffer().to_pybytes(), n)
-                keep.append(similar(held, shingles(tb[i].as_buffer().to_pybytes(), n), percent))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.int64()), pa.array([x for x, k in zip(b, keep) if k], pa.int64())], names=["a", "b"])
+            sets = [shingles(t, n) for t in common.byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "size", "tokens"])
+
+    return texts.select("sid", "text").mapInArrow(run, "sid long, size long, tokens binary")
 
-    t = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    t = t.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    return t.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarray, linked: bool, percent: int) -> np.ndarray:
+    """The prefix of the shingles in which ``y`` differs from its pivot ``p`` that a link across components has to touch. Order:
+    those that ``y`` adds, then those that it lacks, either by hash; the added ones tell most."""
+    differ = len(removed) + len(added)
+    most = int(bound(len(y), len(y) * 100 // percent, percent))
+    # the other set differs from p by at least `other`
+    other = max(0, differ - most)
+    if linked:  # then the other one does not link with p
+        other = max(other, int(bound(-(-len(y) * percent // 100), len(p), percent)) + 1)
+    length = (differ - other + most) // 2 + 1
+    return np.concatenate([added, removed])[: max(0, length)]
+
+
+def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool) -> DataFrame:
+    """``a, b, linked`` of every pair of set ids in ``pairs`` (``a, b``), by their whole shingle sets; with ``residuals`` also
+    the ``prefix`` of b's shingles against a. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
+
+    def run(batches):
+        last, p = None, None
+        for batch in batches:
+            a, own = batch.column(0).to_pylist(), batch.column(3)
+            linked, prefixes = [], []
+            for i in range(batch.num_rows):
+                if a[i] != last:
+                    last, p = a[i], np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).copy()
+                y = np.frombuffer(own[i].as_buffer(), np.uint64)
+                place = np.minimum(np.searchsorted(p, y), len(p) - 1)
+                there = p[place] == y
+                both = int(there.sum())
+                linked.append(100 * both >= percent * (len(p) + len(y) - both))
+                if residuals:
+                    lacking = np.ones(len(p), bool)
+                    lacking[place[there]] = False
+                    prefixes.append(_residual(p, y, p[lacking], y[~there], linked[-1], percent).view(np.int64))
+            out = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(prefixes, pa.list_(pa.int64()))] if residuals else out, names=["a", "b", "linked", "prefix"][: 4 if residuals else 3])
+
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"))
+    firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(lots, "a")
+    firsts = firsts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
+    t = dealt.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b")), "b").join(firsts.drop("lots"), ["a", "lot"])
+    return t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", prefix array<long>" if residuals else ""))
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
@@ -290,103 +316,152 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     return out
 
 
-def _useful(shared: DataFrame, bands: Bands) -> DataFrame:
-    """``key, sid, kind``: 0 in buckets of at most ``BUCKET`` sets; in larger ones 2 for the sets that need the signature and 1
-    for the others there. Two sets of kind 1 need not meet; larger buckets that nobody needs are left out."""
-    lookup = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("scheme") + 1)
-    big = shared.filter(F.col("n") > BUCKET).withColumn("scheme", F.floor(F.col("at") / SCHEME).cast("int")).withColumn("seg", F.floor(F.col("at") % SCHEME / 2).cast("int")).withColumn("exact", F.col("at") % 2 == 0)
-    segs = big.groupBy("sid", "scheme", "seg").agg(F.bool_or("exact").alias("exact"), F.max("n").alias("most"))
-    worth = F.when(F.col("exact"), F.when(F.col("seg") < lookup(bands.n2), 2).otherwise(1)).otherwise(1)
-    own = Window.partitionBy("sid", "scheme")
-    order = own.orderBy("most", "seg").rowsBetween(Window.unboundedPreceding, 0)
-    segs = segs.withColumn("worth", worth).withColumn("short", lookup(bands.bound) + 1 - (lookup(bands.m + bands.n2) - F.sum("worth").over(own)))
-    needed = segs.filter("short > 0").withColumn("before", F.sum("worth").over(order) - F.col("worth")).filter("before < short").select("sid", "scheme", "seg", F.lit(2).alias("need"))
-    big = big.join(needed, ["sid", "scheme", "seg"], "left").withColumn("kind", F.coalesce("need", F.lit(1)))
-    big = big.withColumn("top", F.max("kind").over(Window.partitionBy("key"))).filter("top = 2").select("key", "sid", "kind")
-    return shared.filter(F.col("n") <= BUCKET).select("key", "sid", F.lit(0).alias("kind")).unionByName(big)
-
-
-def _candidates(buckets: DataFrame, comp: DataFrame | None, nth: int) -> DataFrame:
-    """Members of each bucket against its pivot, where their components differ. ``buckets``: ``key, sid, kind, size``."""
-    rows = buckets if comp is None else buckets.join(comp, "sid", "left")
-    rows = rows.withColumn("comp", F.col("sid") if comp is None else F.coalesce("comp", "sid"))
-    key = Window.partitionBy("key")
-    pick = F.struct(F.when(F.col("kind") == 1, 1).otherwise(0).alias("weak"), F.xxhash64(F.lit(nth), "sid").alias("r"), F.col("sid"), F.col("comp"), F.col("size"), F.col("kind"))
-    return rows.withColumn("p", F.min(pick).over(key))
-
-
-def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, text_hash, sid, size`` of every row; ``sid, comp`` of the sets that link with another set)."""
-    named = common.materialize(set_ids(docs, n), "sets")
-    largest = named.agg(F.max("size")).first()[0]
-    bands = Bands(percent, largest or 0)
-    edges = F.array(*[F.lit(x) for x in bands.low])
+def distinct_sets(named: DataFrame) -> DataFrame:
+    """One row per distinct set: ``sid`` (a number), ``name, short_name, size, copies``, ``rep`` (its first row) and ``least_id``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    sets = named.filter("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), first.alias("rep"), F.min("doc_id").alias("least_id"))
+    return sets.select(F.monotonically_increasing_id().alias("sid"), "name", F.xxhash64("name").alias("short_name"), "size", "copies", "rep", "least_id")
+
+
+def _with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` (``key, sid``) of the keys that lie in several components, with ``comp``, the key's ``main`` component and its rows ``n``."""
+    rows = rows.withColumn("comp", F.col("sid")) if comp is None else rows.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("part"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("part", "comp")).alias("top"), F.sum("part").alias("n"), F.count(F.lit(1)).alias("parts"))
+    keys = keys.filter("parts > 1").select("key", F.col("top.comp").alias("main"), F.col("top.part").alias("main_n"), "n")
+    return rows.join(keys, "key")
+
+
+def _near(percent: int):
+    return 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+
+
+def _direct(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components with a common key: the rows outside a key's main component against all of its rows."""
+    other = rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("other_comp"), F.col("size").alias("other_size"))
+    outside = rows.filter(F.col("comp") != F.col("main"))
+    # of two rows outside, the one with the larger id brings the pair
+    both = outside.join(other, "key").filter((F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("sid") > F.col("a"))) & _near(percent))
+    return both.select(F.greatest("a", "sid").alias("a"), F.least("a", "sid").alias("b")).distinct()
+
+
+def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``doc_id, text_hash, name, size`` of every row; the distinct sets; ``sid, comp`` of the sets that link with another)."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    named = common.materialize(set_names(docs, n), "set-names")
+    sets = common.materialize(distinct_sets(named), "sets")
+    largest = sets.agg(F.max("size")).first()[0] or 0
+    bands = Bands(percent, largest)
+    edges = F.array(*[F.lit(int(x)) for x in bands.low])
     band = F.size(F.filter(edges, lambda x: x <= F.col("size"))) - 1
-    bands.allocate({r.band: r["count"] for r in named.filter("size > 0").groupBy(band.alias("band")).count().collect()})
-
-    # hashed by key once: the sets of a key are made distinct and counted where they are
-    signed = _sign(docs, n, bands).repartition(common.shuffle_partitions(docs.sparkSession), "key").groupBy("key", "sid").agg(F.min("at").alias("at"))
-    signed = signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    shared = common.materialize(signed, "shared-signatures")
-    del signed
-    common.forget_shuffles(docs.sparkSession)
-    buckets = _useful(shared, bands)
-    sizes = named.filter("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("sketch").alias("sketch"))
-    buckets = common.materialize(buckets.join(sizes.select("sid", "size"), "sid"), "buckets")
-    common.discard(shared)
-
-    # one text for each set that shares a signature
-    needed = sizes.join(buckets.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash")))
-    texts = common.materialize(texts.groupBy("sid").agg(F.first("text").alias("text")), "set-texts")
-
-    near = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
-    drawn = common.materialize(sizes.join(buckets.select("sid").distinct(), "sid", "left_semi").select("sid", "size", "sketch"), "sketches")
-
-    def ruled(pairs):
-        p = pairs.join(drawn.withColumnRenamed("sid", "b"), "b").join(drawn.select(F.col("sid").alias("a"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch")), "a")
-        return p.filter(_may_link(percent)).select("a", "b")
-
-    links, tested, comp, done = None, None, None, []
-    for nth in range(ROUNDS):
-        rows = _candidates(buckets, comp, nth).withColumn("other_size", F.col("p.size"))
-        pairs = rows.filter((F.col("comp") != F.col("p.comp")) & near & ~((F.col("kind") == 1) & (F.col("p.kind") == 1)))
-        pairs = pairs.select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.materialize(ruled(pairs), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        own = common.materialize(verify(pairs, texts, n, percent), "links")
-        done += [pairs, own]
-        links = own if links is None else links.unionByName(own)
-        common.discard(*([comp] if comp is not None else []))
-        comp = components(links)
-    # what is left: pairs of a bucket that lie in different components still
-    rows = buckets.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rows = rows.join(open_keys, "key", "left_semi")
-    other = rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("other_comp"), F.col("size").alias("other_size"), F.col("kind").alias("other_kind"))
-    pairs = rows.join(other, "key").filter((F.col("sid") > F.col("a")) & (F.col("comp") != F.col("other_comp")) & near & ~((F.col("kind") == 1) & (F.col("other_kind") == 1)))
-    pairs = pairs.select("a", F.col("sid").alias("b")).distinct()
-    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = common.materialize(ruled(pairs.join(both, ["a", "b"], "left_anti")), "pairs")
-    last = common.materialize(verify(pairs, texts, n, percent), "links")
-    before, comp = comp, components(links.unionByName(last))
-    common.discard(before, buckets, texts, drawn, pairs, last, *done)
-    common.forget_shuffles(docs.sparkSession)
-    return named, comp
+    bands = Bands(percent, largest, {r.band: r["count"] for r in sets.groupBy(band.alias("band")).count().collect()})
+
+    # every distinct set is signed once: the rows of other copies are left out
+    copies = named.join(sets.filter("copies > 1").select("name", "rep"), "name").filter((F.col("text_hash") != F.col("rep.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("rep.doc_id")))
+    copies = common.materialize(copies.select(F.col("doc_id").alias("copy_id"), F.col("text_hash").alias("copy_hash")).distinct(), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_hash"))
+    once = docs.join(common.broadcast_if_small(copies), same, "left_anti") if copies.limit(1).count() else docs
+    while True:
+        # hashed by key once: the sets of a key are made distinct and counted where they are
+        signed = _sign(once, n, bands).repartition(common.shuffle_partitions(spark), "key").groupBy("key", "short_name").agg(F.lit(1).alias("one"))
+        signed = signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1 or key is null")
+        shared = common.materialize(signed.select("key", "short_name", "n"), "shared-signatures")
+        short = [r.short_name for r in shared.filter("key is null").distinct().collect()]  # bands: a few dozen
+        if not short:
+            break
+        common.discard(shared)
+        for b in short:
+            bands.finer(b)
+    # sets whose short names collide meet as well
+    clash = sets.groupBy("short_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("short_name").alias("key"), "short_name", "n")
+    buckets = common.materialize(shared.unionByName(clash).join(sets.select("short_name", "sid", "size"), "short_name").select("key", "sid", "size", "n"), "buckets")
+    common.discard(shared, copies)
+
+    involved = buckets.select("sid").distinct().join(sets, "sid").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    involved = common.materialize(involved, "involved")
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash"))
+    texts = docs.join(common.broadcast_if_small(involved), is_rep).select("sid", "text")
+    tokens = common.materialize(_tokens(texts, n), "set-shingles")
+    if tokens.count() > involved.count():  # a representative row that is repeated
+        repeated, tokens = tokens, common.materialize(tokens.dropDuplicates(["sid"]), "set-shingles")
+        common.discard(repeated)
+    common.discard(involved)
+
+    # first round: all of a bucket against the set that meets most others
+    scores = buckets.groupBy("sid").agg(F.sum("n").alias("score"))
+    rows = buckets.join(scores, "sid")
+    links, comp, used = None, None, []
+    while True:
+        pivots = rows.groupBy("key").agg(F.max(F.struct("score", "sid")).alias("p"))
+        pairs = rows.join(pivots, "key").filter("sid <> p.sid").select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
+        pairs = common.materialize(pairs, "pairs")
+        found = common.materialize(compare(pairs, tokens, percent, True), "compared")
+        used += [pairs, found]
+        new = found.filter("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        before, comp = comp, components(links)
+        if before is not None:
+            common.discard(before)
+        # what is left lies in the groups of one pivot: small ones as they are, large ones by the prefixes of their residuals
+        group = found.select(F.col("a").alias("key"), F.col("b").alias("sid"), "prefix")
+        group = _with_components(group, comp).join(tokens.select("sid", "size"), "sid")
+        group = common.materialize(group, "groups")
+        used.append(group)
+        parts = group.filter(F.col("n") > DIRECT).select("sid", "size", "key", F.explode("prefix").alias("shingle"))
+        parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size").distinct()
+        parts = common.materialize(_with_components(parts, comp), "residual-buckets")
+        used.append(parts)
+        small = _direct(group.filter(F.col("n") <= DIRECT), percent)
+        few = F.col("n") <= DIRECT
+        state = parts.agg(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+        if not state.rows or state.pairs <= DIRECT_FACTOR * state.rows:
+            pairs = small.unionByName(_direct(parts, percent)).distinct()
+            last = True
+        else:
+            pairs = small.unionByName(_direct(parts.filter(few), percent)).distinct()
+            last = False
+        pairs = common.materialize(pairs, "pairs")
+        own = common.materialize(compare(pairs, tokens, percent, False), "compared")
+        used += [pairs, own]
+        links = links.unionByName(own.filter("linked").select("a", "b"))
+        before, comp = comp, components(links)
+        common.discard(before)
+        if last:
+            break
+        # larger residual buckets take another pivot each; it is in none of the next ones, so they shrink
+        rest = _with_components(parts.filter(~few).select("key", "sid", "size"), comp)
+        rows = common.materialize(rest.join(scores, "sid").select("key", "sid", "size", "score"), "open-buckets")
+        used.append(rows)
+        if not rows.limit(1).count():
+            break
+    common.discard(buckets, tokens, *used)
+    return named, sets, comp
+
+
+def classes(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """``name, label, smallest, keeper`` of the sets that have copies or links: the class's smallest ``doc_id`` and first row."""
+    s = sets.join(comp, "sid", "left").filter("copies > 1 or comp is not null").withColumn("label", F.coalesce("comp", "sid"))
+    s = s.select("name", "label", "least_id", "rep")
+    return s.join(s.groupBy("label").agg(F.min("least_id").alias("smallest"), F.min("rep").alias("keeper")), "label").select("name", "label", "smallest", "keeper")
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_shingles, component_id`` (smallest ``doc_id`` reachable by links)."""
-    named, comp = link(docs, n, percent)
-    named = named.drop("sketch")
-    rows = named.join(comp, "sid", "left").withColumn("label", F.coalesce("comp", "sid"))
-    smallest = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    rows = rows.join(smallest, "label", "left")
+    named, sets, comp = link(docs, n, percent)
+    rows = named.join(classes(sets, comp), "name", "left")
     return rows.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
+def copies_to_drop(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``copy_id, copy_hash`` (``doc_id`` and hash of the text) of all rows but one of every class of linked documents. A row that
+    is repeated as a whole is not told from its repetition: rows equal to the kept one are not listed."""
+    named, sets, comp = link(docs, n, percent)
+    rows = named.join(classes(sets, comp), "name")
+    rows = rows.filter((F.col("text_hash") != F.col("keeper.text_hash")) | ~F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")))
+    return common.materialize(rows.select(F.col("doc_id").alias("copy_id"), F.col("text_hash").alias("copy_hash")).distinct(), "copies-to-drop")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the component of every document."""
     return join(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -164,9 +164,7 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_total: int =
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added (columns of these names are replaced). Only ``text`` is read for
     the prediction; all columns pass through."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches):

@@ -117,7 +117,6 @@ def encode_text(text: str | None, table: _Words) -> bytes:
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the token files of ``docs`` (``doc_id, text``) to ``path``."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def segments(batches):
@@ -148,7 +147,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, seg
             yield image()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
+    with common.arrow_batches(spark, 500):
+        ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -185,7 +185,6 @@ def _read(spark, path: str, digest: bool) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
-    common.small_batches(spark)
     return based.mapInArrow(documents, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
