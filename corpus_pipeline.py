@@ -26,15 +26,13 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of five-word shingle sets with Jaccard 0.8 or more the document of smallest ``doc_id``.
-    Documents without words are no copies of each other and stay; so do rows without ``doc_id`` that have no partner with one."""
-    named = jaccard_join.join(docs, n=5, percent=80)
-    smallest = named.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("component_id").alias("keep_id")).agg(F.min("text_hash").alias("keep_hash"))
-    unnamed = named.filter(F.col("component_id").isNull()).select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
-    keep = smallest.unionByName(unnamed)
+    """Keeps one document, the first by ``doc_id`` (nulls last), of each component of five-word shingle sets with Jaccard 0.8 or
+    more. Documents without words are no copies of each other and stay; rows that repeat as a whole stay once; an empty table stays empty."""
+    copies = jaccard_join.copies_to_drop(docs, n=5, percent=80)
     rows = docs.select(*COLUMNS)
-    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64("text") == F.col("keep_hash")), "left_semi")
-    repeated = named.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
+    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_hash"))
+    rows = rows.join(common.broadcast_if_small(copies), same, "left_anti")
+    repeated = rows.groupBy("doc_id", F.xxhash64("text").alias("h")).count().filter("count > 1").limit(1).count()
     # whole rows that repeat; most corpora have none, and then the texts need not be dealt again
     return rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h") if repeated else rows
 
