@@ -20,17 +20,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 10
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEGMENT_BYTES = 4 << 20
-#: Test texts are broadcast in slices of at most this size; more slices mean more passes over the index.
-SLICE_BYTES = 32 << 20
-INDEX_SCHEMA = "doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
-MATCH_SCHEMA = "doc_id long, text_hash long, n_words long, spans array<struct<first:int,last:int>>, items array<long>, no_item boolean"
+#: Test windows are broadcast in slices of about so many (at most 44 bytes each in a worker); more slices mean more passes over the index.
+SLICE_WINDOWS = 1_000_000
+INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
+MATCH_SCHEMA = "segment long, ordinal int, doc_id long, text_hash long, n_words long, spans array<struct<first:int,last:int>>, items array<long>, no_item boolean"
 
 # every separator to a space, A-Z to a-z, all bytes of non-ASCII characters kept
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -46,7 +48,7 @@ class _Numbers(dict):
         return n
 
 
-def _segment(names: list, hashes: list, texts: list[bytes]) -> dict:
+def _segment(number: int, names: list, hashes: list, texts: list[bytes]) -> dict:
     numbers, stream, sizes = _Numbers(), [], []
     for t in texts:
         w = words(t)
@@ -59,16 +61,17 @@ def _segment(names: list, hashes: list, texts: list[bytes]) -> dict:
     heads = (np.cumsum(counts) - counts)[counts > 0]
     gaps[heads] = at[heads]
     planes = gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return {"doc_ids": [names], "text_hashes": [hashes], "n_words": [sizes], "terms": [list(numbers)], "counts": [counts.tolist()], "postings": [planes]}
+    return {"segment": [number], "doc_ids": [names], "text_hashes": [hashes], "n_words": [sizes], "terms": [list(numbers)], "counts": [counts.tolist()], "postings": [planes]}
 
 
-_INDEX_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+_INDEX_ARROW = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
 
 
 def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the index of ``docs`` (``doc_id, text``) to ``path``."""
     def segments(batches):
         names, hashes, texts, held = [], [], [], 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for name, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 names.append(name)
@@ -76,30 +79,33 @@ def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
                 texts.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 held += len(texts[-1])
                 if held >= segment_bytes:
-                    yield pa.RecordBatch.from_pydict(_segment(names, hashes, texts), schema=_INDEX_ARROW)
+                    yield pa.RecordBatch.from_pydict(_segment(number, names, hashes, texts), schema=_INDEX_ARROW)
+                    number += 1
                     names, hashes, texts, held = [], [], [], 0
         if names:
-            yield pa.RecordBatch.from_pydict(_segment(names, hashes, texts), schema=_INDEX_ARROW)
+            yield pa.RecordBatch.from_pydict(_segment(number, names, hashes, texts), schema=_INDEX_ARROW)
 
     with common.arrow_batches(docs.sparkSession, 500):
         docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(segments, INDEX_SCHEMA).write.parquet(path)
 
 
 class _Windows:
-    """Windows of a bounded slice of test items, grouped by length, terms as numbers."""
+    """Windows of a bounded slice of test items, grouped by length: terms as numbers, and the place of their item in ``items``."""
 
     def __init__(self, items: list[tuple], window: int):
         numbers = _Numbers()
         by_length: dict[int, tuple[list, list]] = {}
-        for item, text in items:
-            w = [numbers[x] for x in words((text or "").encode())]
+        self.items = [item for item, _ in items]
+        for place, (_, text) in enumerate(items):
+            w = np.array([numbers[x] for x in words((text or "").encode())], np.int32)
             size = min(window, len(w))
-            for i in range(len(w) - size + 1 if size else 0):
+            if size:
+                grid = np.lib.stride_tricks.sliding_window_view(w, size)
                 terms, owners = by_length.setdefault(size, ([], []))
-                terms.append(w[i : i + size])
-                owners.append(item)
+                terms.append(grid)
+                owners.append(np.full(len(grid), place, np.int32))
         self.terms = list(numbers)
-        self.groups = [(np.array(t, np.int64), o) for t, o in by_length.values()]
+        self.groups = [(np.concatenate(t), np.concatenate(o)) for t, o in by_length.values()]
         self.rarity = np.zeros(len(self.terms), np.int64)
 
 
@@ -141,20 +147,20 @@ def _search(row: dict, wanted: _Windows, terms: pa.Array, slop: int):
                 if not len(start):
                     break
             if start is not None and len(start):
-                yield start, size, owners[i]
+                yield start, size, wanted.items[owners[i]]
 
 
-def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """One row per document and slice of the test set: ``doc_id, text_hash, n_words, spans`` (the word ranges hit, merged),
+def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+    """One row per document row: ``segment, ordinal`` (its place in the index), ``doc_id, text_hash, n_words, spans`` (the word ranges hit),
     ``items`` (ids with a match) and ``no_item`` (a match of an item without id). ``slop`` counts the words a term may be
     off its place. ``index`` is the table that ``build_index`` wrote."""
     spark = index.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // slice_bytes))
+    size = benchmark.agg(F.sum(F.regexp_count(common.ascii_lower(F.col("text")), F.lit(WORD)))).first()[0] or 0
+    slices = max(1, -(-size // slice_windows))
     out = None
     for k in range(slices):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text")
-        wanted = _Windows([tuple(r) for r in part.collect()], window)  # at most about slice_bytes of text
+        wanted = _Windows([tuple(r) for r in part.collect()], window)  # about slice_windows words
         terms = spark.createDataFrame(list(enumerate(wanted.terms)), "n int, term binary")
         used = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").cast("long").alias("count"))
         for r in used.join(F.broadcast(terms), "term").groupBy("n").agg(F.sum("count").alias("count")).collect():
@@ -165,18 +171,20 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
             w = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = {n: batch.column(n)[i] for n in ("doc_ids", "text_hashes", "n_words", "counts", "postings")}
+                    row = {n: batch.column(n)[i] for n in ("segment", "doc_ids", "text_hashes", "n_words", "counts", "postings")}
                     row = {n: (v.as_py() if n != "counts" else v.values.to_numpy()) for n, v in row.items()}
                     yield _documents(row, w, batch.column("terms")[i].values, slop)
 
         own = index.mapInArrow(run, MATCH_SCHEMA)
         out = own if out is None else out.unionByName(own)
     if slices > 1:
-        out = out.groupBy("doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.bool_or("no_item").alias("no_item"))
+        # a row of each slice for every place in the index; repeated documents have places of their own
+        same = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words")]
+        out = out.groupBy("segment", "ordinal").agg(*same, F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.bool_or("no_item").alias("no_item"))
     return out
 
 
-_MATCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.int64())), ("no_item", pa.bool_())])
+_MATCH_ARROW = pa.schema([("segment", pa.int64()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.int64())), ("no_item", pa.bool_())])
 
 
 def _documents(row: dict, wanted: _Windows, terms: pa.Array, slop: int) -> pa.RecordBatch:
@@ -202,17 +210,17 @@ def _documents(row: dict, wanted: _Windows, terms: pa.Array, slop: int) -> pa.Re
                 spans[d].append({"first": a - int(begins[d]), "last": upto - int(begins[d])})
             a, d = max(a, upto), d + 1
     found = [items.get(d, set()) for d in range(len(sizes))]
-    data = [row["doc_ids"], row["text_hashes"], sizes.tolist(), spans, [sorted(x for x in f if x is not None) for f in found], [None in f for f in found]]
+    data = [[row["segment"]] * len(sizes), list(range(len(sizes))), row["doc_ids"], row["text_hashes"], sizes.tolist(), spans, [sorted(x for x in f if x is not None) for f in found], [None in f for f in found]]
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(data, _MATCH_ARROW)], schema=_MATCH_ARROW)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """Builds the index of ``docs`` in the shared folder, matches ``benchmark`` against it and deletes it."""
     spark = docs.sparkSession
     path = common.scratch_path(spark, "postings")
     build_index(docs, path)
     with common.arrow_batches(spark, 4):
-        found = common.materialize(matches(spark.read.schema(INDEX_SCHEMA).parquet(path), benchmark, window, slop), "matches")
+        found = common.materialize(matches(spark.read.schema(INDEX_SCHEMA).parquet(path), benchmark, window, slop, slice_windows), "matches")
     common.delete_path(spark, path)
     return found
 
