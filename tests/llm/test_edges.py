@@ -43,12 +43,36 @@ def test_mixing(odd, none):
     for r in rows.values():
         per.setdefault(r.source, [r.target, 0])[1] += sum(t.words for t in r.takes)
     assert all(abs(t - w) <= 1 for t, w in per.values())
-    assert mixing.allocate(none).count() == 0 and mixing.mix(none).count() == 0
+    assert mixing.allocate(none).count() == 0 and mixing.mix(none)[1].count() == 0
 
 
 def test_splitting_tree_is_exact():
-    t = mixing.splitting_tree([7, 0, 1000], 5, 3)
-    assert t.sum(axis=1).tolist() == [7, 0, 1000] and max(t.sum(axis=0)) - min(t.sum(axis=0)) <= 3
+    totals = mixing.even_totals(1007, 5)
+    t = mixing.splitting_tree([7, 0, 1000], totals, [3])
+    assert t.sum(axis=1).tolist() == [7, 0, 1000] and t.sum(axis=0).tolist() == totals.tolist() and max(totals) - min(totals) <= 3
+
+
+def test_mixture_shards_hold_the_tree_s_quotas(spark):
+    """Groups of two sources, so that the tree has two levels; every shard's blocks come from the written files."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 90)), None if i % 7 == 6 else f"s{i % 7}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    planned, mixture = mixing.mix(docs, group_sources=2)
+    got = mixture.toPandas()
+    targets = {r.source: (r.source_size, r.target) for r in planned.collect()}
+    assert len(targets) == 7 and sum(t for _, t in targets.values()) == pytest.approx(1.5 * sum(s for s, _ in targets.values()))
+    assert all(t <= 2 * s for s, t in targets.values())
+    for source, part in got.groupby(got.source.fillna("null")):
+        assert abs(part.words.sum() - targets[None if source == "null" else source][1]) <= 1
+    assert set(got.shard) <= set(range(24)) and (got.groupby(["row", "pass"]).size() == 1).all() and (got.words <= got["size"]).all()
+
+
+def test_many_sources_have_no_limit(spark):
+    """More sources than a group holds, most of one row."""
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    planned, mixture = mixing.mix(docs)
+    words = {r.source: r.w for r in mixture.groupBy("source").agg(F.sum("words").alias("w")).collect()}
+    rows = planned.collect()
+    assert len(rows) == 9_000 and all(abs(words.get(r.source, 0) - r.target) <= 1 for r in rows)
 
 
 def test_language_id(odd, none):
@@ -99,6 +123,10 @@ def test_decontamination(spark, odd, none):
     near = {r.doc_id: r["items"] for r in decontamination.scan(odd, spark.createDataFrame([(9, "twice row of words")], "item_id long, text string"), slop=2).collect()}
     assert near[8] == [9] and near[1] == []
     assert decontamination.scan(none, bench).count() == 0
+    # one window a slice, so that every row is met in several slices: the repeated row stays two rows
+    key = lambda r: (str(r.doc_id), r.n_words, r.hit, sorted(r["items"]))
+    whole, sliced = (sorted(map(key, decontamination.scan(odd, bench, slice_windows=n).withColumn("hit", decontamination.n_hit()).collect())) for n in (10**6, 1))
+    assert sliced == whole and len(sliced) == 11
     assert decontamination.scan(odd, bench.limit(0)).filter(F.size("spans") > 0).count() == 0
 
 
@@ -108,26 +136,6 @@ def test_jaccard_join(odd, none):
     assert jaccard_join.join(none).count() == 0
 
 
-def test_signatures_find_every_link():
-    rng = np.random.default_rng(5)
-    for size in (6, 30, 150):
-        sets = []
-        for _ in range(6):
-            core = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-            for _ in range(5):
-                keep = rng.permutation(len(core))[rng.integers(0, max(2, size // 9)) :]
-                sets.append(np.unique(np.concatenate([core[keep], rng.integers(0, 1 << 63, rng.integers(0, max(2, size // 12))).astype(np.uint64)])))
-        bands = jaccard_join.Bands(85, max(map(len, sets)))
-        bands.allocate({b: 10**6 for b in range(len(bands.low))})
-        key, who, _ = jaccard_join.signatures(sets, np.arange(len(sets)), bands)
-        holders: dict = {}
-        for k, w in zip(key.tolist(), who.tolist()):
-            holders.setdefault(k, set()).add(w)
-        met = {(a, b) for h in holders.values() for a in h for b in h if a < b}
-        for a in range(len(sets)):
-            for b in range(a + 1, len(sets)):
-                assert (a, b) in met or not jaccard_join.similar(sets[a], sets[b], 85)
-
 
 def test_neighbours(spark):
     schema = "vec_id long, embedding array<float>, score string"
