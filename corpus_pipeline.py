@@ -27,7 +27,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the first by ``doc_id`` (nulls last), of each component of five-word shingle sets with Jaccard 0.8 or
-    more. Documents without words are no copies of each other and stay; rows that repeat as a whole stay once; an empty table stays empty."""
+    more. Documents without words are no copies of each other and stay; rows that repeat as a whole stay
+    once; an empty table stays empty."""
     copies = jaccard_join.copies_to_drop(docs, n=5, percent=80)
     rows = docs.select(*COLUMNS)
     same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_hash"))
@@ -46,17 +47,20 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each time a document is taken; the document a quota ends in is cut after its last taken word."""
-    taken = mixing.allocate(docs).groupBy("doc_id", "text_hash", "source").agg(F.flatten(F.collect_list("takes")).alias("takes"), F.first("size").alias("size"))
-    taken = taken.select(F.col("doc_id").alias("t_id"), "text_hash", F.col("source").alias("t_source"), "size", F.explode("takes").alias("t"))
+    """The mixture, read back from its shards: a row for each time a document is taken, in the order of shard and shuffle key; the
+    document a quota ends in is cut after its last taken word. Rows of null or blank text have no words and are never taken; a null
+    ``doc_id`` or source is an ordinary value; a row that repeats is taken as often as its copies together; an empty table stays empty."""
+    _, mixture = mixing.mix(docs)
+    taken = mixture.select(F.col("doc_id").alias("t_id"), "text_hash", F.col("source").alias("t_source"), "size", "words", "shard", "shuffle_key")
     rows = docs.select(*COLUMNS).withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
     key = ["doc_id", "h", "source"]
     if rows.groupBy(*key).count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(key)  # a row that repeats is taken as often as its copies together
+        rows = rows.dropDuplicates(key)
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("text_hash")) & F.col("source").eqNullSafe(F.col("t_source"))
     rows = rows.join(taken, same)
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("t.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("t.words").cast("int")), " ")).otherwise(F.col("text"))
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.repartitionByRange(common.shuffle_partitions(spark), "shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")
     return rows.select("doc_id", text.alias("text"), "lang", "source", "n_chars").withColumn("n_chars", F.length("text").cast("long"))
 
 
