@@ -48,7 +48,7 @@ def canonical(df):
     import math
 
     def cell(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT") or v != v:
             return "null"
         if isinstance(v, bool) or str(v) in ("True", "False"):
             return str(bool(v))
