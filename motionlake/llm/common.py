@@ -82,6 +82,18 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, so that workers hold few whole texts at once. Results that are
+    not written yet are planned by the caller, so the limit stays; it bounds memory and changes no result."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def byte_texts(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null: empty."""
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]

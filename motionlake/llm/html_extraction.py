@@ -178,6 +178,7 @@ def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFram
 
 def extract_pages(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages`` (``page_id, url, html``)."""
+    common.bound_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     rules = common.materialize(wrappers(pages, pages_per_host), "wrappers")

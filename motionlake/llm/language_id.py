@@ -1,14 +1,15 @@
 """Language identification by prediction by partial matching (PPM).
 
-One byte context tree per language, orders 0 to 3, with escape method C and full exclusion: a symbol that a context has
-not seen costs the context's escape probability and is then coded by the next shorter context among the symbols that
-remain. The statistics are frozen after training, so a symbol's exact code length depends only on the three bytes before
-it and the trees compile to flat tables; a text's code length in each language is a sum of table entries. The language
+One byte context tree per language, orders 0 to 3 over all 256 bytes, with escape method C and full exclusion: a symbol that
+a context has not seen costs the context's escape probability and is then coded by the next shorter context among the
+symbols that remain. The statistics are frozen after training, so a symbol's exact code length depends only on the three
+bytes before it. A tree is kept as sorted sparse tables, for each order the grams it has seen with their code lengths and
+the contexts with what an escape from them costs, so its size follows the training sample. The language
 with the shortest code wins; the score is its posterior under equal priors.
 
 Training reads a bounded sample: about ``sample_bytes`` of text per language (at most ``sample_total`` in all), drawn
-by a hash of ``doc_id`` from the rows that may be learned from, documents of at most ``max_doc_bytes`` only. Prediction
-reads every whole text.
+by a hash of ``doc_id`` from the rows that may be learned from, documents of at most ``max_doc_bytes`` only; the trees that are
+broadcast hold at most four grams of 12 bytes and as many contexts for each byte of it. Prediction reads every whole text.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or when nothing could be learned; ties go
 to the language first in code point order; a null ``doc_id`` is predicted but not learned from; repeated rows are
@@ -29,20 +30,64 @@ ORDER = 3
 SAMPLE_BYTES = 600_000
 SAMPLE_TOTAL = 16_000_000
 MAX_DOC_BYTES = 64_000
-MAX_SYMBOLS = 160
-MIN_CONTEXT = 8
 UNDETERMINED = "und"
 PAD = b"   "
-SLICE = 1 << 19
+#: Bytes of text looked up at once.
+SLICE = 1 << 21
+
+
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The four-byte gram that ends at every byte of the texts, as a number, and where each text's grams begin."""
+    raw = np.frombuffer(b"".join([PAD + t for t in texts]), np.uint8).astype(np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    code = (raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]) if len(raw) > 3 else np.empty(0, np.uint32)
+    own = np.ones(len(raw), bool)
+    heads = np.cumsum(sizes + len(PAD)) - sizes - len(PAD)
+    for i in range(len(PAD)):
+        own[heads + i] = False
+    return code[own[3:]], np.cumsum(sizes) - sizes
+
+
+class Tree:
+    """The context tree of one language: for each order the sorted ``grams`` with their ``bits``, the sorted ``contexts`` and what an ``escape`` costs."""
+
+    def __init__(self, texts: list[bytes]):
+        codes, _ = _grams(texts)
+        self.grams, self.bits, self.contexts, self.escape = [], [], [], []
+        for order in range(ORDER + 1):
+            own, count = np.unique(codes & np.uint32((1 << 8 * (order + 1)) - 1), return_counts=True)
+            contexts, at = np.unique(own >> np.uint32(8), return_inverse=True)
+            total, kinds = np.bincount(at, count), np.bincount(at)
+            shorter = np.exp2(-self.lengths(own, order - 1))
+            rest = np.maximum(1 - np.bincount(at, shorter), 1e-12)  # of the shorter context's probability: what is not seen here
+            escapes = kinds < 256  # else nothing is left to escape to
+            room = total + np.where(escapes, kinds, 0)
+            self.grams.append(own)
+            self.bits.append(-np.log2(count / room[at]))
+            self.contexts.append(contexts)
+            self.escape.append(np.where(escapes, -np.log2(kinds / room / rest), 0.0))
+
+    def lengths(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Code length in bits of the last byte of each gram after the ``order`` bytes before it."""
+        if order < 0:
+            return np.full(len(codes), 8.0)
+        own = codes & np.uint32((1 << 8 * (order + 1)) - 1)
+        grams, contexts = self.grams[order], self.contexts[order]
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        out = self.bits[order][at]
+        miss = np.flatnonzero(grams[at] != own)
+        if len(miss):
+            context = own[miss] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            out[miss] = np.where(contexts[at] == context, self.escape[order][at], 0.0) + self.lengths(own[miss], order - 1)
+        return out
 
 
 class Model:
-    """Compiled trees. ``symbol``: byte to symbol, 0 for bytes that training never saw. ``state``: three symbols to the
-    longest kept context. ``bits``: context and symbol to the code length in each language."""
+    """The trees of all languages."""
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, state: np.ndarray, bits: np.ndarray):
-        self.languages, self.symbol, self.state, self.bits = languages, symbol, state, bits
-        self.n = int(symbol.max()) + 1
+    def __init__(self, languages: list[str], trees: list[Tree]):
+        self.languages, self.trees = languages, trees
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of every text in every language."""
@@ -56,94 +101,19 @@ class Model:
         return out
 
     def _slice(self, texts: list[bytes]) -> np.ndarray:
-        n = self.n
-        raw = np.frombuffer(b"".join([PAD + t for t in texts]) + PAD, np.uint8)
-        sizes = np.asarray([len(t) for t in texts], np.int64)
-        s = self.symbol[raw]
-        at = self.state[(s[:-3] * n + s[1:-2]) * n + s[2:-1]] * n + s[3:]
-        first = np.concatenate([[0], np.cumsum(sizes + len(PAD))[:-1]])
-        bits = self.bits[at]
-        sums = np.add.reduceat(bits, np.stack([first, np.minimum(first + sizes, len(bits) - 1)], axis=1).ravel(), axis=0, dtype=np.float64)[::2]
-        return np.where(sizes[:, None] > 0, sums, 0.0)
-
-
-def _grams(texts: list[bytes], symbol: np.ndarray, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order the distinct (context, symbol) codes and their counts; symbol 0 is never counted as seen."""
-    raw = np.frombuffer(b"".join([PAD + t for t in texts]), np.uint8)
-    own = np.ones(len(raw), bool)
-    at = 0
-    for t in texts:
-        own[at : at + len(PAD)] = False
-        at += len(PAD) + len(t)
-    s = symbol[raw]
-    found, code = {}, np.zeros(len(s) - 3, np.int64)
-    usable = own[3:] & (s[3:] > 0)
-    scale = n
-    code = s[3:].copy()
-    for order in range(ORDER + 1):
-        if order:
-            code = code + s[3 - order : len(s) - order] * scale
-            scale *= n
-        found[order] = np.unique(code[usable], return_counts=True)
-    return found
-
-
-def compile_model(samples: dict[str, list[bytes]], min_context: int = MIN_CONTEXT) -> Model:
+        codes, first = _grams(texts)
+        filled = np.array([len(t) > 0 for t in texts])
+        out = np.zeros((len(texts), len(self.trees)))
+        if len(codes):
+            distinct, at = np.unique(codes, return_inverse=True)  # natural text repeats its grams
+            for k, tree in enumerate(self.trees):
+                out[filled, k] = np.add.reduceat(tree.lengths(distinct)[at], first[filled])
+        return out
+
+
+def compile_model(samples: dict[str, list[bytes]]) -> Model:
     languages = sorted(k for k, v in samples.items() if any(v))
-    if not languages:
-        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    seen = sum(np.bincount(np.frombuffer(b"".join(samples[k]) + PAD, np.uint8), minlength=256) for k in languages)
-    kept = np.sort(np.argsort(-seen, kind="stable")[: min(MAX_SYMBOLS - 1, int((seen > 0).sum()))])
-    symbol = np.zeros(256, np.int64)
-    symbol[kept] = np.arange(1, len(kept) + 1)
-    n = len(kept) + 1
-    unseen = 256 - len(kept)  # bytes that symbol 0 stands for, each with the probability of its column
-    weight = np.ones(n)
-    weight[0] = unseen
-    grams = {k: _grams(samples[k], symbol, n) for k in languages}
-
-    # contexts of all languages, by order; those of full order only where some language saw them often
-    contexts = {0: np.zeros(1, np.int64)}
-    for order in range(1, ORDER + 1):
-        all_of = []
-        for k in languages:
-            codes, counts = grams[k][order]
-            ctx, where = np.unique(codes // n, return_inverse=True)
-            total = np.bincount(where, counts)
-            all_of.append(ctx[total >= (min_context if order == ORDER else 1)])
-        contexts[order] = np.unique(np.concatenate(all_of))
-
-    tables = []
-    for k in languages:
-        lower, lower_ctx = np.full((1, n), 1 / 256), np.zeros(1, np.int64)
-        rows = []
-        for order in range(ORDER + 1):
-            own = contexts[order]
-            base = lower[np.searchsorted(lower_ctx, own % n ** max(0, order - 1))] if order else lower
-            count = np.zeros((len(own), n))
-            codes, counts = grams[k][order]
-            where = np.searchsorted(own, codes // n)
-            if len(own):
-                ok = (where < len(own)) & (own[np.minimum(where, len(own) - 1)] == codes // n)
-                count[where[ok], codes[ok] % n] = counts[ok]
-            n_seen, total = (count > 0).sum(axis=1, keepdims=True), count.sum(axis=1, keepdims=True)
-            rest = ((base * weight) * (count == 0)).sum(axis=1, keepdims=True)
-            every = rest <= 1e-12  # all symbols seen: nothing to escape to
-            escape = np.where(every, 0, n_seen / np.maximum(1, total + n_seen))
-            p = np.where(count > 0, count / np.maximum(1, total + np.where(every, 0, n_seen)), escape * base / np.maximum(rest, 1e-12))
-            p = np.where(total > 0, p, base)
-            rows.append(p)
-            lower, lower_ctx = p, own
-        tables.append(-np.log2(np.maximum(np.concatenate(rows), 1e-30)))
-    bits = np.stack(tables, axis=-1).astype(np.float32)
-
-    first = np.cumsum([0, *[len(contexts[o]) for o in range(ORDER + 1)]])
-    state = np.zeros(1, np.int32)
-    for order in range(1, ORDER + 1):
-        shorter = np.tile(state, n)  # the context without its oldest symbol
-        shorter[contexts[order]] = first[order] + np.arange(len(contexts[order]))
-        state = shorter.astype(np.int32)
-    return Model(languages, symbol, state, bits.reshape(-1, len(languages)))
+    return Model(languages, [Tree(samples[k]) for k in languages])
 
 
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_total: int = SAMPLE_TOTAL, max_doc_bytes: int = MAX_DOC_BYTES) -> Model:
@@ -164,7 +134,9 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_total: int =
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added (columns of these names are replaced). Only ``text`` is read for
     the prediction; all columns pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    common.bound_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches):

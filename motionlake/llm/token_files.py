@@ -185,6 +185,7 @@ def _read(spark, path: str, digest: bool) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
+    common.bound_batches(spark)
     return based.mapInArrow(documents, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 

@@ -81,10 +81,42 @@ def test_language_id(odd, none):
     assert {(3, "und"), (4, "und"), (5, "und"), (9, "und")} <= got and (None, "en") in got
     assert language_id.predict(none, language_id.train(none)).count() == 0
     assert {r.lang_pred for r in language_id.predict(odd, language_id.train(none)).collect()} == {"und"}
-    exact = np.exp2(-model.bits.reshape(-1, model.n, 2).astype(float))
-    weight = np.ones(model.n)
-    weight[0] = 256 - (model.n - 1)
-    assert np.allclose((exact * weight[None, :, None]).sum(axis=1), 1, atol=1e-5)
+
+
+def plain_ppm(training: list[bytes], text: bytes) -> float:
+    """Code length of a text by the textbook rule: from the longest context down, escape method C, seen symbols excluded."""
+    counts: dict = {}
+    for t in training:
+        padded = b"   " + t
+        for i in range(3, len(padded)):
+            for order in range(4):
+                counts.setdefault(padded[i - order : i], {}).setdefault(padded[i], 0)
+                counts[padded[i - order : i]][padded[i]] += 1
+
+    def probability(symbol: int, context: bytes, order: int) -> float:
+        if order < 0:
+            return 1 / 256
+        context = context[len(context) - order :]
+        seen = counts.get(context)
+        if not seen:
+            return probability(symbol, context, order - 1)
+        total, kinds = sum(seen.values()), len(seen)
+        if symbol in seen:
+            return seen[symbol] / (total + kinds if kinds < 256 else total)
+        rest = sum(probability(x, context, order - 1) for x in range(256) if x not in seen)
+        return kinds / (total + kinds) * probability(symbol, context, order - 1) / rest
+
+    padded = b"   " + text
+    return sum(-np.log2(probability(padded[i], padded[i - 3 : i], 3)) for i in range(3, len(padded)))
+
+
+def test_language_id_gives_exact_code_lengths():
+    """All 256 bytes, rare contexts and unseen bytes, against a plain PPM."""
+    training = {"aa": [b"the cat sat on the mat", b"", bytes(range(256))], "bb": ["le chat \u00e9tait assis, \u4e2d\u6587".encode()], "cc": [b"x" * 40]}
+    texts = [b"", b"the chat", "\u4e2d\u00e9 \u0416".encode(), bytes([0, 255, 7]), b"xxxxxxy"]
+    model = language_id.compile_model(training)
+    want = [[plain_ppm(training[k], t) for k in model.languages] for t in texts]
+    assert np.allclose(model.lengths(texts), want, atol=1e-6)
 
 
 def test_line_dedup(odd, none):
