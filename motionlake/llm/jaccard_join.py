@@ -37,10 +37,10 @@ from . import common
 KEPT_WORDS = 400_000
 #: Upper end of a size band over its lower end.
 BAND_WIDTH = 1.5
-#: Groups of at most this many sets are compared directly, without residual prefixes.
+#: Groups of one pivot with at most this many sets are compared directly, without residual prefixes.
 DIRECT = 12
-#: Buckets whose open pairs are at most so many times their rows are compared directly as well.
-DIRECT_FACTOR = 8
+#: Buckets of equal residual shingles with more sets than this get pivots of their own.
+DIRECT_RESIDUAL = 256
 #: Rows of one pivot that share a copy of its shingles in a join.
 PIVOT_ROWS = 256
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -260,13 +260,13 @@ def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarr
 
 def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool) -> DataFrame:
     """``a, b, linked`` of every pair of set ids in ``pairs`` (``a, b``), by their whole shingle sets; with ``residuals`` also
-    the ``prefix`` of b's shingles against a. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
+    ``differ``, the number of shingles in which they differ, and the ``prefix`` of these. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
 
     def run(batches):
         last, p = None, None
         for batch in batches:
             a, own = batch.column(0).to_pylist(), batch.column(3)
-            linked, prefixes = [], []
+            linked, differ, prefixes = [], [], []
             for i in range(batch.num_rows):
                 if a[i] != last:
                     last, p = a[i], np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).copy()
@@ -278,16 +278,19 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
                 if residuals:
                     lacking = np.ones(len(p), bool)
                     lacking[place[there]] = False
+                    differ.append(len(p) + len(y) - 2 * both)
                     prefixes.append(_residual(p, y, p[lacking], y[~there], linked[-1], percent).view(np.int64))
             out = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(prefixes, pa.list_(pa.int64()))] if residuals else out, names=["a", "b", "linked", "prefix"][: 4 if residuals else 3])
+            if residuals:
+                out += [pa.array(differ, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "differ", "prefix"][: len(out)])
 
     lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"))
     firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(lots, "a")
     firsts = firsts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
     t = dealt.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b")), "b").join(firsts.drop("lots"), ["a", "lot"])
-    return t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", prefix array<long>" if residuals else ""))
+    return t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
@@ -336,18 +339,27 @@ def _near(percent: int):
     return 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
 
 
-def _direct(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components with a common key: the rows outside a key's main component against all of its rows."""
-    other = rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("other_comp"), F.col("size").alias("other_size"))
+def _direct(rows: DataFrame, percent: int, placed: bool) -> DataFrame:
+    """Pairs ``a, b`` of different components with a common key: the rows outside a key's main component against all of its rows.
+    ``placed``: the key is a shingle at place ``at`` of the ``differ`` in which a set differs from its pivot; the first that a linked
+    pair has in common has so many common ones after it that it stands early in both."""
+    mark = ["at", "differ"] if placed else []
+    other = rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("other_comp"), F.col("size").alias("other_size"), *[F.col(m).alias(f"other_{m}") for m in mark])
     outside = rows.filter(F.col("comp") != F.col("main"))
     # of two rows outside, the one with the larger id brings the pair
-    both = outside.join(other, "key").filter((F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("sid") > F.col("a"))) & _near(percent))
+    keep = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("sid") > F.col("a"))) & _near(percent)
+    if placed:
+        most = F.floor((F.col("size") + F.col("other_size")) * (100 - percent) / (100 + percent))
+        common_ones = F.ceil((F.col("differ") + F.col("other_differ") - most) / 2)
+        keep &= (F.col("at") <= F.col("differ") - common_ones) & (F.col("other_at") <= F.col("other_differ") - common_ones)
+    both = outside.join(other, "key").filter(keep)
     return both.select(F.greatest("a", "sid").alias("a"), F.least("a", "sid").alias("b")).distinct()
 
 
 def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(``doc_id, text_hash, name, size`` of every row; the distinct sets; ``sid, comp`` of the sets that link with another)."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     docs = docs.select("doc_id", "text")
     named = common.materialize(set_names(docs, n), "set-names")
     sets = common.materialize(distinct_sets(named), "sets")
@@ -404,33 +416,24 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         if before is not None:
             common.discard(before)
         # what is left lies in the groups of one pivot: small ones as they are, large ones by the prefixes of their residuals
-        group = found.select(F.col("a").alias("key"), F.col("b").alias("sid"), "prefix")
+        group = found.select(F.col("a").alias("key"), F.col("b").alias("sid"), "differ", "prefix")
         group = _with_components(group, comp).join(tokens.select("sid", "size"), "sid")
         group = common.materialize(group, "groups")
         used.append(group)
-        parts = group.filter(F.col("n") > DIRECT).select("sid", "size", "key", F.explode("prefix").alias("shingle"))
-        parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size").distinct()
+        parts = group.filter(F.col("n") > DIRECT).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
+        parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size", "differ", "at")
         parts = common.materialize(_with_components(parts, comp), "residual-buckets")
         used.append(parts)
-        small = _direct(group.filter(F.col("n") <= DIRECT), percent)
-        few = F.col("n") <= DIRECT
-        state = parts.agg(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
-        if not state.rows or state.pairs <= DIRECT_FACTOR * state.rows:
-            pairs = small.unionByName(_direct(parts, percent)).distinct()
-            last = True
-        else:
-            pairs = small.unionByName(_direct(parts.filter(few), percent)).distinct()
-            last = False
+        few = F.col("n") <= DIRECT_RESIDUAL
+        pairs = _direct(group.filter(F.col("n") <= DIRECT), percent, False).unionByName(_direct(parts.filter(few), percent, True)).distinct()
         pairs = common.materialize(pairs, "pairs")
         own = common.materialize(compare(pairs, tokens, percent, False), "compared")
         used += [pairs, own]
         links = links.unionByName(own.filter("linked").select("a", "b"))
         before, comp = comp, components(links)
         common.discard(before)
-        if last:
-            break
         # larger residual buckets take another pivot each; it is in none of the next ones, so they shrink
-        rest = _with_components(parts.filter(~few).select("key", "sid", "size"), comp)
+        rest = _with_components(parts.filter(~few).select("key", "sid", "size").distinct(), comp)
         rows = common.materialize(rest.join(scores, "sid").select("key", "sid", "size", "score"), "open-buckets")
         used.append(rows)
         if not rows.limit(1).count():

@@ -64,14 +64,14 @@ def test_components_of_large_groups(spark, n, percent, seed):
 
 
 def test_small_direct_limits_change_nothing(spark, monkeypatch):
-    """Every group larger than six goes through residual prefixes and further pivots."""
-    monkeypatch.setattr(jaccard_join, "DIRECT", 6)
-    monkeypatch.setattr(jaccard_join, "DIRECT_FACTOR", 0)
+    """Every group larger than four goes through residual prefixes and further pivots."""
+    monkeypatch.setattr(jaccard_join, "DIRECT", 4)
+    monkeypatch.setattr(jaccard_join, "DIRECT_RESIDUAL", 10)
     monkeypatch.setattr(jaccard_join, "PIVOT_ROWS", 3)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 300, 70)]
-    texts = dict(enumerate(edited(rng, base, 10) for _ in range(40)))
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    texts = dict(enumerate(edited(rng, base, 10) for _ in range(24)))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows).collect()} == brute_components(texts, 4, 85)
 
 
@@ -81,8 +81,8 @@ def test_a_set_short_of_segments_makes_its_band_finer(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join.Bands, "_plan", lambda self, b, others, related=0.01: (2, False) if plan(self, b, others)[0] > 2 else plan(self, b, others))
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in rng.integers(0, 300, 60)]
-    texts = dict(enumerate(edited(rng, base, 8) for _ in range(30)))
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    texts = dict(enumerate(edited(rng, base, 8) for _ in range(12)))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows).collect()} == brute_components(texts, 4, 85)
 
 
