@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # Stroke types in their reporting order, and the thresholds of the rules below.
 STROKE_TYPES = ("FH", "BH", "SV", "VL", "SL", "RS")
 STABLE, VOLATILE = 0.05, 0.10
+POOR, FAIR, GOOD = 0.4, 0.6, 0.8
+#: Series of the trend block and whether larger is better; split_step counts 1 or 0 for a stroke, where it is known.
+TRENDS = (("shoulder_deg", True), ("tempo", True), ("recovery_ms", False), ("split_step", True))
 AUTO_ACCEPT, REVIEW, DEMOTE_BELOW = 0.85, 0.60, 0.70
 AVOID_SHARE, AVOID_STROKES = 0.20, 20
 LOW_CONFIDENCE_SHARE = 0.30
@@ -70,7 +73,7 @@ def share_of_max(strokes: DataFrame, value: str, out: str) -> DataFrame:
 def trend(strokes: DataFrame, value: str, higher_is_better: bool) -> DataFrame:
     """``first, mid, last`` (means of thirds of the known values) and ``trend`` per session."""
     w = Window.partitionBy(*SESSION).orderBy("stroke_index")
-    k = strokes.filter(F.col("is_clean") & F.col(value).isNotNull()).withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SESSION)))
+    k = strokes.withColumn(value, F.col(value).cast("double")).filter(F.col("is_clean") & F.col(value).isNotNull()).withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SESSION)))
     third = F.greatest(F.lit(1), F.floor(F.col("_n") / 3))
     means = k.groupBy(*SESSION).agg(
         F.max("_n").alias("n"),
@@ -79,10 +82,11 @@ def trend(strokes: DataFrame, value: str, higher_is_better: bool) -> DataFrame:
         F.avg(F.when(F.col("_at") > F.col("_n") - third, F.col(value))).alias("last"),
     )
     means = means.withColumn("mid", F.coalesce("mid", "first"))
-    base = F.greatest(F.abs("first"), F.lit(1e-9))
-    change, middle = (F.col("last") - F.col("first")) / base, F.abs(F.col("mid") - (F.col("first") + F.col("last")) / 2) / base
+    base = F.abs("first") + F.lit(1e-9)
+    change, middle = (F.col("last") - F.col("first")) / base, F.abs(F.col("mid") - F.col("first")) / base
     better = change > 0 if higher_is_better else change < 0
-    name = F.when((F.col("n") < 3) | (F.abs(change) <= STABLE) & (middle <= VOLATILE), "stable").when(middle > VOLATILE, "volatile").when(better, "improving").otherwise("declining")
+    level = F.abs(change) < STABLE  # only where the ends agree can the middle make it volatile
+    name = F.when(F.col("n") < 3, "stable").when(level & (middle > VOLATILE), "volatile").when(level, "stable").when(better, "improving").otherwise("declining")
     return means.select(*SESSION, "n", "first", "mid", "last", name.alias("trend"))
 
 
@@ -95,10 +99,14 @@ def consistency(strokes: DataFrame, values: list[str]) -> DataFrame:
 
 
 def trend_block(strokes: DataFrame) -> DataFrame:
-    """Trends of rotation, tempo and recovery, consistency, fatigue (two or more declining) and the stroke where its last third begins."""
-    parts = [trend(strokes, v, up).select(*SESSION, F.col("trend").alias(f"{v}_trend")) for v, up in (("shoulder_deg", True), ("tempo", True), ("recovery_ms", False))]
-    out = parts[0].join(parts[1], SESSION, "full").join(parts[2], SESSION, "full").join(consistency(strokes, ["shoulder_deg", "tempo", "recovery_ms"]), SESSION, "left")
-    declining = sum((F.coalesce((F.col(f"{v}_trend") == "declining").cast("int"), F.lit(0)) for v in ("tempo", "recovery_ms")), F.coalesce((F.col("shoulder_deg_trend") == "declining").cast("int"), F.lit(0)))
+    """Trends of rotation, tempo, recovery and split-step rate, consistency, fatigue (two or more declining) and the stroke where its last third begins."""
+    parts = [trend(strokes, v, up).select(*SESSION, F.col("trend").alias(f"{v}_trend")) for v, up in TRENDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, SESSION, "full")
+    # a series of fewer than three known values counts as stable
+    out = out.withColumns({f"{v}_trend": F.coalesce(f"{v}_trend", F.lit("stable")) for v, _ in TRENDS}).join(consistency(strokes, ["shoulder_deg", "tempo", "recovery_ms"]), SESSION, "left")
+    declining = sum(((F.col(f"{v}_trend") == "declining").cast("int") for v, _ in TRENDS[1:]), (F.col("shoulder_deg_trend") == "declining").cast("int"))
     w = Window.partitionBy(*SESSION).orderBy("stroke_index")
     clean = strokes.filter("is_clean").withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SESSION)))
     onset = clean.filter(F.col("_at") == F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") / 3)) + 1).select(*SESSION, F.col("stroke_index").alias("_onset"))
@@ -113,20 +121,22 @@ def pattern_block(strokes: DataFrame) -> DataFrame:
     ground = F.col("stroke_type").isin("FH", "BH").cast("int")
     w = Window.partitionBy(*SESSION).orderBy("stroke_index").rowsBetween(-2, 0)
     rows = strokes.withColumn("_run", F.sum(ground).over(w))
-    backhands, grounds = F.count_if(F.col("stroke_type") == "BH"), F.count_if(F.col("stroke_type").isin("FH", "BH"))
-    rest = rows.groupBy(*SESSION).agg(F.coalesce(F.bool_or(F.col("_run") == 3), F.lit(False)).alias("ground_run"), F.when(grounds >= AVOID_STROKES, backhands / grounds < AVOID_SHARE).alias("avoids_backhand"), F.count(F.lit(1)).alias("strokes"))
+    backhands, strokes_of_all = F.count_if(F.col("stroke_type") == "BH"), F.count(F.lit(1))
+    rest = rows.groupBy(*SESSION).agg(F.coalesce(F.bool_or(F.col("_run") == 3), F.lit(False)).alias("ground_run"), F.when(strokes_of_all >= AVOID_STROKES, backhands / strokes_of_all < AVOID_SHARE).alias("avoids_backhand"), F.count(F.lit(1)).alias("strokes"))
     return dominant.join(rest, SESSION)
 
 
 def summary_block(strokes: DataFrame) -> DataFrame:
-    """Quality, first declining trend, stroke of highest confidence, and whether a coach should look."""
+    """Quality by consistency (poor with fatigue, NULL without consistency), first declining trend, the clean stroke of highest
+    confidence, and whether a coach should look: poor quality, fatigue, or many strokes under the review threshold."""
     t = trend_block(strokes)
-    highlight = F.max_by("stroke_index", F.struct("confidence", -F.col("stroke_index"))).alias("highlight")
-    base = strokes.groupBy(*SESSION).agg(highlight, F.avg((F.col("confidence") < AUTO_ACCEPT).cast("double")).alias("low_share"), F.count_if("is_clean").alias("clean"))
-    issue = F.coalesce(*[F.when(F.col(f"{v}_trend") == "declining", F.lit(v)) for v in ("shoulder_deg", "tempo", "recovery_ms")])
-    quality = F.when(F.col("consistency") >= 0.8, "high").when(F.col("consistency") >= 0.6, "medium").otherwise("low")
+    highlight = F.max_by("stroke_index", F.when(F.col("is_clean"), F.struct("confidence", -F.col("stroke_index")))).alias("highlight")
+    base = strokes.groupBy(*SESSION).agg(highlight, F.avg((F.col("confidence") < REVIEW).cast("double")).alias("low_share"), F.count_if("is_clean").alias("clean"))
+    issue = F.coalesce(*[F.when(F.col(f"{v}_trend") == "declining", F.lit(v)) for v, _ in TRENDS])
+    score = F.round("consistency", 2)
+    quality = F.when((score < POOR) | (score.isNotNull() & F.col("fatigue")), "poor").when(score < FAIR, "fair").when(score <= GOOD, "good").when(score.isNotNull(), "excellent")
     out = base.join(t, SESSION, "left")
-    return out.select(*SESSION, "clean", "highlight", issue.alias("primary_issue"), quality.alias("quality"), (F.col("low_share") > LOW_CONFIDENCE_SHARE).alias("coach_flag"), "fatigue", "fatigue_onset")
+    return out.select(*SESSION, "clean", "highlight", issue.alias("primary_issue"), quality.alias("quality"), (F.coalesce(quality == "poor", F.lit(False)) | F.coalesce("fatigue", F.lit(False)) | (F.col("low_share") > LOW_CONFIDENCE_SHARE)).alias("coach_flag"), "fatigue", "fatigue_onset")
 
 
 def documents(strokes: DataFrame) -> DataFrame:

@@ -119,28 +119,29 @@ _POS = "case {0} when 'FH' then 1 when 'BH' then 2 when 'SV' then 3 when 'VL' th
 
 def _trend(v: str, up: bool) -> str:
     return f"""k_{v} as (select *, row_number() over (partition by session_id order by stroke_index) as i, count(*) over (partition by session_id) as n from strokes where is_clean and {v} is not null),
-m_{v} as (select session_id, max(n) as n, avg({v}) filter (where i <= greatest(1, n // 3)) as first, avg({v}) filter (where i > greatest(1, n // 3) and i <= n - greatest(1, n // 3)) as mid0, avg({v}) filter (where i > n - greatest(1, n // 3)) as last from k_{v} group by session_id),
-c_{v} as (select *, coalesce(mid0, first) as mid, (last - first) / greatest(abs(first), 1e-9) as ch, abs(coalesce(mid0, first) - (first + last) / 2) / greatest(abs(first), 1e-9) as mi from m_{v}),
-t_{v} as (select session_id, n, first, mid, last, case when n < 3 or (abs(ch) <= 0.05 and mi <= 0.10) then 'stable' when mi > 0.10 then 'volatile' when ch {'>' if up else '<'} 0 then 'improving' else 'declining' end as trend from c_{v})"""
+m_{v} as (select session_id, max(n) as n, avg({v}::DOUBLE) filter (where i <= greatest(1, n // 3)) as first, avg({v}::DOUBLE) filter (where i > greatest(1, n // 3) and i <= n - greatest(1, n // 3)) as mid0, avg({v}::DOUBLE) filter (where i > n - greatest(1, n // 3)) as last from k_{v} group by session_id),
+c_{v} as (select *, coalesce(mid0, first) as mid, (last - first) / (abs(first) + 1e-9) as ch, abs(coalesce(mid0, first) - first) / (abs(first) + 1e-9) as mi from m_{v}),
+t_{v} as (select session_id, n, first, mid, last, case when n < 3 then 'stable' when abs(ch) < 0.05 and mi > 0.10 then 'volatile' when abs(ch) < 0.05 then 'stable' when ch {'>' if up else '<'} 0 then 'improving' else 'declining' end as trend from c_{v})"""
 
 
 _CV = "case when count({0}) >= 3 and abs(avg({0})) > 1e-9 then stddev_pop({0}) / abs(avg({0})) end"
 _CONS = f"""cv as (select session_id, list_filter([{', '.join(_CV.format(v) for v in ('shoulder_deg', 'tempo', 'recovery_ms'))}], lambda x: x is not null) as l from strokes where is_clean group by session_id),
 cons as (select session_id, greatest(0::DOUBLE, least(1::DOUBLE, 1 - list_sum(l) / len(l))) as consistency from cv)"""
-_TRE = f"""{_trend('shoulder_deg', True)}, {_trend('tempo', True)}, {_trend('recovery_ms', False)}, {_CONS},
+_TRE = f"""{_trend('shoulder_deg', True)}, {_trend('tempo', True)}, {_trend('recovery_ms', False)}, {_trend('split_step', True)}, {_CONS},
 onset as (select session_id, stroke_index from (select *, row_number() over (partition by session_id order by stroke_index) as i, count(*) over (partition by session_id) as n from strokes where is_clean) where i = n - greatest(1, n // 3) + 1),
-tre0 as (select session_id, a.trend as shoulder_deg_trend, b.trend as tempo_trend, c.trend as recovery_ms_trend, consistency, o.stroke_index as onset,
-  coalesce((a.trend = 'declining')::INT, 0) + coalesce((b.trend = 'declining')::INT, 0) + coalesce((c.trend = 'declining')::INT, 0) >= 2 as fatigue
-  from t_shoulder_deg a full join t_tempo b using (session_id) full join t_recovery_ms c using (session_id) left join cons using (session_id) left join onset o using (session_id)),
-tre as (select session_id, shoulder_deg_trend, tempo_trend, recovery_ms_trend, consistency, fatigue, case when fatigue then onset end::DOUBLE as fatigue_onset from tre0)"""
+tre0 as (select session_id, coalesce(a.trend, 'stable') as shoulder_deg_trend, coalesce(b.trend, 'stable') as tempo_trend, coalesce(c.trend, 'stable') as recovery_ms_trend, coalesce(d.trend, 'stable') as split_step_trend, consistency, o.stroke_index as onset,
+  coalesce((a.trend = 'declining')::INT, 0) + coalesce((b.trend = 'declining')::INT, 0) + coalesce((c.trend = 'declining')::INT, 0) + coalesce((d.trend = 'declining')::INT, 0) >= 2 as fatigue
+  from t_shoulder_deg a full join t_tempo b using (session_id) full join t_recovery_ms c using (session_id) full join t_split_step d using (session_id) left join cons using (session_id) left join onset o using (session_id)),
+tre as (select session_id, shoulder_deg_trend, tempo_trend, recovery_ms_trend, split_step_trend, consistency, fatigue, case when fatigue then onset end::DOUBLE as fatigue_onset from tre0)"""
 _PAT = f"""tc as (select session_id, stroke_type, count(*) as c from strokes group by session_id, stroke_type),
 dom as (select session_id, stroke_type as dominant from (select *, row_number() over (partition by session_id order by c desc, {_POS.format('stroke_type')}) as k from tc) where k = 1),
 runs as (select *, sum((stroke_type in ('FH', 'BH'))::INT) over (partition by session_id order by stroke_index rows between 2 preceding and current row) as run from strokes),
-pat as (select session_id, dominant, coalesce(bool_or(run = 3), false) as ground_run, case when count(*) filter (where stroke_type in ('FH', 'BH')) >= 20 then count(*) filter (where stroke_type = 'BH')::DOUBLE / count(*) filter (where stroke_type in ('FH', 'BH')) < 0.2 end as avoids_backhand, count(*) as strokes from runs join dom using (session_id) group by session_id, dominant)"""
-_SUM = """base as (select session_id, count(*) filter (where is_clean) as clean, avg((confidence < 0.85)::INT::DOUBLE) as low_share from strokes group by session_id),
-hi as (select session_id, stroke_index as highlight from (select *, row_number() over (partition by session_id order by confidence desc, stroke_index) as k from strokes) where k = 1),
-summ as (select session_id, clean, highlight, case when shoulder_deg_trend = 'declining' then 'shoulder_deg' when tempo_trend = 'declining' then 'tempo' when recovery_ms_trend = 'declining' then 'recovery_ms' end as primary_issue,
-  case when consistency >= 0.8 then 'high' when consistency >= 0.6 then 'medium' else 'low' end as quality, low_share > 0.3 as coach_flag, fatigue, fatigue_onset from base join hi using (session_id) left join tre using (session_id))"""
+pat as (select session_id, dominant, coalesce(bool_or(run = 3), false) as ground_run, case when count(*) >= 20 then count(*) filter (where stroke_type = 'BH')::DOUBLE / count(*) * 100 < 20 end as avoids_backhand, count(*) as strokes from runs join dom using (session_id) group by session_id, dominant)"""
+_SUM = """base as (select session_id, count(*) filter (where is_clean) as clean, avg((confidence < 0.60)::INT::DOUBLE) as low_share from strokes group by session_id),
+hi as (select session_id, stroke_index as highlight from (select *, row_number() over (partition by session_id order by confidence desc, stroke_index) as k from strokes where is_clean) where k = 1),
+summ as (select session_id, clean, highlight, case when shoulder_deg_trend = 'declining' then 'shoulder_deg' when tempo_trend = 'declining' then 'tempo' when recovery_ms_trend = 'declining' then 'recovery_ms' when split_step_trend = 'declining' then 'split_step' end as primary_issue,
+  case when consistency is null then null when round(consistency, 2) < 0.4 or fatigue then 'poor' when round(consistency, 2) < 0.6 then 'fair' when round(consistency, 2) <= 0.8 then 'good' else 'excellent' end as quality,
+  coalesce(round(consistency, 2) < 0.4, false) or coalesce(fatigue, false) or low_share > 0.3 as coach_flag, fatigue, fatigue_onset from base left join hi using (session_id) left join tre using (session_id))"""
 _ERR = f"""{duck('lab', 'prd')}, long as (select clip_id, stroke_type, fps, 'impact' as keyframe, impact_frame as frame from lab where usable union all select clip_id, stroke_type, fps, 'backswing', backswing_frame from lab where usable),
 pl as (select clip_id, detected, 'impact' as keyframe, impact_ms as ts from prd union all select clip_id, detected, 'backswing', impact_ms - 300 from prd),
 e as (select l.*, p.detected, case when p.detected then abs(p.ts - l.frame * 1000::DOUBLE / l.fps) end as error_ms from long l left join pl p using (clip_id, keyframe)),
