@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 NOSE, L_EAR, R_EAR = 0, 7, 8
 L_SHOULDER, R_SHOULDER, L_ELBOW, R_ELBOW, L_WRIST, R_WRIST = 11, 12, 13, 14, 15, 16
 L_INDEX, R_INDEX, L_HIP, R_HIP, L_KNEE, R_KNEE, L_ANKLE, R_ANKLE = 19, 20, 23, 24, 25, 26, 27, 28
-CORE = (L_SHOULDER, R_SHOULDER, L_HIP, R_HIP)
 UPPER = (L_SHOULDER, R_SHOULDER, L_ELBOW, R_ELBOW, L_WRIST, R_WRIST)
-MASS = {"shoulders": 0.30, "hips": 0.40, "knees": 0.20, "ankles": 0.10}
+CORE = (*UPPER, L_HIP, R_HIP, L_KNEE, R_KNEE, L_ANKLE, R_ANKLE)
+TRUNK = (L_SHOULDER, R_SHOULDER, L_HIP, R_HIP)
+TRUNK_MASS, UPPER_ARM_MASS, FOREARM_MASS, THIGH_MASS, SHANK_MASS = 0.50, 0.03, 0.02, 0.10, 0.10
+#: Segments by their end landmarks, of either side, with the part of the body's mass.
+SEGMENTS = (
+    (L_SHOULDER, L_ELBOW, UPPER_ARM_MASS), (R_SHOULDER, R_ELBOW, UPPER_ARM_MASS), (L_ELBOW, L_WRIST, FOREARM_MASS), (R_ELBOW, R_WRIST, FOREARM_MASS),
+    (L_HIP, L_KNEE, THIGH_MASS), (R_HIP, R_KNEE, THIGH_MASS), (L_KNEE, L_ANKLE, SHANK_MASS), (R_KNEE, R_ANKLE, SHANK_MASS),
+)
 VISIBLE, LOW = 0.80, 0.50
 
 

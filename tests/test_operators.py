@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionlake.functions import body as B
-from motionlake.operators import court, evaluation, fold, hits, joins, poses, series, tracks
+from motionlake.operators import court, evaluation, fold, hits, joins, poses, series, sessions, tracks
 from motionlake.sources import files, sinks
 
 
@@ -151,11 +151,38 @@ def test_split_boxes_merge(spark):
 def test_static_clip_is_discarded(spark):
     p = spark.createDataFrame([(1, f, f * 1000 / 30, lm, 0.5, 0.5, 0.0, 0.9) for f in range(30) for lm in poses.USED], "clip_id int, frame int, t_ms double, lm_id int, x double, y double, z double, vis double")
     f = poses.wide(p)
-    k = poses.keyframes(f)
-    r = poses.stroke_root(k, poses.confidence_block(f, k), poses.quality(f)).first()
+    t = poses.tracked(f)
+    r = poses.stroke_root(poses.keyframes(t), poses.confidence_block(t), poses.quality(f)).first()
     assert (r.status, r.action, r.is_clean) == ("failed", "discard", False)
 
 
+def test_keyframes_need_one_shuffle(spark, small_dir):
+    """Beyond the dealing by clip (and what the view itself needs) nothing is exchanged."""
+    from motionlake.sources.adapters import view
+
+    pose = view(spark, small_dir, "pose")
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    base, f = count(pose), poses.wide(pose)
+    t = poses.tracked(f)
+    assert count(poses.keyframes(t)) <= base + 1 and count(poses.metrics(t)) <= base + 1 and count(poses.classify(t)) <= base + 1
+
+
+def test_trend_needs_equal_ends_to_be_volatile(spark):
+    cases = {1: [10, 10, 12, 12, 10, 10], 2: [10, 10, 12, 12, 12, 12], 3: [10, 10, 10.1, 10.1, 10.2, 10.2], 4: [10, 10, 20, 20, 9, 9], 5: [10, 20]}
+    rows_ = [(s, i, True, float(v)) for s, vs in cases.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows_, "session_id int, stroke_index int, is_clean boolean, v double")
+    assert rows(sessions.trend(df, "v", True).select("session_id", "trend"), "session_id") == [(1, "volatile"), (2, "improving"), (3, "stable"), (4, "declining"), (5, "stable")]
+
+
+def test_poor_sessions_go_to_the_coach(spark):
+    schema = "session_id int, stroke_index int, stroke_type string, is_clean boolean, shoulder_deg double, tempo double, recovery_ms double, split_step boolean, confidence double"
+    good = [(1, i, "FH", i > 0, 50.0, 2.0, 900.0, True, 0.99 if i == 0 else 0.9) for i in range(6)]
+    tired = [(2, i, "BH", True, 50.0 - 6 * i, 2.0, 900.0 + 200 * i, None, 0.9) for i in range(6)]
+    got = {r.session_id: r for r in sessions.summary_block(spark.createDataFrame(good + tired, schema)).collect()}
+    assert (got[1].quality, got[1].coach_flag, got[1].highlight, got[1].primary_issue) == ("excellent", False, 1, None)
+    assert (got[2].quality, got[2].coach_flag, got[2].primary_issue, got[2].fatigue_onset) == ("poor", True, "shoulder_deg", 4)
+
+
 def test_label_file_round_trip(spark, tmp_path):
     (tmp_path / "l.csv").write_text("﻿" + ",".join(files.STROKE_LABEL_COLUMNS) + "\n clips/a.mp4 ,FH,R,,1,,,41.9,,true,,,FALSE,a; b,x,\n", encoding="utf-8")
     r = files.read_stroke_labels(spark, str(tmp_path / "l.csv")).first()
