@@ -21,6 +21,7 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_DIGIT = re.compile(r"\d")
 _ATTR = re.compile(r"(?:^|\s)(id|class|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -34,8 +35,9 @@ class Node:
         return [c for c in self.children if not isinstance(c, str)]
 
     def label(self) -> str:
+        """Element name with the class or id, but for names that number single elements."""
         name = self.marks.get("class") or self.marks.get("id")
-        return f"{self.tag}.{'.'.join(name.split())}" if name else self.tag
+        return f"{self.tag}.{'.'.join(name.split())}" if name and not _DIGIT.search(name) else self.tag
 
 
 def parse(page: str | None) -> Node:
@@ -124,15 +126,44 @@ def block_children(node: Node) -> list[Node]:
     return out
 
 
+#: Levels of a page that a wrapper tells apart; text further down counts to the node there.
+WRAPPER_DEPTH = 120
+
+
+def _length(nodes: list[Node]) -> int:
+    """Characters below nodes, at any depth."""
+    total, todo = 0, list(nodes)
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                total += len(squeeze(c))
+            else:
+                todo.append(c)
+    return total
+
+
 class Slot:
-    """A node of a wrapper: the aligned nodes of several pages. ``text`` is their common text, None where it varies."""
+    """A node of a wrapper: the aligned nodes of several pages. Like-named siblings of a page are one slot (a list). ``texts``: those
+    of its own that are the same on every page it is on; ``volume``: characters of all its own texts; ``pages``: pages it is on."""
+
+    __slots__ = ("label", "tag", "marks", "texts", "volume", "pages", "children")
 
-    __slots__ = ("label", "tag", "marks", "text", "volume", "pages", "children")
+    def __init__(self, nodes: list[Node], depth: int = 0):
+        self.label, self.tag, self.marks, self.pages = nodes[0].label(), nodes[0].tag, nodes[0].marks, 1
+        own = [own_text(n) for n in nodes]
+        self.texts, self.volume, self.children = {t for t in own if t}, sum(map(len, own)), []
+        if depth == WRAPPER_DEPTH:
+            self.volume = max(self.volume, _length(nodes))
+            return
+        lists: dict[str, list[Node]] = {}
+        for n in nodes:
+            for c in block_children(n):
+                lists.setdefault(c.label(), []).append(c)
+        self.children = [Slot(x, depth + 1) for x in lists.values()]
 
-    def __init__(self, node: Node):
-        self.label, self.tag, self.marks, self.text, self.pages = node.label(), node.tag, node.marks, own_text(node), 1
-        self.volume = len(self.text)
-        self.children = [Slot(c) for c in block_children(node)]
+    def fixed(self) -> int:
+        """Characters of the texts that are the same on every page."""
+        return self.pages * sum(map(len, self.texts))
 
 
 def match(a: Slot, b: Slot, memo: dict) -> int:
@@ -158,11 +189,10 @@ def _table(a: Slot, b: Slot, memo: dict) -> list[list[int]]:
 
 
 def merge(wrapper: Slot, page: Slot, memo: dict) -> None:
-    """Adds a page to a wrapper: aligned nodes join, the page's other nodes become optional ones at their place."""
-    wrapper.pages += 1
+    """Adds a page, or another wrapper, to a wrapper: aligned nodes join, the page's other nodes become optional ones at their place."""
+    wrapper.pages += page.pages
     wrapper.volume += page.volume
-    if wrapper.text != page.text:
-        wrapper.text = None
+    wrapper.texts &= page.texts
     rows = _table(wrapper, page, memo)
     i, j, out = len(wrapper.children), len(page.children), []
     while i or j:

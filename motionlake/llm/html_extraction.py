@@ -1,31 +1,41 @@
 """Main text of web pages by wrapper induction.
 
-For every host a few pages (one for each of ``pages_per_host`` hash buckets of ``page_id``, a bound on the size of the
-training set, not on what is extracted) are aligned by simple tree matching. Nodes whose text is the same on all aligned
-pages are template; the smallest subtree that holds most of the varying text is the content slot. A page's main text is
-then read from its own tree: all its article and main elements in page order, else the host's content slot, else the whole body;
-without template nodes and without what element names, roles or class names mark as navigation, header, footer, sidebar,
-notice, advert, form or comments. Each page is read whole, in its own task; wrappers reach the pages by host.
-
-Defined results: null or empty html gives an empty text; a null url is a host of its own; a null ``page_id`` is an
-ordinary row; repeated rows are separate rows; an empty table gives an empty result.
+Every page of a host is folded into the host's wrapper by simple tree matching: in each task first, then the partial wrappers
+of a host are merged in two steps, so a host of any size is spread over tasks. A wrapper node holds the texts
+that are the same on every page it is on (template) and how much its texts vary. The content slot is the smallest subtree with
+most of the varying text; where it lies inside main or article elements, the outermost of these on its path, so that title and
+lead stay with the story. A page's main text is read from the nodes on the slot's path, in page order, without template
+texts and without what element names, roles or class names mark as navigation, header, footer, sidebar, notice,
+advert, form or comments. A page whose host has a single page, or that has no node on the path, is read by its own article and
+main elements, else whole. The order of merging may decide which of two crossing siblings are aligned; template texts do not depend on it.
+
+Defined results: null or empty html gives an empty text and is no part of a wrapper; a null url is a host of its own; a null
+``page_id`` is an ordinary row; repeated rows are separate rows and count as pages of their own; an empty table gives an empty
+result; long and deep pages are read whole, the wrapper tells their first ``dom.WRAPPER_DEPTH`` levels apart.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, dom
 
-PAGES_PER_HOST = 6
 BROADCAST_HOSTS = 20_000
+#: Wrappers that a task holds before it passes them on.
+HELD_HOSTS = 1_000
+#: Groups of tasks whose partial wrappers of a host are merged first.
+MERGE_GROUPS = 32
 CONTENT_SHARE = 0.8
 TEMPLATE_PAGES = 3
+#: Elements that are pieces of a text, not regions of a page.
+PIECES = frozenset("p li dd dt td tr tbody h1 h2 h3 h4 h5 h6 pre blockquote".split())
 # What marks a part of a page that is not its article.
 OUTSIDE_TAGS = frozenset("nav aside form footer menu dialog button select head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
@@ -53,56 +63,64 @@ def outside(tag: str, marks: dict, in_article: bool) -> bool:
     return bool(found & OUTSIDE_WORDS) or (not in_article and bool(found & {"header", "topbar", "top"}))
 
 
-def induce(pages: list[str]) -> tuple[str, list[str]]:
-    """(path of the content slot, template texts inside it) of same-host pages."""
-    wrapper = None
-    for page in dict.fromkeys(p for p in pages if p):
-        slot = dom.Slot(dom.parse(page))
-        if wrapper is None:
-            wrapper = slot
-        else:
-            dom.merge(wrapper, slot, {})
-    if wrapper is None or wrapper.pages < 2:
+def fold(wrapper: dom.Slot | None, page: str) -> dom.Slot:
+    """The wrapper with one more page."""
+    slot = dom.Slot([dom.parse(page)])
+    if wrapper is None:
+        return slot
+    dom.merge(wrapper, slot, {})
+    return wrapper
+
+
+def content_slot(wrapper: dom.Slot) -> tuple[str, list[str]]:
+    """(path of the content slot, template texts inside it) of a host's wrapper; nothing can be told from one page."""
+    if wrapper.pages < 2:
         return "", []
-    total = wrapper.pages
 
     def varying(s: dom.Slot, inside: bool) -> int:
         if outside(s.tag, s.marks, inside):
             return 0
-        return (s.volume if s.text is None or s.pages < total else 0) + sum(varying(c, inside or s.tag in ("article", "main")) for c in s.children)
+        # on a single page nothing is known to be template
+        own = s.volume - (s.fixed() if s.pages > 1 else 0)
+        return own + sum(varying(c, inside or s.tag in ("article", "main")) for c in s.children)
 
     path, node = [], wrapper
     whole = varying(node, False)
-    while True:
-        inside = any(p.split(".")[0] in ("article", "main") for p in path)
+    while whole:
+        inside = any(n.tag in ("article", "main") for n in path)
         best = max(node.children, key=lambda c: varying(c, inside), default=None)
-        if best is None or not whole or varying(best, inside) < CONTENT_SHARE * whole:
+        if best is None or varying(best, inside) < CONTENT_SHARE * whole:
             break
-        path.append(best.label)
+        path.append(best)
         node = best
+    # a list of paragraphs is no region of its own: its parent may hold headings between them
+    while path and path[-1].tag in PIECES:
+        path.pop()
+    named = [i for i, n in enumerate(path) if n.tag in ("article", "main") or n.marks.get("role") == "main" or n.marks.get("itemprop") == "articleBody"]
+    path = path[: named[0] + 1] if named else path
+    node = path[-1] if path else wrapper
     fixed, volume = [], [0, 0]
 
     def constants(s: dom.Slot) -> None:
-        if s.text and s.pages == total >= TEMPLATE_PAGES:
-            fixed.append(s.text)
-            volume[0] += s.volume
-        else:
-            volume[1] += s.volume
+        same = s.fixed() if s.pages >= TEMPLATE_PAGES else 0
+        if same:
+            fixed.extend(s.texts)
+        volume[0] += same
+        volume[1] += s.volume - same
         for c in s.children:
             constants(c)
 
     constants(node)
-    # copies of one article on the sampled pages look constant as well: a template is the small part of a slot
-    return ">".join(path), fixed if volume[0] * 4 <= volume[1] else []
+    # copies of one article on all pages look constant as well: a template is the small part of a slot
+    return ">".join(n.label for n in path), sorted(fixed) if volume[0] * 4 <= volume[1] else []
 
 
-def _find(root: dom.Node, path: str) -> dom.Node | None:
-    node = root
+def _find(root: dom.Node, path: str) -> list[dom.Node]:
+    """All nodes of a page on the slot's path, in page order."""
+    nodes = [root] if path else []
     for label in path.split(">") if path else ():
-        node = next((c for c in dom.block_children(node) if c.label() == label), None)
-        if node is None:
-            return None
-    return node if path else None
+        nodes = [c for n in nodes for c in dom.block_children(n) if c.label() == label]
+    return nodes
 
 
 def _volume(node: dom.Node) -> int:
@@ -110,7 +128,10 @@ def _volume(node: dom.Node) -> int:
 
 
 def _region(root: dom.Node, path: str) -> tuple[list[dom.Node], bool]:
-    """The parts of the page that hold its article, in page order."""
+    """The parts of the page that hold its article, in page order, and whether they are marked as such: the wrapper's slot first."""
+    slot = _find(root, path)
+    if any(_volume(x) for x in slot):
+        return slot, any(p.split(".")[0] in ("article", "main") for p in path.split(">"))
     parts, todo = [], list(reversed(root.children))
     while todo:
         c = todo.pop()
@@ -121,10 +142,7 @@ def _region(root: dom.Node, path: str) -> tuple[list[dom.Node], bool]:
         else:
             todo.extend(reversed(c.children))
     # a main element may hold title and lead beside the articles in it
-    if any(_volume(x) for x in parts):
-        return parts, True
-    slot = _find(root, path)
-    return ([slot], False) if slot is not None and _volume(slot) else ([root], False)
+    return (parts, True) if any(_volume(x) for x in parts) else ([root], False)
 
 
 def extract(page: str | None, path: str = "", template: frozenset = frozenset()) -> str:
@@ -162,26 +180,51 @@ def extract(page: str | None, path: str = "", template: frozenset = frozenset())
     return "\n\n".join(blocks)
 
 
-def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """``host, path, template``: a row for each host, induced from a bounded number of its pages."""
-    bucket = F.pmod(F.xxhash64("page_id"), F.lit(pages_per_host))
-    chosen = pages.groupBy("host", bucket.alias("bucket")).agg(F.min("page_id").alias("page_id")).drop("bucket")
-    few = chosen.count() <= BROADCAST_HOSTS * pages_per_host
-    sample = pages.join(F.broadcast(chosen) if few else chosen, ["host", "page_id"], "left_semi").select("host", "html")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """``host, path, template``: a row for each host, induced from all of its pages."""
+
+    def partial(batches):
+        held: dict[str, dom.Slot] = {}
+        task = TaskContext.get().partitionId()
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        path, template = induce(sorted(x for x in rows["html"] if x)[:pages_per_host])
+        def out():
+            rows = [(h, task, pickle.dumps(w)) for h, w in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["host", "task", "wrapper"])
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[host] = fold(held.get(host), page)
+                if len(held) >= HELD_HOSTS:
+                    yield out()
+        if held:
+            yield out()
+
+    def merged(rows: pd.DataFrame) -> dom.Slot:
+        parts = [pickle.loads(w) for w in rows.sort_values("task")["wrapper"]]
+        for other in parts[1:]:
+            dom.merge(parts[0], other, {})
+        return parts[0]
+
+    def some(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "task": [key[1]], "wrapper": [pickle.dumps(merged(rows))]})
+
+    def all_of(key, rows: pd.DataFrame) -> pd.DataFrame:
+        path, template = content_slot(merged(rows))
         return pd.DataFrame({"host": [key[0]], "path": [path], "template": [template]})
 
-    return sample.groupBy("host").applyInPandas(run, "host string, path string, template array<string>")
+    schema = "host string, task int, wrapper binary"
+    parts = pages.filter(F.length("html") > 0).select("host", "html").mapInArrow(partial, schema)
+    parts = parts.withColumn("task", F.pmod("task", F.lit(MERGE_GROUPS))).groupBy("host", "task").applyInPandas(some, schema)
+    return parts.groupBy("host").applyInPandas(all_of, "host string, path string, template array<string>")
 
 
-def extract_pages(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages`` (``page_id, url, html``)."""
     common.bound_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    rules = common.materialize(wrappers(pages, pages_per_host), "wrappers")
+    rules = common.materialize(wrappers(pages), "wrappers")
     few = rules.count() <= BROADCAST_HOSTS
     joined = pages.join(F.broadcast(rules) if few else rules, "host", "left").select("page_id", "url", "html", "path", "template")
 

@@ -183,10 +183,15 @@ def test_html(spark):
     assert html_extraction.extract(None) == html_extraction.extract("") == ""
     same = "".join(f"<p>Read the terms of this site {i}</p>" for i in range(2))
     pages = [f"<body><div id=x><p>{'story ' * (9 + k)}</p>{same}</div></body>" for k in range(4)]
-    path, fixed = html_extraction.induce(pages)
-    assert path == "body>div.x" and html_extraction.extract(pages[1], path, frozenset(fixed)).count("terms") == 0 or not fixed
-    a, b = dom.Slot(dom.parse("<ul><li>1<li>2</ul>")), dom.Slot(dom.parse("<ul><li>1<li>3<li>4</ul>"))
-    assert dom.match(a, b, {}) == 4  # root, list and two items
+    wrapper = None
+    for p in pages:
+        wrapper = html_extraction.fold(wrapper, p)
+    path, fixed = html_extraction.content_slot(wrapper)
+    assert path == "body>div.x" and fixed == [] and wrapper.pages == 4
+    a, b = (dom.Slot([dom.parse(f"<div><ul>{x}</ul><p>1</p></div>")]) for x in ("<li>1<li>2", "<li>1<li>3<li>4"))
+    assert dom.match(a, b, {}) == 5  # root, div, list, items and paragraph
+    dom.merge(a, b, {})
+    assert a.children[0].children[0].children[0].texts == {"1"} and a.pages == 2
     t = spark.createDataFrame([(1, None, None, "x"), (2, "http://h/a", page, "x"), (2, "http://h/a", page, "x"), (None, "http://h/b", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, len(r.text)) for r in html_extraction.extract_pages(t).collect()) == [(0, 0), (1, 0), (2, 33), (2, 33)]
     assert html_extraction.extract_pages(t.limit(0)).count() == 0
