@@ -1,12 +1,12 @@
 """Sharding by sampled splitters.
 
 The key of a record is (hash of its text, record id), so equal texts are neighbours. Groups of equal texts larger than
-a fiftieth of a shard are set aside (at most 50 per shard, so their list is bounded). The other records are cut into
+two fine ranges are set aside (fewer of them than ranges, so their list is bounded) and subdivided by record id. The other records are cut into
 fine ranges by the quantiles of a size-weighted key sample; ranges that came out overfull are subdivided. The exact
 bytes of each range, counted over all records, then decide which ranges fill which shard. A set-aside group goes whole
-to the emptiest shard; one larger than a shard is subdivided by record id.
+to the emptiest shard; one larger than a shard is poured into several.
 
-Defined results: a null text counts 0 bytes, its checksum is that of no bytes; a null ``doc_id`` is an ordinary record;
+Defined results: a null text counts 0 bytes, its checksum is that of no bytes; a null ``doc_id`` is an ordinary record (told apart by its place in the table);
 repeated rows are separate records; an empty table gives an empty result. Reruns agree, the sample is a hash of the record.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROW_OVERHEAD = 8
-HEAVY_FRACTION = 50
+#: A set-aside group may overfill a shard by this part of it.
+SLACK = 1 / 50
 SAMPLE_PER_RANGE = 8
 MAX_RANGES = 20_000
 RANGE_ROWS = 500_000
@@ -36,15 +37,15 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 5) -> DataFrame:
     """One row per record: ``doc_id, size, text_crc32, shard, slot``; bytes near equal, slots gapless from 0 in each shard."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = common.materialize(docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(seed), "doc_id").alias("u")), "shard-keys")
+    keyed = common.materialize(docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.monotonically_increasing_id())).alias("u")), "shard-keys")
     total, rows = keyed.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not rows:
         return keyed.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     goal = total / n_shards
 
-    # groups of equal texts above goal / HEAVY_FRACTION: at most n_shards * HEAVY_FRACTION of them
-    heavy = keyed.groupBy("h").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).filter(F.col("bytes") > goal / HEAVY_FRACTION).collect()
+    # groups of equal texts larger than two ranges: at most half as many as ranges
     n_ranges = min(MAX_RANGES, max(MIN_RANGES, -(-rows // RANGE_ROWS)))
+    heavy = keyed.groupBy("h").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).filter(F.col("bytes") > 2 * total / n_ranges).collect()
     heavy_cells = {r.h: max(1, min(MAX_RANGES, -(-r.bytes * n_ranges // total))) for r in heavy}
     first_cell, cell = {}, 0
     for h in sorted(heavy_cells):
@@ -122,7 +123,7 @@ def _fill(bytes_of: dict, heavy_cells: dict, first_cell: dict, n_heavy: int, goa
         cells = [c for c in range(first_cell[h], first_cell[h] + heavy_cells[h]) if c in bytes_of]
         size = sum(bytes_of[c] for c in cells)
         emptiest = min(range(n_shards), key=lambda s: (load[s], s))
-        if load[emptiest] + size <= goal * (1 + 1 / HEAVY_FRACTION):
+        if load[emptiest] + size <= goal * (1 + SLACK):
             for c in cells:
                 pieces[c] = [(float("inf"), emptiest)]
             load[emptiest] += size

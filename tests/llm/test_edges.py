@@ -34,6 +34,15 @@ def test_sharding(odd, none):
     assert sharding.shard(none, 3).count() == 0
 
 
+def test_sharding_spreads_one_text_without_ids(spark):
+    """A third of the rows are one text, none of which has an id: bytes stay even, slots gapless."""
+    rows = [(None if i % 3 == 0 else i, "the same text" if i % 3 == 0 else f"text {i} " + "x" * (i % 50)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 6).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == 3000 and (loads - got["size"].sum() / 6).abs().max() <= 2 * got["size"].max()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_mixing(odd, none):
     rows = {(r.doc_id, r.source, i): r for i, r in enumerate(mixing.allocate(odd).collect())}
     assert len(rows) == 11
