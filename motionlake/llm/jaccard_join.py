@@ -41,6 +41,8 @@ BAND_WIDTH = 1.5
 DIRECT = 12
 #: Buckets of equal residual shingles with more sets than this get pivots of their own.
 DIRECT_RESIDUAL = 256
+#: Bits of the parity sketch of a set.
+SKETCH_BITS = 1024
 #: Rows of one pivot that share a copy of its shingles in a join.
 PIVOT_ROWS = 256
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -235,14 +237,29 @@ def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, n: int) -> DataFrame:
-    """``sid, size, tokens``: the shingles of each ``sid, text`` as sorted 64-bit numbers."""
+    """``sid, size, tokens, sketch``: the shingles of each ``sid, text`` as sorted 64-bit numbers, and their parity sketch."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, n) for t in common.byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "size", "tokens", "sketch"])
 
-    return texts.select("sid", "text").mapInArrow(run, "sid long, size long, tokens binary")
+    return texts.select("sid", "text").mapInArrow(run, "sid long, size long, tokens binary, sketch array<long>")
+
+
+def _sketch(s: np.ndarray) -> list[int]:
+    """Each shingle flips one bit."""
+    parity = (np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64).tolist()
+
+
+def _may_link(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those that cannot link for certain: sketches differ in at most as many bits as the sets in shingles."""
+    drawn = tokens.select("sid", "size", "sketch")
+    p = pairs.join(drawn.withColumnRenamed("sid", "b").hint("merge"), "b")
+    p = p.join(drawn.select(F.col("sid").alias("a"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch")).hint("merge"), "a")
+    differ = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return p.filter((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size"))).select("a", "b")
 
 
 def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarray, linked: bool, percent: int) -> np.ndarray:
@@ -289,7 +306,8 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
     firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(lots, "a")
     firsts = firsts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
-    t = dealt.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b")), "b").join(firsts.drop("lots"), ["a", "lot"])
+    # shingle sets are large: merge joins at every size, no broadcast
+    t = dealt.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b")).hint("merge"), "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
     return t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
 
 
@@ -426,6 +444,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         used.append(parts)
         few = F.col("n") <= DIRECT_RESIDUAL
         pairs = _direct(group.filter(F.col("n") <= DIRECT), percent, False).unionByName(_direct(parts.filter(few), percent, True)).distinct()
+        pairs = _may_link(pairs, tokens, percent)
         pairs = common.materialize(pairs, "pairs")
         own = common.materialize(compare(pairs, tokens, percent, False), "compared")
         used += [pairs, own]
