@@ -107,8 +107,9 @@ def project(x: Column, y: Column, z: Column, height: Column, distance: Column, t
 
 
 def reprojection(poses: DataFrame, clicks: DataFrame, keys: Names, cx: float, cy: float) -> DataFrame:
-    """Root mean square pixel error of every pose against every click, ``rmse`` and ``score``; a click behind the camera costs a constant."""
-    rows = poses.crossJoin(F.broadcast(clicks)) if not keys else poses.join(F.broadcast(clicks), keys)
+    """Root mean square pixel error of every pose against every click of its key (a camera), ``rmse`` and ``score``; a click behind the
+    camera costs a constant. A camera has a few dozen clicks, so the join is no larger than poses times that."""
+    rows = poses.join(clicks, keys)
     u, v, _ = project(F.col("wx"), F.col("wy"), F.col("wz"), F.col("height_m"), F.col("distance_m"), F.col("tilt_deg"), F.col("pan_deg"), F.col("focal_px"), cx, cy)
     cost = F.when(u.isNull(), F.lit(BEHIND_COST)).otherwise((u - F.col("u")) ** 2 + (v - F.col("v")) ** 2)
     out = rows.groupBy(*keys, "cand_id").agg(F.sqrt(F.avg(cost)).alias("rmse"), (F.max("wz") - F.min("wz")).alias("depth_spread"))

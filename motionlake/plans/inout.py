@@ -79,7 +79,7 @@ def snk4_batch_summary(spark, d):
 
 
 def snk8_frames_for_labelling(spark, d):
-    lab = view(spark, d, "prd").select("clip_id", "impact_ms", F.lit(30.0).alias("fps"), F.lit(100).alias("frame_count")).filter("clip_id % 10 = 0")
+    lab = view(spark, d, "prd").select("clip_id", "impact_ms", F.lit(30.0).alias("fps"), F.lit(100).alias("frame_count"))
     return sinks.frames_for_labelling(lab, 6, 3).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("sum_frame"))
 
 
@@ -99,6 +99,6 @@ s as (select clip_id, unnest(generate_series(0, max(frame))) as frame from b gro
 floor(round(case when is_clean then recovery_ms + 1000 end, 2)) as ms, is_clean as detected, round(tempo, 6) as tempo from strokes""",
     "snk4_batch_summary": f"""{duck('strokes')}, a as (select is_clean as ok, case when confidence >= 0.85 then 'auto_accept' when confidence >= 0.6 then 'coach_review' else 'discard' end as action from strokes), b as (select action, count(*) as n from a where ok group by action)
 select (select count(*) from a) as total, (select count(*) from a where ok) as ok, (select count(*) from a where not ok) as failed, '{{' || string_agg('"' || action || '":' || n, ',' order by action) || '}}' as by_action from b""",
-    "snk8_frames_for_labelling": f"""{duck('prd')}, f as (select clip_id, unnest(generate_series(round(impact_ms / 1000 * 30)::INT - 6, round(impact_ms / 1000 * 30)::INT + 6, 3)) as frame from prd where clip_id % 10 = 0)
+    "snk8_frames_for_labelling": f"""{duck('prd')}, f as (select clip_id, unnest(generate_series(round(impact_ms / 1000 * 30)::INT - 6, round(impact_ms / 1000 * 30)::INT + 6, 3)) as frame from prd)
 select clip_id, count(*) as n, sum(frame)::BIGINT as sum_frame from f where frame >= 0 and frame < 100 group by clip_id""",
 }

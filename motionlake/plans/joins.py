@@ -26,6 +26,7 @@ def jn1_label_prediction(spark, d):
 
 
 def jn2_interval_semi(spark, d):
+    """Every seventh frame stands in for the start of a stroke, a table the driver does not have."""
     s = view(spark, d, "sig").filter("x is not null")
     spans = s.filter("frame % 7 = 0").select("clip_id", (F.col("frame") + 0).alias("a"), (F.col("frame") + 2).alias("b"))
     hits = joins.interval_join(s.filter("x > 60").select("clip_id", "frame"), spans, CLIP, "frame", "a", "b", 16)
@@ -107,7 +108,7 @@ def jn15_consensus(spark, d):
     from ..operators import court
 
     s = view(spark, d, "segs")
-    return court.consensus(court.intersections(s.filter("seg_id % 6 = 0"), ["frame"]), s, ["frame"], 5.0)
+    return court.consensus(court.intersections(s, ["frame"]), s, ["frame"], 5.0)
 
 
 def jn18_densify(spark, d):
@@ -147,7 +148,7 @@ QUERIES = {f.__name__: f for f in (jn1_label_prediction, jn2_interval_semi, jn3_
 
 _BAND = "select distinct clip_id, frame from sig a where x > 50 and {no} exists (select 1 from sig b where b.clip_id = a.clip_id and b.x < 5 and abs(a.frame - b.frame) <= 2)"
 _CENTRES = "c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
-_LINES = """
+LINES = """
 i as (select a.frame, a.seg_id as a, b.seg_id as b, a.x1, a.y1, a.x2 - a.x1 as dx, a.y2 - a.y1 as dy, b.x1 as u1, b.y1 as v1, b.x2 - b.x1 as du, b.y2 - b.y1 as dv
       from {src} a join {src} b on a.frame = b.frame and a.seg_id < b.seg_id),
 p as (select frame, a, b, x1 + ((u1 - x1) * dv - (v1 - y1) * du) / (dx * dv - dy * du) * dx as x, y1 + ((u1 - x1) * dv - (v1 - y1) * du) / (dx * dv - dy * du) * dy as y from i where abs(dx * dv - dy * du) > 1e-6)"""
@@ -176,8 +177,8 @@ select clip_id, a, b, round(distance, 6) as distance, round(overlap, 6) as overl
     "jn13_box_merge_pairs": f"""{duck('boxes')}, c as (select clip_id, frame, box_key, x, y, w * 5 as w, h * 3 as h from boxes)
 select a.clip_id, a.frame, a.box_key as a, b.box_key as b from c a join c b on a.clip_id = b.clip_id and a.frame = b.frame and a.box_key < b.box_key
 where least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 0 and greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.3::DOUBLE * least(a.h, b.h)""",
-    "jn14_intersections": f"{duck('segs')}, {_LINES.format(src='segs')} select frame, a, b, round(x, 8) as x, round(y, 8) as y from p",
-    "jn15_consensus": f"""{duck('segs')}, few as (select * from segs where seg_id % 6 = 0), {_LINES.format(src='few')},
+    "jn14_intersections": f"{duck('segs')}, {LINES.format(src='segs')} select frame, a, b, round(x, 8) as x, round(y, 8) as y from p",
+    "jn15_consensus": f"""{duck('segs')}, {LINES.format(src='segs')},
 q as (select p.frame, p.a, p.b, abs(atan2(s.y2 - s.y1, s.x2 - s.x1) - atan2(p.y - (s.y1 + s.y2) / 2, p.x - (s.x1 + s.x2) / 2)) as t from p join segs s using (frame))
 select frame, a, b, count(*) filter (where least(t - pi() * floor(t / pi()), pi() - (t - pi() * floor(t / pi()))) <= radians(5)) as inliers from q group by frame, a, b""",
     "jn18_densify": f"""{duck('boxes')}, b as (select clip_id, frame, max_by(x, box_key) as x from boxes where class = 'ball' group by clip_id, frame), s as (select clip_id, unnest(generate_series(0, max(frame))) as frame from b group by clip_id)

@@ -99,6 +99,7 @@ def ag8_deviation_bins(spark, d):
 
 
 def ag9_spotting(spark, d):
+    """Every ninth known frame stands in for a labelled segment, a table the driver does not have."""
     s = view(spark, d, "sig").filter("x is not null")
     truth = s.filter("frame % 9 = 0").select("clip_id", F.col("frame").alias("start"), (F.col("frame") + 3).alias("end"))
     return r6(evaluation.spotting(truth, s.filter("x > 60").select("clip_id", F.col("frame").alias("at")), ["clip_id"], 16), "recall", "precision")

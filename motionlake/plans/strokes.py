@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..operators import court, joins, occlusion, poses, series, sessions, strokes
 from ..sources.adapters import duck, view
+from .joins import LINES
 from .series import CLIP, _points, r6
 from .tracking import _wrists, boxes
 
@@ -45,6 +46,7 @@ def d_fuse_impact(spark, d):
 
 
 def wn44_event_keyframes(spark, d):
+    """Every fortieth frame stands in for an impact, a table the driver does not have."""
     w = _wrists(spark, d).select("clip_id", "frame", "x", "y")
     hip = boxes(spark, d).filter("class = 'racket'").groupBy("clip_id", "frame").agg(F.min("cx").alias("x"), F.min("cy").alias("y"))
     events = w.filter("frame % 40 = 0").select("clip_id", F.col("frame").alias("event_id"), "frame")
@@ -53,6 +55,7 @@ def wn44_event_keyframes(spark, d):
 
 
 def wn43_path_payload(spark, d):
+    """Every fiftieth frame stands in for the start of a stroke, a table the driver does not have."""
     spans = _points(spark, d).filter("frame % 50 = 0").select("clip_id", F.col("frame").alias("span_id"), F.col("frame").alias("start"), (F.col("frame") + 10).alias("end"))
     p = strokes.path_payload(_points(spark, d), spans)
     return p.select("clip_id", "span_id", F.size("path").cast("long").alias("n"), F.element_at("path", 1)["frame"].alias("first"), F.element_at("path", -1)["frame"].alias("last"))
@@ -78,7 +81,7 @@ def cj10_light_documents(spark, d):
 
 
 def clu7_corners(spark, d):
-    return r6(court.corners(view(spark, d, "segs").filter("seg_id % 3 = 0"), ["frame"], 9600.0, 5400.0), "x", "y")
+    return r6(court.corners(view(spark, d, "segs"), ["frame"], 9600.0, 5400.0), "x", "y")
 
 
 def clu12_project_lines(spark, d):
@@ -88,7 +91,7 @@ def clu12_project_lines(spark, d):
 
 
 def ag21_focal_reliability(spark, d):
-    s = view(spark, d, "segs").filter("seg_id % 6 = 0")
+    s = view(spark, d, "segs")
     p = court.intersections(s, ["frame"]).withColumn("near", (F.col("x") - 480) ** 2 + (F.col("y") - 270) ** 2)
     f = p.join(p.select("frame", F.col("a").alias("c"), F.col("b").alias("e"), F.col("x").alias("x2"), F.col("y").alias("y2")), "frame").filter("a < c")
     f = f.withColumn("f", court.focal_from_vanishing_points(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"), 480.0, 270.0)).filter("f is not null")
@@ -139,6 +142,8 @@ QUERIES = {f.__name__: f for f in (wn8_smooth_boxes, wn14_occlusion_fill, cj3_sp
 _C = f"{duck('boxes')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
 _P = "p as (select clip_id, frame, min_by(x, box_key) as x, min_by(y, box_key) as y from boxes where class = 'ball' group by clip_id, frame)"
 ORACLE_SQL = {
+    "ag21_focal_reliability": f"""{duck('segs')}, {LINES.format(src='segs')}, f as (select p.frame, -((p.x - 480) * (q.x - 480) + (p.y - 270) * (q.y - 270)) as r from p join p q on p.frame = q.frame and p.a < q.a),
+g as (select frame, count(*) as n, stddev_pop(sqrt(r)) / greatest(avg(sqrt(r)), 1e-6) as spread from f where r > 0 group by frame) select frame, n, round(spread, 6) as spread, spread <= 0.15 and n >= 3 as reliable from g""",
     "wn43_path_payload": f"{duck('boxes')}, {_P} select s.clip_id, s.frame as span_id, count(*) as n, min(q.frame) as first, max(q.frame) as last from p s join p q on s.clip_id = q.clip_id and q.frame between s.frame and s.frame + 10 where s.frame % 50 = 0 and q.x is not null group by s.clip_id, s.frame",
     "cj4_players": f"""{_C}, b as (select clip_id, track_id, frame, min_by(cx, box_key) as cx, min_by(h, box_key) as h from c group by all),
 l as (select clip_id, track_id % 3 as cluster, frame, max_by(cx, track_id) as cx, max_by(h, track_id) as h from b group by all),

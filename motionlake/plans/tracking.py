@@ -25,6 +25,7 @@ def _wrists(spark, d):
 
 
 def d_hitf_hit_features(spark, d):
+    """Every fifth frame stands in for a hit candidate, a table the driver does not have."""
     ball = joins.densify(_points(spark, d), CLIP, "frame")
     wrist = series.neighbour_speed(_wrists(spark, d), CLIP, ["frame"], "x", "y", "vis", 0.2, "speed")
     racket = boxes(spark, d).filter("class = 'racket'").select("clip_id", "frame", "cx", "cy")
@@ -39,6 +40,7 @@ def d_hit_detect_hits(spark, d):
 
 
 def d_bnc_add_bounces(spark, d):
+    """Every tenth frame stands in for a hit, a table the driver does not have."""
     ball = _points(spark, d)
     h = ball.filter("frame % 10 = 0").select("clip_id", "frame")
     return r6(hits.add_bounces(h, hits.bounces(ball, 1), ground_map(), 30.0).withColumns({c: F.col(c).cast("double") for c in ("bounce_frame", "in_court")}), "court_x", "court_z", "delay_ms")
@@ -61,7 +63,7 @@ def flt2_moving_tracks(spark, d):
 
 
 def flt3_tall_or_moving(spark, d):
-    return r6(tracks.tall_or_moving_tracks(boxes(spark, d).filter("clip_id < 9 or x > 500"), 960.0, 540.0, 64), "mean_h", "sd_x", "sd_y")
+    return r6(tracks.tall_or_moving_tracks(boxes(spark, d), 960.0, 540.0, 64), "mean_h", "sd_x", "sd_y")
 
 
 def flt6_shape_filter(spark, d):
@@ -137,12 +139,12 @@ def so1_frame_overlap(spark, d):
 
 
 def clu9_two_vanishing_points(spark, d):
-    s = view(spark, d, "segs").filter("seg_id % 4 = 0")
+    s = view(spark, d, "segs")
     return r6(court.two_vanishing_points(s, ["frame"]), "x_1", "y_1", "x_2", "y_2")
 
 
 def cj8_focal_from_segments(spark, d):
-    v = court.two_vanishing_points(view(spark, d, "segs").filter("seg_id % 4 = 0"), ["frame"])
+    v = court.two_vanishing_points(view(spark, d, "segs"), ["frame"])
     f = court.focal_from_vanishing_points(F.col("x_1"), F.col("y_1"), F.col("x_2"), F.col("y_2"), 480.0, 270.0)
     return r6(v.select("frame", f.alias("focal_px")), "focal_px")
 
@@ -153,17 +155,17 @@ def ag25_fit_line(spark, d):
 
 
 def _clicks(spark, d):
-    return view(spark, d, "segs").filter("frame < 3").select((F.col("x1") / 100 - 4.8).alias("wx"), F.lit(0.0).alias("wy"), (F.col("y1") / 30).alias("wz"), F.col("x2").alias("u"), F.col("y2").alias("v"))
+    return view(spark, d, "segs").select(F.col("frame").alias("camera_id"), (F.col("x1") / 100 - 4.8).alias("wx"), F.lit(0.0).alias("wy"), (F.col("y1") / 30).alias("wz"), F.col("x2").alias("u"), F.col("y2").alias("v"))
 
 
 def ag19_reprojection(spark, d):
-    return r6(court.reprojection(view(spark, d, "poses"), _clicks(spark, d), [], 480.0, 270.0), "rmse", "score", "depth_spread")
+    return r6(court.reprojection(view(spark, d, "poses"), _clicks(spark, d), ["camera_id"], 480.0, 270.0), "rmse", "score", "depth_spread")
 
 
 def clu10_best_poses(spark, d):
-    scored = court.reprojection(view(spark, d, "poses"), _clicks(spark, d), [], 480.0, 270.0).withColumn("group", F.col("cand_id") % 20)
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("rmse", "cand_id"))
-    return r6(scored.withColumn("rank", rank).filter("rank <= 3").select("group", "rank", "cand_id", "rmse"), "rmse")
+    scored = court.reprojection(view(spark, d, "poses"), _clicks(spark, d), ["camera_id"], 480.0, 270.0)
+    rank = F.row_number().over(Window.partitionBy("camera_id").orderBy("rmse", "cand_id"))
+    return r6(scored.withColumn("rank", rank).filter("rank <= 3").select("camera_id", "rank", "cand_id", "rmse"), "rmse")
 
 
 def clu8_ground_homography(spark, d):
@@ -177,7 +179,7 @@ def clu8_ground_homography(spark, d):
 
 
 def ag26_median_calibration(spark, d):
-    c = view(spark, d, "poses").withColumn("camera_id", F.col("cand_id") % 50)
+    c = view(spark, d, "poses")
     m = c.groupBy("camera_id").agg(F.median("focal_px").alias("focal_px"))
     return r6(c.withColumnRenamed("focal_px", "f").join(m, "camera_id").groupBy("camera_id", "focal_px").agg(F.min_by("cand_id", F.struct(F.abs(F.col("f") - F.col("focal_px")), "cand_id")).alias("kept")), "focal_px")
 
@@ -210,11 +212,11 @@ b{n} as (select * from (select *, row_number() over (partition by frame order by
 rest{n} as (select s.* from {src} s join b{n} b using (frame) where least({b} - pi() * floor({b} / pi()), pi() - ({b} - pi() * floor({b} / pi()))) > radians(5))"""
 
 
-_VPS = f"{duck('segs')}, few as (select * from segs where seg_id % 4 = 0), {_vp(1, 'few')}, {_vp(2, 'rest1')}"
-_REPRO = f"""{duck('poses', 'segs')}, k as (select x1 / 100 - 4.8::DOUBLE as wx, y1 / 30 as wz, x2 as u, y2 as v from segs where frame < 3),
-g as (select cand_id, focal_px, wz, u, v, wx * cos(radians(pan_deg)) - (wz + distance_m) * sin(radians(pan_deg)) as rx, wx * sin(radians(pan_deg)) + (wz + distance_m) * cos(radians(pan_deg)) as rz, 0 - height_m as dy, radians(tilt_deg) as t from poses, k),
+_VPS = f"{duck('segs')}, {_vp(1, 'segs')}, {_vp(2, 'rest1')}"
+_REPRO = f"""{duck('poses', 'segs')}, k as (select frame as camera_id, x1 / 100 - 4.8::DOUBLE as wx, y1 / 30 as wz, x2 as u, y2 as v from segs),
+g as (select camera_id, cand_id, focal_px, wz, u, v, wx * cos(radians(pan_deg)) - (wz + distance_m) * sin(radians(pan_deg)) as rx, wx * sin(radians(pan_deg)) + (wz + distance_m) * cos(radians(pan_deg)) as rz, 0 - height_m as dy, radians(tilt_deg) as t from poses join k using (camera_id)),
 e as (select *, rz * cos(t) - dy * sin(t) as depth, dy * cos(t) + rz * sin(t) as ry from g),
-sc as (select cand_id, sqrt(avg(case when depth > 0.05 then (480 + focal_px * rx / depth - u) ** 2 + (270 - focal_px * ry / depth - v) ** 2 else 2000 end)) as rmse, max(wz) - min(wz) as depth_spread from e group by cand_id)"""
+sc as (select camera_id, cand_id, sqrt(avg(case when depth > 0.05 then (480 + focal_px * rx / depth - u) ** 2 + (270 - focal_px * ry / depth - v) ** 2 else 2000 end)) as rmse, max(wz) - min(wz) as depth_spread from e group by camera_id, cand_id)"""
 _BALLD = f"{duck('boxes')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes), {_POINTS}"
 _WR = "wr0 as (select clip_id, frame, min_by(cx, box_key) as x, min_by(cy, box_key) as y from c where class = 'person' group by clip_id, frame), wr as (select *, sqrt((lead(x) over w - lag(x) over w) ** 2 + (lead(y) over w - lag(y) over w) ** 2) / 2 as speed from wr0 window w as (partition by clip_id order by frame))"
 ORACLE_SQL = {
@@ -233,7 +235,7 @@ select clip_id, frame, b.f::DOUBLE as bounce_frame, round({_GX.format(x='b.x', y
     "flt10_in_court": f"{_B} select clip_id, coalesce({_in('x', 'y')}, false) as inside, count(*) as n from c group by all",
     "sc3_homography_round_trip": f"{_B} select box_key, round({_GX.format(x='x', y='y')}, 6) as gx, round({_GZ.format(x='x', y='y')}, 6) as gz, round(x, 6) as u, round(y, 6) as v from c",
     "flt2_moving_tracks": f"{_B}, t as (select clip_id, track_id, count(*) as frames, stddev_pop(cy) as sd_y from c group by clip_id, track_id) select clip_id, track_id, frames, round(sd_y, 6) as sd_y from t where frames >= 60 and sd_y >= 0.28::DOUBLE * 540",
-    "flt3_tall_or_moving": f"""{_B}, t as (select clip_id, track_id, count(*) as frames, avg(h) as mean_h, stddev_pop(cx) as sd_x, stddev_pop(cy) as sd_y from c where clip_id < 9 or x > 500 group by clip_id, track_id),
+    "flt3_tall_or_moving": f"""{_B}, t as (select clip_id, track_id, count(*) as frames, avg(h) as mean_h, stddev_pop(cx) as sd_x, stddev_pop(cy) as sd_y from c group by clip_id, track_id),
 o as (select *, frames >= 64 and (mean_h > 81 or sd_x >= 0.02::DOUBLE * 960 or sd_y >= 0.02::DOUBLE * 540) as ok from t)
 select clip_id, track_id, frames, round(mean_h, 6) as mean_h, round(sd_x, 6) as sd_x, round(sd_y, 6) as sd_y from (select *, bool_or(ok) over (partition by clip_id) as passes from o) where ok or not passes""",
     "flt6_shape_filter": f"{_B} select clip_id, class, count(*) as n from c where w * h >= 300 and h >= 0.6::DOUBLE * w group by all",
@@ -259,9 +261,9 @@ select a.clip_id, a.track_id as a, b.track_id as b, coalesce(shared, 0) as share
     "ag25_fit_line": f"""{duck('segs')}, s as (select *, x1 + seg_id / 1000 as x, sum(coalesce((y1 - last > 5)::INT, 0)) over (partition by frame order by y1, seg_id) as cluster from (select *, lag(y1) over (partition by frame order by y1, seg_id) as last from segs)),
 f as (select frame, cluster, count(*) as n, avg(x) as mx, avg(y1) as my, 0.5::DOUBLE * atan2(2 * covar_pop(x, y1), var_pop(x) - var_pop(y1)) as angle from s group by frame, cluster)
 select frame, cluster::BIGINT as cluster, n, round(mx, 6) as mx, round(my, 6) as my, round(angle, 6) as angle, round(min((x - mx) * cos(angle) + (y1 - my) * sin(angle)), 6) as low, round(max((x - mx) * cos(angle) + (y1 - my) * sin(angle)), 6) as high from s join f using (frame, cluster) group by frame, cluster, n, mx, my, angle""",
-    "ag19_reprojection": f"{_REPRO} select cand_id, round(rmse, 6) as rmse, round(depth_spread, 6) as depth_spread, round(1 / (1 + rmse), 6) as score from sc",
-    "clu10_best_poses": f'{_REPRO} select cand_id % 20 as "group", rank::INTEGER as rank, cand_id, round(rmse, 6) as rmse from (select *, row_number() over (partition by cand_id % 20 order by rmse, cand_id) as rank from sc) where rank <= 3',
+    "ag19_reprojection": f"{_REPRO} select camera_id, cand_id, round(rmse, 6) as rmse, round(depth_spread, 6) as depth_spread, round(1 / (1 + rmse), 6) as score from sc",
+    "clu10_best_poses": f'{_REPRO} select camera_id, rank::INTEGER as rank, cand_id, round(rmse, 6) as rmse from (select *, row_number() over (partition by camera_id order by rmse, cand_id) as rank from sc) where rank <= 3',
     "clu8_ground_homography": f"{duck('segs')} select frame as camera_id, count(*) as points, case when count(*) >= 4 then true end as recovered from segs group by frame",
-    "ag26_median_calibration": f"{duck('poses')}, c as (select *, cand_id % 50 as camera_id from poses), m as (select camera_id, median(focal_px) as focal from c group by camera_id) select camera_id, round(focal, 6) as focal_px, cand_id as kept from (select c.*, focal, row_number() over (partition by camera_id order by abs(focal_px - focal), cand_id) as k from c join m using (camera_id)) where k = 1",
+    "ag26_median_calibration": f"{duck('poses')}, c as (select * from poses), m as (select camera_id, median(focal_px) as focal from c group by camera_id) select camera_id, round(focal, 6) as focal_px, cand_id as kept from (select c.*, focal, row_number() over (partition by camera_id order by abs(focal_px - focal), cand_id) as k from c join m using (camera_id)) where k = 1",
     "clu11_height_cm": f"{_B}, q as (select box_key, h * 10 * (w / 4::DOUBLE) / 900 * 100 as v from c) select box_key, round(case when v between 100 and 220 then v end, 6) as height_cm from q",
 }

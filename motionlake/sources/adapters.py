@@ -48,11 +48,11 @@ VIEWS = {
                case l_linenumber % 3 when 0 then null when 1 then true else false end as split_step, 1 - l_tax * 5 as confidence
         from {lineitem}""",
     "segs": """
-        select cast(c_nationkey as int) as frame, c_custkey as seg_id, cast((c_custkey * 37) % 960 as double) as x1, cast((c_custkey * 91) % 540 as double) as y1,
+        select cast(floor((c_custkey - 1) / 20) as int) as frame, c_custkey as seg_id, cast((c_custkey * 37) % 960 as double) as x1, cast((c_custkey * 91) % 540 as double) as y1,
                cast((c_custkey * 53 + 200) % 960 as double) as x2, cast((c_custkey * 17 + 100) % 540 as double) as y2
         from {customer}""",
     "poses": """
-        select p_partkey as cand_id, cast(0.8 as double) + 1.4 * (p_size / cast(50 as double)) as height_m, 1 + 13 * ((p_partkey % 97) / cast(97 as double)) as distance_m,
+        select cast(floor((p_partkey - 1) / 40) as int) as camera_id, p_partkey as cand_id, cast(0.8 as double) + 1.4 * (p_size / cast(50 as double)) as height_m, 1 + 13 * ((p_partkey % 97) / cast(97 as double)) as distance_m,
                -15 + 40 * ((p_partkey % 41) / cast(41 as double)) as tilt_deg, -20 + 40 * ((p_partkey % 53) / cast(53 as double)) as pan_deg,
                400 + 1800 * ((p_partkey % 89) / cast(89 as double)) as focal_px
         from {part}""",
