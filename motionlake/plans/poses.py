@@ -152,6 +152,12 @@ def _pick(k: str, v: str) -> str:
 
 
 _CONF = "greatest(0.5::DOUBLE, least(0.95::DOUBLE, 0.5::DOUBLE + abs({m}) / {s}::DOUBLE * 0.45::DOUBLE))"
+_CLS = f"""q0 as (select *, x16 - ((x11 + x12) / 2 + (x23 + x24) / 2) / 2 as off from v join kf using (clip_id)),
+q as (select clip_id, median(y0) - min(y16) filter (where i between impact - 5 and impact + 5) as overhead, max(abs(off)) filter (where i < impact) / max(tall) as amp, max(case when i = coalesce(backswing_peak, greatest(0, impact - 5)) then off end) as side,
+  degrees(atan2({_pick('backswing_peak', 'y16')} - {_pick('impact', 'y16')}, abs({_pick('impact', 'x16')} - {_pick('backswing_peak', 'x16')}) + 1e-9)) as path, max(tall) as tall, max(impact) as impact from q0 group by clip_id),
+s as (select *, greatest(0.5::DOUBLE, least(0.95::DOUBLE, 0.5::DOUBLE + abs(side) / (0.25::DOUBLE * tall) * 0.45::DOUBLE)) as sure_side, coalesce(side > 0, false) as fore from q),
+cls as (select clip_id, case when impact is null then 'FH' when overhead > 0.03 then 'SV' when amp < 0.35 then 'VL' when not fore and path < -15 then 'SL' when fore then 'FH' else 'BH' end as stroke_type,
+case when impact is null then 0.5 when overhead > 0.03 then {_CONF.format(m='(overhead - 0.03::DOUBLE)', s='0.15')} when amp < 0.35 then {_CONF.format(m='(0.35::DOUBLE - amp)', s='0.2')} when not fore and path < -15 then least(sure_side, {_CONF.format(m='(-15 - path)', s='20')}) else sure_side end as confidence, side from s)"""
 _COM = "(((x11 + x12) / 2 + (x23 + x24) / 2) / 2 * 0.5::DOUBLE + " + " + ".join(f"(x{a} + x{b}) / 2 * {m}::DOUBLE" for a, b, m in B.SEGMENTS) + ")"
 _ELBOW = "degrees(acos(greatest(-1::DOUBLE, least(1::DOUBLE, ((x12 - x14) * (x16 - x14) + (y12 - y14) * (y16 - y14)) / (sqrt((x12 - x14) ** 2 + (y12 - y14) ** 2) * sqrt((x16 - x14) ** 2 + (y16 - y14) ** 2))))))"
 _SPINE = "degrees(atan2((x11 + x12) / 2 - (x23 + x24) / 2, abs((y11 + y12) / 2 - (y23 + y24) / 2) + 1e-9))"
@@ -177,12 +183,7 @@ round((x23 + x24) / 2 + (x16 - (x23 + x24) / 2) * cos(radians(6)) - (y16 - (y23
     "wn32_scale_series": f"{_BASE}, {_CAL} select wide.clip_id, frame, round(180 / height * greatest(0.5::DOUBLE, least(2::DOUBLE, trunk / case when {_TRUNK} > 1e-6 then {_TRUNK} else trunk end)), 6) as cm from wide join cal using (clip_id)",
     "d_vq_quality": f"{_BASE}, {_EN}, {_VQ} select clip_id, issues, swing_cut, usable, round(visibility, 6) as visibility, round(near_edge, 6) as near_edge from vq",
     "d_kf_keyframes": f"{_BASE}, {_KF} select clip_id, " + ", ".join(f"{k}::DOUBLE as {k}" for k in poses.KEYFRAMES) + ", round(impact_ms, 6) as impact_ms from kf",
-    "d_cls_classify": f"""{_BASE}, {_KF}, q0 as (select *, x16 - ((x11 + x12) / 2 + (x23 + x24) / 2) / 2 as off from v join kf using (clip_id)),
-q as (select clip_id, median(y0) - min(y16) filter (where i between impact - 5 and impact + 5) as overhead, max(abs(off)) filter (where i < impact) / max(tall) as amp, max(case when i = coalesce(backswing_peak, greatest(0, impact - 5)) then off end) as side,
-  degrees(atan2({_pick('backswing_peak', 'y16')} - {_pick('impact', 'y16')}, abs({_pick('impact', 'x16')} - {_pick('backswing_peak', 'x16')}) + 1e-9)) as path, max(tall) as tall, max(impact) as impact from q0 group by clip_id),
-s as (select *, greatest(0.5::DOUBLE, least(0.95::DOUBLE, 0.5::DOUBLE + abs(side) / (0.25::DOUBLE * tall) * 0.45::DOUBLE)) as sure_side, coalesce(side > 0, false) as fore from q)
-select clip_id, case when impact is null then 'FH' when overhead > 0.03 then 'SV' when amp < 0.35 then 'VL' when not fore and path < -15 then 'SL' when fore then 'FH' else 'BH' end as stroke_type,
-round(case when impact is null then 0.5 when overhead > 0.03 then {_CONF.format(m='(overhead - 0.03::DOUBLE)', s='0.15')} when amp < 0.35 then {_CONF.format(m='(0.35::DOUBLE - amp)', s='0.2')} when not fore and path < -15 then least(sure_side, {_CONF.format(m='(-15 - path)', s='20')}) else sure_side end, 6) as confidence, round(side, 6) as side from s""",
+    "d_cls_classify": f"{_BASE}, {_KF}, {_CLS} select clip_id, stroke_type, round(confidence, 6) as confidence, round(side, 6) as side from cls",
     "d_cf_confidence": f"{_BASE}, {_KF}, {_CF} select clip_id, round(pose_confidence, 6) as pose_confidence, round(hidden, 6) as hidden, clean from cf",
     "d_root_stroke_root": f"""{_BASE}, {_EN}, {_VQ}, {_KF}, {_CF}, j as (select clip_id, issues, pose_confidence, (unit_turn is not null)::INT + (backswing_peak is not null)::INT + (impact is not null)::INT + (follow_through_peak is not null)::INT as swing, ready_restored is not null as ready from kf join cf using (clip_id) join vq using (clip_id)),
 r as (select *, case when swing = 4 and ready then 'valid' when swing = 0 then 'failed' else 'partial' end as status, swing = 4 and issues = '' as is_clean from j)
