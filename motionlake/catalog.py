@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-PLAN_MODULES = ("series", "joins", "sessions", "poses", "metric_blocks", "tracking", "inout", "streams", "strokes")
+PLAN_MODULES = ("series", "joins", "sessions", "poses", "metric_blocks", "tracking", "inout", "streams", "strokes", "records")
 FLAGSHIP = "cj3_session_summary"
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "motionlake-scratch")
+    """A new path in the folder that the cluster names; a local one only in local mode, where none need be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or os.path.join(tempfile.gettempdir(), "motionlake-scratch")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
