@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named by the cluster; a local one only in local mode, where none need be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "motionlake-scratch")
     return root.rstrip("/")
 
