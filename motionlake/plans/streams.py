@@ -17,11 +17,12 @@ def _events(spark, d):
     return jobs.read_table(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _stored(spark, df, name):
-    """A batch view as a stream: written once, read as files."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def _stored(spark, df, name, slices=3):
+    """A batch view as a stream: its rows arrive in ``slices`` micro-batches, in the order of ``frame``."""
+    arrivals = jobs.Arrivals(df, scratch_path(spark, name), "frame", slices)
+    for k in range(slices):
+        arrivals.add(k)
+    return arrivals.stream()
 
 
 def st8_stream_counts(spark, d):
@@ -58,6 +59,17 @@ def st2_stream_match_tracks(spark, d):
     return r6(jobs.run_available(jobs.match_tracks(_stored(spark, b, "st2-in"), 960 * 0.12, 15), scratch_path(spark, "st2")), "cx", "cy")
 
 
+def st7_stream_resume(spark, d):
+    """The One-Euro stream, stopped after the first slice and started again from its checkpoint when the others have arrived."""
+    s = view(spark, d, "sig").select("clip_id", F.col("frame").cast("long").alias("frame"), (F.col("t_ms") / 3_600_000).alias("t_s"), "x")
+    arrivals, out = jobs.Arrivals(s, scratch_path(spark, "st7-in"), "frame", 3), scratch_path(spark, "st7")
+    arrivals.add(0)
+    jobs.run_available(jobs.one_euro(arrivals.stream()), out)
+    arrivals.add(1)
+    arrivals.add(2)
+    return r6(jobs.run_available(jobs.one_euro(arrivals.stream()), out), "smooth")
+
+
 def d_ml_hit_gate(spark, d):
     from .tracking import d_hitf_hit_features
 
@@ -68,7 +80,7 @@ def d_ml_hit_gate(spark, d):
     return r6(evaluation.classification_report(rows, "is_hit", "called"), "precision", "recall", "f1")
 
 
-QUERIES = {f.__name__: f for f in (st8_stream_counts, st5_stream_sessions, st6_stream_next_within, st1_stream_one_euro, st4_stream_keep_apart, st2_stream_match_tracks, d_ml_hit_gate)}
+QUERIES = {f.__name__: f for f in (st8_stream_counts, st5_stream_sessions, st6_stream_next_within, st1_stream_one_euro, st4_stream_keep_apart, st2_stream_match_tracks, st7_stream_resume, d_ml_hit_gate)}
 
 ORACLE_SQL = {
     "st8_stream_counts": "select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1, 2",
@@ -76,5 +88,6 @@ ORACLE_SQL = {
 s as (select user_id, run, count(*) as n from r group by user_id, run) select user_id, count(*) as sessions, max(n) as longest from s group by user_id""",
     "st6_stream_next_within": "select h.event_id as hit, count(*) as n from events h join events b on h.user_id = b.user_id and b.ts > h.ts and b.ts <= h.ts + interval 12 hours where h.event_type = 'purchase' and b.event_type = 'click' group by h.event_id",
     "st1_stream_one_euro": batch.ORACLE_SQL["st1_one_euro"],
+    "st7_stream_resume": batch.ORACLE_SQL["st1_one_euro"],
     "st4_stream_keep_apart": batch.ORACLE_SQL["wn22_hit_dedup"],
 }

@@ -21,6 +21,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
+class Arrivals:
+    """A stored table that arrives in slices by ``order``: every slice is written when it is added, and a stream over the folder
+    takes about one slice a micro-batch, in the order of arrival."""
+
+    def __init__(self, rows: DataFrame, path: str, order: str, slices: int):
+        bounds = rows.approxQuantile(order, [k / slices for k in range(1, slices)], 0.01) if slices > 1 else []
+        place = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+        self.rows, self.path = rows.withColumn("_slice", place), path
+        self.files = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, k: int) -> None:
+        self.rows.filter(F.col("_slice") == k).drop("_slice").repartition(self.files).write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.rows.sparkSession.readStream.schema(self.rows.drop("_slice").schema).option("maxFilesPerTrigger", self.files).parquet(self.path)
+
+
 def tumbling_counts(events: DataFrame, ts: str, keys: list[str], width: str, late: str) -> DataFrame:
     """Rows and mean value per key and window of fixed width."""
     return events.withWatermark(ts, late).groupBy(*keys, F.window(ts, width)).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("window.start").alias("start"), "n")
