@@ -114,3 +114,45 @@ def derived(kinds: DataFrame, contacts: DataFrame, movements: DataFrame) -> Data
         F.when(F.abs(shift) < 5, "neutral").when(shift > 0, "forward").when(shift.isNotNull(), "backward").alias("weight_transfer_direction"),
         F.when(reach.isNull() | low.isNull(), None).when(reach < low, "early").when(reach > high, "late").otherwise("ideal").alias("contact_timing"),
     )
+
+
+# Least visibility of a landmark in use, and how far over the head a serve is met, in the light document's rules.
+LIGHT_SEEN, LIGHT_OVERHEAD = 0.3, 0.05
+
+
+def _angle3(a: int, b: int, c: int) -> Column:
+    """Angle at b in space, 0 where an arm of it has no length."""
+    u, v = [at(a, x) - at(b, x) for x in "xyz"], [at(c, x) - at(b, x) for x in "xyz"]
+    nu, nv = B.norm(*u), B.norm(*v)
+    cosine = (u[0] * v[0] + u[1] * v[1] + u[2] * v[2]) / (nu * nv)
+    return F.when((nu < 1e-6) | (nv < 1e-6), 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
+
+
+def light_type(track: DataFrame, hand: str = "R") -> DataFrame:
+    """The light classifier at the impact frame: ``stroke_type`` by wrist over nose, then by the side of the shoulders' middle; a
+    forehand where nose, shoulders or wrist are not seen, or without impact."""
+    w = poses.handed(track, hand)["wrist"]
+    seen = (at(0, "vis") >= LIGHT_SEEN) & (at(11, "vis") >= LIGHT_SEEN) & (at(12, "vis") >= LIGHT_SEEN) & (at(w, "vis") >= LIGHT_SEEN)
+    own_side = at(w, "x") > mid(11, 12, "x") if hand == "R" else at(w, "x") < mid(11, 12, "x")
+    kind = F.when(~seen, "FH").when(at(w, "y") < at(0, "y") - LIGHT_OVERHEAD, "SV").when(own_side, "FH").otherwise("BH")
+    return track.groupBy(*CLIP).agg(F.coalesce(poses._pick("impact", kind), F.lit("FH")).alias("stroke_type"))
+
+
+def light(track: DataFrame, height_cm: float = 170.0, hand: str = "R") -> DataFrame:
+    """The light document's block: rotations in the picture plane, arm angles, and the contact in cm, where the landmarks are seen."""
+    side, pick = poses.handed(track, hand), poses._pick
+    s, e, w = side["shoulder"], side["elbow"], side["wrist"]
+    turn = lambda a, b: F.degrees(F.atan2(at(b, "y") - at(a, "y"), at(b, "x") - at(a, "x")))
+    left, right = at(27, "vis") > LIGHT_SEEN, at(28, "vis") > LIGHT_SEEN
+    ground = F.when(left & right, mid(27, 28, "y")).when(left, at(27, "y")).when(right, at(28, "y"))
+    tall = F.abs(ground - at(0, "y"))
+    cm = F.when((at(0, "vis") >= LIGHT_SEEN) & (tall >= 1e-6), F.lit(height_cm) / tall)
+    seen = at(w, "vis") > LIGHT_SEEN
+    tx, ty = (mid(11, 12, "x") + mid(23, 24, "x")) / 2, (mid(11, 12, "y") + mid(23, 24, "y")) / 2
+    has = F.first("impact").isNotNull()
+    return track.groupBy(*CLIP).agg(
+        F.when(has, pick("unit_turn", turn(11, 12))).alias("shoulder_turn_deg"), F.when(has, pick("unit_turn", turn(23, 24))).alias("hip_turn_deg"),
+        pick("impact", turn(11, 12)).alias("shoulder_impact_deg"), pick("impact", turn(23, 24)).alias("hip_impact_deg"), pick("impact", turn(11, 12) - turn(23, 24)).alias("separation_deg"),
+        F.when(has, pick("follow_through_peak", _angle3(s, e, w))).alias("follow_through_angle_deg"), F.when(has, pick("backswing_peak", _angle3(s, e, w))).alias("backswing_depth_deg"),
+        pick("impact", F.when(seen, F.abs(ground - at(w, "y")) * cm)).alias("contact_height_cm"), pick("impact", F.when(seen, B.norm(at(w, "x") - tx, at(w, "y") - ty) * cm)).alias("contact_distance_cm"),
+    )

@@ -35,7 +35,15 @@ def m_derived(spark, d):
     return M.derived(t.groupBy("clip_id").agg(F.first("stroke_type").alias("stroke_type")), M.contact(t), M.movement(t))
 
 
-QUERIES = {f.__name__: f for f in (m_arm, m_contact, m_movement, m_derived)}
+def d_cls2_light_type(spark, d):
+    return M.light_type(P.poses.tracked(P.frames(spark, d)))
+
+
+def m_light(spark, d):
+    return _rounded(M.light(P.poses.tracked(P.frames(spark, d))))
+
+
+QUERIES = {f.__name__: f for f in (m_arm, m_contact, m_movement, m_derived, d_cls2_light_type, m_light)}
 
 _p = P._pick
 _TORSO = "((x11 + x12) / 2 + (x23 + x24) / 2) / 2"
@@ -73,4 +81,12 @@ case when weight_timing_ms is null then 'none' when weight_timing_ms < -50 then
 case when abs(front_transfer_pct - rear_load_pct) < 5 then 'neutral' when front_transfer_pct > rear_load_pct then 'forward' when front_transfer_pct - rear_load_pct is not null then 'backward' end as weight_transfer_direction,
 case when contact_distance_cm is null or stroke_type = 'SV' then null when contact_distance_cm < case stroke_type when 'RS' then 10 else 15 end then 'early'
   when contact_distance_cm > case stroke_type when 'SL' then 35 when 'RS' then 30 when 'VL' then 45 else 40 end then 'late' else 'ideal' end as contact_timing from con join mov using (clip_id)""",
+    "d_cls2_light_type": f"""{P._BASE}, {P._KF}, k as (select clip_id, case when least(v0, v11, v12, v16) < 0.3 then 'FH' when y16 < y0 - 0.05 then 'SV' when x16 > (x11 + x12) / 2 then 'FH' else 'BH' end as kind from v join kf using (clip_id) where i = impact)
+select c.clip_id, coalesce(kind, 'FH') as stroke_type from (select distinct clip_id from wide) c left join k using (clip_id)""",
+    "m_light": f"""{P._BASE}, {P._KF}, l0 as (select v.*, unit_turn, backswing_peak, impact, follow_through_peak, case when v27 > 0.3 and v28 > 0.3 then (y27 + y28) / 2 when v27 > 0.3 then y27 when v28 > 0.3 then y28 end as ground from v join kf using (clip_id)),
+l as (select *, case when v0 >= 0.3 and abs(ground - y0) >= 1e-6 then 170 / abs(ground - y0) end as cm, degrees(atan2(y12 - y11, x12 - x11)) as sturn, degrees(atan2(y24 - y23, x24 - x23)) as hturn, case when {_LEN} < 1e-12 then 0 else {_ELBOW3} end as el from l0)
+select clip_id, round(case when any_value(impact) is not null then {_p('unit_turn', 'sturn')} end, 6) as shoulder_turn_deg, round(case when any_value(impact) is not null then {_p('unit_turn', 'hturn')} end, 6) as hip_turn_deg,
+round({_p('impact', 'sturn')}, 6) as shoulder_impact_deg, round({_p('impact', 'hturn')}, 6) as hip_impact_deg, round({_p('impact', 'sturn - hturn')}, 6) as separation_deg, round(case when any_value(impact) is not null then {_p('follow_through_peak', 'el')} end, 6) as follow_through_angle_deg,
+round(case when any_value(impact) is not null then {_p('backswing_peak', 'el')} end, 6) as backswing_depth_deg, round({_p('impact', 'case when v16 > 0.3 then abs(ground - y16) * cm end')}, 6) as contact_height_cm,
+round({_p('impact', f'case when v16 > 0.3 then sqrt((x16 - {_TORSO}) ** 2 + (y16 - {_TORSO.replace("x", "y")}) ** 2) * cm end')}, 6) as contact_distance_cm from l group by clip_id""",
 }
