@@ -42,18 +42,25 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
-    weakref.finalize(out, _PATHS.pop, id(out), None)
-    return out
+    return remember(out, path)
 
 
-_PATHS: dict[int, str] = {}
+_PATHS: dict[int, tuple[str, str | None]] = {}
+
+
+def remember(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    """Notes where ``df`` is stored, and under which table name, for ``discard``."""
+    _PATHS[id(df)] = (path, table)
+    weakref.finalize(df, _PATHS.pop, id(df), None)
+    return df
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``materialize`` wrote, once nothing reads them any more; shared storage holds no more than is in use."""
+    """Deletes tables that ``materialize`` or ``remember`` noted, once nothing reads them any more; shared storage holds no more than is in use."""
     for t in tables:
-        path = _PATHS.pop(id(t), None)
+        path, name = _PATHS.pop(id(t), (None, None))
+        if name:
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             delete_path(t.sparkSession, path)
 

@@ -32,11 +32,14 @@ class LineRuns:
     def __init__(self, spark, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or common.shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
+        self.merged: list[str] = []
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = common.scratch_path(self.spark, name)
         # hashed to the buckets before the write, so each bucket is one file and its sort order holds
-        keys.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet").option("path", common.scratch_path(self.spark, name)).saveAsTable(name)
+        keys.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def add(self, keys: DataFrame) -> DataFrame:
@@ -62,9 +65,18 @@ class LineRuns:
             for n in self.levels[level]:
                 part = self.spark.table(n).filter(~F.col("seen")).select("h1", "h2", "seen")
                 merged = part if merged is None else merged.unionByName(part)
+            self.merged += self.levels[level]
             self.levels[level] = []
             self._place(self._write(merged), level + 1)
 
+    def sweep(self, everything: bool = False) -> None:
+        """Drops the runs that compaction has replaced, or all of them; no open query may read them any more."""
+        for name in [*self.merged, *(n for level in self.levels for n in level if everything)]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            common.delete_path(self.spark, self.paths.pop(name))
+        self.merged = []
+        self.levels = [] if everything else self.levels
+
 
 def line_keys(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """``doc_id, text_hash, pos, h1, h2``: a row for each line whose key has at least ``min_key`` code points."""
@@ -83,6 +95,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, min_key: int = MIN_KEY, runs:
     for i, e in reversed(list(enumerate(edges))):
         batch = F.when(F.col("doc_id") <= e, i).otherwise(batch)
     lines = common.materialize(line_keys(docs, min_key).withColumn("batch", batch), "lines", partition_by="batch")
+    own_runs = runs is None
     runs = runs or LineRuns(spark)
     drops = None
     for b in range(len(edges) + 1):
@@ -98,6 +111,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, min_key: int = MIN_KEY, runs:
             drops = hit if drops is None else drops.unionByName(hit)
     drops = common.materialize(drops, "line-drops")
     common.discard(lines)
+    runs.sweep(everything=own_runs)
     gone = drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
     out = out.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
