@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Upper end of a size band over its lower end.
 BAND_WIDTH = 1.5
 #: Groups of one pivot with at most this many sets are compared directly, without residual prefixes.
@@ -302,12 +302,16 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
                 out += [pa.array(differ, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "differ", "prefix"][: len(out)])
 
+    # shingle sets are large: each is sent once for every pair it is b of, and a pivot's once for every lot; where the list of pairs
+    # is small enough to be sent everywhere, the sets of the others stay where they are
     lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"))
-    firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(lots, "a")
+    lots = common.materialize(lots, "lots")
+    few = common.broadcast_if_small(lots)
+    firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(few, "a")
     firsts = firsts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
-    # shingle sets are large: merge joins at every size, no broadcast
-    t = dealt.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b")).hint("merge"), "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
+    dealt = pairs.join(few, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).select("a", "b", "lot")
+    seconds = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
+    t = seconds.join(common.broadcast_if_small(dealt), "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
     return t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
 
 
@@ -397,6 +401,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         signed = _sign(once, n, bands).repartition(common.shuffle_partitions(spark), "key").groupBy("key", "short_name").agg(F.lit(1).alias("one"))
         signed = signed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1 or key is null")
         shared = common.materialize(signed.select("key", "short_name", "n"), "shared-signatures")
+        del signed
         short = [r.short_name for r in shared.filter("key is null").distinct().collect()]  # bands: a few dozen
         if not short:
             break

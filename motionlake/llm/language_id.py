@@ -33,7 +33,7 @@ MAX_DOC_BYTES = 64_000
 UNDETERMINED = "und"
 PAD = b"   "
 #: Bytes of text looked up at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
