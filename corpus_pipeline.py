@@ -19,7 +19,8 @@ LEAST_SCORE = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letters, or no language with most of the posterior."""
+    """Drops documents without a language: a null or empty text, no letters, or no language with most of the posterior. A null
+    ``doc_id`` is predicted, not learned from; repeated rows all stay; with nothing to learn from nothing is kept; other columns are left out."""
     model = language_id.train(docs.filter(~language_id.held_out()))
     rated = language_id.predict(docs.select(*COLUMNS), model)
     return rated.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > LEAST_SCORE)).select(*COLUMNS)
@@ -39,7 +40,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document that holds a window of ten consecutive words of a benchmark item (or a whole shorter item)."""
+    """Drops every document that holds a window of ten consecutive words of a benchmark item (or a whole shorter item). Null and
+    wordless texts hold none and stay, as do repeated rows and rows without ``doc_id``; an empty table stays empty."""
     found = decontamination.scan(docs, common.read(spark, sf_dir, "benchmark"))
     hit = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
     rows = docs.select(*COLUMNS)
@@ -65,7 +67,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard (0 to 23, bytes near equal) and slot of every row."""
+    """The shard (0 to 23, bytes near equal) and slot of every row: null texts count 0 bytes, repeated rows are separate records, an
+    empty table gives no rows."""
     return sharding.shard(docs)
 
 
