@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
+#: Shingles that a worker signs at once; a larger set is signed alone.
+SIGN_AT_ONCE = 100_000
 #: Upper end of a size band over its lower end.
 BAND_WIDTH = 1.5
 #: Groups of one pivot with at most this many sets are compared directly, without residual prefixes.
@@ -221,17 +223,25 @@ def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
     """``key, short_name`` of all signatures. A null key marks a set that was short of segments, its band in ``short_name``."""
     shared = docs.sparkSession.sparkContext.broadcast(bands)
 
+    def rows_of(sets: list[np.ndarray]):
+        k, names, short = signatures(sets, np.array([_short_name(set_name(s)) for s in sets], np.int64), shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(names)], names=["key", "short_name"])
+        if short:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(sorted(short), pa.int64())], names=["key", "short_name"])
+
     def run(batches):
-        bands = shared.value
+        sets, held = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sets = [s for t in common.byte_texts(batch.column(0)[lo : lo + 256]) if len(s := shingles(t, n))]
-                if not sets:
-                    continue
-                k, names, short = signatures(sets, np.array([_short_name(set_name(s)) for s in sets], np.int64), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(names)], names=["key", "short_name"])
-                if short:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(sorted(short), pa.int64())], names=["key", "short_name"])
+            for t in common.byte_texts(batch.column(0)):
+                s = shingles(t, n)
+                if len(s):
+                    sets.append(s)
+                    held += len(s)
+                if held >= SIGN_AT_ONCE:
+                    yield from rows_of(sets)
+                    sets, held = [], 0
+        if sets:
+            yield from rows_of(sets)
 
     return docs.select("text").mapInArrow(run, "key long, short_name long")
 
