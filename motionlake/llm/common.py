@@ -92,7 +92,7 @@ def arrow_batches(spark: SparkSession, rows: int):
 
 
 #: Bytes of an Arrow batch of whole texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ from . import common
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Test windows are broadcast in slices of about so many (at most 44 bytes each in a worker); more slices mean more passes over the index.
 SLICE_WINDOWS = 1_000_000
 INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
