@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, line_dedup, mixing, neighbours, sharding, token_files
+from . import conversation_repair, decontamination, html_extraction, jaccard_join, language_id, license_scan, line_dedup, mixing, neighbours, sharding, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neighbours": neighbours.query,
     "op9_decontamination": decontamination.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_whitening": whitening.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_toxicity": toxicity.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,5 @@ ORACLE_SQL = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
 }
