@@ -45,6 +45,20 @@ def parse(page: str | None) -> Node:
     root = Node("#root")
     stack = [root]
     at, text = 0, page or ""
+    # where the open elements of each name, and open blocks, stand in the stack: no end tag has to walk through it
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def nearest(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(i: int) -> None:
+        for n in stack[i:]:
+            places[n.tag].pop()
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+        del stack[i:]
+
     while True:
         m = _TOKEN.search(text, at)
         upto = m.start() if m else len(text)
@@ -59,30 +73,17 @@ def parse(page: str | None) -> Node:
                 stack[-1].children.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                # an inline end tag does not close the block around it
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+            i = nearest(tag)
+            # an inline end tag does not close the block around it
+            if i and (tag in BLOCK or not blocks or i > blocks[-1]):
+                close(i)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        if tag in CLOSES_P and blocks and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif stack[i].tag in SCOPE.get(tag, ()):
+            while (i := nearest(*CLOSES[tag])) > nearest(*SCOPE.get(tag, ())):
+                close(i)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(text, at)
@@ -91,6 +92,9 @@ def parse(page: str | None) -> Node:
         node = Node(tag, {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3])} if m[3] else None)
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
 
 

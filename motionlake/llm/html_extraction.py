@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common, dom
 
-BROADCAST_HOSTS = 20_000
+#: Bytes of rules (paths and template texts of hosts) that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Wrappers that a task holds before it passes them on.
 HELD_HOSTS = 1_000
 #: Groups of tasks whose partial wrappers of a host are merged first.
@@ -44,6 +45,12 @@ OUTSIDE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login register search share sharing social "
     "related recommended recommendations comment comments respond reply replies disqus pagination pager toolbar footer masthead widget skip".split()
 )
+# Words that stand beside these in a name and say nothing themselves.
+FILLER_WORDS = frozenset(
+    "box wrap wrapper container block section area list bar link links button buttons post posts site page global main top bottom left right primary secondary "
+    "form forms content inner outer panel slot unit item items row col column group holder header"
+    .split()
+)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -58,9 +65,13 @@ def outside(tag: str, marks: dict, in_article: bool) -> bool:
         return True
     if tag in ("body", "html", "main", "article"):
         return "comment" in marks.get("class", "").lower()
-    names = _CAMEL.sub(" ", f"{marks.get('class', '')} {marks.get('id', '')}").lower()
-    found = set(_NAME.findall(names))
-    return bool(found & OUTSIDE_WORDS) or (not in_article and bool(found & {"header", "topbar", "top"}))
+    telling = OUTSIDE_WORDS if in_article else OUTSIDE_WORDS | {"header", "topbar", "top"}
+    # a class or id counts as a whole: "related-links" is outside, "related-work" is not
+    for name in f"{marks.get('class', '')} {marks.get('id', '')}".split():
+        found = set(_NAME.findall(_CAMEL.sub(" ", name).lower()))
+        if found & telling and found <= telling | FILLER_WORDS:
+            return True
+    return False
 
 
 def fold(wrapper: dom.Slot | None, page: str) -> dom.Slot:
@@ -124,7 +135,15 @@ def _find(root: dom.Node, path: str) -> list[dom.Node]:
 
 
 def _volume(node: dom.Node) -> int:
-    return sum(len(c) if isinstance(c, str) else _volume(c) for c in node.children)
+    """Characters below a node, at any depth."""
+    total, todo = 0, [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                total += len(c)
+            else:
+                todo.append(c)
+    return total
 
 
 def _region(root: dom.Node, path: str) -> tuple[list[dom.Node], bool]:
@@ -225,7 +244,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     rules = common.materialize(wrappers(pages), "wrappers")
-    few = rules.count() <= BROADCAST_HOSTS
+    held = F.octet_length("host") + F.octet_length("path") + F.aggregate("template", F.lit(0), lambda a, t: a + F.octet_length(t))
+    few = (rules.agg(F.sum(held + 64)).first()[0] or 0) <= BROADCAST_BYTES
     joined = pages.join(F.broadcast(rules) if few else rules, "host", "left").select("page_id", "url", "html", "path", "template")
 
     def run(batches):

@@ -1,5 +1,7 @@
 """Pages whose story stands in several parts."""
 
+import time
+
 from motionlake.llm import html_extraction
 
 
@@ -53,3 +55,18 @@ def test_blocks_of_the_tables_are_clean(spark, small_dir):
     pages = spark.read.parquet(f"{small_dir}/pages.parquet")
     texts = [r.text for r in html_extraction.extract_pages(pages).collect()]
     assert all("\n\n\n" not in t and t == t.strip() and "  " not in t for t in texts)
+
+
+def test_deep_articles_and_unclosed_elements():
+    deep = "<body><article>" + "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000 + "</article></body>"
+    assert html_extraction.extract(deep) == "deep" and html_extraction.extract(deep, "body>article") == "deep"
+    began = time.perf_counter()
+    for tag in ("b", "i"):
+        assert html_extraction.extract("<b>" * 40_000 + "text" + f"</p></{tag}>" * 40_000) == "text"
+    assert time.perf_counter() - began < 10
+
+
+def test_names_count_as_a_whole():
+    """Words of the lists inside other names keep their text; whole names of them go."""
+    page = '<body><article><h1>T</h1><section class="related-work"><p>Earlier work</p></section><div id="search-engines"><p>Engines</p></div><div class="relatedLinks"><p>no</p></div><div class="x comments-area"><p>no</p></div><p>End</p></article></body>'
+    assert html_extraction.extract(page) == "T\n\nEarlier work\n\nEngines\n\nEnd"
