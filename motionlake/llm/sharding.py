@@ -1,13 +1,14 @@
 """Sharding by sampled splitters.
 
-The key of a record is (hash of its text, record id), so equal texts are neighbours. Groups of equal texts larger than
-two fine ranges are set aside (fewer of them than ranges, so their list is bounded) and subdivided by record id. The other records are cut into
+The key of a record is (hash of its text, record id and place in the table), so equal texts are neighbours. Groups of equal texts larger than
+two fine ranges are set aside (fewer of them than ranges, so their list is bounded) and subdivided by record id and place. The other records are cut into
 fine ranges by the quantiles of a size-weighted key sample; ranges that came out overfull are subdivided. The exact
 bytes of each range, counted over all records, then decide which ranges fill which shard. A set-aside group goes whole
 to the emptiest shard; one larger than a shard is poured into several.
 
-Defined results: a null text counts 0 bytes, its checksum is that of no bytes; a null ``doc_id`` is an ordinary record (told apart by its place in the table);
-repeated rows are separate records; an empty table gives an empty result. Reruns agree, the sample is a hash of the record.
+Defined results: a null text counts 0 bytes, its checksum is that of no bytes; a null ``doc_id`` is an ordinary record; repeated rows are
+separate records, told apart by their place in the stored table, so that a group of them can be cut like any other; an empty table
+gives an empty result. The sample is a hash of the record, and reruns over the same files agree.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 5) -> DataFrame:
     """One row per record: ``doc_id, size, text_crc32, shard, slot``; bytes near equal, slots gapless from 0 in each shard."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = common.materialize(docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.monotonically_increasing_id())).alias("u")), "shard-keys")
+    keyed = common.materialize(docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()).alias("u")), "shard-keys")
     total, rows = keyed.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not rows:
         return keyed.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
