@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, each with a defined result."""
 
+from functools import lru_cache
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -43,6 +45,15 @@ def test_sharding_spreads_one_text_without_ids(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_sharding_spreads_one_repeated_row(spark):
+    """A third of the rows is the same row: ids and texts equal."""
+    rows = [(7, "the same text") if i % 3 == 0 else (i, f"text {i} " + "x" * (i % 5)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == 3000 and len(loads) == 24 and (loads - got["size"].sum() / 24).abs().max() <= 2 * got["size"].max()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_mixing(odd, none):
     rows = {(r.doc_id, r.source, i): r for i, r in enumerate(mixing.allocate(odd).collect())}
     assert len(rows) == 11
@@ -102,6 +113,7 @@ def plain_ppm(training: list[bytes], text: bytes) -> float:
                 counts.setdefault(padded[i - order : i], {}).setdefault(padded[i], 0)
                 counts[padded[i - order : i]][padded[i]] += 1
 
+    @lru_cache(None)
     def probability(symbol: int, context: bytes, order: int) -> float:
         if order < 0:
             return 1 / 256
@@ -182,10 +194,24 @@ def test_neighbours(spark):
     schema = "vec_id long, embedding array<float>, score string"
     v = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [2.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (3, [0.0, 1.0], "x"), (4, None, "x"), (5, [0.0, 0.0], "x"), (6, [1.0, float("nan")], "x"), (7, [1.0], "x"), (None, [1.0, 1.0], "x")], schema)
     got = [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(v, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 7), (0, 4, 3)]  # the shorter vector is filled with zeros
     assert neighbours.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_extreme_vectors(spark):
+    """A repeated query row, an id with two vectors, and vectors whose squares leave the range of doubles."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *((i, [1.0, 0.1 * i]) for i in range(1, 7))]
+    find = lambda r: [(x.query_id, x.rank, x.vec_id, x.score) for x in neighbours.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    got = find(rows)
+    assert [x[:3] for x in got] == [(0, i, i) for i in range(1, 6)]
+    assert all(abs(s - 1 / np.hypot(1, 0.1 * i)) < 1e-15 for _, _, i, s in got)
+    got = find([*rows, (0, [0.0, 1.0]), (9, [0.0, 2.0])])
+    assert [x[:3] for x in got] == [(0, 1, 9), (0, 2, 1), (0, 3, 2), (0, 4, 3), (0, 5, 4)]
+    got = find([(0, [1e200, 0.0]), (1, [1e-200, 1e-201]), (2, [5e-324, 0.0]), (3, [1.0, 1.0]), (4, [-1e300, 1e300])])
+    assert [x[:3] for x in got] == [(0, 1, 2), (0, 2, 1), (0, 3, 3), (0, 4, 4)]
+    assert np.allclose([x[3] for x in got], [1, 1 / np.sqrt(1.01), np.sqrt(0.5), -np.sqrt(0.5)], atol=1e-15)
+
+
 def test_html(spark):
     page = '<html><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><main><h1>Ti&amp;tle</h1><p>One <i>two</i>\nthree<p>Four<ul><li>a<li>b</ul><div class="comments"><p>no</p></div><form><p>x</p></form></main><aside>s</aside><script>var a="</p>"</script></html>'
     assert html_extraction.extract(page) == "Ti&tle\n\nOne two three\n\nFour\n\na\n\nb"
