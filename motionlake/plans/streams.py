@@ -8,7 +8,8 @@ from .. import ml_gate
 from ..operators import evaluation
 from ..sources.adapters import view
 from ..sources.scratch import scratch_path
-from ..streaming import jobs
+from ..streaming import hits, jobs
+from . import joins
 from . import series as batch
 from .series import r6
 
@@ -36,11 +37,34 @@ def st5_stream_sessions(spark, d):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
+#: When the streams begin (Spark takes rows at the epoch itself for late), milliseconds of a frame, and how late a row may come.
+START_MS, FRAME_MS, DELAY = 946_684_800_000, 100, "3 seconds"
+
+
+def _clocked(spark, tables, build, name, slices=3):
+    """Runs ``build`` over frame tables that arrive in ``slices`` micro-batches by frame, every seventh row 20 frames late, then
+    two clock ticks (what any other running clip would bring): the first moves the watermark past the end, the second lets it act. The query
+    is stopped after every slice and started again from its checkpoint."""
+    arrivals = []
+    for i, df in enumerate(tables):
+        delayed = F.pmod(F.hash("clip_id", "frame"), F.lit(7)) == 0
+        rows = df.withColumn("ts", F.timestamp_millis(START_MS + F.col("frame").cast("long") * FRAME_MS)).withColumn("late", F.when(delayed, F.col("frame") + 20).otherwise(F.col("frame")))
+        arrivals.append(jobs.Arrivals(rows, scratch_path(spark, f"{name}-{i}"), "late", slices))
+    path = scratch_path(spark, name)
+    for k in range(slices + 2):
+        for a in arrivals:
+            if k < slices:
+                a.add(k)
+            else:
+                a.tick(a.rows.agg(F.timestamp_add("hour", F.lit(k), F.max("ts")).alias("ts")))
+        out = jobs.run_available(build(*(a.stream(False).drop("late") for a in arrivals)), path)
+    return out
+
+
 def st6_stream_next_within(spark, d):
-    hits = _events(spark, d).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("hit_ts"), F.col("event_id").alias("hit"))
-    bounces = _events(spark, d).filter("event_type = 'click'").select("user_id", F.col("ts").alias("bounce_ts"))
-    out = jobs.run_available(jobs.next_within(hits, bounces, "user_id", "12 hours", "1 day"), scratch_path(spark, "st6"))
-    return out.filter("bounce_ts is not null").groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+    s = view(spark, d, "sig").select("clip_id", "frame", "x")
+    out = _clocked(spark, [s.filter("x > 50"), s.filter("x < 10")], lambda h, b: hits.next_within(h, b, 4, FRAME_MS, DELAY), "st6")
+    return hits.first_bounces(out).withColumn("next_frame", F.col("next_frame").cast("double"))
 
 
 def st1_stream_one_euro(spark, d):
@@ -49,9 +73,9 @@ def st1_stream_one_euro(spark, d):
 
 
 def st4_stream_keep_apart(spark, d):
-    s = view(spark, d, "sig").filter("x is not null").select("clip_id", "frame", (F.col("x") / 30).cast("int").alias("rank"), "x")
-    ends = s.groupBy("clip_id").agg((F.max("frame") + 1).alias("frame")).select("clip_id", "frame", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("x"))
-    return r6(jobs.run_available(jobs.keep_apart(_stored(spark, s.unionByName(ends), "st4-in"), 4), scratch_path(spark, "st4")), "x")
+    """No row closes a clip: held hits come out by their timers, and hits that arrive a micro-batch late take their place."""
+    s = view(spark, d, "sig").filter("x is not null").select(F.col("clip_id").cast("long").alias("clip_id"), "frame", (F.col("x") / 30).cast("int").alias("rank"), "x")
+    return r6(_clocked(spark, [s], lambda r: hits.keep_apart(r, 4, FRAME_MS, DELAY), "st4"), "x")
 
 
 def st2_stream_match_tracks(spark, d):
@@ -86,7 +110,7 @@ ORACLE_SQL = {
     "st8_stream_counts": "select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1, 2",
     "st5_stream_sessions": """with r as (select *, sum(coalesce((epoch_us(ts) - last >= 43200000000)::INT, 0)) over (partition by user_id order by ts, event_id) as run from (select *, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as last from events)),
 s as (select user_id, run, count(*) as n from r group by user_id, run) select user_id, count(*) as sessions, max(n) as longest from s group by user_id""",
-    "st6_stream_next_within": "select h.event_id as hit, count(*) as n from events h join events b on h.user_id = b.user_id and b.ts > h.ts and b.ts <= h.ts + interval 12 hours where h.event_type = 'purchase' and b.event_type = 'click' group by h.event_id",
+    "st6_stream_next_within": joins.ORACLE_SQL["jn3_next_within"],
     "st1_stream_one_euro": batch.ORACLE_SQL["st1_one_euro"],
     "st7_stream_resume": batch.ORACLE_SQL["st1_one_euro"],
     "st4_stream_keep_apart": batch.ORACLE_SQL["wn22_hit_dedup"],

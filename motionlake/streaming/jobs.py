@@ -6,6 +6,7 @@ a micro-batch by time within their key; each key's state is small (open tracks,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,8 +35,15 @@ class Arrivals:
     def add(self, k: int) -> None:
         self.rows.filter(F.col("_slice") == k).drop("_slice").repartition(self.files).write.mode("append").parquet(self.path)
 
-    def stream(self) -> DataFrame:
-        return self.rows.sparkSession.readStream.schema(self.rows.drop("_slice").schema).option("maxFilesPerTrigger", self.files).parquet(self.path)
+    def tick(self, moment: DataFrame) -> None:
+        """A last arrival that holds nothing but event times (``moment``: the columns of ``rows`` that are known)."""
+        known = {c: F.col(c) if c in moment.columns else F.lit(None) for c in self.rows.columns if c != "_slice"}
+        kinds = dict(self.rows.dtypes)
+        moment.select(*[v.cast(kinds[c]).alias(c) for c, v in known.items()]).repartition(self.files).write.mode("append").parquet(self.path)
+
+    def stream(self, by_slice: bool = True) -> DataFrame:
+        reader = self.rows.sparkSession.readStream.schema(self.rows.drop("_slice").schema)
+        return (reader.option("maxFilesPerTrigger", self.files) if by_slice else reader).parquet(self.path)
 
 
 def tumbling_counts(events: DataFrame, ts: str, keys: list[str], width: str, late: str) -> DataFrame:
@@ -48,14 +56,6 @@ def sessions(events: DataFrame, ts: str, keys: list[str], gap: str, late: str) -
     return events.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("session_window.start").alias("start"), "n")
 
 
-def next_within(hits: DataFrame, bounces: DataFrame, key: str, within: str, late: str) -> DataFrame:
-    """Stream-stream interval join: every hit with the bounces at most ``within`` after it; a hit without one comes out with a
-    NULL bounce once the watermark has passed. ``hits``: key, hit_ts; ``bounces``: key, bounce_ts."""
-    h, b = hits.withWatermark("hit_ts", late), bounces.withColumnRenamed(key, "_k").withWatermark("bounce_ts", late)
-    inside = (F.col(key) == F.col("_k")) & (F.col("bounce_ts") > F.col("hit_ts")) & (F.col("bounce_ts") <= F.col("hit_ts") + F.expr(f"interval {within}"))
-    return h.join(b, inside, "leftOuter").drop("_k")
-
-
 def match_tracks(boxes: DataFrame, reach: float, patience: int) -> DataFrame:
     """Boxes to tracks per clip; state: the open tracks and the next id. ``boxes``: clip_id long, frame, box_idx, cx, cy."""
 
@@ -96,34 +96,9 @@ def one_euro(points: DataFrame, min_cutoff: float = 1.0, beta: float = 0.3, d_cu
     return points.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, frame long, smooth double", "t double, x double, dx double", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_apart(hits: DataFrame, gap: int) -> DataFrame:
-    """Hits at least ``gap`` frames apart: the last kept one is held in the state and replaced by a better one nearby; it comes
-    out when the gap has passed. ``hits``: clip_id long, frame, rank, x; a row with a NULL rank closes its clip."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        rows = []
-        for new in pd.concat(list(batches)).sort_values("frame")[["frame", "rank", "x"]].itertuples(index=False, name=None):
-            if pd.isna(new[1]):
-                rows += [held] if held else []
-                held = None
-            elif held is None or new[0] - held[0] >= gap:
-                rows += [held] if held else []
-                held = (int(new[0]), int(new[1]), float(new[2]))
-            elif (new[1], new[2]) > (held[1], held[2]):
-                held = (int(new[0]), int(new[1]), float(new[2]))
-        if held:
-            state.update(held)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["clip_id", "frame", "rank", "x"])
-
-    return hits.groupBy("clip_id").applyInPandasWithState(step, "clip_id long, frame int, rank int, x double", "frame int, rank int, x double", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, path: str, mode: str = "append", progress: list | None = None) -> DataFrame:
     """Runs a streaming query over all there is and returns its rows. A batch writes its own folder, so a repeated batch
-    replaces its rows; ``complete`` keeps the last result only."""
+    replaces its rows; ``complete`` keeps the last result only. ``progress`` takes the reports of the micro-batches."""
     spark = stream.sparkSession
     schema = stream.schema
 
@@ -132,5 +107,7 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress)
     out = spark.read.schema(schema).parquet(f"{path}/rows")
     return out if mode == "complete" else out.select(*schema.names)
