@@ -43,33 +43,21 @@ def consensus(points: DataFrame, segs: DataFrame, keys: Names, degrees: float) -
     return rows.groupBy(*keys, "a", "b").agg(F.count_if(angle_gap(own, to) <= math.radians(degrees)).alias("inliers"))
 
 
-def vanishing_point(segs: DataFrame, keys: Names, degrees: float = 5.0, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(the intersection most segments point at per key: ``x, y, inliers``; the segments that do not point at it)."""
-    points = intersections(segs, keys)
-    votes = points.join(consensus(points, segs, keys, degrees), [*keys, "a", "b"])
-    w = Window.partitionBy(*keys).orderBy(F.desc("inliers"), "a", "b")
-    best = votes.filter(F.col("inliers") >= least).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "a", "b")
-    rows = segs.join(best, keys)
-    own = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
-    to = F.atan2(F.col("y") - (F.col("y1") + F.col("y2")) / 2, F.col("x") - (F.col("x1") + F.col("x2")) / 2)
-    rest = rows.filter(angle_gap(own, to) > math.radians(degrees)).select(*segs.columns)
-    return best, rest
-
-
-def two_vanishing_points(segs: DataFrame, keys: Names, degrees: float = 5.0, least: int = 3) -> DataFrame:
-    """The two strongest vanishing points per key, the second among the segments the first leaves: ``x_1, y_1, inliers_1, x_2, ...``"""
-    first, rest = vanishing_point(segs, keys, degrees, least)
-    second, _ = vanishing_point(rest, keys, degrees, least)
-    name = lambda df, i: df.withColumnsRenamed({c: f"{c}_{i}" for c in ("x", "y", "inliers")})
-    return name(first, 1).join(name(second, 2), keys)
-
-
 def focal_from_vanishing_points(x1: Column, y1: Column, x2: Column, y2: Column, cx: float, cy: float) -> Column:
     """Focal length from two vanishing points of perpendicular directions; NULL where the radicand is not positive."""
     r = -((x1 - cx) * (x2 - cx) + (y1 - cy) * (y2 - cy))
     return F.when(r > 0, F.sqrt(r))
 
 
+#: Spread of the focal lengths of single pairs up to which they are trusted.
+MOST_SPREAD = 0.15
+
+
+def focal_is_reliable(pairs: Column, n: Column, spread: Column) -> Column:
+    """Whether pairs of one vanishing point's segments agree on the focal length: at least three, and half of the pairs, give one."""
+    return F.coalesce((n >= F.greatest(F.lit(3), F.floor(pairs / 2))) & (spread <= MOST_SPREAD), F.lit(False))
+
+
 def fit_line(df: DataFrame, keys: Names, x: str, y: str) -> DataFrame:
     """Total least squares per key: ``mx, my`` (mean), ``angle``, ``low, high`` (extent along the line), ``n``."""
     sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.covar_pop(x, y).alias("_cov"))

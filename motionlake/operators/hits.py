@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import court, fold, joins, series
+from . import court, fold, joins, scan, series
 
 CLIP = ["clip_id"]
 # Thresholds of the hit rules, pixels and frames.
@@ -84,64 +86,88 @@ def add_bounces(hits: DataFrame, found: DataFrame, homography: list, fps: float,
     return out.withColumn("in_court", inside).withColumn("delay_ms", (F.col("bounce_frame") - F.col("frame")) / fps * 1000).drop("_px", "_py")
 
 
-def nearest_chain(boxes: DataFrame, gate: float = GATE) -> DataFrame:
+def nearest_chain(boxes: DataFrame, gate: float = GATE, chunk: int = 256) -> DataFrame:
     """Ball association: in each frame the box nearest to the last point, or the first box where none is within ``gate``.
 
-    A fold over each clip's frames on the JVM. ``boxes``: clip_id, frame, box_idx, x, y."""
-    per = boxes.groupBy("clip_id", "frame").agg(F.array_sort(F.collect_list(F.struct("box_idx", "x", "y"))).alias("b"))
-    clips = per.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame", "b"))).alias("f"))
-    init = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast("array<struct<frame:int,x:double,y:double>>").alias("out"))
+    A frame with one box takes it whatever came before, so the first such frame of every ``chunk`` frames starts an island of its own.
+    ``boxes``: clip_id, frame, box_idx, x, y."""
+    rows = boxes.select(*CLIP, "frame", "box_idx", "x", "y").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*CLIP, "frame"))).withColumn("_chunk", F.floor(F.col("frame") / chunk))
+    cuts = rows.groupBy(*CLIP, "_chunk").agg(F.min(F.when(F.col("_n") == 1, F.col("frame"))).alias("_cut"))
+    before = F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), True).over(Window.partitionBy(*CLIP).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = cuts.withColumn("_before", F.coalesce(before, F.lit(-(1 << 40)))).select(F.col("clip_id").alias("_k_clip_id"), F.col("_chunk").alias("_k_chunk"), "_cut", "_before")
+    rows = rows.join(cuts, F.col("clip_id").eqNullSafe(F.col("_k_clip_id")) & (F.col("_chunk") == F.col("_k_chunk")))
+    rows = rows.withColumn("island", F.when(F.col("frame") >= F.col("_cut"), F.col("_chunk")).otherwise(F.col("_before")))
+    return scan.scan(rows, [*CLIP, "island"], ["frame", "box_idx"], ["frame", "x", "y"], lambda: _Nearest(gate), "frame int, x double, y double").drop("island")
+
 
-    def step(s, f):
-        ranked = F.array_sort(F.transform(f["b"], lambda b: F.struct(F.sqrt((b["x"] - s["x"]) ** 2 + (b["y"] - s["y"]) ** 2).alias("d"), b["box_idx"].alias("i"), b["x"].alias("x"), b["y"].alias("y"))))
-        near, first = F.element_at(ranked, 1), F.element_at(f["b"], 1)
-        use = F.coalesce(near["d"] <= gate, F.lit(False))
-        x, y = F.when(use, near["x"]).otherwise(first["x"]), F.when(use, near["y"]).otherwise(first["y"])
-        return F.struct(x.alias("x"), y.alias("y"), F.concat(s["out"], F.array(F.struct(f["frame"].cast("int").alias("frame"), x.alias("x"), y.alias("y")))).alias("out"))
+class _Nearest(scan.ByFrame):
+    def __init__(self, gate: float):
+        super().__init__()
+        self.gate, self.point = gate, None
 
-    return clips.select("clip_id", F.explode(F.aggregate("f", init, step, lambda s: s["out"])).alias("o")).select("clip_id", "o.*")
+    def frame(self, frame, rows):
+        near = min(rows, key=lambda b: math.hypot(b[0] - self.point[0], b[1] - self.point[1])) if self.point else None
+        good = near is not None and math.hypot(near[0] - self.point[0], near[1] - self.point[1]) <= self.gate
+        self.point = near if good else rows[0]
+        yield frame, *self.point
 
 
-def kalman_chain(boxes: DataFrame, gate: float = GATE, coast: int = 30, q: float = 1e-2, r: float = 5.0) -> DataFrame:
+def kalman_chain(boxes: DataFrame, gate: float = GATE, coast: int = 30, q: float = 1e-2, r: float = 5.0, chunk: int = scan.CHUNK) -> DataFrame:
     """Ball association with a constant-velocity Kalman filter; x and y are two filters with one covariance. A box beyond the
     gate is no measurement; after ``coast`` frames without one the track ends and the next box starts another.
 
+    A pause of more than ``coast`` + 1 frames ends any track, so a clip falls into islands, each a stream with one filter as state.
     ``boxes``: clip_id, frame, box_idx, x, y with gaps allowed. Returns the filtered track, coasted frames flagged."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, state, missed = [], None, 0
-        per = {f: g[["x", "y"]].to_numpy() for f, g in pdf.sort_values(["frame", "box_idx"]).groupby("frame")}
-        for frame in range(int(pdf["frame"].min()), int(pdf["frame"].max()) + 1):
-            seen = per.get(frame)
-            if state is not None:
-                (x, y, vx, vy), (a, b, c) = state
-                x, y = x + vx, y + vy
-                a, b, c = a + 2 * b + c + q, b + c, c + q
-                state = (x, y, vx, vy), (a, b, c)
-            if seen is None and state is None:
-                continue
-            pick = None
-            if seen is not None:
-                if state is None:
-                    state, missed = ((seen[0][0], seen[0][1], 0.0, 0.0), (0.0, 0.0, 0.0)), 0
-                    rows.append((frame, seen[0][0], seen[0][1], False))
-                    continue
-                d = ((seen - [state[0][0], state[0][1]]) ** 2).sum(axis=1) ** 0.5
-                if d.min() <= gate:
-                    pick = seen[int(d.argmin())]
-            if pick is None:
-                missed += 1
-                if missed > coast:
-                    state = None
-                    continue
-            else:
-                (x, y, vx, vy), (a, b, c) = state
-                k1, k2 = a / (a + r), b / (a + r)
-                dx, dy = pick[0] - x, pick[1] - y
-                state, missed = ((x + k1 * dx, y + k1 * dy, vx + k2 * dx, vy + k2 * dy), ((1 - k1) * a, (1 - k1) * b, c - k2 * b)), 0
-            rows.append((frame, state[0][0], state[0][1], pick is None))
-        return pd.DataFrame([(pdf["clip_id"].iloc[0], *r) for r in rows], columns=["clip_id", "frame", "x", "y", "coasted"])
-
-    kind = boxes.schema["clip_id"].dataType.simpleString()
-    return boxes.groupBy("clip_id").applyInPandas(run, f"clip_id {kind}, frame int, x double, y double, coasted boolean")
+    rows = scan.islands(boxes.select(*CLIP, "frame", "box_idx", "x", "y"), CLIP, "frame", "box_idx", coast + 1, "island", chunk)
+    return scan.scan(rows, [*CLIP, "island"], ["frame", "box_idx"], ["frame", "x", "y", "last_island"], lambda: _Kalman(gate, coast, q, r), "frame int, x double, y double, coasted boolean").drop("island")
+
+
+class _Kalman(scan.ByFrame):
+    """The filter of one island; ``track``: position and speed, then variance, covariance and variance of speed."""
+
+    def __init__(self, gate: float, coast: int, q: float, r: float):
+        super().__init__()
+        self.gate, self.coast, self.q, self.r = gate, coast, q, r
+        self.track, self.missed, self.next, self.final = None, 0, None, True
+
+    def predict(self) -> None:
+        (x, y, vx, vy), (a, b, c) = self.track
+        self.track = (x + vx, y + vy, vx, vy), (a + 2 * b + c + self.q, b + c, c + self.q)
+
+    def miss(self, frame: int):
+        self.missed += 1
+        if self.missed > self.coast:
+            self.track = None
+        else:
+            yield frame, self.track[0][0], self.track[0][1], True
+
+    def pause(self, upto: int):
+        while self.track is not None and self.next < upto:
+            self.predict()
+            yield from self.miss(self.next)
+            self.next += 1
+
+    def frame(self, frame, rows):
+        self.final = rows[0][2]
+        if self.next is not None:
+            yield from self.pause(frame)
+        self.next = frame + 1
+        if self.track is None:
+            x, y = rows[0][:2]
+            self.track, self.missed = ((x, y, 0.0, 0.0), (0.0, 0.0, 0.0)), 0
+            yield frame, x, y, False
+            return
+        self.predict()
+        (x, y, vx, vy), (a, b, c) = self.track
+        near = min(rows, key=lambda p: math.hypot(p[0] - x, p[1] - y))
+        if math.hypot(near[0] - x, near[1] - y) > self.gate:
+            yield from self.miss(frame)
+            return
+        k1, k2 = a / (a + self.r), b / (a + self.r)
+        dx, dy = near[0] - x, near[1] - y
+        self.track, self.missed = ((x + k1 * dx, y + k1 * dy, vx + k2 * dx, vy + k2 * dy), ((1 - k1) * a, (1 - k1) * b, c - k2 * b)), 0
+        yield frame, self.track[0][0], self.track[0][1], False
+
+    def last(self):
+        # the clip goes on after this island: the track coasts to its end
+        return () if self.final else list(self.pause(self.next + self.coast + 1))

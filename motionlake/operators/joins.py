@@ -94,18 +94,21 @@ def first_two(df: DataFrame, keys: Names, order: Names, values: Names) -> DataFr
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), *[pick(v, n) for v in values for n in (1, 2)]).filter("_c = 2").drop("_c")
 
 
-def fragment_pairs(fragments: DataFrame, keys: Names, fps: float, longest_s: float = 60.0, least_ratio: float = 0.5, reach: float = 0.7) -> DataFrame:
-    """Ordered pairs of track fragments that may be one person: the second starts within ``longest_s`` after the first ends,
-    heights are alike, centres near. ``fragments``: keys, track_id, first, last, cx0, cy0 (start), cx1, cy1 (end), height.
-    ``score``: distance over height plus a penalty per second of gap."""
-    a = fragments.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("track_id", "last", "cx1", "cy1", "height")])
-    b = fragments.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("track_id", "first", "cx0", "cy0", "height")])
-    gap = (F.col("b_first") - F.col("a_last")) / fps
-    tall = F.greatest("a_height", "b_height", F.lit(1e-9))
-    dist = F.sqrt((F.col("a_cx1") - F.col("b_cx0")) ** 2 + (F.col("a_cy1") - F.col("b_cy0")) ** 2)
-    rows = a.join(b, keys).filter((F.col("a_track_id") != F.col("b_track_id")) & (gap > 0) & (gap < longest_s))
-    rows = rows.filter((F.least("a_height", "b_height") / tall >= least_ratio) & (dist < reach * tall))
-    return rows.select(*keys, F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), gap.alias("gap_s"), (dist / tall + 0.01 * gap).alias("score"))
+def fragment_pairs(fragments: DataFrame, keys: Names, fps: float, height: float, longest_s: float = 60.0, reach: float = 0.7) -> DataFrame:
+    """Ordered pairs of track fragments that may be one person by time and place: the second starts within ``longest_s`` after the
+    first ends, nearer than ``reach`` of the picture's height. ``fragments``: keys, track_id, first, last, cx0, cy0 (start), cx1, cy1
+    (end). ``score``: distance plus that reach in proportion to the pause. Starts meet ends by buckets of time and place."""
+    gap, far = int(fps * longest_s), reach * height
+    cell = lambda c: F.floor(F.col(c) / far)
+    around = lambda c: F.array(cell(c) - 1, cell(c), cell(c) + 1)
+    at = F.floor(F.col("last") / gap)
+    a = fragments.select(*keys, F.col("track_id").alias("a"), "last", "cx1", "cy1", F.explode(F.array(at, at + 1)).alias("_t"))
+    a = a.withColumn("_x", F.explode(around("cx1"))).withColumn("_y", F.explode(around("cy1")))
+    b = fragments.select(*keys, F.col("track_id").alias("b"), "first", "cx0", "cy0", F.floor(F.col("first") / gap).alias("_t"), cell("cx0").alias("_x"), cell("cy0").alias("_y"))
+    pause = F.col("first") - F.col("last")
+    dist = F.sqrt((F.col("cx1") - F.col("cx0")) ** 2 + (F.col("cy1") - F.col("cy0")) ** 2)
+    rows = a.join(b, [*keys, "_t", "_x", "_y"]).filter((F.col("a") != F.col("b")) & (pause > 0) & (pause < gap) & (dist < far))
+    return rows.select(*keys, "a", "b", (pause / fps).alias("gap_s"), (dist + pause * (far / gap)).alias("score"))
 
 
 def overlap_pairs(obs: DataFrame, keys: Names, near: float, most: float) -> DataFrame:

@@ -98,24 +98,6 @@ def movement(track: DataFrame) -> DataFrame:
     return a.withColumn("recovery_position", position).drop("stroke_type", "_turn", "_turn_ms", "_up", "_moved", "_seconds", "_zone")
 
 
-def derived(kinds: DataFrame, contacts: DataFrame, movements: DataFrame) -> DataFrame:
-    """Enums over the blocks of contact and movement. ``kinds``: clip_id, stroke_type."""
-    j = kinds.select(*CLIP, "stroke_type").join(contacts, CLIP).join(movements, CLIP)
-    path, angle, timing = F.col("swing_path_deg"), F.col("stance_angle_deg"), F.col("weight_timing_ms")
-    shift = F.col("front_transfer_pct") - F.col("rear_load_pct")
-    low = F.coalesce(*[F.when(F.col("stroke_type") == k, F.lit(v[0])) for k, v in CONTACT_IDEAL.items()])
-    high = F.coalesce(*[F.when(F.col("stroke_type") == k, F.lit(v[1])) for k, v in CONTACT_IDEAL.items()])
-    reach = F.col("contact_distance_cm")
-    return j.select(
-        *CLIP,
-        F.when(path > 15, "low_to_high").when(path < -15, "high_to_low").when(path.isNotNull(), "flat").alias("swing_path_direction"),
-        F.when(angle < 30, "closed").when(angle < 60, "semi_open").when(angle.isNotNull(), "open").alias("stance_type"),
-        F.when(timing.isNull(), "none").when(timing < -50, "pre_impact").when(timing > 50, "post_impact").otherwise("at_impact").alias("weight_transfer_timing"),
-        F.when(F.abs(shift) < 5, "neutral").when(shift > 0, "forward").when(shift.isNotNull(), "backward").alias("weight_transfer_direction"),
-        F.when(reach.isNull() | low.isNull(), None).when(reach < low, "early").when(reach > high, "late").otherwise("ideal").alias("contact_timing"),
-    )
-
-
 # Least visibility of a landmark in use, and how far over the head a serve is met, in the light document's rules.
 LIGHT_SEEN, LIGHT_OVERHEAD = 0.3, 0.05
 

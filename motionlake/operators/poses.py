@@ -199,28 +199,38 @@ def _pick(key, value: Column) -> Column:
     return F.max(F.when(F.col("_at") == (F.col(key) if isinstance(key, str) else key), value))
 
 
-def classify(track: DataFrame, hand: str = "R") -> DataFrame:
-    """Stroke type, confidence and the features it rests on: a wrist over the head around impact is a serve, a backswing that stays
-    near the trunk a volley, else the side of the backswing tells forehand from backhand, and a backhand whose path falls
-    steeply is a slice. Without impact: forehand, 0.5."""
+def class_features(track: DataFrame, hand: str = "R") -> list[Column]:
+    """Aggregates that a stroke's type follows from."""
     side = handed(track, hand)
     wx, wy = at(side["wrist"], "x"), at(side["wrist"], "y")
     off = wx - (mid(11, 12, "x") + mid(23, 24, "x")) / 2
     ref = F.coalesce("backswing_peak", F.greatest(F.lit(0), F.col("impact") - 5))
-    a = track.groupBy(*CLIP).agg(
+    return [
         (F.median(at(0, "y")) - F.min(F.when(F.col("_at").between(F.col("impact") - 5, F.col("impact") + 5), wy))).alias("overhead"),
         (F.max(F.when(F.col("_at") < F.col("impact"), F.abs(off))) / F.first("_tall")).alias("amplitude"),
         (_pick(ref, off) * (1 if hand == "R" else -1)).alias("side"),
         F.degrees(F.atan2(_pick("backswing_peak", wy) - _pick("impact", wy), F.abs(_pick("impact", wx) - _pick("backswing_peak", wx)) + F.lit(1e-9))).alias("path"),
-        F.first("_tall").alias("_tall"), F.first("impact").alias("impact"),
-    )
+        F.first("_tall").alias("_tall"), F.first("impact").alias("_impact"),
+    ]
+
+
+def typed(features: DataFrame) -> DataFrame:
+    """Adds ``stroke_type`` and ``confidence`` to a table with the aggregates of ``class_features``."""
     ground = F.when(F.col("side") > 0, "FH").otherwise("BH")
     serve, volley, slice_ = F.col("overhead") > OVERHEAD_MARGIN, F.col("amplitude") < COMPACT_AMPLITUDE, (ground == "BH") & (F.col("path") < SLICE_PATH)
     sure_side = B.confidence_from_margin(F.col("side"), 0.25 * F.col("_tall"))
-    kind = F.when(F.col("impact").isNull(), "FH").when(serve, "SV").when(volley, "VL").when(slice_, "SL").otherwise(ground)
-    sure = F.when(F.col("impact").isNull(), 0.5).when(serve, B.confidence_from_margin(F.col("overhead") - OVERHEAD_MARGIN, 0.15)).when(volley, B.confidence_from_margin(COMPACT_AMPLITUDE - F.col("amplitude"), 0.2))
+    kind = F.when(F.col("_impact").isNull(), "FH").when(serve, "SV").when(volley, "VL").when(slice_, "SL").otherwise(ground)
+    sure = F.when(F.col("_impact").isNull(), 0.5).when(serve, B.confidence_from_margin(F.col("overhead") - OVERHEAD_MARGIN, 0.15)).when(volley, B.confidence_from_margin(COMPACT_AMPLITUDE - F.col("amplitude"), 0.2))
     sure = sure.when(slice_, F.least(sure_side, B.confidence_from_margin(SLICE_PATH - F.col("path"), 20.0))).otherwise(sure_side)
-    return a.select(*CLIP, kind.alias("stroke_type"), sure.alias("confidence"), F.create_map(*[x for n in ("overhead", "amplitude", "side", "path") for x in (F.lit(n), F.col(n))]).alias("features"))
+    return features.withColumn("stroke_type", kind).withColumn("confidence", sure)
+
+
+def classify(track: DataFrame, hand: str = "R") -> DataFrame:
+    """Stroke type, confidence and the features it rests on: a wrist over the head around impact is a serve, a backswing that stays
+    near the trunk a volley, else the side of the backswing tells forehand from backhand, and a backhand whose path falls
+    steeply is a slice. Without impact: forehand, 0.5."""
+    a = typed(track.groupBy(*CLIP).agg(*class_features(track, hand)))
+    return a.select(*CLIP, "stroke_type", "confidence", F.create_map(*[x for n in ("overhead", "amplitude", "side", "path") for x in (F.lit(n), F.col(n))]).alias("features"))
 
 
 def confidence_block(track: DataFrame) -> DataFrame:
@@ -248,33 +258,3 @@ def stroke_root(keys: DataFrame, conf: DataFrame, issues: DataFrame) -> DataFram
     by_confidence = recommended_action(F.col("pose_confidence"))
     action = F.when((status == "failed") | (by_confidence == "discard"), "discard").when((status == "partial") | ~clean, "coach_review").otherwise(by_confidence)
     return j.select(*CLIP, status.alias("status"), clean.alias("is_clean"), action.alias("action"))
-
-
-def metrics(track: DataFrame, hand: str = "R") -> DataFrame:
-    """Per clip: rotations at unit turn and impact, their separation, elbow angle, contact height and reach, spine tilt,
-    phase durations and tempo, wrist peak speed, stance, rear load, head steadiness, path drop. NULL where a keyframe is missing."""
-    side, f, pick = handed(track, hand), track, _pick
-    sh = B.rotation_deg(at(12, "x") - at(11, "x"), at(12, "z") - at(11, "z"))
-    hp = B.rotation_deg(at(24, "x") - at(23, "x"), at(24, "z") - at(23, "z"))
-    elbow = B.joint_angle(at(side["shoulder"], "x"), at(side["shoulder"], "y"), at(side["elbow"], "x"), at(side["elbow"], "y"), at(side["wrist"], "x"), at(side["wrist"], "y"))
-    spine = F.degrees(F.atan2(mid(11, 12, "x") - mid(23, 24, "x"), F.abs(mid(11, 12, "y") - mid(23, 24, "y")) + 1e-9))
-    span = F.abs(at(27, "x") - at(28, "x"))
-    load = F.when(span > 1e-6, F.greatest(F.lit(0.0), F.least(F.lit(100.0), (centre_of_mass("x") - F.least(at(27, "x"), at(28, "x"))) / span * 100)))
-    swing = F.col("_at").between(F.col("backswing_peak"), F.col("impact"))
-    near = F.abs(F.col("_at") - F.col("impact")) <= 5
-    when = lambda k: F.first("impact_ms") if k == "impact" else pick(k, F.col("t_ms"))
-    a = f.groupBy(*CLIP).agg(
-        pick("unit_turn", sh).alias("shoulder_turn_deg"), pick("impact", sh).alias("shoulder_impact_deg"), pick("impact", hp).alias("hip_impact_deg"), pick("impact", sh - hp).alias("separation_deg"),
-        pick("impact", elbow).alias("elbow_deg"), pick("impact", mid(27, 28, "y") - F.col("_wy")).alias("contact_height"), pick("impact", F.col("_wx") - mid(23, 24, "x")).alias("contact_reach"), pick("impact", spine).alias("spine_tilt_deg"),
-        (when("backswing_peak") - when("unit_turn")).alias("backswing_ms"), (when("impact") - when("backswing_peak")).alias("forward_ms"), (when("impact") - when("unit_turn")).alias("total_ms"),
-        F.max(F.when(swing, F.col("_v"))).alias("wrist_peak_speed"), pick("impact", span).alias("stance_width"), pick("impact", load).alias("rear_load"),
-        (F.max(F.when(near, at(0, "y"))) - F.min(F.when(near, at(0, "y")))).alias("head_move"), (F.max(F.when(swing, F.col("_wy"))) - pick("backswing_peak", F.col("_wy"))).alias("peak_drop"),
-    )
-    ratio = F.when((F.col("forward_ms") > 0) & (F.col("backswing_ms") != 0), F.col("backswing_ms") / F.col("forward_ms"))
-    return a.withColumn("tempo_ratio", ratio).withColumn("rhythm", F.when(ratio.isNull(), None).when(ratio < 1.5, "rushed").when(ratio <= 3.0, "balanced").otherwise("slow")).withColumn("balance", F.when(F.abs("spine_tilt_deg") <= 10, "stable").when(F.abs("spine_tilt_deg") <= 20, "leaning").otherwise(F.when(F.col("spine_tilt_deg").isNotNull(), "unstable")))
-
-
-def null_rule(values: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """Rows that break the rule that a metric flagged ``not_detectable`` has no value: ``clip_id, metric``; none is right."""
-    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), flag.alias("flag")) for n, flag in flags.items()])
-    return values.select(*CLIP, F.explode(rows).alias("r")).select(*CLIP, "r.*").filter("flag = 'not_detectable' and value is not null").select(*CLIP, "metric")

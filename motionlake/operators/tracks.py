@@ -1,15 +1,20 @@
 """Track clean-up: filters, box merging, matching, clustering and stitching of fragments.
 
-The heavy part, observations to one row per fragment or pair, is grouped and joined by Spark. Only the greedy passes, whose
-result depends on the order of the few fragments of a clip, run per clip in Python.
+The heavy part, observations to one row per fragment or pair, is grouped and joined by Spark. Passes whose result depends on
+the order of frames are streams over islands of a clip; passes over the few fragments of a clip run per clip in Python.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from . import joins, scan
+
 CLIP = ["clip_id"]
 
 
@@ -42,17 +47,64 @@ def track_summary(obs: DataFrame) -> DataFrame:
 
 
 def stationary_bins(obs: DataFrame, cell: float = 20.0, least_span: int = 15, least_count: float = 7.5) -> DataFrame:
-    """Grid cells in which detections stay: long in frames and many."""
-    c = obs.groupBy(*CLIP, F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy")).agg((F.max("frame") - F.min("frame")).alias("span"), F.count(F.lit(1)).alias("n"))
+    """Grid cells in which detections stay: from first to last frame long, and many."""
+    c = obs.groupBy(*CLIP, F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy")).agg((F.max("frame") - F.min("frame") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
     return c.filter((F.col("span") >= least_span) & (F.col("n") >= least_count))
 
 
 def drop_stationary(obs: DataFrame, cell: float = 20.0, least_span: int = 15, least_count: float = 7.5) -> DataFrame:
-    """Observations outside the stationary cells."""
+    """Observations outside the stationary cells: the variant for any number of detections."""
     rows = obs.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
     return rows.join(stationary_bins(obs, cell, least_span, least_count), [*CLIP, "gx", "gy"], "left_anti").drop("gx", "gy")
 
 
+class Leaders:
+    """Leader clustering with running means: a point joins the oldest cluster whose mean is nearer than ``reach``, else it leads a new one.
+    Clusters are found by the cell of their mean, so a point looks at nine cells."""
+
+    def __init__(self, reach: float):
+        self.reach, self.sums, self.cells = reach, [], {}
+
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return int(x // self.reach), int(y // self.reach)
+
+    def row(self, frame, box, x, y):
+        gx, gy = self._cell(x, y)
+        near = (c for i in (-1, 0, 1) for j in (-1, 0, 1) for c in self.cells.get((gx + i, gy + j), ()))
+        c = min((c for c in near if math.hypot(x - self.sums[c][0] / self.sums[c][2], y - self.sums[c][1] / self.sums[c][2]) < self.reach), default=None)
+        if c is None:
+            c = len(self.sums)
+            self.sums.append([x, y, 1])
+            self.cells.setdefault((gx, gy), set()).add(c)
+        else:
+            s = self.sums[c]
+            old = self._cell(s[0] / s[2], s[1] / s[2])
+            s[0], s[1], s[2] = s[0] + x, s[1] + y, s[2] + 1
+            new = self._cell(s[0] / s[2], s[1] / s[2])
+            if new != old:
+                self.cells[old].discard(c)
+                self.cells.setdefault(new, set()).add(c)
+        yield frame, box, c
+
+    def end(self):
+        return ()
+
+
+def leader_clusters(obs: DataFrame, reach: float = 20.0) -> DataFrame:
+    """``clip_id, frame, box_idx, cluster``: detections of a clip in the order of frame and box, clustered as ``Leaders`` says."""
+    kind = obs.schema["box_idx"].dataType.simpleString()
+    return scan.scan(obs, CLIP, ["frame", "box_idx"], ["frame", "box_idx", "cx", "cy"], lambda: Leaders(reach), f"frame int, box_idx {kind}, cluster int")
+
+
+def drop_stationary_exact(obs: DataFrame, reach: float = 20.0, least_span: int = 15, least_count: float = 7.5) -> DataFrame:
+    """Observations outside the clusters that stay. The clusters depend on the order of a clip's detections, so a clip is one
+    stream (its clusters in memory, not its rows); ``drop_stationary`` is the variant without an order."""
+    c = leader_clusters(obs, reach)
+    stay = c.groupBy(*CLIP, "cluster").agg((F.max("frame") - F.min("frame") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
+    stay = stay.filter((F.col("span") >= least_span) & (F.col("n") >= least_count)).select(*CLIP, "cluster")
+    return obs.join(c.join(stay, [*CLIP, "cluster"]).select(*CLIP, "frame", "box_idx"), [*CLIP, "frame", "box_idx"], "left_anti")
+
+
 def merge_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes of a frame that belong to one person (overlap in x, vertical gap up to 30 % of the smaller height) become their
     union, again until nothing merges. ``boxes``: clip_id, frame, box_idx, x, y, w, h. """
@@ -98,18 +150,28 @@ def shape_filter(boxes: DataFrame, least_area: float = 400.0, least_ratio: float
     return boxes.filter((F.col("w") * F.col("h") >= least_area) & (F.col("h") >= least_ratio * F.col("w")))
 
 
-def match_tracks(boxes: DataFrame, width: float, share: float = 0.12, patience: int = 15) -> DataFrame:
+def match_tracks(boxes: DataFrame, width: float, share: float = 0.12, patience: int = 15, chunk: int = scan.CHUNK) -> DataFrame:
     """Boxes to tracks, frame by frame: nearest pairs first within ``share`` of the width; an unmatched box starts a track,
-    a track unseen for ``patience`` frames ends. ``boxes``: clip_id, frame, box_idx, cx, cy. Adds ``track_id`` (from 0 per clip)."""
+    a track unseen for ``patience`` frames ends. ``boxes``: clip_id, frame, box_idx, cx, cy. Adds ``track_id`` (from 0 per clip).
+
+    No track outlives a pause of more than ``patience`` frames, so a clip falls into islands that are matched in parallel, each
+    as a stream with its open tracks as state; ids are numbered on from island to island. A clip without pauses is one stream."""
+    rows = scan.islands(boxes.select(*CLIP, "frame", "box_idx", "cx", "cy"), CLIP, "frame", "box_idx", patience, "island", chunk)
+    local = scan.scan(rows, [*CLIP, "island"], ["frame", "box_idx"], ["frame", "box_idx", "cx", "cy"], lambda: _Tracks(width * share, patience), "frame int, box_idx long, track_id int, cx double, cy double")
+    local = stored(local, "tracks")
+    counts = local.groupBy(*CLIP, "island").agg((F.max("track_id") + 1).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*CLIP).orderBy("island")) - F.col("_n")).select(F.col("clip_id").alias("_k_clip_id"), F.col("island").alias("_k_island"), "_before")
+    same = F.col("clip_id").eqNullSafe(F.col("_k_clip_id")) & (F.col("island") == F.col("_k_island"))
+    return local.join(before, same).select(*CLIP, "frame", "box_idx", (F.col("track_id") + F.col("_before")).cast("int").alias("track_id"), "cx", "cy")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        step, rows = Matcher(width * share, patience), []
-        for frame, g in pdf.sort_values(["frame", "box_idx"]).groupby("frame", sort=True):
-            rows += step.frame(int(frame), list(g[["box_idx", "cx", "cy"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(pdf["clip_id"].iloc[0], *r) for r in rows], columns=["clip_id", "frame", "box_idx", "track_id", "cx", "cy"])
 
-    kind = boxes.schema["clip_id"].dataType.simpleString()
-    return boxes.groupBy("clip_id").applyInPandas(run, f"clip_id {kind}, frame int, box_idx long, track_id int, cx double, cy double")
+class _Tracks(scan.ByFrame):
+    def __init__(self, reach: float, patience: int):
+        super().__init__()
+        self.matcher = Matcher(reach, patience)
+
+    def frame(self, frame, rows):
+        return self.matcher.frame(int(frame), rows)
 
 
 class Matcher:
@@ -143,26 +205,55 @@ def mutual_nearest(boxes: DataFrame, tracks: DataFrame, reach: float) -> DataFra
 
 
 def fragments(obs: DataFrame) -> DataFrame:
-    """One row per track: frames, sums of the centre and the set of frames."""
-    return obs.groupBy(*CLIP, "track_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("sx"), F.sum("cy").alias("sy"), F.collect_set("frame").alias("frames"))
+    """One row per track: observations, sums of the centre and the frames it is seen in, as runs from first to last."""
+    sums = obs.groupBy(*CLIP, "track_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("sx"), F.sum("cy").alias("sy"))
+    w = Window.partitionBy(*CLIP, "track_id").orderBy("frame")
+    runs = obs.select(*CLIP, "track_id", "frame").distinct().withColumn("_run", F.col("frame") - F.row_number().over(w)).groupBy(*CLIP, "track_id", "_run").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    return sums.join(runs.groupBy(*CLIP, "track_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")), [*CLIP, "track_id"])
+
+
+def _shared(a: list[tuple], b: list[tuple]) -> int:
+    """Frames that two lists of runs, in order, have in common."""
+    i = j = n = 0
+    while i < len(a) and j < len(b):
+        n += max(0, min(a[i][1], b[j][1]) - max(a[i][0], b[j][0]) + 1)
+        if a[i][1] < b[j][1]:
+            i += 1
+        else:
+            j += 1
+    return n
+
+
+def _union(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    for lo, hi in sorted([*a, *b]):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def cluster_fragments(obs: DataFrame, width: float, near: float = 0.15, most_overlap: float = 0.2, keep: int | None = None) -> DataFrame:
     """Fragments of one person: most frames first, each joins the first cluster whose pooled mean centre is nearer than
-    ``near`` of the width and with at most ``most_overlap`` of the smaller's frames in common; the ``keep`` largest clusters stay."""
+    ``near`` of the width and with at most ``most_overlap`` of the smaller's frames in common; the ``keep`` largest clusters stay.
+
+    A clip's fragments are one group, each a few sums and its runs of frames: their size follows how often tracking broke, not how long the clip is."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[dict] = []
         for r in pdf.sort_values(["n", "track_id"], ascending=[False, True]).to_dict("records"):
-            own = set(r["frames"])
+            own = [(x["a"], x["b"]) for x in r["runs"]]
+            size = sum(b - a + 1 for a, b in own)
             for g in groups:
                 d = ((r["sx"] / r["n"] - g["sx"] / g["n"]) ** 2 + (r["sy"] / r["n"] - g["sy"] / g["n"]) ** 2) ** 0.5
-                if d < near * width and len(own & g["frames"]) <= most_overlap * min(len(own), len(g["frames"])):
+                if d < near * width and _shared(own, g["runs"]) <= most_overlap * min(size, g["size"]):
                     g["ids"].append(r["track_id"])
-                    g["sx"], g["sy"], g["n"], g["frames"] = g["sx"] + r["sx"], g["sy"] + r["sy"], g["n"] + r["n"], g["frames"] | own
+                    g["sx"], g["sy"], g["n"], g["runs"] = g["sx"] + r["sx"], g["sy"] + r["sy"], g["n"] + r["n"], _union(g["runs"], own)
+                    g["size"] = sum(b - a + 1 for a, b in g["runs"])
                     break
             else:
-                groups.append({"ids": [r["track_id"]], "sx": r["sx"], "sy": r["sy"], "n": r["n"], "frames": own})
+                groups.append({"ids": [r["track_id"]], "sx": r["sx"], "sy": r["sy"], "n": r["n"], "runs": own, "size": size})
         groups = sorted(groups, key=lambda g: -g["n"])[:keep]
         rows = [(pdf["clip_id"].iloc[0], c, t, p) for c, g in enumerate(groups) for p, t in enumerate(g["ids"])]
         return pd.DataFrame(rows, columns=["clip_id", "cluster", "track_id", "position"])
@@ -171,23 +262,40 @@ def cluster_fragments(obs: DataFrame, width: float, near: float = 0.15, most_ove
     return fragments(obs).groupBy("clip_id").applyInPandas(run, f"clip_id {kind['clip_id']}, cluster int, track_id {kind['track_id']}, position int")
 
 
-def stitch_pairs(pairs: DataFrame) -> DataFrame:
-    """Merges the best-scoring pair of fragments again and again; an end is used once. ``pairs``: clip_id, a, b, score. Returns chains."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain = {t: t for t in [*pdf["a"], *pdf["b"]]}
-        tail, head = set(), set()
-        for r in pdf.sort_values(["score", "a", "b"]).to_dict("records"):
-            if r["a"] in tail or r["b"] in head or chain[r["a"]] == chain[r["b"]]:
-                continue
-            tail.add(r["a"])
-            head.add(r["b"])
-            old, new = chain[r["b"]], chain[r["a"]]
-            chain = {t: new if c == old else c for t, c in chain.items()}
-        return pd.DataFrame([(pdf["clip_id"].iloc[0], t, c) for t, c in chain.items()], columns=["clip_id", "track_id", "chain"])
-
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return pairs.groupBy("clip_id").applyInPandas(run, f"clip_id {kind['clip_id']}, track_id {kind['a']}, chain {kind['a']}")
+def stitch_fragments(obs: DataFrame, fps: float, height: float, longest_s: float = 60.0, least_ratio: float = 0.5, reach: float = 0.7) -> DataFrame:
+    """``clip_id, track_id, chain``: track fragments joined end to start, the best-scoring pair of a clip again and again, a joined
+    fragment competing with its new median height. ``obs``: clip_id, track_id, frame, cx, cy, h (one box a track and frame).
+
+    Scores do not change when fragments join (``joins.fragment_pairs``: distance and pause between one's end and the
+    other's start), only who is alike enough in height. So a pair with no better possible pair at either of its fragments joins at once,
+    whatever happens elsewhere; where none is so, the clip's best pair joins. Each round does that for all clips; the
+    result is that of joining one pair at a time. ``chain`` is the first fragment's track."""
+    key = ["clip_id"]
+    at = F.struct("frame", "cx", "cy")
+    ends = obs.groupBy(*key, "track_id").agg(F.min(at).alias("s"), F.max(at).alias("e"))
+    frag = ends.select(*key, "track_id", F.col("s.frame").alias("first"), F.col("e.frame").alias("last"), F.col("s.cx").alias("cx0"), F.col("s.cy").alias("cy0"), F.col("e.cx").alias("cx1"), F.col("e.cy").alias("cy1"))
+    frag = stored(frag, "fragments")
+    heights = stored(obs.groupBy(*key, "track_id", "h").agg(F.count(F.lit(1)).alias("n")), "heights")
+    edges = stored(joins.fragment_pairs(frag, key, fps, height, longest_s, reach).select(*key, "a", "b", F.struct("score", "a", "b").alias("p")), "pairs")
+    chains = frag.select(*key, "track_id", F.col("track_id").alias("chain"))
+    while True:
+        med = heights.join(chains, [*key, "track_id"]).groupBy(*key, "chain").agg(F.percentile("h", 0.5, F.col("n")).alias("m"))
+        of = chains.join(med, [*key, "chain"])
+        side = lambda s: of.select(*key, F.col("track_id").alias(s), F.col("chain").alias(f"c_{s}"), F.col("m").alias(f"m_{s}"))  # noqa: E731,B023
+        live = edges.join(side("a"), [*key, "a"]).join(side("b"), [*key, "b"])
+        live = live.withColumn("ok", F.least("m_a", "m_b") >= least_ratio * F.greatest("m_a", "m_b"))
+        live = stored(live, "live")
+        ends_of = live.select(*key, F.explode(F.array("c_a", "c_b")).alias("c"), "p").groupBy(*key, "c").agg(F.min("p").alias("least"))
+        best = live.filter("ok").groupBy(*key).agg(F.min("p").alias("best"))
+        least = lambda s: ends_of.select(*key, F.col("c").alias(f"c_{s}"), F.col("least").alias(f"l_{s}"))  # noqa: E731,B023
+        joined = live.filter("ok").join(least("a"), [*key, "c_a"]).join(least("b"), [*key, "c_b"]).join(best, key)
+        joined = stored(joined.filter(((F.col("p") == F.col("l_a")) & (F.col("p") == F.col("l_b"))) | (F.col("p") == F.col("best"))).select(*key, "a", "b", "c_a", "c_b"), "joined")
+        if not joined.limit(1).count():
+            return chains
+        renamed = joined.select(*key, F.col("c_b").alias("chain"), F.col("c_a").alias("new"))
+        chains = stored(chains.join(renamed, [*key, "chain"], "left").select(*key, "track_id", F.coalesce("new", "chain").alias("chain")), "chains")
+        # an end that has a successor, and a start that has a predecessor, are used
+        edges = stored(live.select(*key, "a", "b", "p").join(joined.select(*key, "a"), [*key, "a"], "left_anti").join(joined.select(*key, "b"), [*key, "b"], "left_anti"), "pairs")
 
 
 def one_timeline(obs: DataFrame, clusters: DataFrame) -> DataFrame:

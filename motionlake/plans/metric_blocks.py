@@ -30,11 +30,6 @@ def m_movement(spark, d):
     return _rounded(M.movement(_measured(spark, d)))
 
 
-def m_derived(spark, d):
-    t = _measured(spark, d)
-    return M.derived(t.groupBy("clip_id").agg(F.first("stroke_type").alias("stroke_type")), M.contact(t), M.movement(t))
-
-
 def d_cls2_light_type(spark, d):
     return M.light_type(P.poses.tracked(P.frames(spark, d)))
 
@@ -43,7 +38,7 @@ def m_light(spark, d):
     return _rounded(M.light(P.poses.tracked(P.frames(spark, d))))
 
 
-QUERIES = {f.__name__: f for f in (m_arm, m_contact, m_movement, m_derived, d_cls2_light_type, m_light)}
+QUERIES = {f.__name__: f for f in (m_arm, m_contact, m_movement, d_cls2_light_type, m_light)}
 
 _p = P._pick
 _TORSO = "((x11 + x12) / 2 + (x23 + x24) / 2) / 2"
@@ -75,12 +70,6 @@ round(case when any_value(stroke_type) <> 'SV' then {_p('backswing_peak', f'case
 round(case when st <> 'SV' and seconds > 0 then moved / 100 / seconds end, 6) as speed_mps, round(stance_width_cm, 6) as stance_width_cm, round(stance_angle_deg, 6) as stance_angle_deg, round(weight_timing_ms, 6) as weight_timing_ms,
 round(rear_load_pct, 6) as rear_load_pct, round(front_transfer_pct, 6) as front_transfer_pct, round(recovery_ms, 6) as recovery_ms, recovery_frames,
 case when zone is null then 'not_recovered' when zone < 0.4 then 'baseline_left' when zone > 0.6 then 'baseline_right' else 'baseline_center' end as recovery_position from mov""",
-    "m_derived": f"""{_MEASURED}, {_CON}, {_MOV} select clip_id, case when swing_path_deg > 15 then 'low_to_high' when swing_path_deg < -15 then 'high_to_low' when swing_path_deg is not null then 'flat' end as swing_path_direction,
-case when stance_angle_deg < 30 then 'closed' when stance_angle_deg < 60 then 'semi_open' when stance_angle_deg is not null then 'open' end as stance_type,
-case when weight_timing_ms is null then 'none' when weight_timing_ms < -50 then 'pre_impact' when weight_timing_ms > 50 then 'post_impact' else 'at_impact' end as weight_transfer_timing,
-case when abs(front_transfer_pct - rear_load_pct) < 5 then 'neutral' when front_transfer_pct > rear_load_pct then 'forward' when front_transfer_pct - rear_load_pct is not null then 'backward' end as weight_transfer_direction,
-case when contact_distance_cm is null or stroke_type = 'SV' then null when contact_distance_cm < case stroke_type when 'RS' then 10 else 15 end then 'early'
-  when contact_distance_cm > case stroke_type when 'SL' then 35 when 'RS' then 30 when 'VL' then 45 else 40 end then 'late' else 'ideal' end as contact_timing from con join mov using (clip_id)""",
     "d_cls2_light_type": f"""{P._BASE}, {P._KF}, k as (select clip_id, case when least(v0, v11, v12, v16) < 0.3 then 'FH' when y16 < y0 - 0.05 then 'SV' when x16 > (x11 + x12) / 2 then 'FH' else 'BH' end as kind from v join kf using (clip_id) where i = impact)
 select c.clip_id, coalesce(kind, 'FH') as stroke_type from (select distinct clip_id from wide) c left join k using (clip_id)""",
     "m_light": f"""{P._BASE}, {P._KF}, l0 as (select v.*, unit_turn, backswing_peak, impact, follow_through_peak, case when v27 > 0.3 and v28 > 0.3 then (y27 + y28) / 2 when v27 > 0.3 then y27 when v28 > 0.3 then y28 end as ground from v join kf using (clip_id)),

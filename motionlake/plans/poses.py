@@ -84,19 +84,7 @@ def d_root_stroke_root(spark, d):
     return poses.stroke_root(poses.keyframes(t), poses.confidence_block(t), poses.quality(f))
 
 
-def cj2_metrics(spark, d):
-    m = poses.metrics(poses.tracked(frames(spark, d)))
-    return r6(m, *[n for n, t in m.dtypes if t == "double"])
-
-
-def d_null_rule(spark, d):
-    m = poses.metrics(poses.tracked(frames(spark, d)))
-    flags = {n: F.when(F.col(n).isNull(), "not_detectable").otherwise("visible") for n, t in m.dtypes if t == "double"}
-    broken = poses.null_rule(m, flags)
-    return m.select("clip_id").join(broken.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), "clip_id", "left").select("clip_id", F.coalesce("n", F.lit(0)).cast("long").alias("broken"))
-
-
-QUERIES = {f.__name__: f for f in (prj2_landmark_pick, prj3_uncrop, prj6_visibility_flag, sc1_geometry, sc2_centre_of_mass, ag11_motion_energy, wn30_rotation_proxy, wn31_ready_frames, d_cal_calibration, wn32_scale_series, d_vq_quality, d_kf_keyframes, d_cls_classify, d_cf_confidence, d_root_stroke_root, cj2_metrics, d_null_rule)}
+QUERIES = {f.__name__: f for f in (prj2_landmark_pick, prj3_uncrop, prj6_visibility_flag, sc1_geometry, sc2_centre_of_mass, ag11_motion_energy, wn30_rotation_proxy, wn31_ready_frames, d_cal_calibration, wn32_scale_series, d_vq_quality, d_kf_keyframes, d_cls_classify, d_cf_confidence, d_root_stroke_root)}
 
 _W = "window w as (partition by clip_id order by frame)"
 _WIDE = "wide as (select clip_id, frame, any_value(t_ms) as t_ms, max(vis) as vmax, " + ", ".join(f"max(case when lm_id = {i} then {a} end) as {c}{i}" for i in poses.USED for a, c in (("x", "x"), ("y", "y"), ("z", "z"), ("vis", "v"))) + ", row_number() over (partition by clip_id order by frame) - 1 as i, count(*) over (partition by clip_id) as n from pose group by clip_id, frame)"
@@ -160,14 +148,6 @@ cls as (select clip_id, case when impact is null then 'FH' when overhead > 0.03
 case when impact is null then 0.5 when overhead > 0.03 then {_CONF.format(m='(overhead - 0.03::DOUBLE)', s='0.15')} when amp < 0.35 then {_CONF.format(m='(0.35::DOUBLE - amp)', s='0.2')} when not fore and path < -15 then least(sure_side, {_CONF.format(m='(-15 - path)', s='20')}) else sure_side end as confidence, side from s)"""
 _COM = "(((x11 + x12) / 2 + (x23 + x24) / 2) / 2 * 0.5::DOUBLE + " + " + ".join(f"(x{a} + x{b}) / 2 * {m}::DOUBLE" for a, b, m in B.SEGMENTS) + ")"
 _ELBOW = "degrees(acos(greatest(-1::DOUBLE, least(1::DOUBLE, ((x12 - x14) * (x16 - x14) + (y12 - y14) * (y16 - y14)) / (sqrt((x12 - x14) ** 2 + (y12 - y14) ** 2) * sqrt((x16 - x14) ** 2 + (y16 - y14) ** 2))))))"
-_SPINE = "degrees(atan2((x11 + x12) / 2 - (x23 + x24) / 2, abs((y11 + y12) / 2 - (y23 + y24) / 2) + 1e-9))"
-_LOAD = f"case when abs(x27 - x28) > 1e-6 then greatest(0::DOUBLE, least(100::DOUBLE, ({_COM} - least(x27, x28)) / abs(x27 - x28) * 100)) end"
-_MET = f"""mm as (select clip_id, {_pick('unit_turn', _SH)} as shoulder_turn_deg, {_pick('impact', _SH)} as shoulder_impact_deg, {_pick('impact', _HP)} as hip_impact_deg, {_pick('impact', f'({_SH} - {_HP})')} as separation_deg, {_pick('impact', _ELBOW)} as elbow_deg,
-  {_pick('impact', '(y27 + y28) / 2 - y16')} as contact_height, {_pick('impact', 'x16 - (x23 + x24) / 2')} as contact_reach, {_pick('impact', _SPINE)} as spine_tilt_deg, {_pick('backswing_peak', 't_ms')} - {_pick('unit_turn', 't_ms')} as backswing_ms, max(impact_ms) - {_pick('backswing_peak', 't_ms')} as forward_ms, max(impact_ms) - {_pick('unit_turn', 't_ms')} as total_ms,
-  max(v1) filter (where i between backswing_peak and impact) as wrist_peak_speed, {_pick('impact', 'abs(x27 - x28)')} as stance_width, {_pick('impact', _LOAD)} as rear_load, max(y0) filter (where abs(i - impact) <= 5) - min(y0) filter (where abs(i - impact) <= 5) as head_move,
-  max(y16) filter (where i between backswing_peak and impact) - {_pick('backswing_peak', 'y16')} as peak_drop from v join kf using (clip_id) group by clip_id),
-met as (select *, case when forward_ms > 0 and backswing_ms <> 0 then backswing_ms / forward_ms end as tempo_ratio from mm)"""
-_DBL = ["shoulder_turn_deg", "shoulder_impact_deg", "hip_impact_deg", "separation_deg", "elbow_deg", "contact_height", "contact_reach", "spine_tilt_deg", "backswing_ms", "forward_ms", "total_ms", "wrist_peak_speed", "stance_width", "rear_load", "head_move", "peak_drop", "tempo_ratio"]
 _rd = lambda *n: ", ".join(f"round({x}, 6) as {x}" for x in n)
 ORACLE_SQL = {
     "prj2_landmark_pick": f"{_BASE} select clip_id, frame, round(x16, 6) as wrist_x, round((y23 + y24) / 2, 6) as hip_y from wide",
@@ -188,6 +168,4 @@ round((x23 + x24) / 2 + (x16 - (x23 + x24) / 2) * cos(radians(6)) - (y16 - (y23
     "d_root_stroke_root": f"""{_BASE}, {_EN}, {_VQ}, {_KF}, {_CF}, j as (select clip_id, issues, pose_confidence, (unit_turn is not null)::INT + (backswing_peak is not null)::INT + (impact is not null)::INT + (follow_through_peak is not null)::INT as swing, ready_restored is not null as ready from kf join cf using (clip_id) join vq using (clip_id)),
 r as (select *, case when swing = 4 and ready then 'valid' when swing = 0 then 'failed' else 'partial' end as status, swing = 4 and issues = '' as is_clean from j)
 select clip_id, status, is_clean, case when status = 'failed' or pose_confidence < 0.6 then 'discard' when status = 'partial' or not is_clean or pose_confidence < 0.85 then 'coach_review' else 'auto_accept' end as action from r""",
-    "cj2_metrics": f"{_BASE}, {_KF}, {_MET} select clip_id, {_rd(*_DBL)}, case when tempo_ratio < 1.5 then 'rushed' when tempo_ratio <= 3 then 'balanced' when tempo_ratio is not null then 'slow' end as rhythm, case when abs(spine_tilt_deg) <= 10 then 'stable' when abs(spine_tilt_deg) <= 20 then 'leaning' when spine_tilt_deg is not null then 'unstable' end as balance from met",
-    "d_null_rule": f"{_BASE} select distinct clip_id, 0::BIGINT as broken from wide",
 }

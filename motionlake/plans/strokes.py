@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..operators import court, joins, occlusion, poses, series, sessions, strokes
 from ..sources.adapters import duck, view
-from .joins import LINES
-from .series import CLIP, _points, r6
+from .series import CLIP, _points, _recursive, r6
 from .tracking import _wrists, boxes
 
 
@@ -24,7 +23,7 @@ def wn8_smooth_boxes(spark, d):
 
 def wn14_occlusion_fill(spark, d):
     o = occlusion.fill(view(spark, d, "pose"), 0.45, least_good=5)
-    return r6(o.groupBy("clip_id", "lm_id").agg(F.count_if("filled").alias("filled"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")), "sum_x", "sum_y")
+    return r6(o.filter("filled").select("clip_id", "lm_id", "frame", "x", "y", "z"), "x", "y", "z")
 
 
 def cj3_spot_strokes(spark, d):
@@ -90,15 +89,6 @@ def clu12_project_lines(spark, d):
     return r6(p.select("cand_id", "line", "u1", "v1", "u2"), "u1", "v1", "u2")
 
 
-def ag21_focal_reliability(spark, d):
-    s = view(spark, d, "segs")
-    p = court.intersections(s, ["frame"]).withColumn("near", (F.col("x") - 480) ** 2 + (F.col("y") - 270) ** 2)
-    f = p.join(p.select("frame", F.col("a").alias("c"), F.col("b").alias("e"), F.col("x").alias("x2"), F.col("y").alias("y2")), "frame").filter("a < c")
-    f = f.withColumn("f", court.focal_from_vanishing_points(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"), 480.0, 270.0)).filter("f is not null")
-    g = f.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), (F.stddev_pop("f") / F.greatest(F.avg("f"), F.lit(1e-6))).alias("spread"))
-    return r6(g.withColumn("reliable", (F.col("spread") <= 0.15) & (F.col("n") >= 3)), "spread")
-
-
 def ag24_tracked_share(spark, d):
     return r6(joins.densify(_points(spark, d), CLIP, "frame").groupBy("clip_id").agg(F.avg(F.col("x").isNotNull().cast("double")).alias("tracked")), "tracked")
 
@@ -137,13 +127,47 @@ def tk4_highlights(spark, d):
     return r6(s.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select("session_id", "stroke_type", "rank", "stroke_index", "confidence"), "confidence")
 
 
-QUERIES = {f.__name__: f for f in (wn8_smooth_boxes, wn14_occlusion_fill, cj3_spot_strokes, jn6_cut_strokes, d_fuse_impact, wn44_event_keyframes, wn43_path_payload, cj1_stroke_job, cj4_players, cj10_light_documents, clu7_corners, clu12_project_lines, ag21_focal_reliability, ag24_tracked_share, ag28_dropout, prj5_actions, sc6_margin_confidence, sc4_union_boxes, wn41_slice_gradient, tk4_highlights)}
+QUERIES = {f.__name__: f for f in (wn8_smooth_boxes, wn14_occlusion_fill, cj3_spot_strokes, jn6_cut_strokes, d_fuse_impact, wn44_event_keyframes, wn43_path_payload, cj1_stroke_job, cj4_players, cj10_light_documents, clu7_corners, clu12_project_lines, ag24_tracked_share, ag28_dropout, prj5_actions, sc6_margin_confidence, sc4_union_boxes, wn41_slice_gradient, tk4_highlights)}
 
 _C = f"{duck('boxes')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
 _P = "p as (select clip_id, frame, min_by(x, box_key) as x, min_by(y, box_key) as y from boxes where class = 'ball' group by clip_id, frame)"
+_AXES = "xyz"
+
+
+def _each(text: str, by: str = ", ") -> str:
+    return by.join(text.replace("@", a) for a in _AXES)
+
+
+# the spline's tridiagonal system by lag and lead, eliminated forward and substituted backward as recursive queries
+_SPLINE = f"""
+c as (select k.clip_id, k.lm_id, k.frame, row_number() over (partition by k.clip_id, k.lm_id order by k.frame)::DOUBLE as pos, k.vis >= 0.45 as good, p.vis as pv, {_each("k.@, p.@ as p@")},
+    sqrt({_each("(k.@ - p.@) ** 2", " + ")}) as len from pose k join pose p on p.clip_id = k.clip_id and p.frame = k.frame and p.lm_id = case k.lm_id when 15 then 13 when 16 then 14 when 27 then 25 else 26 end
+    where k.lm_id in (15, 16, 27, 28)),
+g0 as (select *, {_each("(@ - p@) / case when len = 0 then 1 else len end as u@")} from c where good),
+g1 as (select *, row_number() over w as i, count(*) over (partition by clip_id, lm_id) as n, pos - lag(pos) over w as h0, lead(pos) over w - pos as h1, {_each("u@ - lag(u@) over w as d0@, lead(u@) over w - u@ as d1@")} from g0 window w as (partition by clip_id, lm_id order by pos)),
+g2 as (select *, {_each("d0@ / h0 as m0@, d1@ / h1 as m1@")}, lead(h1) over w as hn, lag(h0) over w as hp, {_each("lead(d1@ / h1) over w as mn@, lag(d0@ / h0) over w as mp@")} from g1 where n >= 4 window w as (partition by clip_id, lm_id order by pos)),
+sys as (select clip_id, lm_id, pos, i, n, case when i = 1 then 0 when i = n then hp + h0 else h1 end as lo, case when i = 1 then hn when i = n then hp else 2 * (h0 + h1) end as own, case when i = 1 then h1 + hn when i = n then 0 else h0 end as up,
+    {_each("case when i = 1 then ((h1 + 2 * (h1 + hn)) * hn * m1@ + h1 * h1 * mn@) / (h1 + hn) when i = n then (h0 * h0 * mp@ + (2 * (hp + h0) + h0) * hp * m0@) / (hp + h0) else 3 * (h1 * m0@ + h0 * m1@) end as r@")} from g2),
+fwd as (select clip_id, lm_id, pos, i, n, up / own as f, {_each("r@ / own as r@")} from sys where i = 1
+    union all select s.clip_id, s.lm_id, s.pos, s.i, s.n, s.up / (s.own - s.lo * f.f), {_each("(s.r@ - s.lo * f.r@) / (s.own - s.lo * f.f)")} from fwd f join sys s on s.clip_id = f.clip_id and s.lm_id = f.lm_id and s.i = f.i + 1),
+bwd as (select clip_id, lm_id, pos, i, {_each("r@ as s@")} from fwd where i = n
+    union all select f.clip_id, f.lm_id, f.pos, f.i, {_each("f.r@ - f.f * b.s@")} from bwd b join fwd f on f.clip_id = b.clip_id and f.lm_id = b.lm_id and f.i = b.i - 1),
+st as (select clip_id, lm_id, median(len) as limb, count(*) as n, max(pos) as last, max(greatest({_each("abs(@)")})) as most from g0 group by all),
+past as (select clip_id, lm_id, {", ".join(f"sum(dz ** {p}) as q{p}" for p in range(5))}, {", ".join(f"sum(dz ** {p} * {a}) as {a}{p}" for a in _AXES for p in range(3))} from
+    (select g0.*, g0.pos - st.last as dz, row_number() over (partition by clip_id, lm_id order by pos desc) as k from g0 join st using (clip_id, lm_id)) where k <= 15 group by all),
+e as (select c.*, st.limb, st.n, st.last, st.most, max(c.pos) over (partition by clip_id, lm_id) as total, max(case when good then pos end) over (partition by clip_id, lm_id order by pos) as a, min(case when good then pos end) over (partition by clip_id, lm_id order by pos desc) as b from c left join st using (clip_id, lm_id)),
+o as (select *, coalesce(b, total + 1) - coalesce(a, 0) - 1 as run, count(*) filter (not good and pv < 0.45) over (partition by clip_id, lm_id, coalesce(a, 0)) as hidden from e),
+q as (select o.*, (o.pos - o.a) / (o.b - o.a) as t, o.b - o.a as w, {_each("ga.@ as na@, gb.@ as nb@, ga.u@ as ua@, gb.u@ as ub@, sa.s@ as sa@, sb.s@ as sb@")} from o
+    left join g0 ga on ga.clip_id = o.clip_id and ga.lm_id = o.lm_id and ga.pos = o.a left join g0 gb on gb.clip_id = o.clip_id and gb.lm_id = o.lm_id and gb.pos = o.b
+    left join bwd sa on sa.clip_id = o.clip_id and sa.lm_id = o.lm_id and sa.pos = o.a left join bwd sb on sb.clip_id = o.clip_id and sb.lm_id = o.lm_id and sb.pos = o.b
+    where not o.good and o.a is not null and o.run <= 20 and o.n >= 5 and (o.b is null or o.hidden = 0)),
+h as (select *, {_each("(1 + 2 * t) * (1 - t) ** 2 * ua@ + t * (1 - t) ** 2 * w * sa@ + t ** 2 * (3 - 2 * t) * ub@ + t ** 2 * (t - 1) * w * sb@ as v@")} from q),
+k as (select *, sqrt({_each("v@ ** 2", " + ")}) as v, pos - last as dz from h),
+par as (select *, q4 * (q2 * q0 - q1 * q1) - q3 * (q3 * q0 - q1 * q2) + q2 * (q3 * q1 - q2 * q2) as det from past),
+ends as (select k.*, {_each("((@2 * (q2 * q0 - q1 * q1) - q3 * (@1 * q0 - q1 * @0) + q2 * (@1 * q1 - q2 * @0)) * dz * dz + (q4 * (@1 * q0 - @0 * q1) - @2 * (q3 * q0 - q1 * q2) + q2 * (q3 * @0 - @1 * q2)) * dz + q4 * (q2 * @0 - q1 * @1) - q3 * (q3 * @0 - @1 * q2) + @2 * (q3 * q1 - q2 * q2)) / det as f@")} from k join par using (clip_id, lm_id))
+select clip_id, lm_id, frame, {_each("round(case when b is null then case when most <= 2 then greatest(-0.1, least(1.1, f@)) else f@ end else 0.5 * (na@ + (nb@ - na@) * t) + 0.5 * (p@ + limb * v@ / case when v = 0 then 1 else v end) end, 6) as @")} from ends"""
 ORACLE_SQL = {
-    "ag21_focal_reliability": f"""{duck('segs')}, {LINES.format(src='segs')}, f as (select p.frame, -((p.x - 480) * (q.x - 480) + (p.y - 270) * (q.y - 270)) as r from p join p q on p.frame = q.frame and p.a < q.a),
-g as (select frame, count(*) as n, stddev_pop(sqrt(r)) / greatest(avg(sqrt(r)), 1e-6) as spread from f where r > 0 group by frame) select frame, n, round(spread, 6) as spread, spread <= 0.15 and n >= 3 as reliable from g""",
+    "wn14_occlusion_fill": _recursive(f"{duck('pose')}, {_SPLINE}"),
     "wn43_path_payload": f"{duck('boxes')}, {_P} select s.clip_id, s.frame as span_id, count(*) as n, min(q.frame) as first, max(q.frame) as last from p s join p q on s.clip_id = q.clip_id and q.frame between s.frame and s.frame + 10 where s.frame % 50 = 0 and q.x is not null group by s.clip_id, s.frame",
     "cj4_players": f"""{_C}, b as (select clip_id, track_id, frame, min_by(cx, box_key) as cx, min_by(h, box_key) as h from c group by all),
 l as (select clip_id, track_id % 3 as cluster, frame, max_by(cx, track_id) as cx, max_by(h, track_id) as h from b group by all),

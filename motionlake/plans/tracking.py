@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import body as B
-from ..operators import court, fold, hits, joins, series, tracks
+from ..operators import court, fold, hits, joins, series, tracks, vanishing
 from ..sources.adapters import duck, view
 from .series import _BOUNCE, _POINTS, _TURN, CLIP, _fold_sql, _points, _recursive, r6
 
@@ -92,9 +92,10 @@ def clu2_cluster_fragments(spark, d):
 
 
 def clu3_stitch_fragments(spark, d):
-    from .joins import _fragments
-
-    return tracks.stitch_pairs(joins.fragment_pairs(_fragments(spark, d), CLIP, 2.0))
+    """Tracks are cut into fragments of 240 frames, so that there is something to join."""
+    b = boxes(spark, d).withColumn("track_id", F.col("track_id") * 10 + F.floor(F.col("frame") / 240))
+    one = b.groupBy("clip_id", "track_id", "frame").agg(*[F.min_by(c, "box_key").alias(c) for c in ("cx", "cy", "h")])
+    return tracks.stitch_fragments(one, 2.0, 540.0)
 
 
 def clu4_drop_stationary(spark, d):
@@ -102,6 +103,12 @@ def clu4_drop_stationary(spark, d):
     return r6(kept.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("sum_x")), "sum_x")
 
 
+def clu4_drop_stationary_exact(spark, d):
+    b = boxes(spark, d).withColumn("box_idx", F.col("box_key"))
+    kept = tracks.drop_stationary_exact(b, 40.0, 15, 12)
+    return r6(kept.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cx").alias("sum_x")), "sum_x")
+
+
 def clu5_one_timeline(spark, d):
     b = boxes(spark, d).groupBy("clip_id", "track_id", "frame").agg(F.min_by("cx", "box_key").alias("cx"), F.min_by("cy", "box_key").alias("cy"))
     c = b.select("clip_id", "track_id").distinct().withColumn("cluster", F.col("track_id") % 3).withColumn("position", F.col("track_id"))
@@ -139,14 +146,20 @@ def so1_frame_overlap(spark, d):
 
 
 def clu9_two_vanishing_points(spark, d):
-    s = view(spark, d, "segs")
-    return r6(court.two_vanishing_points(s, ["frame"]), "x_1", "y_1", "x_2", "y_2")
+    v = vanishing.two_vanishing_points(view(spark, d, "segs"), ["frame"])
+    return r6(v.drop("pairs", "n", "spread"), "x_1", "y_1", "x_2", "y_2")
+
+
+def ag21_focal_reliability(spark, d):
+    v = vanishing.two_vanishing_points(view(spark, d, "segs"), ["frame"])
+    return r6(v.select("frame", "pairs", "n", "spread", court.focal_is_reliable(F.col("pairs"), F.col("n"), F.col("spread")).alias("reliable")), "spread")
 
 
 def cj8_focal_from_segments(spark, d):
-    v = court.two_vanishing_points(view(spark, d, "segs"), ["frame"])
+    v = vanishing.two_vanishing_points(view(spark, d, "segs"), ["frame"])
     f = court.focal_from_vanishing_points(F.col("x_1"), F.col("y_1"), F.col("x_2"), F.col("y_2"), 480.0, 270.0)
-    return r6(v.select("frame", f.alias("focal_px")), "focal_px")
+    good = court.focal_is_reliable(F.col("pairs"), F.col("n"), F.col("spread"))
+    return r6(v.select("frame", F.when(good, f).alias("focal_px")), "focal_px")
 
 
 def ag25_fit_line(spark, d):
@@ -188,7 +201,7 @@ def clu11_height_cm(spark, d):
     return r6(boxes(spark, d).select("box_key", B.height_cm(F.col("h") * 10, F.col("w") / 4, F.lit(900.0)).alias("height_cm")), "height_cm")
 
 
-QUERIES = {f.__name__: f for f in (d_hitf_hit_features, d_hit_detect_hits, d_bnc_add_bounces, flt10_in_court, sc3_homography_round_trip, flt2_moving_tracks, flt3_tall_or_moving, flt6_shape_filter, ag10_track_summary, ag18_roles, clu1_merge_boxes, clu1_box_components, clu2_cluster_fragments, clu3_stitch_fragments, clu4_drop_stationary, clu5_one_timeline, st2_match_tracks, jn9_mutual_nearest, st3_kalman_chain, st3b_nearest_chain, st5_sessionise, so1_frame_overlap, clu9_two_vanishing_points, cj8_focal_from_segments, ag25_fit_line, ag19_reprojection, clu10_best_poses, clu8_ground_homography, ag26_median_calibration, clu11_height_cm)}
+QUERIES = {f.__name__: f for f in (d_hitf_hit_features, d_hit_detect_hits, d_bnc_add_bounces, flt10_in_court, sc3_homography_round_trip, flt2_moving_tracks, flt3_tall_or_moving, flt6_shape_filter, ag10_track_summary, ag18_roles, clu1_merge_boxes, clu1_box_components, clu2_cluster_fragments, clu3_stitch_fragments, clu4_drop_stationary, clu4_drop_stationary_exact, clu5_one_timeline, st2_match_tracks, jn9_mutual_nearest, st3_kalman_chain, st3b_nearest_chain, st5_sessionise, so1_frame_overlap, clu9_two_vanishing_points, cj8_focal_from_segments, ag21_focal_reliability, ag25_fit_line, ag19_reprojection, clu10_best_poses, clu8_ground_homography, ag26_median_calibration, clu11_height_cm)}
 
 _B = f"{duck('boxes')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
 _GX = "(0.05::DOUBLE * {x} + 0.004::DOUBLE * {y} - 5) / (0.00002::DOUBLE * {x} + 0.0004::DOUBLE * {y} + 1)"
@@ -213,6 +226,12 @@ rest{n} as (select s.* from {src} s join b{n} b using (frame) where least({b} -
 
 
 _VPS = f"{duck('segs')}, {_vp(1, 'segs')}, {_vp(2, 'rest1')}"
+# focal lengths of every two segments of the first point with the second point
+_SPREAD = """members as (select s.frame, s.seg_id from segs s join b1 using (frame) anti join rest1 r on r.frame = s.frame and r.seg_id = s.seg_id),
+tried as (select frame, count(*) * (count(*) - 1) // 2 as pairs from members group by frame),
+single as (select p.frame, -((p.x - 480) * (b2.x - 480) + (p.y - 270) * (b2.y - 270)) as r from p1 p join b2 using (frame) semi join members m on m.frame = p.frame and m.seg_id = p.a semi join members k on k.frame = p.frame and k.seg_id = p.b),
+made as (select frame, count(*) filter (r > 0) as n, stddev_pop(sqrt(greatest(r, 0))) filter (r > 0) / greatest(avg(sqrt(greatest(r, 0))) filter (r > 0), 1e-6) as spread from single group by frame),
+spread as (select b2.frame, pairs, coalesce(n, 0) as n, spread, coalesce(n >= greatest(3, pairs // 2) and spread <= 0.15, false) as reliable from b2 join tried using (frame) left join made using (frame))"""
 _REPRO = f"""{duck('poses', 'segs')}, k as (select frame as camera_id, x1 / 100 - 4.8::DOUBLE as wx, y1 / 30 as wz, x2 as u, y2 as v from segs),
 g as (select camera_id, cand_id, focal_px, wz, u, v, wx * cos(radians(pan_deg)) - (wz + distance_m) * sin(radians(pan_deg)) as rx, wx * sin(radians(pan_deg)) + (wz + distance_m) * cos(radians(pan_deg)) as rz, 0 - height_m as dy, radians(tilt_deg) as t from poses join k using (camera_id)),
 e as (select *, rz * cos(t) - dy * sin(t) as depth, dy * cos(t) + rz * sin(t) as ry from g),
@@ -244,7 +263,7 @@ select clip_id, track_id, frames, round(mean_h, 6) as mean_h, round(sd_x, 6) as
     "clu1_box_components": f"""{_B}, r as (select clip_id, frame, box_key, x, y, w * 5 as w, h, max(x + w * 5) over (partition by clip_id, frame order by x, box_key rows between unbounded preceding and 1 preceding) as reach from c),
 g as (select *, sum(coalesce((x >= reach)::INT, 0)) over (partition by clip_id, frame order by x, box_key) as grp from r)
 select clip_id, frame, grp::BIGINT as "group", count(*) as boxes, round(min(x), 6) as x, round(min(y), 6) as y, round(max(x + w), 6) as "right", round(max(y + h), 6) as bottom from g group by clip_id, frame, grp""",
-    "clu4_drop_stationary": f"""{_B}, s as (select clip_id, floor(cx / 40) as gx, floor(cy / 40) as gy from c group by all having max(frame) - min(frame) >= 15 and count(*) >= 12)
+    "clu4_drop_stationary": f"""{_B}, s as (select clip_id, floor(cx / 40) as gx, floor(cy / 40) as gy from c group by all having max(frame) - min(frame) + 1 >= 15 and count(*) >= 12)
 select c.clip_id, count(*) as n, round(sum(cx), 6) as sum_x from c anti join s on s.clip_id = c.clip_id and s.gx = floor(c.cx / 40) and s.gy = floor(c.cy / 40) group by c.clip_id""",
     "clu5_one_timeline": f"""{_B}, b as (select clip_id, track_id, frame, min_by(cx, box_key) as cx, min_by(cy, box_key) as cy from c group by all)
 select clip_id, cluster, frame, round(cx, 6) as cx, round(cy, 6) as cy, track_id from (select *, track_id % 3 as cluster, row_number() over (partition by clip_id, track_id % 3, frame order by track_id desc) as k from b) where k = 1""",
@@ -257,7 +276,8 @@ select clip_id, frame, box_idx, track_id, round(d, 6) as d from r where i = 1 an
 s as (select a.clip_id, a.track_id as a, b.track_id as b, count(*) as shared from f a join f b on a.clip_id = b.clip_id and a.frame = b.frame and a.track_id < b.track_id group by all)
 select a.clip_id, a.track_id as a, b.track_id as b, coalesce(shared, 0) as shared, a.n + b.n - coalesce(shared, 0) as either from n a join n b on a.clip_id = b.clip_id and a.track_id < b.track_id left join s on s.clip_id = a.clip_id and s.a = a.track_id and s.b = b.track_id""",
     "clu9_two_vanishing_points": f"{_VPS} select frame, round(b1.x, 6) as x_1, round(b1.y, 6) as y_1, b1.inliers as inliers_1, round(b2.x, 6) as x_2, round(b2.y, 6) as y_2, b2.inliers as inliers_2 from b1 join b2 using (frame)",
-    "cj8_focal_from_segments": f"{_VPS}, r as (select frame, -((b1.x - 480) * (b2.x - 480) + (b1.y - 270) * (b2.y - 270)) as r from b1 join b2 using (frame)) select frame, round(case when r > 0 then sqrt(r) end, 6) as focal_px from r",
+    "cj8_focal_from_segments": f"{_VPS}, {_SPREAD}, r as (select frame, -((b1.x - 480) * (b2.x - 480) + (b1.y - 270) * (b2.y - 270)) as r from b1 join b2 using (frame)) select frame, round(case when r > 0 and reliable then sqrt(r) end, 6) as focal_px from r join spread using (frame)",
+    "ag21_focal_reliability": f"{_VPS}, {_SPREAD} select frame, pairs, n, round(spread, 6) as spread, reliable from spread",
     "ag25_fit_line": f"""{duck('segs')}, s as (select *, x1 + seg_id / 1000 as x, sum(coalesce((y1 - last > 5)::INT, 0)) over (partition by frame order by y1, seg_id) as cluster from (select *, lag(y1) over (partition by frame order by y1, seg_id) as last from segs)),
 f as (select frame, cluster, count(*) as n, avg(x) as mx, avg(y1) as my, 0.5::DOUBLE * atan2(2 * covar_pop(x, y1), var_pop(x) - var_pop(y1)) as angle from s group by frame, cluster)
 select frame, cluster::BIGINT as cluster, n, round(mx, 6) as mx, round(my, 6) as my, round(angle, 6) as angle, round(min((x - mx) * cos(angle) + (y1 - my) * sin(angle)), 6) as low, round(max((x - mx) * cos(angle) + (y1 - my) * sin(angle)), 6) as high from s join f using (frame, cluster) group by frame, cluster, n, mx, my, angle""",

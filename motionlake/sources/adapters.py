@@ -23,7 +23,7 @@ VIEWS = {
                least(cast(1 as double), greatest(cast(0 as double), 0.6 + 2 * {item:((2*j+40)%64)+1})) as vis
         from (select *, cast(row_number() over (partition by label order by vec_id) - 1 as int) as frame from {embeddings}) b {landmarks}""",
     "boxes": """
-        select cast(user_id % 10 as int) as clip_id, cast(floor({us} / 3600000000) - 473352 as int) as frame, user_id as track_id,
+        select cast(floor(user_id / cast(10 as double)) as int) as clip_id, cast(floor({us} / 3600000000) - 473352 as int) as frame, user_id as track_id,
                case when event_type in ('view', 'click') then 'ball' when event_type = 'signup' then 'racket' else 'person' end as class,
                (value * 2) % 960 as x, {k} * cast(5.4 as double) as y, 10 + {k} % 7 as w, 20 + {k} % 11 as h, event_id as box_key
         from {events}""",

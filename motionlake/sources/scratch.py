@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = root or os.path.join(tempfile.gettempdir(), "motionlake-scratch")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what several later steps read is computed once, and its lineage is cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
