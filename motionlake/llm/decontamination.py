@@ -17,6 +17,8 @@ rows are separate rows; empty tables give an empty result or no hits.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,20 +50,32 @@ class _Numbers(dict):
         return n
 
 
-def _segment(number: int, names: list, hashes: list, texts: list[bytes]) -> dict:
-    numbers, stream, sizes = _Numbers(), [], []
-    for t in texts:
-        w = words(t)
-        sizes.append(len(w))
-        stream.append(np.array([numbers[x] for x in w], np.int32))
-    ids = np.concatenate(stream) if stream else np.empty(0, np.int32)
-    at = np.argsort(ids, kind="stable").astype(np.int64)
-    counts = np.bincount(ids, minlength=len(numbers)).astype(np.int32)
-    gaps = np.diff(at, prepend=0)
-    heads = (np.cumsum(counts) - counts)[counts > 0]
-    gaps[heads] = at[heads]
-    planes = gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return {"segment": [number], "doc_ids": [names], "text_hashes": [hashes], "n_words": [sizes], "terms": [list(numbers)], "counts": [counts.tolist()], "postings": [planes]}
+class _Segment:
+    """A segment under construction: texts are turned into numbers of their words as they come and are not kept."""
+
+    def __init__(self, number: int):
+        self.number, self.names, self.hashes, self.sizes = number, [], [], []
+        self.numbers, self.stream, self.held = _Numbers(), array("i"), 0
+
+    def add(self, name, text: bytes, text_hash) -> None:
+        w = words(text)
+        self.names.append(name)
+        self.hashes.append(text_hash)
+        self.sizes.append(len(w))
+        self.stream.extend(map(self.numbers.__getitem__, w))
+        self.held += len(text)
+
+    def row(self) -> pa.RecordBatch:
+        ids = np.frombuffer(self.stream, np.int32) if self.stream else np.empty(0, np.int32)
+        at = np.argsort(ids, kind="stable")
+        counts = np.bincount(ids, minlength=len(self.numbers)).astype(np.int32)
+        gaps = np.diff(at, prepend=0).astype("<u4")
+        heads = (np.cumsum(counts) - counts)[counts > 0]
+        gaps[heads] = at[heads]
+        del at, ids
+        planes = gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+        row = {"segment": [self.number], "doc_ids": [self.names], "text_hashes": [self.hashes], "n_words": [self.sizes], "terms": [list(self.numbers)], "counts": [counts.tolist()], "postings": [planes]}
+        return pa.RecordBatch.from_pydict(row, schema=_INDEX_ARROW)
 
 
 _INDEX_ARROW = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
@@ -70,20 +84,15 @@ _INDEX_ARROW = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64
 def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the index of ``docs`` (``doc_id, text``) to ``path``."""
     def segments(batches):
-        names, hashes, texts, held = [], [], [], 0
-        number = TaskContext.get().partitionId() << 32
+        own = _Segment(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for name, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                names.append(name)
-                hashes.append(h)
-                texts.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                held += len(texts[-1])
-                if held >= segment_bytes:
-                    yield pa.RecordBatch.from_pydict(_segment(number, names, hashes, texts), schema=_INDEX_ARROW)
-                    number += 1
-                    names, hashes, texts, held = [], [], [], 0
-        if names:
-            yield pa.RecordBatch.from_pydict(_segment(number, names, hashes, texts), schema=_INDEX_ARROW)
+                own.add(name, text.as_buffer().to_pybytes() if text.is_valid else b"", h)
+                if own.held >= segment_bytes:
+                    yield own.row()
+                    own = _Segment(own.number + 1)
+        if own.names:
+            yield own.row()
 
     with common.arrow_batches(docs.sparkSession, 500):
         docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(segments, INDEX_SCHEMA).write.parquet(path)
