@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-PLAN_MODULES = ("series", "joins", "sessions", "poses", "metric_blocks", "stroke_metrics", "tracking", "inout", "streams", "strokes", "records")
+PLAN_MODULES = ("series", "joins", "sessions", "poses", "metric_blocks", "stroke_metrics", "tracking", "inout", "streams", "strokes", "jobs", "records")
 FLAGSHIP = "cj3_session_summary"
 
 

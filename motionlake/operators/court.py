@@ -134,9 +134,14 @@ def ground_homography(points: DataFrame, keys: Names) -> DataFrame:
 
 
 def corners(segs: DataFrame, keys: Names, width: float, height: float, flat_deg: float = 12.0, gap: float = 20.0) -> DataFrame:
-    """The four court corners per key from line segments: near-horizontal ones chained by height give base and service line,
-    the others chained by position the left and right side line; their crossings count only if all lie inside the picture
-    with a 30 % margin. ``segs``: keys, seg_id, x1, y1, x2, y2."""
+    """The four court corners per key (``corner, x, y``), only where all four are found inside the picture with a 30 % margin."""
+    return corner_candidates(segs, keys, width, height, flat_deg, gap).filter("_ok and _n = 4").drop("_ok", "_n")
+
+
+def corner_candidates(segs: DataFrame, keys: Names, width: float, height: float, flat_deg: float = 12.0, gap: float = 20.0) -> DataFrame:
+    """Court corners per key from line segments: near-horizontal ones chained by height give base and service line, the others
+    chained by position the left and right side line, and their crossings the corners; ``_ok``: all of the key's are inside the
+    picture with a 30 % margin, ``_n``: how many there are. ``segs``: keys, seg_id, x1, y1, x2, y2."""
     from . import series
 
     angle = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
@@ -158,7 +163,7 @@ def corners(segs: DataFrame, keys: Names, width: float, height: float, flat_deg:
     j = j.select(*keys, F.concat_ws("_", "name_h", "name").alias("corner"), (F.col("mx") + t * F.col("dx")).alias("x"), (F.col("my") + t * F.col("dy")).alias("y"))
     inside = F.col("x").between(-0.3 * width, 1.3 * width) & F.col("y").between(-0.3 * height, 1.3 * height)
     whole = Window.partitionBy(*keys)
-    return j.withColumn("_ok", F.min(inside).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_ok and _n = 4").drop("_ok", "_n")
+    return j.withColumn("_ok", F.min(inside).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
 
 
 def project_lines(poses: DataFrame, lines: DataFrame, cx: float, cy: float) -> DataFrame:

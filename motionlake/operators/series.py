@@ -102,11 +102,16 @@ def resample(df: DataFrame, keys: Names, t: str, values: Names, step_ms: float)
 
     Union of grid and samples with ``last`` and ``first`` over the time order: no range join, one shuffle.
     """
-    span = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), *[F.count(v).alias(f"_n_{v}") for v in values])
-    grid = span.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_t1") - F.col("_t0")) / step_ms).cast("int"))))
-    grid = grid.select(*keys, (F.col("_t0") + F.col("_k") * F.lit(step_ms)).alias(t), F.col("_k").alias("grid"), *[F.col(f"_n_{v}") for v in values])
-    raw = df.select(*keys, t, *values)
-    both = raw.unionByName(grid, allowMissingColumns=True)
+    span = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+    grid = span.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_t1") - F.col("_t0") + 1e-6) / step_ms).cast("int"))))
+    return interpolate_at(df, keys, t, values, grid.select(*keys, (F.col("_t0") + F.col("_k") * F.lit(step_ms)).alias(t), F.col("_k").alias("grid")))
+
+
+def interpolate_at(df: DataFrame, keys: Names, t: str, values: Names, grid: DataFrame) -> DataFrame:
+    """Values at the times of ``grid`` (keys, ``t``, grid: the number of a time): linear between samples, the nearest one beyond them; NULL
+    where the raw samples around are, by distance, more missing than not, or a key has fewer than two."""
+    raw = df.select(*keys, t, *values, *[F.count(v).over(Window.partitionBy(*keys)).alias(f"_n_{v}") for v in values])
+    both = raw.unionByName(grid.select(*keys, t, "grid"), allowMissingColumns=True).withColumns({f"_n_{v}": F.max(f"_n_{v}").over(Window.partitionBy(*keys)) for v in values})
     own = Window.partitionBy(*keys).orderBy(t, F.col("grid").isNotNull())
     back = Window.partitionBy(*keys).orderBy(F.col(t).desc(), F.col("grid").isNotNull())
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)

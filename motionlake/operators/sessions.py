@@ -18,6 +18,8 @@ TRENDS = (("shoulder_deg", True), ("tempo", True), ("recovery_ms", False), ("spl
 AUTO_ACCEPT, REVIEW, DEMOTE_BELOW = 0.85, 0.60, 0.70
 AVOID_SHARE, AVOID_STROKES = 0.20, 20
 LOW_CONFIDENCE_SHARE = 0.30
+#: What to train for an issue.
+DRILLS = {"shoulder_deg": "shoulder_rotation", "tempo": "tempo_ratio", "recovery_ms": "recovery_time", "split_step": "split_step_rate"}
 SESSION = ["session_id"]
 
 
@@ -53,6 +55,7 @@ def by_type(strokes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.avg("shoulder_deg").alias("mean_shoulder"), F.stddev_pop("shoulder_deg").alias("sd_shoulder"),
         F.avg("tempo").alias("mean_tempo"), F.stddev_pop("tempo").alias("sd_tempo"),
+        F.avg("hip_deg").alias("mean_hip"), F.avg("contact_cm").alias("mean_contact_height"), F.avg("path_deg").alias("mean_swing_path"), F.avg("racket_mps").alias("mean_racket_speed"),
         F.avg("recovery_ms").alias("mean_recovery"), (F.avg(F.col("split_step").cast("double")) * 100).alias("split_step_rate"),
     )
 
@@ -98,52 +101,83 @@ def consistency(strokes: DataFrame, values: list[str]) -> DataFrame:
     return stats.select(*SESSION, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)).alias("consistency"))
 
 
+def _trend_of(n: Column, first: Column, mid: Column, last: Column, higher_is_better: bool) -> Column:
+    """Trend by the means of thirds: stable, volatile, improving or declining."""
+    base = F.abs(first) + F.lit(1e-9)
+    change, middle = (last - first) / base, F.abs(F.coalesce(mid, first) - first) / base
+    better = change > 0 if higher_is_better else change < 0
+    level = F.abs(change) < STABLE  # only where the ends agree can the middle make it volatile
+    return F.when(n < 3, "stable").when(level & (middle > VOLATILE), "volatile").when(level, "stable").when(better, "improving").otherwise("declining")
+
+
+def blocks(strokes: DataFrame) -> DataFrame:
+    """Everything the trend, pattern and summary blocks say, one row a session: strokes are dealt by session and numbered once, and all
+    else is one conditional aggregate over that."""
+    whole, w = Window.partitionBy(*SESSION), Window.partitionBy(*SESSION).orderBy("stroke_index")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    clean = F.coalesce(F.col("is_clean"), F.lit(False))
+    rows = strokes.withColumn("_clean", clean).withColumns({f"_v_{v}": F.when(clean, F.col(v).cast("double")) for v, _ in TRENDS})
+    flags = {"clean": F.col("_clean"), **{v: F.col(f"_v_{v}").isNotNull() for v, _ in TRENDS}}
+    rows = rows.withColumns({f"_at_{k}": F.sum(f.cast("int")).over(upto) for k, f in flags.items()} | {f"_n_{k}": F.sum(f.cast("int")).over(whole) for k, f in flags.items()})
+    rows = rows.withColumn("_run", F.sum(F.col("stroke_type").isin("FH", "BH").cast("int")).over(w.rowsBetween(-2, 0)))
+    third = lambda k: F.greatest(F.lit(1), F.floor(F.col(f"_n_{k}") / 3))
+    aggregates = [F.max(f"_n_{k}").alias(f"n_{k}") for k in flags]
+    for v, _ in TRENDS:
+        at, n, x = F.col(f"_at_{v}"), F.col(f"_n_{v}"), F.col(f"_v_{v}")
+        aggregates += [F.avg(F.when(at <= third(v), x)).alias(f"first_{v}"), F.avg(F.when((at > third(v)) & (at <= n - third(v)), x)).alias(f"mid_{v}"), F.avg(F.when(at > n - third(v), x)).alias(f"last_{v}")]
+        aggregates += [F.avg(x).alias(f"mean_{v}"), F.stddev_pop(x).alias(f"sd_{v}")]
+    counts = F.array(*[F.struct(F.count_if(F.col("stroke_type") == t).alias("n"), F.lit(-i).alias("p"), F.lit(t).alias("t")) for i, t in enumerate(STROKE_TYPES)])
+    a = rows.groupBy(*SESSION).agg(
+        *aggregates, F.count(F.lit(1)).alias("strokes"), F.array_max(counts)["t"].alias("dominant"), F.count_if(F.col("stroke_type") == "BH").alias("backhands"), F.coalesce(F.bool_or(F.col("_run") == 3), F.lit(False)).alias("ground_run"),
+        F.max(F.when(F.col("_clean") & (F.col("_at_clean") == F.col("_n_clean") - third("clean") + 1), F.col("stroke_index"))).alias("_onset"),
+        F.max_by("stroke_index", F.when(F.col("_clean"), F.struct("confidence", -F.col("stroke_index")))).alias("highlight"), F.avg((F.col("confidence") < REVIEW).cast("double")).alias("low_share"),
+    )
+    a = a.withColumns({f"{v}_trend": F.when(F.col(f"n_{v}") > 0, _trend_of(F.col(f"n_{v}"), F.col(f"first_{v}"), F.col(f"mid_{v}"), F.col(f"last_{v}"), up)).otherwise("stable") for v, up in TRENDS})
+    # a coefficient of variation needs three known values and a mean off 0
+    spread = F.array_compact(F.array(*[F.when((F.col(f"n_{v}") >= 3) & (F.abs(f"mean_{v}") > 1e-9), F.col(f"sd_{v}") / F.abs(f"mean_{v}")) for v in ("shoulder_deg", "tempo", "recovery_ms")]))
+    mean = F.when(F.size(spread) > 0, F.aggregate(spread, F.lit(0.0), lambda s, x: s + x) / F.size(spread))
+    declining = sum(((F.col(f"{v}_trend") == "declining").cast("int") for v, _ in TRENDS[1:]), (F.col(f"{TRENDS[0][0]}_trend") == "declining").cast("int"))
+    a = a.withColumn("known", F.greatest(*[F.col(f"n_{v}") for v, _ in TRENDS]) > 0).withColumn("consistency", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean))).withColumn("fatigue", F.when(F.col("known"), declining >= 2))
+    a = a.withColumn("fatigue_onset", F.when(F.col("fatigue"), F.col("_onset"))).withColumn("avoids_backhand", F.when(F.col("strokes") >= AVOID_STROKES, F.col("backhands") / F.col("strokes") < AVOID_SHARE))
+    issue = F.coalesce(*[F.when(F.col(f"{v}_trend") == "declining", F.lit(v)) for v, _ in TRENDS])
+    score = F.round("consistency", 2)
+    quality = F.when((score < POOR) | (score.isNotNull() & F.col("fatigue")), "poor").when(score < FAIR, "fair").when(score <= GOOD, "good").when(score.isNotNull(), "excellent")
+    a = a.withColumn("primary_issue", F.when(F.col("known"), issue)).withColumn("quality", quality)
+    # the drill that goes with the issue: its series' name, or none
+    a = a.withColumn("drill_tag", F.coalesce(*[F.when(F.col("primary_issue") == v, F.lit(t)) for v, t in DRILLS.items()]))
+    coach = F.coalesce(F.col("quality") == "poor", F.lit(False)) | F.coalesce("fatigue", F.lit(False)) | (F.col("low_share") > LOW_CONFIDENCE_SHARE)
+    return a.withColumn("coach_flag", coach)
+
+
+TREND_FIELDS = [*(f"{v}_trend" for v, _ in TRENDS), "consistency", "fatigue", "fatigue_onset"]
+PATTERN_FIELDS = ["dominant", "ground_run", "avoids_backhand", "strokes"]
+SUMMARY_FIELDS = ["clean", "highlight", "primary_issue", "quality", "coach_flag", "fatigue", "fatigue_onset"]
+
+
 def trend_block(strokes: DataFrame) -> DataFrame:
     """Trends of rotation, tempo, recovery and split-step rate, consistency, fatigue (two or more declining) and the stroke where its last third begins."""
-    parts = [trend(strokes, v, up).select(*SESSION, F.col("trend").alias(f"{v}_trend")) for v, up in TRENDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, SESSION, "full")
-    # a series of fewer than three known values counts as stable
-    out = out.withColumns({f"{v}_trend": F.coalesce(f"{v}_trend", F.lit("stable")) for v, _ in TRENDS}).join(consistency(strokes, ["shoulder_deg", "tempo", "recovery_ms"]), SESSION, "left")
-    declining = sum(((F.col(f"{v}_trend") == "declining").cast("int") for v, _ in TRENDS[1:]), (F.col("shoulder_deg_trend") == "declining").cast("int"))
-    w = Window.partitionBy(*SESSION).orderBy("stroke_index")
-    clean = strokes.filter("is_clean").withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SESSION)))
-    onset = clean.filter(F.col("_at") == F.col("_n") - F.greatest(F.lit(1), F.floor(F.col("_n") / 3)) + 1).select(*SESSION, F.col("stroke_index").alias("_onset"))
-    out = out.join(onset, SESSION, "left").withColumn("fatigue", declining >= 2)
-    return out.withColumn("fatigue_onset", F.when(F.col("fatigue"), F.col("_onset"))).drop("_onset")
+    return blocks(strokes).filter("known").select(*SESSION, *TREND_FIELDS)
 
 
 def pattern_block(strokes: DataFrame) -> DataFrame:
     """Dominant type (ties to the reporting order), a ground-stroke run of three, avoided backhand (NULL for few strokes)."""
-    counts = strokes.groupBy(*SESSION, "stroke_type").count()
-    dominant = counts.groupBy(*SESSION).agg(F.max_by("stroke_type", F.struct("count", -type_position(F.col("stroke_type")))).alias("dominant"))
-    ground = F.col("stroke_type").isin("FH", "BH").cast("int")
-    w = Window.partitionBy(*SESSION).orderBy("stroke_index").rowsBetween(-2, 0)
-    rows = strokes.withColumn("_run", F.sum(ground).over(w))
-    backhands, strokes_of_all = F.count_if(F.col("stroke_type") == "BH"), F.count(F.lit(1))
-    rest = rows.groupBy(*SESSION).agg(F.coalesce(F.bool_or(F.col("_run") == 3), F.lit(False)).alias("ground_run"), F.when(strokes_of_all >= AVOID_STROKES, backhands / strokes_of_all < AVOID_SHARE).alias("avoids_backhand"), F.count(F.lit(1)).alias("strokes"))
-    return dominant.join(rest, SESSION)
+    return blocks(strokes).select(*SESSION, *PATTERN_FIELDS)
 
 
 def summary_block(strokes: DataFrame) -> DataFrame:
     """Quality by consistency (poor with fatigue, NULL without consistency), first declining trend, the clean stroke of highest
     confidence, and whether a coach should look: poor quality, fatigue, or many strokes under the review threshold."""
-    t = trend_block(strokes)
-    highlight = F.max_by("stroke_index", F.when(F.col("is_clean"), F.struct("confidence", -F.col("stroke_index")))).alias("highlight")
-    base = strokes.groupBy(*SESSION).agg(highlight, F.avg((F.col("confidence") < REVIEW).cast("double")).alias("low_share"), F.count_if("is_clean").alias("clean"))
-    issue = F.coalesce(*[F.when(F.col(f"{v}_trend") == "declining", F.lit(v)) for v, _ in TRENDS])
-    score = F.round("consistency", 2)
-    quality = F.when((score < POOR) | (score.isNotNull() & F.col("fatigue")), "poor").when(score < FAIR, "fair").when(score <= GOOD, "good").when(score.isNotNull(), "excellent")
-    out = base.join(t, SESSION, "left")
-    return out.select(*SESSION, "clean", "highlight", issue.alias("primary_issue"), quality.alias("quality"), (F.coalesce(quality == "poor", F.lit(False)) | F.coalesce("fatigue", F.lit(False)) | (F.col("low_share") > LOW_CONFIDENCE_SHARE)).alias("coach_flag"), "fatigue", "fatigue_onset")
+    return blocks(strokes).withColumn("clean", F.col("n_clean").cast("long")).select(*SESSION, *SUMMARY_FIELDS)
 
 
 def documents(strokes: DataFrame) -> DataFrame:
     """One nested row per session: its strokes in order, the aggregates by type in reporting order, trend and pattern."""
     items = strokes.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("stroke_index", "stroke_type", "is_clean", "shoulder_deg", "tempo", "confidence"))).alias("strokes"))
-    agg = by_type(strokes)
+    agg, b = by_type(strokes), blocks(strokes)
     agg = agg.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct(type_position(F.col("stroke_type")).alias("position"), "stroke_type", "n", "mean_shoulder", "mean_tempo"))).alias("aggregated_metric"))
-    t, p = trend_block(strokes), pattern_block(strokes)
-    fold = lambda df, name: df.select(*SESSION, F.struct(*[c for c in df.columns if c not in SESSION]).alias(name))
-    return items.join(agg, SESSION, "left").join(fold(t, "trend"), SESSION, "left").join(fold(p, "pattern"), SESSION, "left")
+    layers = b.select(
+        *SESSION, F.when(F.col("known"), F.struct(*TREND_FIELDS)).alias("trend"), F.struct(*PATTERN_FIELDS).alias("pattern"),
+        F.struct(F.col("n_clean").alias("clean"), *[c for c in SUMMARY_FIELDS if c != "clean"], "drill_tag").alias("session_summary"),
+        F.struct(F.col("strokes").alias("total_strokes_detected"), F.col("n_clean").alias("usable_strokes")).alias("session_metadata"),
+    )
+    return items.join(agg, SESSION, "left").join(layers, SESSION, "left")

@@ -309,3 +309,29 @@ def sessionise(obs: DataFrame, keys: list[str], frame: str, gap: int) -> DataFra
     w = Window.partitionBy(*keys).orderBy(frame)
     rows = obs.select(*keys, frame).distinct().withColumn("_new", F.coalesce((F.col(frame) - F.lag(frame).over(w) > gap).cast("int"), F.lit(0))).withColumn("_run", F.sum("_new").over(w))
     return rows.groupBy(*keys, "_run").agg(F.min(frame).alias("first"), F.max(frame).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def clean_detections(boxes: DataFrame, fps: float, width: float, height: float, keep: int = 2, smoothing: int = 15) -> DataFrame:
+    """Player tracks of a detector's tables: persons that move or are tall, fragments joined end to start, the ``keep`` longest of a clip without
+    gaps, their boxes smoothed and cut to whole pixels, with a role by height: clip_id, track_id (the chain), frame, x, y, w, h, role.
+
+    ``boxes``: clip_id, frame, track_id, class, box_idx, x, y, w, h; the first box of a track in a frame counts."""
+    from . import series
+
+    people = boxes.filter("class = 'person'").groupBy(*CLIP, "track_id", "frame").agg(*[F.min_by(c, "box_idx").alias(c) for c in ("x", "y", "w", "h")])
+    people = stored(people.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2}), "people")
+    kept = people.join(tall_or_moving_tracks(people, width, height).select(*CLIP, "track_id"), [*CLIP, "track_id"])
+    kept = stored(kept, "kept")
+    chains = stitch_fragments(kept, fps, height)
+    line = kept.join(chains, [*CLIP, "track_id"]).groupBy(*CLIP, "chain", "frame").agg(*[F.min_by(c, "track_id").alias(c) for c in ("x", "y", "w", "h")])
+    line = stored(line.withColumnRenamed("chain", "track_id"), "line")
+    n = line.groupBy(*CLIP, "track_id").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("a"), F.max("frame").alias("z"))
+    top = n.withColumn("_r", F.row_number().over(Window.partitionBy(*CLIP).orderBy(F.desc("n"), "a", "track_id"))).filter(F.col("_r") <= keep)
+    key = [*CLIP, "track_id"]
+    spine = top.select(*key, F.explode(F.sequence("a", "z")).alias("frame"))
+    rows = spine.join(line, [*key, "frame"], "left")
+    for c in ("x", "y", "w", "h"):
+        rows = series.savgol(series.fill_gaps(rows, key, ["frame"], c, 1 << 30, f"_{c}"), key, ["frame"], f"_{c}", f"_s{c}", smoothing)
+    rows = rows.select(*key, "frame", *[F.col(f"_s{c}").cast("int").alias(c) for c in ("x", "y", "w", "h")])
+    role = roles(line.join(top.select(*key), key)).select(*key, "role")
+    return rows.join(role, key)

@@ -14,7 +14,7 @@ def strokes(spark, d):
 
 
 def ag1_by_type(spark, d):
-    names = ("mean_shoulder", "sd_shoulder", "mean_tempo", "sd_tempo", "mean_recovery", "split_step_rate")
+    names = ("mean_shoulder", "sd_shoulder", "mean_tempo", "sd_tempo", "mean_hip", "mean_contact_height", "mean_swing_path", "mean_racket_speed", "mean_recovery", "split_step_rate")
     return sessions.by_type(strokes(spark, d)).withColumns({n: F.round(n, 9) for n in names})
 
 
@@ -53,7 +53,8 @@ def d_sum_summary_block(spark, d):
 def cj3_session_summary(spark, d):
     """The flagship: trend, pattern and summary of every session side by side."""
     s = strokes(spark, d)
-    out = sessions.summary_block(s).join(sessions.pattern_block(s), "session_id").join(sessions.by_type(s).groupBy("session_id").agg(F.sum("n").alias("clean_strokes"), F.avg("mean_tempo").alias("tempo")), "session_id")
+    b = sessions.blocks(s).withColumn("clean", F.col("n_clean").cast("long")).select("session_id", *sessions.SUMMARY_FIELDS, *sessions.PATTERN_FIELDS)
+    out = b.join(sessions.by_type(s).groupBy("session_id").agg(F.sum("n").alias("clean_strokes"), F.avg("mean_tempo").alias("tempo")), "session_id")
     return r6(out, "tempo").withColumn("fatigue_onset", F.col("fatigue_onset").cast("double"))
 
 
@@ -113,7 +114,7 @@ def ag27_classification_report(spark, d):
 
 QUERIES = {f.__name__: f for f in (cj3_session_summary, ag1_by_type, ag3_session_stats, ag4_share_of_max, ag5_keyframe_accuracy, ag6_failures, ag7_agreement, ag8_deviation_bins, ag9_spotting, ag22_action_counts, ag23_consistency, ag27_classification_report, wn33_trend, d_tre_trend_block, d_pat_pattern_block, d_sum_summary_block, flt5_keep_and_number, ux1_type_override, snk2_session_documents)}
 
-_BY_TYPE = """bt as (select session_id, stroke_type, count(*) as n, avg(shoulder_deg) as mean_shoulder, stddev_pop(shoulder_deg) as sd_shoulder, avg(tempo) as mean_tempo, stddev_pop(tempo) as sd_tempo, avg(recovery_ms) as mean_recovery, avg(split_step::INT::DOUBLE) * 100 as split_step_rate
+_BY_TYPE = """bt as (select session_id, stroke_type, count(*) as n, avg(shoulder_deg) as mean_shoulder, stddev_pop(shoulder_deg) as sd_shoulder, avg(tempo) as mean_tempo, stddev_pop(tempo) as sd_tempo, avg(hip_deg) as mean_hip, avg(contact_cm) as mean_contact_height, avg(path_deg) as mean_swing_path, avg(racket_mps) as mean_racket_speed, avg(recovery_ms) as mean_recovery, avg(split_step::INT::DOUBLE) * 100 as split_step_rate
   from strokes where is_clean group by session_id, stroke_type)"""
 _POS = "case {0} when 'FH' then 1 when 'BH' then 2 when 'SV' then 3 when 'VL' then 4 when 'SL' then 5 else 6 end"
 
@@ -149,7 +150,7 @@ e as (select l.*, p.detected, case when p.detected then abs(p.ts - l.frame * 100
 err as (select *, coalesce(error_ms <= 1000::DOUBLE / fps + 1, false) as ok, case when detected is null then 'no prediction' when not detected then 'not detected' when not coalesce(error_ms <= 1000::DOUBLE / fps + 1, false) then 'off' end as reason from e)"""
 _S = duck("strokes")
 ORACLE_SQL = {
-    "ag1_by_type": f"{_S}, {_BY_TYPE} select session_id, stroke_type, n, round(mean_shoulder, 9) as mean_shoulder, round(sd_shoulder, 9) as sd_shoulder, round(mean_tempo, 9) as mean_tempo, round(sd_tempo, 9) as sd_tempo, round(mean_recovery, 9) as mean_recovery, round(split_step_rate, 9) as split_step_rate from bt",
+    "ag1_by_type": f"{_S}, {_BY_TYPE} select session_id, stroke_type, n, round(mean_shoulder, 9) as mean_shoulder, round(sd_shoulder, 9) as sd_shoulder, round(mean_tempo, 9) as mean_tempo, round(sd_tempo, 9) as sd_tempo, round(mean_hip, 9) as mean_hip, round(mean_contact_height, 9) as mean_contact_height, round(mean_swing_path, 9) as mean_swing_path, round(mean_racket_speed, 9) as mean_racket_speed, round(mean_recovery, 9) as mean_recovery, round(split_step_rate, 9) as split_step_rate from bt",
     "ag3_session_stats": f"""{_S}, c as (select session_id, stroke_type, count(*) as n, count(*) filter (where is_clean) as clean from strokes group by all)
 select session_id, sum(n)::BIGINT as windows, sum(clean)::BIGINT as usable, '{{' || string_agg('"' || stroke_type || '":' || n, ',' order by {_POS.format('stroke_type')}) || '}}' as distribution from c group by session_id""",
     "ag4_share_of_max": f"{_S} select session_id, stroke_index, round(case when max(abs(shoulder_deg)) over (partition by session_id) > 0 then abs(shoulder_deg) / max(abs(shoulder_deg)) over (partition by session_id) * 100 end, 6) as share from strokes",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import body as B
 from ..operators import court, joins, occlusion, poses, series, sessions, strokes
 from ..sources.adapters import duck, view
+from . import poses as P
 from .series import CLIP, _points, _recursive, r6
 from .tracking import _wrists, boxes
 
@@ -41,16 +42,15 @@ def d_fuse_impact(spark, d):
     p = _points(spark, d).withColumn("t_ms", F.col("frame") * 1000 / F.lit(30.0))
     ball = joins.densify(p, CLIP, "frame").withColumn("t_ms", F.col("frame") * 1000 / F.lit(30.0))
     impact = ball.groupBy("clip_id").agg((F.max("t_ms") / 2).alias("impact_ms"))
-    return r6(strokes.fuse_impact(impact, ball), "impact_ms")
+    return r6(strokes.fuse_impact(impact, ball).withColumn("frame", F.col("frame").cast("double")), "impact_ms")
 
 
 def wn44_event_keyframes(spark, d):
-    """Every fortieth frame stands in for an impact, a table the driver does not have."""
-    w = _wrists(spark, d).select("clip_id", "frame", "x", "y")
-    hip = boxes(spark, d).filter("class = 'racket'").groupBy("clip_id", "frame").agg(F.min("cx").alias("x"), F.min("cy").alias("y"))
+    """Every fortieth frame stands in for an impact, a table the driver does not have; the wrist is seen in some frames only."""
+    w = joins.densify(_wrists(spark, d).select("clip_id", "frame", "x", "y"), CLIP, "frame")
     events = w.filter("frame % 40 = 0").select("clip_id", F.col("frame").alias("event_id"), "frame")
-    k = strokes.event_keyframes(events, w, hip, 30.0, 30.0)
-    return k.withColumns({c: F.col(c).cast("double") for c in ("backswing_peak", "follow_through", "ready")})
+    k = strokes.event_keyframes(events, w, 30.0, 30.0)
+    return k.withColumns({c: F.col(c).cast("double") for c in ("unit_turn", "backswing_peak", "follow_through_peak", "recovery_position")})
 
 
 def wn43_path_payload(spark, d):
@@ -60,23 +60,29 @@ def wn43_path_payload(spark, d):
     return p.select("clip_id", "span_id", F.size("path").cast("long").alias("n"), F.element_at("path", 1)["frame"].alias("first"), F.element_at("path", -1)["frame"].alias("last"))
 
 
-def cj1_stroke_job(spark, d):
-    j = strokes.stroke_job(view(spark, d, "pose"))
-    return r6(j.select("clip_id", "status", "action", "stroke_type", "elbow_deg", "wrist_peak_speed", "pose_confidence"), "elbow_deg", "wrist_peak_speed", "pose_confidence")
-
-
 def cj4_players(spark, d):
     b = boxes(spark, d).groupBy("clip_id", "track_id", "frame").agg(F.min_by("cx", "box_key").alias("cx"), F.min_by("cy", "box_key").alias("cy"), F.min_by("h", "box_key").alias("h"))
     c = b.select("clip_id", "track_id").distinct().withColumn("cluster", F.col("track_id") % 3).withColumn("position", F.col("track_id"))
     return r6(strokes.players(b, c).groupBy("clip_id", "cluster", "role").agg(F.count(F.lit(1)).alias("frames"), F.sum("cx").alias("sum_x")), "sum_x")
 
 
+def _light(spark, d):
+    """Every twentieth frame of the landmark view stands in for a hit, the clip's one player is near in even clips."""
+    pose = view(spark, d, "pose")
+    hits = pose.filter("lm_id = 0 and frame % 20 = 0 and frame > 0").select("clip_id", F.lit(1).alias("track_id"), "frame", F.lit("HIGH").alias("confidence"))
+    players = pose.select("clip_id", F.lit(1).alias("track_id"), F.when(F.col("clip_id") % 2 == 0, "near").otherwise("far").alias("role")).distinct()
+    return strokes.light_strokes(hits, players, pose, 30.0)
+
+
+def d_light_strokes(spark, d):
+    s = _light(spark, d)
+    return r6(s.select("clip_id", "stroke_index", "frame", "role", "stroke_type", "shoulder_impact_deg", "separation_deg", "contact_height_cm", "shoulder_turn_deg"), "shoulder_impact_deg", "separation_deg", "contact_height_cm", "shoulder_turn_deg")
+
+
 def cj10_light_documents(spark, d):
-    hits = boxes(spark, d).filter("class = 'racket'").groupBy("clip_id", "track_id", "frame").agg(F.lit("HIGH").alias("confidence"))
-    players = hits.select("clip_id", "track_id").distinct().filter("track_id % 5 < 2").withColumn("role", F.when(F.col("track_id") % 5 == 0, "near").otherwise("far"))
-    m = _points(spark, d).select("clip_id", "frame", F.lit("FH").alias("stroke_type"), F.col("x").alias("rotation"))
-    doc = strokes.light_documents(hits, players, m)
-    return r6(doc.select("clip_id", F.size("strokes").cast("long").alias("n"), "near", "far", "mean_rotation", "sd_rotation"), "mean_rotation", "sd_rotation")
+    doc = strokes.light_documents(_light(spark, d))
+    kinds = F.transform("aggregated_metric", lambda a: F.concat_ws(":", a["stroke_type"], a["stroke_count"].cast("string")))
+    return doc.select("clip_id", F.size("strokes").cast("long").alias("n"), "near", "far", F.array_join(kinds, ";").alias("kinds"), F.element_at("aggregated_metric", 1)["shoulder_rotation_mean_deg"].alias("first_rotation"))
 
 
 def clu7_corners(spark, d):
@@ -127,7 +133,7 @@ def tk4_highlights(spark, d):
     return r6(s.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").select("session_id", "stroke_type", "rank", "stroke_index", "confidence"), "confidence")
 
 
-QUERIES = {f.__name__: f for f in (wn8_smooth_boxes, wn14_occlusion_fill, cj3_spot_strokes, jn6_cut_strokes, d_fuse_impact, wn44_event_keyframes, wn43_path_payload, cj1_stroke_job, cj4_players, cj10_light_documents, clu7_corners, clu12_project_lines, ag24_tracked_share, ag28_dropout, prj5_actions, sc6_margin_confidence, sc4_union_boxes, wn41_slice_gradient, tk4_highlights)}
+QUERIES = {f.__name__: f for f in (wn8_smooth_boxes, wn14_occlusion_fill, cj3_spot_strokes, jn6_cut_strokes, d_fuse_impact, wn44_event_keyframes, wn43_path_payload, cj4_players, d_light_strokes, cj10_light_documents, clu7_corners, clu12_project_lines, ag24_tracked_share, ag28_dropout, prj5_actions, sc6_margin_confidence, sc4_union_boxes, wn41_slice_gradient, tk4_highlights)}
 
 _C = f"{duck('boxes')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
 _P = "p as (select clip_id, frame, min_by(x, box_key) as x, min_by(y, box_key) as y from boxes where class = 'ball' group by clip_id, frame)"
@@ -166,15 +172,43 @@ k as (select *, sqrt({_each("v@ ** 2", " + ")}) as v, pos - last as dz from h),
 par as (select *, q4 * (q2 * q0 - q1 * q1) - q3 * (q3 * q0 - q1 * q2) + q2 * (q3 * q1 - q2 * q2) as det from past),
 ends as (select k.*, {_each("((@2 * (q2 * q0 - q1 * q1) - q3 * (@1 * q0 - q1 * @0) + q2 * (@1 * q1 - q2 * @0)) * dz * dz + (q4 * (@1 * q0 - @0 * q1) - @2 * (q3 * q0 - q1 * q2) + q2 * (q3 * @0 - @1 * q2)) * dz + q4 * (q2 * @0 - q1 * @1) - q3 * (q3 * @0 - @1 * q2) + @2 * (q3 * q1 - q2 * q2)) / det as f@")} from k join par using (clip_id, lm_id))
 select clip_id, lm_id, frame, {_each("round(case when b is null then case when most <= 2 then greatest(-0.1, least(1.1, f@)) else f@ end else 0.5 * (na@ + (nb@ - na@) * t) + 0.5 * (p@ + limb * v@ / case when v = 0 then 1 else v end) end, 6) as @")} from ends"""
+# hits, their keyframes by the wrist's path, and the light rules at these
+_LIGHT = f"""{P._BASE}, path as (select clip_id, i, x16 as x, y16 as y from wide), hit as (select clip_id, i as f, row_number() over (partition by clip_id order by i)::INTEGER as stroke_index, x16 as ix from wide where i % 20 = 0 and i > 0),
+lb as (select h.clip_id, h.f, max_by(p.i, abs(p.x - ix) * 1000000 - p.i / 1000000) as bp from hit h join path p on p.clip_id = h.clip_id and p.i between h.f - 45 and h.f - 1 group by all),
+lk as (select hit.*, bp, case when bp > greatest(0, bp - 30) then (greatest(0, bp - 30) + bp) // 2 end as ut from hit left join lb using (clip_id, f)),
+lf as (select *, degrees(atan2(y12 - y11, x12 - x11)) as sturn, degrees(atan2(y24 - y23, x24 - x23)) as hturn, case when v27 > 0.3 and v28 > 0.3 then (y27 + y28) / 2 when v27 > 0.3 then y27 when v28 > 0.3 then y28 end as ground from wide),
+ls as (select k.clip_id, k.stroke_index, k.f::INTEGER as frame, case when k.clip_id % 2 = 0 then 'near' else 'far' end as role, case when least(a.v0, a.v11, a.v12, a.v16) < 0.3 then 'FH' when a.y16 < a.y0 - 0.05 then 'SV' when a.x16 > (a.x11 + a.x12) / 2 then 'FH' else 'BH' end as stroke_type,
+  a.sturn as shoulder_impact_deg, a.sturn - a.hturn as separation_deg, case when a.v16 > 0.3 and a.v0 >= 0.3 and abs(a.ground - a.y0) >= 1e-6 then abs(a.ground - a.y16) * (170 / abs(a.ground - a.y0)) end as contact_height_cm, u.sturn as shoulder_turn_deg
+  from lk k join lf a on a.clip_id = k.clip_id and a.i = k.f left join lf u on u.clip_id = k.clip_id and u.i = k.ut)"""
 ORACLE_SQL = {
+    "d_fuse_impact": f"""{duck('boxes')}, {_P}, s as (select clip_id, unnest(generate_series(0, max(frame))) as frame from p group by clip_id),
+q as (select s.clip_id, s.frame, s.frame * 1000 / 30::DOUBLE as t, x, y from s left join p using (clip_id, frame)), im as (select clip_id, max(t) / 2 as ti from q group by clip_id),
+n as (select q.*, ti, count(*) over v as n, count(x) over v as seen, min(case when x is not null then frame end) over v as lo, max(case when x is not null then frame end) over v as hi from q join im using (clip_id) where abs(t - ti) <= 150 window v as (partition by clip_id)),
+g as (select *, coalesce(x, 0) as x0, coalesce(y, 0) as y0 from n where frame between lo and hi),
+v1 as (select *, {", ".join(f"(coalesce(lead({c}0) over k, {c}0) - coalesce(lag({c}0) over k, {c}0)) / ((coalesce(lead(t) over k, t) - coalesce(lag(t) over k, t)) / 1000) as v{c}" for c in "xy")} from g window k as (partition by clip_id order by frame)),
+v2 as (select *, sqrt({" + ".join(f"((coalesce(lead(v{c}) over k, v{c}) - coalesce(lag(v{c}) over k, v{c})) / ((coalesce(lead(t) over k, t) - coalesce(lag(t) over k, t)) / 1000)) ** 2" for c in "xy")}) as acc from v1 window k as (partition by clip_id order by frame)),
+v3 as (select *, lag(acc) over k as a0, lead(acc) over k as a2, lead(t) over k as tb, row_number() over (partition by clip_id order by acc desc, frame) as r from v2 where not isnan(acc) window k as (partition by clip_id order by frame)),
+f as (select clip_id, frame, coalesce(case when abs(a0 - 2 * acc + a2) >= 1e-12 then t + greatest(-0.5, least(0.5, 0.5 * (a0 - a2) / (a0 - 2 * acc + a2))) * (tb - t) end, t) as fine from v3 where r = 1 and seen >= greatest(4, floor(0.3 * n)))
+select im.clip_id, round(coalesce(fine, ti), 6) as impact_ms, f.frame::DOUBLE as frame, f.clip_id is not null as fused from im left join f using (clip_id)""",
     "wn14_occlusion_fill": _recursive(f"{duck('pose')}, {_SPLINE}"),
     "wn43_path_payload": f"{duck('boxes')}, {_P} select s.clip_id, s.frame as span_id, count(*) as n, min(q.frame) as first, max(q.frame) as last from p s join p q on s.clip_id = q.clip_id and q.frame between s.frame and s.frame + 10 where s.frame % 50 = 0 and q.x is not null group by s.clip_id, s.frame",
     "cj4_players": f"""{_C}, b as (select clip_id, track_id, frame, min_by(cx, box_key) as cx, min_by(h, box_key) as h from c group by all),
 l as (select clip_id, track_id % 3 as cluster, frame, max_by(cx, track_id) as cx, max_by(h, track_id) as h from b group by all),
 r as (select clip_id, cluster, row_number() over (partition by clip_id order by median(h) desc, cluster) as k from l group by clip_id, cluster)
 select clip_id, cluster, case k when 1 then 'near' when 2 then 'far' else 'other' end as role, count(*) as frames, round(sum(cx), 6) as sum_x from l join r using (clip_id, cluster) group by all""",
-    "cj10_light_documents": f"""{duck('boxes')}, {_P}, h as (select distinct clip_id, track_id, frame from boxes where class = 'racket' and track_id % 5 < 2)
-select h.clip_id, count(*) as n, count(*) filter (where track_id % 5 = 0) as near, count(*) filter (where track_id % 5 = 1) as far, round(avg(p.x), 6) as mean_rotation, round(stddev_pop(p.x), 6) as sd_rotation from h left join p using (clip_id, frame) group by h.clip_id""",
+    "d_light_strokes": f"{_LIGHT} select clip_id, stroke_index, frame, role, stroke_type, round(shoulder_impact_deg, 6) as shoulder_impact_deg, round(separation_deg, 6) as separation_deg, round(contact_height_cm, 6) as contact_height_cm, round(shoulder_turn_deg, 6) as shoulder_turn_deg from ls",
+    "cj10_light_documents": f"""{_LIGHT}, g as (select clip_id, stroke_type, count(*) as n, round(avg(shoulder_impact_deg), 1) as mean from ls group by all)
+select ls.clip_id, count(*) as n, count(*) filter (role = 'near') as near, count(*) filter (role = 'far') as far, any_value(kinds) as kinds, any_value(first) as first_rotation from ls join
+(select clip_id, string_agg(stroke_type || ':' || n, ';' order by stroke_type) as kinds, min_by(mean, stroke_type) as first from g group by clip_id) k using (clip_id) group by ls.clip_id""",
+    "wn44_event_keyframes": f"""{_C}, w0 as (select clip_id, frame, min_by(cx, box_key) as x, min_by(cy, box_key) as y from c where class = 'person' group by all),
+w1 as (select s.clip_id, s.frame, x, y from (select clip_id, unnest(generate_series(0, max(frame))) as frame from w0 group by clip_id) s left join w0 using (clip_id, frame)),
+w as (select *, sqrt((lead(x) over v - x) ** 2 + (lead(y) over v - y) ** 2) as step, max(frame) over (partition by clip_id) + 1 as total from w1 window v as (partition by clip_id order by frame)),
+ev as (select clip_id, frame as f, coalesce(x, 0) as ix, total from w where frame % 40 = 0),
+b as (select e.clip_id, e.f, max_by(w.frame, abs(w.x - ix) * 1000000 - w.frame / 1000000) as bp from ev e join w on w.clip_id = e.clip_id and w.frame between e.f - 45 and e.f - 1 and w.x is not null group by all),
+t as (select e.clip_id, e.f, min_by(w.frame, w.y * 1000000 + w.frame / 1000000) as ft from ev e join w on w.clip_id = e.clip_id and w.frame between e.f and e.f + 29 and w.y is not null group by all),
+r as (select t.clip_id, t.f, min(w.frame) as still from t join w on w.clip_id = t.clip_id and w.frame >= ft and w.frame < least(w.total, ft + 75) - 1 and w.step < 30 group by all)
+select e.clip_id, e.f::INTEGER as event_id, (case when bp > greatest(0, bp - 30) then (greatest(0, bp - 30) + bp) // 2 end)::DOUBLE as unit_turn, bp::DOUBLE as backswing_peak, e.f::INTEGER as impact, ft::DOUBLE as follow_through_peak, coalesce(still, least(total, ft + 75) - 1)::DOUBLE as recovery_position
+from ev e left join b using (clip_id, f) left join t using (clip_id, f) left join r using (clip_id, f)""",
     "clu12_project_lines": f"""{duck('poses')}, l as (select * from (values ('base', 0::DOUBLE, 0::DOUBLE), ('net', 0.914, 11.885)) l(line, y, z)),
 g as (select cand_id, line, focal_px, radians(pan_deg) as p, radians(tilt_deg) as t, y - height_m as dy, z + distance_m as dz from poses, l),
 q as (select *, -4.115::DOUBLE * cos(p) - dz * sin(p) as rx1, -4.115::DOUBLE * sin(p) + dz * cos(p) as rz1, 4.115::DOUBLE * cos(p) - dz * sin(p) as rx2, 4.115::DOUBLE * sin(p) + dz * cos(p) as rz2 from g),

@@ -44,7 +44,7 @@ VIEWS = {
                cast(row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) as int) as stroke_index,
                case l_partkey % 6 when 0 then 'FH' when 1 then 'BH' when 2 then 'SV' when 3 then 'VL' when 4 then 'SL' else 'RS' end as stroke_type,
                l_returnflag <> 'R' as is_clean, case when l_linenumber = 7 then null else l_quantity end as shoulder_deg,
-               cast(0.5 as double) + l_discount * 30 as tempo, l_extendedprice / 100 as recovery_ms,
+               cast(0.5 as double) + l_discount * 30 as tempo, l_extendedprice / 100 as recovery_ms, l_quantity / 2 as hip_deg, 80 + l_tax * 500 as contact_cm, l_discount * 300 - 15 as path_deg, 5 + l_discount * 100 as racket_mps,
                case l_linenumber % 3 when 0 then null when 1 then true else false end as split_step, 1 - l_tax * 5 as confidence
         from {lineitem}""",
     "segs": """
