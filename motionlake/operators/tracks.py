@@ -335,3 +335,19 @@ def clean_detections(boxes: DataFrame, fps: float, width: float, height: float,
     rows = rows.select(*key, "frame", *[F.col(f"_s{c}").cast("int").alias(c) for c in ("x", "y", "w", "h")])
     role = roles(line.join(top.select(*key), key)).select(*key, "role")
     return rows.join(role, key)
+
+
+def players_from_boxes(boxes: DataFrame, width: float, height: float, most: int = 4) -> DataFrame:
+    """The table part of the multi-player job: split boxes of a frame merged, shapes filtered, matched to tracks, still ones dropped, fragments of one
+    person clustered (the ``most`` largest), each cluster one timeline with a role, near first: clip_id, cluster, frame, cx, cy, h, role.
+
+    ``boxes``: clip_id, frame, box_idx, x, y, w, h."""
+    whole = stored(shape_filter(merge_boxes(boxes)), "whole")
+    placed = whole.select(*CLIP, "frame", F.col("box_idx").cast("long").alias("box_idx"), (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), "h")
+    obs = match_tracks(placed, width).join(placed.select(*CLIP, "frame", "box_idx", "h"), [*CLIP, "frame", "box_idx"])
+    obs = stored(obs, "observations")
+    obs = stored(obs.join(moving_tracks(obs, height).select(*CLIP, "track_id"), [*CLIP, "track_id"]), "moving")
+    clusters = stored(cluster_fragments(obs, width, keep=most), "clusters")
+    line = one_timeline(obs, clusters).join(obs.select(*CLIP, "track_id", "frame", "h"), [*CLIP, "track_id", "frame"])
+    role = roles(line.drop("track_id").withColumnRenamed("cluster", "track_id")).select(*CLIP, F.col("track_id").alias("cluster"), "role")
+    return line.join(role, [*CLIP, "cluster"]).select(*CLIP, "cluster", "frame", "cx", "cy", "h", "role")

@@ -125,3 +125,25 @@ def boxes_by_frame(docs: DataFrame, keys: list[str]) -> DataFrame:
     """JSON maps ``{frame: [x, y, w, h]}`` in ``body`` to one row per frame."""
     rows = docs.select(*keys, F.explode(F.from_json("body", "map<string,array<int>>")).alias("frame", "b"))
     return rows.select(*keys, F.col("frame").cast("int").alias("frame"), *[F.element_at("b", i + 1).alias(c) for i, c in enumerate("xywh")])
+
+
+HIT_FEATURES = ["wrist_speed", "ball_dist", "ball_vel_before", "ball_vel_after", "ball_vel_change", "ball_angle_change", "racket_dist"]
+
+
+def read_hit_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled hit candidates for training from CSV: ``is_hit, frame, confidence`` and the features; rows without a label are dropped, unknown
+    features are 0."""
+    rows = trimmed(spark.read.schema(_text_schema(["is_hit", "frame", "confidence", *HIT_FEATURES])).option("header", True).csv(path))
+    rows = rows.select(number(F.col("is_hit")).cast("int").alias("is_hit"), number(F.col("frame")).cast("int").alias("frame"), "confidence", *[F.col(c).try_cast("double").alias(c) for c in HIT_FEATURES])
+    return rows.filter(F.col("is_hit").isNotNull()).na.fill(0.0, subset=HIT_FEATURES)
+
+
+def read_pose(spark: SparkSession, path: str) -> DataFrame:
+    """A landmark table (``clip_id, frame, t_ms, lm_id, x, y, z, vis``) with one form for what was not found: axes NULL together, visibility 0.
+
+    A frame without a person has NULL or NaN axes, whatever its visibility says."""
+    p = spark.read.parquet(path)
+    axes = [F.nullif(F.col(a).cast("double"), F.lit(float("nan"))).alias(a) for a in "xyz"]
+    p = p.select("clip_id", F.col("frame").cast("int").alias("frame"), F.col("t_ms").cast("double").alias("t_ms"), F.col("lm_id").cast("int").alias("lm_id"), *axes, F.nullif(F.col("vis").cast("double"), F.lit(float("nan"))).alias("vis"))
+    found = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    return p.withColumns({a: F.when(found, F.col(a)) for a in "xyz"} | {"vis": F.when(found, F.coalesce("vis", F.lit(0.0))).otherwise(0.0)})

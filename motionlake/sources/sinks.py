@@ -54,3 +54,10 @@ def report_lines(accuracy: DataFrame) -> DataFrame:
     """The accuracy table as Markdown rows, in order."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("all"))
     return accuracy.select(cell("stroke_type").alias("stroke_type"), cell("keyframe").alias("keyframe"), F.format_string("| %s | %s | %d | %.3f | %.1f |", cell("stroke_type"), cell("keyframe"), F.col("n"), F.coalesce("accuracy", F.lit(float("nan"))), F.coalesce("mae_ms", F.lit(float("nan")))).alias("line"))
+
+
+def write_camera_poses(poses: DataFrame, path: str, width: int, height: int) -> None:
+    """One JSON record a camera: its pose (null where it was not solved), score, picture size and number of clicks."""
+    pose = F.struct("height_m", "distance_m", "tilt_deg", "pan_deg", F.col("focal_px").alias("focal_length_px"))
+    rows = poses.select("camera_id", F.when(F.col("height_m").isNotNull(), pose).alias("camera_pose"), "score", F.lit(width).alias("frame_width"), F.lit(height).alias("frame_height"), F.col("clicks").alias("n_points"), "warnings")
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

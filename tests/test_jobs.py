@@ -209,3 +209,37 @@ def test_frames_of_one_recording_make_few_exchanges(spark):
     track = stroke_metrics.enriched(poses.wide(spark.createDataFrame(swing(1), POSE)))
     plan = stroke_metrics.engine(track)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_command_line_jobs(spark, tmp_path):
+    """Players, dropout, frames for labelling, camera poses and the hit gate, from files to files."""
+    from motionlake import cli
+    from motionlake.sources import files
+    from pyspark.ml import PipelineModel
+
+    rng = np.random.default_rng(6)
+    boxes = [(1, f, i, 100.0 + 300 * i + 3 * f, 100.0 + 60 * i + 2 * f * (i + 1), 40.0, 90.0 + 40 * i) for f in range(40) for i in range(2)]
+    spark.createDataFrame(boxes, "clip_id int, frame int, box_idx long, x double, y double, w double, h double").write.parquet(str(tmp_path / "boxes"))
+    cli.run(spark, ["players", "--boxes", str(tmp_path / "boxes"), "--out", str(tmp_path / "players")])
+    players = spark.read.parquet(str(tmp_path / "players"))
+    assert {(r.role, r["count"]) for r in players.groupBy("role").count().collect()} == {("near", 40), ("far", 40)}
+    rows = [(1, 0, 0.0, 0, float("nan"), 0.5, 0.1, 0.9), (1, 0, 0.0, 11, 0.4, 0.5, 0.1, None), (1, 1, 33.0, 0, 0.1, 0.5, 0.1, 0.9)]
+    spark.createDataFrame(rows, POSE).write.parquet(str(tmp_path / "pose"))
+    got = {(r.frame, r.lm_id): (r.x, r.y, r.vis) for r in files.read_pose(spark, str(tmp_path / "pose")).collect()}
+    assert got == {(0, 0): (None, None, 0.0), (0, 11): (0.4, 0.5, 0.0), (1, 0): (0.1, 0.5, 0.9)}
+    spark.createDataFrame([(1, 100.0, 30.0, 6)], "clip_id int, impact_ms double, fps double, frame_count int").write.parquet(str(tmp_path / "labels"))
+    cli.run(spark, ["impact-frames", "--labels", str(tmp_path / "labels"), "--out", str(tmp_path / "frames")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "frames")).count() == 6
+    points = [(-4.115, 0.0, 0.0), (4.115, 0.0, 0.0), (4.115, 0.0, 5.485), (-4.115, 1.07, 11.885), (4.115, 1.07, 11.885)]
+    clicks = [(1, *p, *picture(*p)) for p in points] + [(2, *points[0], *picture(*points[0]))]
+    spark.createDataFrame(clicks, "camera_id int, wx double, wy double, wz double, u double, v double").write.parquet(str(tmp_path / "clicks"))
+    cli.run(spark, ["camera-poses", "--clicks", str(tmp_path / "clicks"), "--out", str(tmp_path / "poses")])
+    found = {r.camera_id: r for r in spark.read.json(str(tmp_path / "poses")).collect()}
+    assert found[1].camera_pose.height_m > 0 and found[1].n_points == 5 and found[2].camera_pose is None and found[2].score == 0
+    lines = ["is_hit,frame,confidence," + ",".join(files.HIT_FEATURES), *(f"{int(v > 0.5)},{i},LOW,{v:.3f},1,1,1,,1,1" for i, v in enumerate(rng.random(60))), ",99,LOW,1,1,1,1,1,1,1"]
+    (tmp_path / "hits.csv").write_text("\n".join(lines))
+    table = files.read_hit_candidates(spark, str(tmp_path / "hits.csv"))
+    assert table.count() == 60 and table.filter("ball_vel_change = 0").count() == 60
+    cli.run(spark, ["hit-gate", "--candidates", str(tmp_path / "hits.csv"), "--out", str(tmp_path / "gate")])
+    model = PipelineModel.load(str(tmp_path / "gate"))
+    assert model.transform(table).filter("prediction = is_hit").count() >= 57
