@@ -84,7 +84,7 @@ def jn11_fragment_pairs(spark, d):
 
 
 def jn12_overlap_pairs(spark, d):
-    b = view(spark, d, "boxes").select("clip_id", "track_id", "frame", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))
+    b = view(spark, d, "crowd").select("clip_id", "track_id", "frame", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"))
     return r6(joins.overlap_pairs(b, CLIP, 60.0, 0.05), "distance", "overlap")
 
 
@@ -170,7 +170,7 @@ select clip_id, frame, ball, round(d, 6) as distance, racket from (select *, row
     "jn11_fragment_pairs": f"""{duck(boxes='crowd')}, {_CENTRES}, f as (select clip_id, track_id * 10 + frame // 240 as track_id, min(frame) as first, max(frame) as last, min_by(cx, frame * 1000000 + box_key) as cx0, min_by(cy, frame * 1000000 + box_key) as cy0, max_by(cx, frame * 1000000 + box_key) as cx1, max_by(cy, frame * 1000000 + box_key) as cy1 from c group by clip_id, track_id * 10 + frame // 240),
 p as (select a.clip_id, a.track_id as a, b.track_id as b, b.first - a.last as gap, sqrt((a.cx1 - b.cx0) ** 2 + (a.cy1 - b.cy0) ** 2) as dist from f a join f b on a.clip_id = b.clip_id and a.track_id <> b.track_id)
 select clip_id, a, b, round(gap / 2::DOUBLE, 6) as gap_s, round(dist + gap * (378 / 120::DOUBLE), 6) as score from p where gap > 0 and gap < 120 and dist < 378""",
-    "jn12_overlap_pairs": f"""{duck('boxes')}, {_CENTRES}, m as (select clip_id, track_id, count(distinct frame) as n, avg(cx) as cx, avg(cy) as cy from c group by clip_id, track_id),
+    "jn12_overlap_pairs": f"""{duck(boxes='crowd')}, {_CENTRES}, m as (select clip_id, track_id, count(distinct frame) as n, avg(cx) as cx, avg(cy) as cy from c group by clip_id, track_id),
 f as (select distinct clip_id, track_id, frame from c), s as (select a.clip_id, a.track_id as a, b.track_id as b, count(*) as shared from f a join f b on a.clip_id = b.clip_id and a.frame = b.frame and a.track_id < b.track_id group by all),
 p as (select a.clip_id, a.track_id as a, b.track_id as b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) as distance, coalesce(s.shared, 0) / least(a.n, b.n)::DOUBLE as overlap from m a join m b on a.clip_id = b.clip_id and a.track_id < b.track_id left join s on s.clip_id = a.clip_id and s.a = a.track_id and s.b = b.track_id)
 select clip_id, a, b, round(distance, 6) as distance, round(overlap, 6) as overlap from p where distance < 60 and overlap <= 0.05""",

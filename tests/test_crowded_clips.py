@@ -60,3 +60,14 @@ def test_jn11_takes_the_fragments_of_crowded_clips(spark, crowd):
             if clip == other and a != b and 0 < gap < 120 and far < 378:
                 want.append((clip, a, b, gap / 2, far + gap * 378 / 120))
     assert rows_of(spark, crowd, "jn11_fragment_pairs", "clip_id", "a", "b", "gap_s", "score") == rounded(want)
+
+
+def test_jn12_takes_the_tracks_of_crowded_clips(spark, crowd):
+    tracks = {k: (np.mean([b["cx"] for b in v]), np.mean([b["cy"] for b in v]), {b["frame"] for b in v}) for k, v in grouped(crowd[1], "clip", "track").items()}
+    want = []
+    for (clip, a), (ax, ay, af) in tracks.items():
+        for (other, b), (bx, by, bf) in tracks.items():
+            far, overlap = math.hypot(ax - bx, ay - by), len(af & bf) / min(len(af), len(bf))
+            if clip == other and a < b and far < 60 and overlap <= 0.05:
+                want.append((clip, a, b, float(far), overlap))
+    assert rows_of(spark, crowd, "jn12_overlap_pairs", "clip_id", "a", "b", "distance", "overlap") == rounded(want)
