@@ -89,7 +89,7 @@ def jn12_overlap_pairs(spark, d):
 
 
 def jn13_box_merge_pairs(spark, d):
-    b = view(spark, d, "boxes").select("clip_id", "frame", "box_key", "x", "y", (F.col("w") * 5).alias("w"), (F.col("h") * 3).alias("h"))
+    b = view(spark, d, "crowd").select("clip_id", "frame", "box_key", "x", "y", (F.col("w") * 5).alias("w"), (F.col("h") * 3).alias("h"))
     side = lambda s: b.select("clip_id", "frame", *[F.col(c).alias(f"{c}_{s}") for c in ("box_key", "x", "y", "w", "h")])
     p = side("a").join(side("b"), ["clip_id", "frame"]).filter("box_key_a < box_key_b")
     over = F.least(F.col("x_a") + F.col("w_a"), F.col("x_b") + F.col("w_b")) - F.greatest("x_a", "x_b")
@@ -174,7 +174,7 @@ select clip_id, a, b, round(gap / 2::DOUBLE, 6) as gap_s, round(dist + gap * (37
 f as (select distinct clip_id, track_id, frame from c), s as (select a.clip_id, a.track_id as a, b.track_id as b, count(*) as shared from f a join f b on a.clip_id = b.clip_id and a.frame = b.frame and a.track_id < b.track_id group by all),
 p as (select a.clip_id, a.track_id as a, b.track_id as b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) as distance, coalesce(s.shared, 0) / least(a.n, b.n)::DOUBLE as overlap from m a join m b on a.clip_id = b.clip_id and a.track_id < b.track_id left join s on s.clip_id = a.clip_id and s.a = a.track_id and s.b = b.track_id)
 select clip_id, a, b, round(distance, 6) as distance, round(overlap, 6) as overlap from p where distance < 60 and overlap <= 0.05""",
-    "jn13_box_merge_pairs": f"""{duck('boxes')}, c as (select clip_id, frame, box_key, x, y, w * 5 as w, h * 3 as h from boxes)
+    "jn13_box_merge_pairs": f"""{duck(boxes='crowd')}, c as (select clip_id, frame, box_key, x, y, w * 5 as w, h * 3 as h from boxes)
 select a.clip_id, a.frame, a.box_key as a, b.box_key as b from c a join c b on a.clip_id = b.clip_id and a.frame = b.frame and a.box_key < b.box_key
 where least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 0 and greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= 0.3::DOUBLE * least(a.h, b.h)""",
     "jn14_intersections": f"{duck('segs')}, {LINES.format(src='segs')} select frame, a, b, round(x, 8) as x, round(y, 8) as y from p",

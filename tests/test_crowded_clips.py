@@ -71,3 +71,15 @@ def test_jn12_takes_the_tracks_of_crowded_clips(spark, crowd):
             if clip == other and a < b and far < 60 and overlap <= 0.05:
                 want.append((clip, a, b, float(far), overlap))
     assert rows_of(spark, crowd, "jn12_overlap_pairs", "clip_id", "a", "b", "distance", "overlap") == rounded(want)
+
+
+def test_jn13_takes_the_boxes_of_crowded_frames(spark, crowd):
+    want = []
+    for (clip, frame), frame_boxes in grouped([b | {"w": b["w"] * 5, "h": b["h"] * 3} for b in crowd[1]], "clip", "frame").items():
+        for a in frame_boxes:
+            for b in frame_boxes:
+                over = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
+                gap = max(a["y"], b["y"]) - min(a["y"] + a["h"], b["y"] + b["h"])
+                if a["key"] < b["key"] and over > 0 and gap <= 0.3 * min(a["h"], b["h"]):
+                    want.append((clip, frame, a["key"], b["key"]))
+    assert rows_of(spark, crowd, "jn13_box_merge_pairs", "clip_id", "frame", "a", "b") == rounded(want)
