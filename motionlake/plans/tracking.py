@@ -15,8 +15,8 @@ def ground_map() -> list:
     return [F.lit(x) for x in (0.05, 0.004, -5.0, 0.001, 0.06, -4.0, 0.00002, 0.0004, 1.0)]
 
 
-def boxes(spark, d):
-    return view(spark, d, "boxes").withColumn("cx", F.col("x") + F.col("w") / 2).withColumn("cy", F.col("y") + F.col("h") / 2)
+def boxes(spark, d, name="boxes"):
+    return view(spark, d, name).withColumn("cx", F.col("x") + F.col("w") / 2).withColumn("cy", F.col("y") + F.col("h") / 2)
 
 
 def _wrists(spark, d):
@@ -121,7 +121,7 @@ def st2_match_tracks(spark, d):
 
 
 def jn9_mutual_nearest(spark, d):
-    b = boxes(spark, d)
+    b = boxes(spark, d, "crowd")
     t = b.filter("class <> 'ball'").groupBy("clip_id", "frame", "track_id").agg(F.min_by("cx", "box_key").alias("tx"), F.min_by("cy", "box_key").alias("ty"))
     return r6(tracks.mutual_nearest(b.filter("class = 'ball'").select("clip_id", "frame", F.col("box_key").alias("box_idx"), "cx", "cy"), t, 115.2), "d")
 
@@ -204,6 +204,7 @@ def clu11_height_cm(spark, d):
 QUERIES = {f.__name__: f for f in (d_hitf_hit_features, d_hit_detect_hits, d_bnc_add_bounces, flt10_in_court, sc3_homography_round_trip, flt2_moving_tracks, flt3_tall_or_moving, flt6_shape_filter, ag10_track_summary, ag18_roles, clu1_merge_boxes, clu1_box_components, clu2_cluster_fragments, clu3_stitch_fragments, clu4_drop_stationary, clu4_drop_stationary_exact, clu5_one_timeline, st2_match_tracks, jn9_mutual_nearest, st3_kalman_chain, st3b_nearest_chain, st5_sessionise, so1_frame_overlap, clu9_two_vanishing_points, cj8_focal_from_segments, ag21_focal_reliability, ag25_fit_line, ag19_reprojection, clu10_best_poses, clu8_ground_homography, ag26_median_calibration, clu11_height_cm)}
 
 _B = f"{duck('boxes')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
+_CROWD = f"{duck(boxes='crowd')}, c as (select *, x + w / 2 as cx, y + h / 2 as cy from boxes)"
 _GX = "(0.05::DOUBLE * {x} + 0.004::DOUBLE * {y} - 5) / (0.00002::DOUBLE * {x} + 0.0004::DOUBLE * {y} + 1)"
 _GZ = "(0.001::DOUBLE * {x} + 0.06::DOUBLE * {y} - 4) / (0.00002::DOUBLE * {x} + 0.0004::DOUBLE * {y} + 1)"
 
@@ -267,7 +268,7 @@ select clip_id, frame, grp::BIGINT as "group", count(*) as boxes, round(min(x),
 select c.clip_id, count(*) as n, round(sum(cx), 6) as sum_x from c anti join s on s.clip_id = c.clip_id and s.gx = floor(c.cx / 40) and s.gy = floor(c.cy / 40) group by c.clip_id""",
     "clu5_one_timeline": f"""{_B}, b as (select clip_id, track_id, frame, min_by(cx, box_key) as cx, min_by(cy, box_key) as cy from c group by all)
 select clip_id, cluster, frame, round(cx, 6) as cx, round(cy, 6) as cy, track_id from (select *, track_id % 3 as cluster, row_number() over (partition by clip_id, track_id % 3, frame order by track_id desc) as k from b) where k = 1""",
-    "jn9_mutual_nearest": f"""{_B}, t as (select clip_id, frame, track_id, min_by(cx, box_key) as tx, min_by(cy, box_key) as ty from c where class <> 'ball' group by all),
+    "jn9_mutual_nearest": f"""{_CROWD}, t as (select clip_id, frame, track_id, min_by(cx, box_key) as tx, min_by(cy, box_key) as ty from c where class <> 'ball' group by all),
 q as (select b.clip_id, b.frame, b.box_key as box_idx, t.track_id, sqrt((b.cx - tx) ** 2 + (b.cy - ty) ** 2) as d from c b join t using (clip_id, frame) where b.class = 'ball'),
 r as (select *, row_number() over (partition by clip_id, frame, box_idx order by d, track_id) as i, row_number() over (partition by clip_id, frame, track_id order by d, box_idx) as j from q where d <= 115.2)
 select clip_id, frame, box_idx, track_id, round(d, 6) as d from r where i = 1 and j = 1""",

@@ -83,3 +83,18 @@ def test_jn13_takes_the_boxes_of_crowded_frames(spark, crowd):
                 if a["key"] < b["key"] and over > 0 and gap <= 0.3 * min(a["h"], b["h"]):
                     want.append((clip, frame, a["key"], b["key"]))
     assert rows_of(spark, crowd, "jn13_box_merge_pairs", "clip_id", "frame", "a", "b") == rounded(want)
+
+
+def test_jn9_takes_the_boxes_of_crowded_frames(spark, crowd):
+    want = []
+    for (clip, frame), frame_boxes in grouped(crowd[1], "clip", "frame").items():
+        tracks: dict = {}
+        for b in frame_boxes:
+            if b["class"] != "ball":
+                tracks[b["track"]] = min(tracks.get(b["track"], b), b, key=lambda b: b["key"])
+        near = [(math.hypot(b["cx"] - t["cx"], b["cy"] - t["cy"]), b["key"], track) for b in frame_boxes if b["class"] == "ball" for track, t in tracks.items()]
+        near = [n for n in near if n[0] <= 115.2]
+        for d, key, track in near:
+            if (d, track) == min((e, t) for e, k, t in near if k == key) and (d, key) == min((e, k) for e, k, t in near if t == track):
+                want.append((clip, frame, key, track, d))
+    assert rows_of(spark, crowd, "jn9_mutual_nearest", "clip_id", "frame", "box_idx", "track_id", "d") == rounded(want)
