@@ -98,3 +98,9 @@ def test_jn9_takes_the_boxes_of_crowded_frames(spark, crowd):
             if (d, track) == min((e, t) for e, k, t in near if k == key) and (d, key) == min((e, k) for e, k, t in near if t == track):
                 want.append((clip, frame, key, track, d))
     assert rows_of(spark, crowd, "jn9_mutual_nearest", "clip_id", "frame", "box_idx", "track_id", "d") == rounded(want)
+
+
+def test_so1_takes_the_tracks_of_crowded_clips(spark, crowd):
+    tracks = {k: {b["frame"] for b in v} for k, v in grouped(crowd[1], "clip", "track").items()}
+    want = [(clip, a, b, len(f & g), len(f | g)) for (clip, a), f in tracks.items() for (other, b), g in tracks.items() if clip == other and a < b]
+    assert rows_of(spark, crowd, "so1_frame_overlap", "clip_id", "a", "b", "shared", "either") == rounded(want)
