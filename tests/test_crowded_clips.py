@@ -104,3 +104,14 @@ def test_so1_takes_the_tracks_of_crowded_clips(spark, crowd):
     tracks = {k: {b["frame"] for b in v} for k, v in grouped(crowd[1], "clip", "track").items()}
     want = [(clip, a, b, len(f & g), len(f | g)) for (clip, a), f in tracks.items() for (other, b), g in tracks.items() if clip == other and a < b]
     assert rows_of(spark, crowd, "so1_frame_overlap", "clip_id", "a", "b", "shared", "either") == rounded(want)
+
+
+def test_sc4_takes_the_boxes_of_crowded_frames(spark, crowd):
+    want = []
+    for frame_boxes in grouped(crowd[1], "clip", "frame").values():
+        for a in frame_boxes:
+            for b in frame_boxes:
+                if a["key"] < b["key"]:
+                    x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
+                    want.append((a["key"], b["key"], x, y, max(a["x"] + a["w"], b["x"] + b["w"]) - x, max(a["y"] + a["h"], b["y"] + b["h"]) - y))
+    assert rows_of(spark, crowd, "sc4_union_boxes", "box_key_a", "box_key_b", "x", "y", "w", "h") == rounded(want)
