@@ -14,8 +14,8 @@ Sets with a common signature meet in a bucket and are compared with one of them,
 others. Every comparison is exact, on the whole shingle sets. Components are merged, and what is left are pairs of which one, x,
 does not link with the pivot p. With E(x) the shingles in which x and p differ, |E(x)| + |E(y)| then exceeds what x and y
 may differ in, so x and y link only if E(x) and E(y) have shingles in common, at least half of the excess; in a fixed order of
-shingles it is enough to look at a prefix of each, no longer than the bound of x. These prefixes are the next, much smaller buckets. A large group of near
-copies thus costs a few comparisons a member, whether its members link or not, and no link between components is lost.
+shingles it is enough to look at a prefix of each, no longer than the bound of x. These prefixes are the next, much smaller buckets;
+a row stays in one only if some other row in it leaves room for enough shingles in common. A large group of near copies thus costs a few comparisons a member, whether its members link or not, and no link between components is lost.
 
 Defined results: a null, empty or blank text has no shingle, links with nothing and is its own component; fewer words
 than ``n`` are one shingle; a null ``doc_id`` is an ordinary row, which has no smallest id to give; repeated rows are
@@ -25,11 +25,12 @@ equal sets; an empty table gives an empty result; other columns of ``docs`` are
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,10 +42,12 @@ SIGN_AT_ONCE = 100_000
 BAND_WIDTH = 1.5
 #: Groups of one pivot with at most this many sets are compared directly, without residual prefixes.
 DIRECT = 12
-#: Buckets of equal residual shingles with more sets than this get pivots of their own.
-DIRECT_RESIDUAL = 256
+#: Buckets of equal residual shingles in which all sets times those outside the main component exceed its square get pivots of their own.
+DIRECT_RESIDUAL = 1024
 #: Bits of the parity sketch of a set.
 SKETCH_BITS = 1024
+#: 64-bit words of the sketch that candidate rows carry.
+FOLDED_WORDS = 4
 #: Rows of one pivot that share a copy of its shingles in a join.
 PIVOT_ROWS = 256
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -272,6 +275,16 @@ def _may_link(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return p.filter((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size"))).select("a", "b")
 
 
+#: Columns of a set's folded sketch.
+FOLDED = [f"w{i}" for i in range(FOLDED_WORDS)]
+
+
+def _folded(tokens: DataFrame) -> DataFrame:
+    """``sid`` and the sketch folded to ``FOLDED_WORDS`` words, still one flipped bit for each shingle."""
+    fold = lambda i: reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_BITS // 64, FOLDED_WORDS)])
+    return tokens.select("sid", *[fold(i).alias(w) for i, w in enumerate(FOLDED)])
+
+
 def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarray, linked: bool, percent: int) -> np.ndarray:
     """The prefix of the shingles in which ``y`` differs from its pivot ``p`` that a link across components has to touch. Order:
     those that ``y`` adds, then those that it lacks, either by hash; the added ones tell most."""
@@ -286,7 +299,7 @@ def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarr
 
 
 def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool) -> DataFrame:
-    """``a, b, linked`` of every pair of set ids in ``pairs`` (``a, b``), by their whole shingle sets; with ``residuals`` also
+    """Stored ``a, b, linked`` of every pair of set ids in ``pairs`` (``a, b``), by their whole shingle sets; with ``residuals`` also
     ``differ``, the number of shingles in which they differ, and the ``prefix`` of these. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
 
     def run(batches):
@@ -322,7 +335,10 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
     dealt = pairs.join(few, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).select("a", "b", "lot")
     seconds = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
     t = seconds.join(common.broadcast_if_small(dealt), "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
-    return t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
+    out = t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
+    out = common.materialize(out, "compared")
+    common.discard(lots)
+    return out
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
@@ -367,21 +383,44 @@ def _with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(keys, "key")
 
 
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``comp`` (none yet: None), which are discarded, joined by ``links``."""
+    out = components(links if comp is None else links.unionByName(comp.select(F.col("sid").alias("a"), F.col("comp").alias("b"))))
+    if comp is not None:
+        common.discard(comp)
+    return out
+
+
+def _within_reach(parts: DataFrame, percent: int) -> DataFrame:
+    """``parts`` without rows that can link with none of their key. By the places of their first common shingle, x and y link only
+    if ``differ`` of each is at most ``differ - 2 * at`` of the other plus what both may differ in, and one of them is outside the main component."""
+    room, outside = F.col("differ") - 2 * F.col("at"), F.col("comp") != F.col("main")
+    ends = parts.groupBy("key").agg(
+        F.max("size").alias("largest"), F.min("differ").alias("low"), F.max(room).alias("room"),
+        F.min(F.when(outside, F.col("differ"))).alias("low_outside"), F.max(F.when(outside, room)).alias("room_outside"),
+    )
+    most = F.floor((F.col("size") + F.least("largest", F.floor(F.col("size") * 100 / percent))) * (100 - percent) / (100 + percent))
+    low, far = [F.when(outside, F.col(c)).otherwise(F.col(f"{c}_outside")) for c in ("low", "room")]
+    return parts.join(ends, "key").filter((low <= room + most) & (F.col("differ") <= far + most)).select("key", "sid", "size", "differ", "at")
+
+
 def _near(percent: int):
     return 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
 
 
 def _direct(rows: DataFrame, percent: int, placed: bool) -> DataFrame:
     """Pairs ``a, b`` of different components with a common key: the rows outside a key's main component against all of its rows.
+    Folded sketches that differ in more bits than the sets may in shingles rule a pair out where the rows meet.
     ``placed``: the key is a shingle at place ``at`` of the ``differ`` in which a set differs from its pivot; the first that a linked
     pair has in common has so many common ones after it that it stands early in both."""
-    mark = ["at", "differ"] if placed else []
+    mark = [*FOLDED, *(["at", "differ"] if placed else [])]
     other = rows.select("key", F.col("sid").alias("a"), F.col("comp").alias("other_comp"), F.col("size").alias("other_size"), *[F.col(m).alias(f"other_{m}") for m in mark])
     outside = rows.filter(F.col("comp") != F.col("main"))
     # of two rows outside, the one with the larger id brings the pair
     keep = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("sid") > F.col("a"))) & _near(percent)
+    most = F.floor((F.col("size") + F.col("other_size")) * (100 - percent) / (100 + percent))
+    keep &= reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in FOLDED]) <= most
     if placed:
-        most = F.floor((F.col("size") + F.col("other_size")) * (100 - percent) / (100 + percent))
         common_ones = F.ceil((F.col("differ") + F.col("other_differ") - most) / 2)
         keep &= (F.col("at") <= F.col("differ") - common_ones) & (F.col("other_at") <= F.col("other_differ") - common_ones)
     both = outside.join(other, "key").filter(keep)
@@ -436,43 +475,35 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     # first round: all of a bucket against the set that meets most others
     scores = buckets.groupBy("sid").agg(F.sum("n").alias("score"))
     rows = buckets.join(scores, "sid")
-    links, comp, used = None, None, []
+    comp, folded = None, _folded(tokens)
     while True:
         pivots = rows.groupBy("key").agg(F.max(F.struct("score", "sid")).alias("p"))
         pairs = rows.join(pivots, "key").filter("sid <> p.sid").select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
         pairs = common.materialize(pairs, "pairs")
-        found = common.materialize(compare(pairs, tokens, percent, True), "compared")
-        used += [pairs, found]
-        new = found.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        before, comp = comp, components(links)
-        if before is not None:
-            common.discard(before)
+        found = compare(pairs, tokens, percent, True)
+        common.discard(rows, pairs)
+        comp = _merged(comp, found.filter("linked").select("a", "b"))
         # what is left lies in the groups of one pivot: small ones as they are, large ones by the prefixes of their residuals
         group = found.select(F.col("a").alias("key"), F.col("b").alias("sid"), "differ", "prefix")
         group = _with_components(group, comp).join(tokens.select("sid", "size"), "sid")
         group = common.materialize(group, "groups")
-        used.append(group)
+        common.discard(found)
         parts = group.filter(F.col("n") > DIRECT).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
         parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size", "differ", "at")
-        parts = common.materialize(_with_components(parts, comp), "residual-buckets")
-        used.append(parts)
-        few = F.col("n") <= DIRECT_RESIDUAL
-        pairs = _direct(group.filter(F.col("n") <= DIRECT), percent, False).unionByName(_direct(parts.filter(few), percent, True)).distinct()
-        pairs = _may_link(pairs, tokens, percent)
-        pairs = common.materialize(pairs, "pairs")
-        own = common.materialize(compare(pairs, tokens, percent, False), "compared")
-        used += [pairs, own]
-        links = links.unionByName(own.filter("linked").select("a", "b"))
-        before, comp = comp, components(links)
-        common.discard(before)
+        parts = _with_components(_within_reach(_with_components(parts, comp), percent), comp)
+        parts = common.materialize(parts, "residual-buckets")
+        few = F.col("n") * (F.col("n") - F.col("main_n")) <= DIRECT_RESIDUAL**2
+        pairs = _direct(group.filter(F.col("n") <= DIRECT).join(folded, "sid"), percent, False).unionByName(_direct(parts.filter(few).join(folded, "sid"), percent, True)).distinct()
+        pairs = common.materialize(_may_link(pairs, tokens, percent), "pairs")
+        own = compare(pairs, tokens, percent, False)
+        comp = _merged(comp, own.filter("linked").select("a", "b"))
         # larger residual buckets take another pivot each; it is in none of the next ones, so they shrink
         rest = _with_components(parts.filter(~few).select("key", "sid", "size").distinct(), comp)
         rows = common.materialize(rest.join(scores, "sid").select("key", "sid", "size", "score"), "open-buckets")
-        used.append(rows)
+        common.discard(group, parts, pairs, own)
         if not rows.limit(1).count():
             break
-    common.discard(buckets, tokens, *used)
+    common.discard(buckets, tokens, rows)
     return named, sets, comp
 
 

@@ -101,3 +101,26 @@ def test_signatures_meet_for_every_similar_pair():
                 continue
             keys, names, short = jaccard_join.signatures(sets, np.array([1, 2]), bands)
             assert short or set(keys[names == 1].tolist()) & set(keys[names == 2].tolist())
+
+
+def test_candidates_of_near_copies_do_not_grow_with_the_square(spark, monkeypatch):
+    """Copies of one text with up to fifteen words replaced: what meets in a residual bucket and cannot link is ruled out there."""
+    made, check = [], jaccard_join._may_link
+
+    def counted(pairs, tokens, percent):
+        made.append(pairs.count())
+        return check(pairs, tokens, percent)
+
+    monkeypatch.setattr(jaccard_join, "_may_link", counted)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = {0: " ".join(base)}
+    for k in range(1, 300):
+        words = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(0, 16))):
+            words[at] = f"n{rng.integers(0, 100000)}"
+        texts[k] = " ".join(words)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows, 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert sum(made) < 2 * len(texts)
