@@ -52,14 +52,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture, read back from its shards: a row for each time a document is taken, in the order of shard and shuffle key; the
     document a quota ends in is cut after its last taken word. Rows of null or blank text have no words and are never taken; a null
     ``doc_id`` or source is an ordinary value; a row that repeats is taken as often as its copies together; an empty table stays empty."""
-    _, mixture = mixing.mix(docs)
-    taken = mixture.select(F.col("doc_id").alias("t_id"), "text_hash", F.col("source").alias("t_source"), "size", "words", "shard", "shuffle_key")
+    planned, mixture = mixing.mix(docs)
+    takes = F.collect_list(F.struct("shard", "shuffle_key", "words")).alias("takes")  # at most three of a row
+    taken = mixture.groupBy("row", F.col("doc_id").alias("t_id"), "text_hash", F.col("source").alias("t_source"), "size").agg(takes)
     rows = docs.select(*COLUMNS).withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
     key = ["doc_id", "h", "source"]
     if rows.groupBy(*key).count().filter("count > 1").limit(1).count():
         rows = rows.dropDuplicates(key)
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("text_hash")) & F.col("source").eqNullSafe(F.col("t_source"))
-    rows = rows.join(taken, same)
+    # each text is dealt to its takes once and stored small, before it is repeated and dealt by shard
+    rows = common.materialize(rows.join(taken, same).select(*COLUMNS, "size", "takes"), "mix-texts", compression="zstd")
+    common.discard(planned, mixture)
+    rows = rows.select(*COLUMNS, "size", F.explode("takes").alias("t")).select(*COLUMNS, "size", "t.*")
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.repartitionByRange(common.shuffle_partitions(spark), "shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")

@@ -10,8 +10,10 @@ only. A set signs under its own band and, if its smallest partner lies there, un
 segment are chosen by cost for each band, with so many segments that a set short of them is not to be expected; should one
 turn up, its band is signed again with more.
 
-Sets with a common signature meet in a bucket and are compared with one of them, the pivot: the set that meets most
-others. Every comparison is exact, on the whole shingle sets. Components are merged, and what is left are pairs of which one, x,
+Sets with a common signature meet in a bucket. The sets of a bucket of more than a few are compared with one of them, the pivot: the
+set that meets most others. Buckets of few sets come last: of their pairs across components the sketches rule out almost all that do
+not link; of the others each set is compared with one first, and the rest only across components. Sets are stored and sent only if
+they lie in a large bucket or in such a pair. Every comparison is exact, on the whole shingle sets. Components are merged, and what is left are pairs of which one, x,
 does not link with the pivot p. With E(x) the shingles in which x and p differ, |E(x)| + |E(y)| then exceeds what x and y
 may differ in, so x and y link only if E(x) and E(y) have shingles in common, at least half of the excess; in a fixed order of
 shingles it is enough to look at a prefix of each, no longer than the bound of x. These prefixes are the next, much smaller buckets;
@@ -40,11 +42,13 @@ KEPT_WORDS = 100_000
 SIGN_AT_ONCE = 100_000
 #: Upper end of a size band over its lower end.
 BAND_WIDTH = 1.5
+#: Buckets of at most this many sets list all of their pairs for the sketches to rule out.
+DIRECT_BUCKET = 32
 #: Groups of one pivot with at most this many sets are compared directly, without residual prefixes.
 DIRECT = 12
 #: Buckets of equal residual shingles in which all sets times those outside the main component exceed its square get pivots of their own.
 DIRECT_RESIDUAL = 1024
-#: Bits of the parity sketch of a set.
+#: Bits of the parity sketch of a set of at most as many shingles; a larger set has the next power of two.
 SKETCH_BITS = 1024
 #: 64-bit words of the sketch that candidate rows carry.
 FOLDED_WORDS = 4
@@ -208,18 +212,20 @@ def signatures(sets: list[np.ndarray], names: np.ndarray, bands: Bands) -> tuple
 
 
 def set_names(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, text_hash, name, size``: ``name`` (null: no shingle) is equal for equal sets."""
+    """``doc_id, text_hash, name, size, sketch``: ``name`` (null: no shingle) is equal for equal sets."""
 
     def run(batches):
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, sketches = [], [], []
             for t in common.byte_texts(batch.column(1)):
                 s = shingles(t, n)
                 sizes.append(len(s))
                 names.append(set_name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "name", "size"])
+                sketches.append(_sketch(s) if len(s) else None)
+            out = [batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_hash", "name", "size", "sketch"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, name binary, size long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, name binary, size long, sketch array<long>")
 
 
 def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -250,28 +256,32 @@ def _sign(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, n: int) -> DataFrame:
-    """``sid, size, tokens, sketch``: the shingles of each ``sid, text`` as sorted 64-bit numbers, and their parity sketch."""
+    """``sid, tokens``: the shingles of each ``sid, text`` as sorted 64-bit numbers."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, n) for t in common.byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "size", "tokens", "sketch"])
+            sets = [shingles(t, n).tobytes() for t in common.byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
-    return texts.select("sid", "text").mapInArrow(run, "sid long, size long, tokens binary, sketch array<long>")
+    return texts.select("sid", "text").mapInArrow(run, "sid long, tokens binary")
 
 
 def _sketch(s: np.ndarray) -> list[int]:
-    """Each shingle flips one bit."""
-    parity = (np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    """Each shingle flips one bit. Folding a sketch by halves gives the one of half as many bits."""
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
+    parity = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64).tolist()
 
 
-def _may_link(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def _may_link(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """``pairs`` without those that cannot link for certain: sketches differ in at most as many bits as the sets in shingles."""
-    drawn = tokens.select("sid", "size", "sketch")
     p = pairs.join(drawn.withColumnRenamed("sid", "b").hint("merge"), "b")
     p = p.join(drawn.select(F.col("sid").alias("a"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch")).hint("merge"), "a")
-    differ = F.aggregate(F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    half = lambda c, n: F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    n = F.least(F.size("sketch"), F.size("other_sketch"))
+    differ = F.zip_with(half("sketch", n), half("other_sketch", n), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    differ = F.aggregate(differ, F.lit(0).cast("long"), lambda a, x: a + x)
+    p = p.filter(_near(percent))  # of two such sets one sketch is at most twice as long
     return p.filter((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("other_size"))).select("a", "b")
 
 
@@ -279,10 +289,10 @@ def _may_link(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 FOLDED = [f"w{i}" for i in range(FOLDED_WORDS)]
 
 
-def _folded(tokens: DataFrame) -> DataFrame:
+def _folded(drawn: DataFrame) -> DataFrame:
     """``sid`` and the sketch folded to ``FOLDED_WORDS`` words, still one flipped bit for each shingle."""
-    fold = lambda i: reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_BITS // 64, FOLDED_WORDS)])
-    return tokens.select("sid", *[fold(i).alias(w) for i, w in enumerate(FOLDED)])
+    fold = lambda i: F.aggregate(F.filter("sketch", lambda x, j: j % FOLDED_WORDS == i), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return drawn.select("sid", *[fold(i).alias(w) for i, w in enumerate(FOLDED)])
 
 
 def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarray, linked: bool, percent: int) -> np.ndarray:
@@ -300,13 +310,14 @@ def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarr
 
 def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool) -> DataFrame:
     """Stored ``a, b, linked`` of every pair of set ids in ``pairs`` (``a, b``), by their whole shingle sets; with ``residuals`` also
-    ``differ``, the number of shingles in which they differ, and the ``prefix`` of these. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
+    ``differ``, the number of shingles in which they differ, and, of an ``a`` of more than ``DIRECT`` pairs, the ``prefix`` of these. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
 
     def run(batches):
         last, p = None, None
         for batch in batches:
             a, own = batch.column(0).to_pylist(), batch.column(3)
             linked, differ, prefixes = [], [], []
+            placed = batch.column(4).to_pylist() if residuals else []
             for i in range(batch.num_rows):
                 if a[i] != last:
                     last, p = a[i], np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).copy()
@@ -316,10 +327,11 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
                 both = int(there.sum())
                 linked.append(100 * both >= percent * (len(p) + len(y) - both))
                 if residuals:
-                    lacking = np.ones(len(p), bool)
-                    lacking[place[there]] = False
                     differ.append(len(p) + len(y) - 2 * both)
-                    prefixes.append(_residual(p, y, p[lacking], y[~there], linked[-1], percent).view(np.int64))
+                    lacking = np.ones(len(p) if placed[i] else 0, bool)
+                    if placed[i]:
+                        lacking[place[there]] = False
+                    prefixes.append(_residual(p, y, p[lacking], y[~there], linked[-1], percent).view(np.int64) if placed[i] else None)
             out = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
             if residuals:
                 out += [pa.array(differ, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
@@ -327,15 +339,15 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
 
     # shingle sets are large: each is sent once for every pair it is b of, and a pivot's once for every lot; where the list of pairs
     # is small enough to be sent everywhere, the sets of the others stay where they are
-    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"))
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"), (F.count(F.lit(1)) > DIRECT).alias("placed"))
     lots = common.materialize(lots, "lots")
     few = common.broadcast_if_small(lots)
-    firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(few, "a")
+    firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(few.drop("placed"), "a")
     firsts = firsts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    dealt = pairs.join(few, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).select("a", "b", "lot")
+    dealt = pairs.join(few, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).select("a", "b", "lot", "placed")
     seconds = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
     t = seconds.join(common.broadcast_if_small(dealt), "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
-    out = t.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
+    out = t.select("a", "b", "tokens_a", "tokens_b", "placed").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
     out = common.materialize(out, "compared")
     common.discard(lots)
     return out
@@ -368,10 +380,10 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
 
 
 def distinct_sets(named: DataFrame) -> DataFrame:
-    """One row per distinct set: ``sid`` (a number), ``name, short_name, size, copies``, ``rep`` (its first row) and ``least_id``."""
+    """One row per distinct set: ``sid`` (a number), ``name, short_name, size, sketch, copies``, ``rep`` (its first row) and ``least_id``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
-    sets = named.filter("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), first.alias("rep"), F.min("doc_id").alias("least_id"))
-    return sets.select(F.monotonically_increasing_id().alias("sid"), "name", F.xxhash64("name").alias("short_name"), "size", "copies", "rep", "least_id")
+    sets = named.filter("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"), first.alias("rep"), F.min("doc_id").alias("least_id"))
+    return sets.select(F.monotonically_increasing_id().alias("sid"), "name", F.xxhash64("name").alias("short_name"), "size", "sketch", "copies", "rep", "least_id")
 
 
 def _with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -408,6 +420,27 @@ def _near(percent: int):
     return 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
 
 
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` (``a`` the larger id) of different components with a common key, of rows whose keys have a bounded number of them.
+    Sizes and folded sketches rule out pairs where they meet."""
+    met = rows.groupBy("key").agg(F.collect_list(F.struct("sid", "comp", "size", *FOLDED)).alias("met")).select("met", F.explode("met").alias("x"))
+    x = F.col("x")
+
+    def may(y):
+        most = F.floor((x["size"] + y["size"]) * (100 - percent) / (100 + percent))
+        sizes = 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+        return (y["sid"] < x["sid"]) & (y["comp"] != x["comp"]) & sizes & (reduce(Column.__add__, [F.bit_count(x[w].bitwiseXOR(y[w])) for w in FOLDED]) <= most)
+
+    return met.select(x["sid"].alias("a"), F.explode(F.transform(F.filter("met", may), lambda y: y["sid"])).alias("b")).distinct()
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """``pairs`` that lie in different components."""
+    few = common.broadcast_if_small(comp)
+    p = pairs.join(few.select(F.col("sid").alias("a"), F.col("comp").alias("comp_a")), "a", "left").join(few.select(F.col("sid").alias("b"), F.col("comp").alias("comp_b")), "b", "left")
+    return p.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def _direct(rows: DataFrame, percent: int, placed: bool) -> DataFrame:
     """Pairs ``a, b`` of different components with a common key: the rows outside a key's main component against all of its rows.
     Folded sketches that differ in more bits than the sets may in shingles rule a pair out where the rows meet.
@@ -462,20 +495,26 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     buckets = common.materialize(shared.unionByName(clash).join(sets.select("short_name", "sid", "size"), "short_name").select("key", "sid", "size", "n"), "buckets")
     common.discard(shared, copies)
 
-    involved = buckets.select("sid").distinct().join(sets, "sid").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    involved = common.materialize(involved, "involved")
-    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash"))
-    texts = docs.join(common.broadcast_if_small(involved), is_rep).select("sid", "text")
-    tokens = common.materialize(_tokens(texts, n), "set-shingles")
-    if tokens.count() > involved.count():  # a representative row that is repeated
-        repeated, tokens = tokens, common.materialize(tokens.dropDuplicates(["sid"]), "set-shingles")
-        common.discard(repeated)
-    common.discard(involved)
-
-    # first round: all of a bucket against the set that meets most others
+    drawn = common.materialize(buckets.select("sid").distinct().join(sets.select("sid", "size", "sketch"), "sid"), "sketches")
+    small = F.col("n") <= DIRECT_BUCKET
+
+    def stored(sids: DataFrame) -> DataFrame:
+        involved = sids.distinct().join(sets, "sid").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+        involved = common.materialize(involved, "involved")
+        is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash"))
+        texts = docs.join(common.broadcast_if_small(involved), is_rep).select("sid", "text")
+        tokens = common.materialize(_tokens(texts, n), "set-shingles")
+        if tokens.count() > involved.count():  # a representative row that is repeated
+            repeated, tokens = tokens, common.materialize(tokens.dropDuplicates(["sid"]), "set-shingles")
+            common.discard(repeated)
+        common.discard(involved)
+        return tokens
+
+    # large buckets; first round: all of a bucket against the set that meets most others
     scores = buckets.groupBy("sid").agg(F.sum("n").alias("score"))
-    rows = buckets.join(scores, "sid")
-    comp, folded = None, _folded(tokens)
+    rows = buckets.filter(~small).join(scores, "sid")
+    comp, folded = None, _folded(drawn)
+    tokens = stored(rows.select("sid"))
     while True:
         pivots = rows.groupBy("key").agg(F.max(F.struct("score", "sid")).alias("p"))
         pairs = rows.join(pivots, "key").filter("sid <> p.sid").select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
@@ -485,7 +524,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         comp = _merged(comp, found.filter("linked").select("a", "b"))
         # what is left lies in the groups of one pivot: small ones as they are, large ones by the prefixes of their residuals
         group = found.select(F.col("a").alias("key"), F.col("b").alias("sid"), "differ", "prefix")
-        group = _with_components(group, comp).join(tokens.select("sid", "size"), "sid")
+        group = _with_components(group, comp).join(drawn.select("sid", "size"), "sid")
         group = common.materialize(group, "groups")
         common.discard(found)
         parts = group.filter(F.col("n") > DIRECT).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
@@ -494,7 +533,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         parts = common.materialize(parts, "residual-buckets")
         few = F.col("n") * (F.col("n") - F.col("main_n")) <= DIRECT_RESIDUAL**2
         pairs = _direct(group.filter(F.col("n") <= DIRECT).join(folded, "sid"), percent, False).unionByName(_direct(parts.filter(few).join(folded, "sid"), percent, True)).distinct()
-        pairs = common.materialize(_may_link(pairs, tokens, percent), "pairs")
+        pairs = common.materialize(_may_link(pairs, drawn, percent), "pairs")
         own = compare(pairs, tokens, percent, False)
         comp = _merged(comp, own.filter("linked").select("a", "b"))
         # larger residual buckets take another pivot each; it is in none of the next ones, so they shrink
@@ -503,7 +542,20 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         common.discard(group, parts, pairs, own)
         if not rows.limit(1).count():
             break
-    common.discard(buckets, tokens, rows)
+    common.discard(tokens, rows)
+
+    # small buckets: each set of the pairs that may link against one other, then what lies in different components still
+    near = _with_components(buckets.filter(small).select("key", "sid", "size"), comp).join(folded, "sid")
+    near = common.materialize(_may_link(_all_pairs(near, percent), drawn, percent), "near")
+    common.discard(buckets, drawn)
+    tokens = stored(near.select(F.explode(F.array("a", "b")).alias("sid")))
+    first = near.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")
+    found = compare(first, tokens, percent, False)
+    comp = _merged(comp, found.filter("linked").select("a", "b"))
+    rest = common.materialize(_across(near.join(first, ["a", "b"], "left_anti"), comp), "pairs")
+    own = compare(rest, tokens, percent, False)
+    comp = _merged(comp, own.filter("linked").select("a", "b"))
+    common.discard(near, tokens, found, rest, own)
     return named, sets, comp
 
 
