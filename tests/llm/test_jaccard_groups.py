@@ -124,3 +124,35 @@ def test_candidates_of_near_copies_do_not_grow_with_the_square(spark, monkeypatc
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows, 5, 80).collect()}
     assert got == brute_components(texts, 5, 80)
     assert sum(made) < 2 * len(texts)
+
+
+def test_pairs_that_sketches_rule_out_are_not_compared(spark, monkeypatch):
+    """Texts that share a quarter with the next one meet in small buckets, but none is near another; the last two are copies but for a word."""
+    made, check = [], jaccard_join.compare
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    texts = {k: " ".join(f"w{k}x{i}" for i in range(90)) + " " + " ".join(f"w{k + 1}x{i}" for i in range(30)) for k in range(40)}
+    texts[40] = texts[39] + " end"
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows, 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80) and got[40][1] == 39
+    assert sum(made) == 1
+
+
+def test_sketches_of_any_length_keep_linked_pairs(spark):
+    """Sets around the sizes at which sketches double; linked and unlinked ones."""
+    rng = np.random.default_rng(9)
+    sets = {}
+    for k, size in enumerate((3, 900, 1020, 1030, 2040, 2060, 5000)):
+        s = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        extra = rng.integers(0, 1 << 63, size // 20, dtype=np.uint64)
+        sets |= {3 * k: s, 3 * k + 1: np.unique(np.concatenate([s, extra])), 3 * k + 2: np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))}
+    drawn = spark.createDataFrame([(k, len(s), jaccard_join._sketch(s)) for k, s in sets.items()], "sid long, size long, sketch array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a > b], "a long, b long")
+    kept = {(r.a, r.b) for r in jaccard_join._may_link(pairs, drawn, 80).collect()}
+    linked = {(a, b) for a in sets for b in sets if a > b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked == kept and len(linked) == 7

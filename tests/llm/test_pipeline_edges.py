@@ -68,3 +68,30 @@ def test_stages_of_an_empty_table(spark, small_dir, pipeline, odd):
     for name, stage in pipeline.STAGES:
         out = stage(spark, odd.limit(0), small_dir)
         assert out.count() == 0 and (name == "sharding" or tuple(out.columns) == pipeline.COLUMNS)
+
+
+def test_mixing_stores_each_text_once_and_leaves_no_shuffle_files(spark, small_dir, pipeline, monkeypatch):
+    import time
+
+    from motionlake.llm import common
+
+    stored, store = {}, common.materialize
+
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i).getName()) for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    def kept(df, name, *rest, **options):
+        before = shuffle_files()
+        out = store(df, name, *rest, **options)
+        until = time.time() + 20
+        while (more := shuffle_files() - before) and time.time() < until:
+            time.sleep(0.2)
+        stored[name] = (out.count(), len(more))
+        return out
+
+    monkeypatch.setattr(common, "materialize", kept)
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    mixed = pipeline.mixed(spark, docs, small_dir)
+    assert stored["mix-texts"] == (mixed.select("doc_id").distinct().count(), 0) and stored["mix-texts"][0] < mixed.count()
+    assert not any(left for _, left in stored.values())
