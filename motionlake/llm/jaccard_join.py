@@ -14,7 +14,9 @@ Sets with a common signature meet in a bucket. The sets of a bucket of more than
 set that meets most others. Buckets of few sets come last: of their pairs across components the sketches rule out almost all that do
 not link; of the others each set is compared with one first, and the rest only across components. Sets are stored and sent only if
 they lie in a large bucket or in such a pair. Every comparison is exact, on the whole shingle sets. Components are merged, and what is left are pairs of which one, x,
-does not link with the pivot p. With E(x) the shingles in which x and p differ, |E(x)| + |E(y)| then exceeds what x and y
+does not link with the pivot p. In a group of one pivot of up to some thousand sets, lots of its sets meet each other and whole sketches rule
+pairs out where they meet; of those left each set is compared with the one that is near most others first, and the rest only across
+components. In larger groups, with E(x) the shingles in which x and p differ, |E(x)| + |E(y)| then exceeds what x and y
 may differ in, so x and y link only if E(x) and E(y) have shingles in common, at least half of the excess; in a fixed order of
 shingles it is enough to look at a prefix of each, no longer than the bound of x. These prefixes are the next, much smaller buckets;
 a row stays in one only if some other row in it leaves room for enough shingles in common. A large group of near copies thus costs a few comparisons a member, whether its members link or not, and no link between components is lost.
@@ -44,8 +46,12 @@ SIGN_AT_ONCE = 100_000
 BAND_WIDTH = 1.5
 #: Buckets of at most this many sets list all of their pairs for the sketches to rule out.
 DIRECT_BUCKET = 32
-#: Groups of one pivot with at most this many sets are compared directly, without residual prefixes.
+#: Groups of one pivot with at most this many sets are compared directly, without lots or residual prefixes.
 DIRECT = 12
+#: Groups of one pivot with more sets, but at most this many, meet in lots: a set is sent 16 times at most, fewer than a prefix has shingles.
+IN_LOTS = 8192
+#: About so many sets of a group are a lot.
+LOT_ROWS = 512
 #: Buckets of equal residual shingles in which all sets times those outside the main component exceed its square get pivots of their own.
 DIRECT_RESIDUAL = 1024
 #: Bits of the parity sketch of a set of at most as many shingles; a larger set has the next power of two.
@@ -310,7 +316,7 @@ def _residual(p: np.ndarray, y: np.ndarray, removed: np.ndarray, added: np.ndarr
 
 def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool) -> DataFrame:
     """Stored ``a, b, linked`` of every pair of set ids in ``pairs`` (``a, b``), by their whole shingle sets; with ``residuals`` also
-    ``differ``, the number of shingles in which they differ, and, of an ``a`` of more than ``DIRECT`` pairs, the ``prefix`` of these. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
+    ``differ``, the number of shingles in which they differ, and, of an ``a`` of more than ``IN_LOTS`` pairs, the ``prefix`` of these. The rows of one ``a`` are dealt in lots of ``PIVOT_ROWS``, each with one copy of its shingles."""
 
     def run(batches):
         last, p = None, None
@@ -339,7 +345,7 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
 
     # shingle sets are large: each is sent once for every pair it is b of, and a pivot's once for every lot; where the list of pairs
     # is small enough to be sent everywhere, the sets of the others stay where they are
-    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"), (F.count(F.lit(1)) > DIRECT).alias("placed"))
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"), (F.count(F.lit(1)) > max(DIRECT, IN_LOTS)).alias("placed"))
     lots = common.materialize(lots, "lots")
     few = common.broadcast_if_small(lots)
     firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(few.drop("placed"), "a")
@@ -460,6 +466,52 @@ def _direct(rows: DataFrame, percent: int, placed: bool) -> DataFrame:
     return both.select(F.greatest("a", "sid").alias("a"), F.least("a", "sid").alias("b")).distinct()
 
 
+def _near_rows(sid: np.ndarray, comp: np.ndarray, lot: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], percent: int, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (the larger id first) of sets of different components, from two lots if there are two, whose sizes and whole sketches do not rule
+    a link out; with ``hubs`` of each set only the one with that of its near sets that is near most others."""
+    near = np.zeros((len(sid), len(sid)), bool)
+    words, two = np.array([len(s) for s in sketches]), lot.min() != lot.max()
+    for w in np.unique(words):
+        own, longer = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)  # of two linked sets one sketch is at most twice as long
+        at = np.concatenate([own, longer])
+        bits = np.stack([sketches[i] for i in own] + [sketches[i][:w] ^ sketches[i][w:] for i in longer])
+        for k, x in enumerate(own):
+            may = (comp[at] != comp[x]) & (100 * np.minimum(size[at], size[x]) >= percent * np.maximum(size[at], size[x]))
+            may[:k] = False
+            if two:
+                may &= lot[at] != lot[x]
+            y = at[may]
+            differ = np.bitwise_count(bits[may] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            y = y[(100 + percent) * differ <= (100 - percent) * (size[y] + size[x])]
+            near[x, y] = near[y, x] = True
+    if hubs:
+        many = near.sum(axis=1)
+        x = np.flatnonzero(many)
+        y = np.where(near[x], many, -1).argmax(axis=1) if len(x) else x
+    else:
+        x, y = np.nonzero(np.triu(near))
+    return np.maximum(sid[x], sid[y]), np.minimum(sid[x], sid[y])
+
+
+def _in_lots(group: DataFrame, drawn: DataFrame, percent: int, hubs: bool) -> DataFrame:
+    """Pairs ``a, b`` of different components of the ``group`` rows (``key, sid, comp, n``) of a key, as ``_near_rows`` finds them in every two lots."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        column = lambda c: rows.column(c).to_numpy()
+        sid = column("sid")
+        order = np.argsort(sid)  # reruns find the same pairs
+        sketches = rows.column("sketch").combine_chunks()
+        ends, flat = sketches.offsets.to_numpy(), sketches.values.to_numpy()
+        sketches = [flat[ends[i] : ends[i + 1]] for i in order]
+        a, b = _near_rows(sid[order], column("comp")[order], column("lot")[order], column("size")[order], sketches, percent, hubs)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = group.select("key", "sid", "comp", F.ceil(F.col("n") / LOT_ROWS).cast("int").alias("lots")).join(drawn.select("sid", "size", "sketch"), "sid")
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("sid"), F.col("lots")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    rows = rows.select("key", F.least("lot", "other").alias("first"), F.greatest("lot", "other").alias("second"), "sid", "comp", "lot", "size", "sketch")
+    return rows.groupBy("key", "first", "second").applyInArrow(run, "a long, b long").distinct()
+
+
 def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(``doc_id, text_hash, name, size`` of every row; the distinct sets; ``sid, comp`` of the sets that link with another)."""
     spark = docs.sparkSession
@@ -522,24 +574,30 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         found = compare(pairs, tokens, percent, True)
         common.discard(rows, pairs)
         comp = _merged(comp, found.filter("linked").select("a", "b"))
-        # what is left lies in the groups of one pivot: small ones as they are, large ones by the prefixes of their residuals
+        # what is left lies in the groups of one pivot: small ones as they are, larger ones in lots, the largest by the prefixes of their residuals
         group = found.select(F.col("a").alias("key"), F.col("b").alias("sid"), "differ", "prefix")
         group = _with_components(group, comp).join(drawn.select("sid", "size"), "sid")
         group = common.materialize(group, "groups")
         common.discard(found)
-        parts = group.filter(F.col("n") > DIRECT).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
+        large, lots = F.col("n") > max(DIRECT, IN_LOTS), group.filter((F.col("n") > DIRECT) & (F.col("n") <= IN_LOTS))
+        parts = group.filter(large).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
         parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size", "differ", "at")
-        parts = _with_components(_within_reach(_with_components(parts, comp), percent), comp)
-        parts = common.materialize(parts, "residual-buckets")
+        reached = common.materialize(_within_reach(_with_components(parts, comp), percent), "residual-rows")
+        parts = common.materialize(_with_components(reached, comp), "residual-buckets")
         few = F.col("n") * (F.col("n") - F.col("main_n")) <= DIRECT_RESIDUAL**2
         pairs = _direct(group.filter(F.col("n") <= DIRECT).join(folded, "sid"), percent, False).unionByName(_direct(parts.filter(few).join(folded, "sid"), percent, True)).distinct()
-        pairs = common.materialize(_may_link(pairs, drawn, percent), "pairs")
+        pairs = _may_link(pairs, drawn, percent).unionByName(_in_lots(lots, drawn, percent, True)).distinct()
+        pairs = common.materialize(pairs, "pairs")
         own = compare(pairs, tokens, percent, False)
         comp = _merged(comp, own.filter("linked").select("a", "b"))
+        still = _in_lots(_with_components(lots.select("key", "sid"), comp), drawn, percent, False).join(pairs, ["a", "b"], "left_anti")
+        still = common.materialize(still, "pairs")
+        others = compare(still, tokens, percent, False)
+        comp = _merged(comp, others.filter("linked").select("a", "b"))
         # larger residual buckets take another pivot each; it is in none of the next ones, so they shrink
         rest = _with_components(parts.filter(~few).select("key", "sid", "size").distinct(), comp)
         rows = common.materialize(rest.join(scores, "sid").select("key", "sid", "size", "score"), "open-buckets")
-        common.discard(group, parts, pairs, own)
+        common.discard(group, reached, parts, pairs, own, still, others)
         if not rows.limit(1).count():
             break
     common.discard(tokens, rows)

@@ -156,3 +156,67 @@ def test_sketches_of_any_length_keep_linked_pairs(spark):
     kept = {(r.a, r.b) for r in jaccard_join._may_link(pairs, drawn, 80).collect()}
     linked = {(a, b) for a in sets for b in sets if a > b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
     assert linked == kept and len(linked) == 7
+
+
+def unlike_with_a_notice(rng, many: int) -> dict:
+    """Texts that have nothing but a notice in common, and for every tenth of them a near copy."""
+    notice = " ".join(f"notice{i}" for i in range(150))
+    texts = {k: " ".join(f"w{i}" for i in rng.integers(0, 1_000_000, 70)) + " " + notice for k in range(many)}
+    return texts | {many + k: texts[k].replace(" ", " x ", 1 + k % 3) for k in range(0, many, 10)}
+
+
+@pytest.mark.parametrize("in_lots", [8192, 0])
+def test_unlike_sets_of_one_pivot_make_no_residual_rows(spark, monkeypatch, in_lots):
+    """Sets that meet in a large bucket without being near its pivot: lots of them meet, no prefix is listed; without lots the result is the same."""
+    prefixes, check = [], jaccard_join.compare
+
+    def counted(*args):
+        out = check(*args)
+        if args[3]:
+            prefixes.extend(len(r.prefix) for r in out.filter("prefix is not null").collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    monkeypatch.setattr(jaccard_join, "IN_LOTS", in_lots)
+    monkeypatch.setattr(jaccard_join, "LOT_ROWS", 30)
+    texts = unlike_with_a_notice(np.random.default_rng(10), 120)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows, 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80) and len({c for _, c in got.values()}) == 120
+    assert bool(sum(prefixes)) == (in_lots == 0)
+
+
+@pytest.mark.parametrize("in_lots", [8192, 0])
+def test_near_copies_of_several_texts_in_lots_or_by_prefixes(spark, monkeypatch, in_lots):
+    """Families of near copies, on both sides of the threshold, that share a notice and so a pivot; lots of about 20, or prefixes only."""
+    monkeypatch.setattr(jaccard_join, "IN_LOTS", in_lots)
+    monkeypatch.setattr(jaccard_join, "LOT_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "DIRECT_BUCKET", 8)
+    rng = np.random.default_rng(11)
+    notice = [f"notice{i}" for i in range(150)]
+    base = [[f"w{i}" for i in rng.integers(0, 1000, 80)] for _ in range(4)]
+    texts = dict(enumerate(edited(rng, b + notice, 14) for b in base for _ in range(30)))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows, 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
+def test_pairs_of_lots_are_those_that_sketches_of_any_length_leave():
+    """Against all pairs one by one; two lots list only pairs between them, and hubs reach every set that has a near one."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for size in (40, 1000, 1030, 2040, 2060):
+        s = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([s[: size - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (0, size // 40, size // 20, size // 3)]
+    sid, comp, lot = np.arange(len(sets)) + 5, np.arange(len(sets)) // 2 * 2, np.arange(len(sets)) % 2
+    size, sketches = np.array([len(s) for s in sets]), [np.array(jaccard_join._sketch(s), np.int64) for s in sets]
+
+    def linked(a, b):
+        return 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+
+    for lots in (np.zeros_like(lot), lot):
+        apart = [(a, b) for a in range(len(sets)) for b in range(a) if comp[a] != comp[b] and (lots[a] != lots[b] or not lots.any())]
+        a, b = jaccard_join._near_rows(sid, comp, lots, size, sketches, 80, False)
+        assert set(zip((a - 5).tolist(), (b - 5).tolist(), strict=True)) == {p for p in apart if linked(*p)} != set()
+        x, y = jaccard_join._near_rows(sid, comp, lots, size, sketches, 80, True)
+        assert {*x, *y} == {*a, *b} and set(zip(x, y, strict=True)) <= set(zip(a, b, strict=True))
