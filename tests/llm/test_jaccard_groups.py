@@ -220,3 +220,19 @@ def test_pairs_of_lots_are_those_that_sketches_of_any_length_leave():
         assert set(zip((a - 5).tolist(), (b - 5).tolist(), strict=True)) == {p for p in apart if linked(*p)} != set()
         x, y = jaccard_join._near_rows(sid, comp, lots, size, sketches, 80, True)
         assert {*x, *y} == {*a, *b} and set(zip(x, y, strict=True)) <= set(zip(a, b, strict=True))
+
+
+def test_op10_lists_no_prefixes_of_unlike_sets(spark, monkeypatch):
+    """The settings of op10: a prefix is listed by no set of a group that meets in lots."""
+    listed, check = [], jaccard_join.compare
+
+    def counted(*args):
+        out = check(*args)
+        listed.append(out.filter("prefix is not null").count() if args[3] else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "compare", counted)
+    texts = unlike_with_a_notice(np.random.default_rng(13), 80)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows).collect()}
+    assert got == brute_components(texts, 4, 85) and sum(listed) == 0
