@@ -60,6 +60,8 @@ SKETCH_BITS = 1024
 FOLDED_WORDS = 4
 #: Rows of one pivot that share a copy of its shingles in a join.
 PIVOT_ROWS = 256
+#: Edges that a task ties up at once.
+TIED_EDGES = 500_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -347,22 +349,74 @@ def compare(pairs: DataFrame, tokens: DataFrame, percent: int, residuals: bool)
     # is small enough to be sent everywhere, the sets of the others stay where they are
     lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("lots"), (F.count(F.lit(1)) > max(DIRECT, IN_LOTS)).alias("placed"))
     lots = common.materialize(lots, "lots")
-    few = common.broadcast_if_small(lots)
+    small = pairs.count() <= common.BROADCAST_ROWS  # then so are the lots
+    few = F.broadcast(lots) if small else common.broadcast_if_small(lots)
     firsts = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")).join(few.drop("placed"), "a")
     firsts = firsts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     dealt = pairs.join(few, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).select("a", "b", "lot", "placed")
     seconds = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
-    t = seconds.join(common.broadcast_if_small(dealt), "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
+    t = seconds.join(F.broadcast(dealt) if small else dealt, "b").join(firsts.drop("lots").hint("merge"), ["a", "lot"])
     out = t.select("a", "b", "tokens_a", "tokens_b", "placed").mapInArrow(run, "a long, b long, linked boolean" + (", differ long, prefix array<long>" if residuals else ""))
     out = common.materialize(out, "compared")
     common.discard(lots)
     return out
 
 
+def _least(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges but the smallest of each component, and that smallest one of theirs."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        # every root that an edge ties to a smaller one takes the smallest of these; then all follow to their roots
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (after := label[label])).any():
+            label = after
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _tied(edges: DataFrame) -> DataFrame:
+    """Edges ``u, v`` that connect the same nodes as ``edges``: up to ``TIED_EDGES`` at once of a task's edges become one from each of their nodes to
+    the smallest that it is connected with."""
+
+    def run(batches):
+        u, v, held = [], [], 0
+
+        def out():
+            nodes, least = _least(np.concatenate(u), np.concatenate(v))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            u.append(batch.column(0).to_numpy())
+            v.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held >= TIED_EDGES:
+                yield out()
+                u, v, held = [], [], 0
+        if held:
+            yield out()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, most: int = 40) -> DataFrame:
-    """``sid, comp`` of all sets in ``links`` (``a, b``): the smallest set id reachable, by alternating large and small stars."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    """``sid, comp`` of all sets in ``links`` (``a, b``): the smallest set id reachable. Edges are tied up where they lie and where those of
+    a node meet; what tasks leave open is settled by alternating large and small stars."""
+    edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), None
     for _ in range(most):
+        after = common.materialize(_tied(_tied(edges).repartition("u")), "stars")
+        if last is not None:
+            common.discard(last)
+        edges = last = after
+        # done when every node has one neighbour and no root has any
+        ends = edges.select(F.col("u").alias("node"), "v").unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v")))
+        ends = ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.bool_or(F.col("v").isNull()).alias("root"))
+        if ends.filter("low <> high or (root and low is not null)").isEmpty():
+            break
         # large star: every larger neighbour of u is tied to u's smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
@@ -370,17 +424,10 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
         # small star: u and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), F.col("low")))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.low").alias("v"))
-        after = common.materialize(small.filter("u <> v").distinct(), "stars")
-        common.discard(edges)
-        # done when every node has one edge and no root has any
-        state = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
-        roots = after.select(F.col("v").alias("u")).distinct()
-        edges = after
-        if not state.filter("n > 1").limit(1).count() and not state.join(roots, "u", "left_semi").limit(1).count():
-            break
+        edges = small.filter("u <> v").distinct()
     else:
         raise RuntimeError("components did not settle")
-    out = common.materialize(edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct()), "components")
+    out = common.materialize(edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp"))).distinct(), "components")
     common.discard(edges)
     return out
 
@@ -402,7 +449,9 @@ def _with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components ``comp`` (none yet: None), which are discarded, joined by ``links``."""
+    """The components ``comp`` (none yet: None), which are discarded if there are ``links``, joined by these."""
+    if comp is not None and links.isEmpty():
+        return comp
     out = components(links if comp is None else links.unionByName(comp.select(F.col("sid").alias("a"), F.col("comp").alias("b"))))
     if comp is not None:
         common.discard(comp)
@@ -554,14 +603,22 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         involved = sids.distinct().join(sets, "sid").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
         involved = common.materialize(involved, "involved")
         is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash"))
-        texts = docs.join(common.broadcast_if_small(involved), is_rep).select("sid", "text")
+        many = involved.count()
+        texts = docs.join(F.broadcast(involved) if many <= common.BROADCAST_ROWS else involved, is_rep).select("sid", "text")
         tokens = common.materialize(_tokens(texts, n), "set-shingles")
-        if tokens.count() > involved.count():  # a representative row that is repeated
+        if tokens.count() > many:  # a representative row that is repeated
             repeated, tokens = tokens, common.materialize(tokens.dropDuplicates(["sid"]), "set-shingles")
             common.discard(repeated)
         common.discard(involved)
         return tokens
 
+    def linked(pairs: DataFrame, tokens: DataFrame, comp: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """The comparison of ``pairs`` (None: there are none), and the components joined by its links."""
+        if pairs.isEmpty():
+            return None, comp
+        found = compare(pairs, tokens, percent, False)
+        return found, _merged(comp, found.filter("linked").select("a", "b"))
+
     # large buckets; first round: all of a bucket against the set that meets most others
     scores = buckets.groupBy("sid").agg(F.sum("n").alias("score"))
     rows = buckets.filter(~small).join(scores, "sid")
@@ -579,26 +636,33 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
         group = _with_components(group, comp).join(drawn.select("sid", "size"), "sid")
         group = common.materialize(group, "groups")
         common.discard(found)
-        large, lots = F.col("n") > max(DIRECT, IN_LOTS), group.filter((F.col("n") > DIRECT) & (F.col("n") <= IN_LOTS))
-        parts = group.filter(large).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
-        parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size", "differ", "at")
-        reached = common.materialize(_within_reach(_with_components(parts, comp), percent), "residual-rows")
-        parts = common.materialize(_with_components(reached, comp), "residual-buckets")
+        # steps for which there is no row are left out
+        in_lots, by_prefix = (F.col("n") > DIRECT) & (F.col("n") <= IN_LOTS), F.col("n") > max(DIRECT, IN_LOTS)
+        held = group.agg(F.bool_or(in_lots).alias("lots"), F.bool_or(by_prefix).alias("prefixes")).first()
+        lots, reached, parts, still, others, rows = group.filter(in_lots), None, None, None, None, None
+        pairs = _direct(group.filter(F.col("n") <= DIRECT).join(folded, "sid"), percent, False)
         few = F.col("n") * (F.col("n") - F.col("main_n")) <= DIRECT_RESIDUAL**2
-        pairs = _direct(group.filter(F.col("n") <= DIRECT).join(folded, "sid"), percent, False).unionByName(_direct(parts.filter(few).join(folded, "sid"), percent, True)).distinct()
-        pairs = _may_link(pairs, drawn, percent).unionByName(_in_lots(lots, drawn, percent, True)).distinct()
+        if held.prefixes:
+            parts = group.filter(by_prefix).select("sid", "size", "differ", "key", F.posexplode("prefix").alias("at", "shingle"))
+            parts = parts.select(F.xxhash64("key", "shingle").alias("key"), "sid", "size", "differ", "at")
+            reached = common.materialize(_within_reach(_with_components(parts, comp), percent), "residual-rows")
+            parts = common.materialize(_with_components(reached, comp), "residual-buckets")
+            pairs = pairs.unionByName(_direct(parts.filter(few).join(folded, "sid"), percent, True)).distinct()
+        pairs = _may_link(pairs, drawn, percent)
+        if held.lots:
+            pairs = pairs.unionByName(_in_lots(lots, drawn, percent, True)).distinct()
         pairs = common.materialize(pairs, "pairs")
-        own = compare(pairs, tokens, percent, False)
-        comp = _merged(comp, own.filter("linked").select("a", "b"))
-        still = _in_lots(_with_components(lots.select("key", "sid"), comp), drawn, percent, False).join(pairs, ["a", "b"], "left_anti")
-        still = common.materialize(still, "pairs")
-        others = compare(still, tokens, percent, False)
-        comp = _merged(comp, others.filter("linked").select("a", "b"))
+        own, comp = linked(pairs, tokens, comp)
+        if held.lots:
+            still = _in_lots(_with_components(lots.select("key", "sid"), comp), drawn, percent, False).join(pairs, ["a", "b"], "left_anti")
+            still = common.materialize(still, "pairs")
+            others, comp = linked(still, tokens, comp)
         # larger residual buckets take another pivot each; it is in none of the next ones, so they shrink
-        rest = _with_components(parts.filter(~few).select("key", "sid", "size").distinct(), comp)
-        rows = common.materialize(rest.join(scores, "sid").select("key", "sid", "size", "score"), "open-buckets")
+        if held.prefixes:
+            rest = _with_components(parts.filter(~few).select("key", "sid", "size").distinct(), comp)
+            rows = common.materialize(rest.join(scores, "sid").select("key", "sid", "size", "score"), "open-buckets")
         common.discard(group, reached, parts, pairs, own, still, others)
-        if not rows.limit(1).count():
+        if rows is None or rows.isEmpty():
             break
     common.discard(tokens, rows)
 
@@ -607,13 +671,11 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Dat
     near = common.materialize(_may_link(_all_pairs(near, percent), drawn, percent), "near")
     common.discard(buckets, drawn)
     tokens = stored(near.select(F.explode(F.array("a", "b")).alias("sid")))
-    first = near.groupBy("b").agg(F.max("a").alias("a")).select("a", "b")
-    found = compare(first, tokens, percent, False)
-    comp = _merged(comp, found.filter("linked").select("a", "b"))
+    first = common.materialize(near.groupBy("b").agg(F.max("a").alias("a")).select("a", "b"), "pairs")
+    found, comp = linked(first, tokens, comp)
     rest = common.materialize(_across(near.join(first, ["a", "b"], "left_anti"), comp), "pairs")
-    own = compare(rest, tokens, percent, False)
-    comp = _merged(comp, own.filter("linked").select("a", "b"))
-    common.discard(near, tokens, found, rest, own)
+    own, comp = linked(rest, tokens, comp)
+    common.discard(near, tokens, first, found, rest, own)
     return named, sets, comp
 
 

@@ -236,3 +236,44 @@ def test_op10_lists_no_prefixes_of_unlike_sets(spark, monkeypatch):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows).collect()}
     assert got == brute_components(texts, 4, 85) and sum(listed) == 0
+
+
+def test_few_edges_take_one_step_and_absent_cases_none(spark, monkeypatch):
+    """The driver plans and keeps every query: few edges are tied up in one step, and no table is made for cases without a row."""
+    made, store = [], jaccard_join.common.materialize
+
+    def noted(df, name, *rest, **more):
+        made.append(name)
+        return store(df, name, *rest, **more)
+
+    monkeypatch.setattr(jaccard_join.common, "materialize", noted)
+    rng = np.random.default_rng(14)
+    base = [f"w{i}" for i in range(200)]
+    texts = dict(enumerate(" ".join(base[k : k + 150]) for k in rng.permutation(50)))  # each links with its next ones only
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(rows).collect()}
+    assert got == brute_components(texts, 4, 85) and {c for _, c in got.values()} == {0}
+    assert made.count("stars") == made.count("components") > 0
+    assert not {"residual-rows", "residual-buckets", "open-buckets"} & set(made)
+
+
+@pytest.mark.parametrize("at_once", [500_000, 40])
+def test_components_over_several_tasks(spark, monkeypatch, at_once):
+    """A long path in random order, a tree and loose pairs, tied up in blocks of any size."""
+    monkeypatch.setattr(jaccard_join, "TIED_EDGES", at_once)
+    rng = np.random.default_rng(15)
+    p = rng.permutation(400)
+    edges = [*zip(p[1:250], p[:249]), *((p[250 + k], p[250 + (k - 1) // 2]) for k in range(1, 90)), *zip(p[340:370], p[370:400])]
+    label = {int(x): int(x) for x in p}
+    for _ in range(len(p)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in edges] + [(int(p[0]), int(p[0]))], "a long, b long").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = jaccard_join.components(links).collect()
+        assert jaccard_join.components(links.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(label) and {r.sid: r.comp for r in got} == label
