@@ -31,6 +31,9 @@ from . import common
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEGMENT_BYTES = 2 << 20
+#: Parquet holds a file's rows in memory when it writes a row group and when it reads a batch, by number and not by bytes: segments are
+#: filed by few.
+FILE_SEGMENTS = 8
 #: Test windows are broadcast in slices of about so many (at most 44 bytes each in a worker); more slices mean more passes over the index.
 SLICE_WINDOWS = 1_000_000
 INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
@@ -95,7 +98,7 @@ def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
             yield own.row()
 
     with common.arrow_batches(docs.sparkSession, 500):
-        docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(segments, INDEX_SCHEMA).write.parquet(path)
+        docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(segments, INDEX_SCHEMA).write.option("maxRecordsPerFile", FILE_SEGMENTS).parquet(path)
 
 
 class _Windows:
